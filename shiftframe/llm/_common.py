@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one Arrow batch may hold on its way to a Python worker.
@@ -62,7 +63,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_
     """Cut record batches so that the text column of each holds about `most` bytes."""
     for batch in batches:
         at, n = 0, batch.num_rows
-        lengths = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        lengths = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
         while at < n:
             base = lengths[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(lengths, base + most, "right")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op1_token_counts": "token_counts",
     "op4_byte_bpe": "bpe",
+    "op9_line_dedup": "line_dedup",
 }
 
 
@@ -23,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    modules = {name: import_module(f".{module}", __package__) for name, module in NAMES.items()}
+    return {name: m.SQL for name, m in modules.items() if hasattr(m, "SQL")}
