@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the executors once, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shiftframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="shiftframe-src-"), "shiftframe_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    sc.addPyFile(path)
+    sc._shiftframe_shipped = True
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, as rows may be very long."""
+    """Bound the Arrow batches by bytes, as rows may be very long, and ship the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

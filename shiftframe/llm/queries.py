@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op1_token_counts": "token_counts",
     "op4_byte_bpe": "bpe",
+    "op5_simhash": "simhash",
     "op9_line_dedup": "line_dedup",
 }
 
