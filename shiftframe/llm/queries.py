@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module of this subpackage whose query() it runs.
 NAMES = {
     "op1_token_counts": "token_counts",
+    "op3_decontamination": "decontamination",
     "op4_byte_bpe": "bpe",
     "op5_simhash": "simhash",
+    "op7_quality": "quality",
     "op9_line_dedup": "line_dedup",
+    "op10_language_id": "language_id",
 }
 
 
