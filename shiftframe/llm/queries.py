@@ -14,6 +14,7 @@ NAMES = {
     "op4_byte_bpe": "bpe",
     "op5_simhash": "simhash",
     "op7_quality": "quality",
+    "op8_warc": "warc",
     "op9_line_dedup": "line_dedup",
     "op10_language_id": "language_id",
 }
