@@ -13,6 +13,7 @@ NAMES = {
     "op3_decontamination": "decontamination",
     "op4_byte_bpe": "bpe",
     "op5_simhash": "simhash",
+    "op6_suffix_dedup": "suffix_dedup",
     "op7_quality": "quality",
     "op8_warc": "warc",
     "op9_line_dedup": "line_dedup",
