@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module of this subpackage whose query() it runs.
 NAMES = {
     "op1_token_counts": "token_counts",
+    "op2_topk_search": "topk_search",
     "op3_decontamination": "decontamination",
     "op4_byte_bpe": "bpe",
     "op5_simhash": "simhash",
