@@ -35,9 +35,9 @@ from . import _common as c
 
 K = 24
 #: Bytes of text, or windows of one text, that are hashed at a time.
-STRETCH = 1 << 20
-#: Bytes of runs in a shard.
-SHARD_BYTES = 2 << 20
+STRETCH = 1 << 17
+#: Bytes of runs in a shard; three places then fit into one 64-bit number.
+SHARD_BYTES = 1 << 20
 HOT = 5000
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 B_INVERSE = np.uint64(pow(int(B), -1, 1 << 64))
@@ -131,72 +131,97 @@ def _stretches(batch: pa.RecordBatch, column: str, length: int) -> Iterator[tupl
         yield flush()
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` bytes at least; equal ones by position."""
-    n = len(text)
+def _first_bytes(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number; zeros follow the end."""
     p = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
     for k in (1, 2, 4):
         p = (p[:-k] << np.uint64(8 * k)) | p[k:]
-    key = p[:n]
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    return p[: len(text)]
+
+
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their first `depth` bytes at least, equal ones by position; and their first 8 bytes, sorted."""
+    n = len(text)
+    bits = max(1, int(n).bit_length())
+    key = _first_bytes(text)
+    order = np.argsort(key)
+    first = key[order]
+    rank = np.empty(n, np.uint64)
 
     def number(slots: np.ndarray, differs: np.ndarray) -> np.ndarray:
         """Give the suffixes at these slots the slot of their group's first as rank; the slots of groups over one."""
-        heads = np.maximum.accumulate(np.where(differs, slots, -1))
-        rank[order[slots]] = heads
-        size = np.bincount(np.cumsum(differs) - 1)
-        return slots[np.repeat(size > 1, size)]
+        heads = np.flatnonzero(differs)
+        sizes = np.diff(np.append(heads, len(slots)))
+        rank[order[slots]] = np.repeat(slots[heads], sizes)
+        return slots[np.repeat(sizes > 1, sizes)]
 
-    sorted_key = key[order]
-    active = number(np.arange(n), np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
+    active = number(np.arange(n), np.concatenate(([True], first[1:] != first[:-1])))
     have = 8
     while have < depth and len(active):
         own = order[active]
         after = own + have
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = (rank[own].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        by = np.argsort(key, kind="stable")
-        order[active] = own[by]
-        key = key[by]
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + np.uint64(1), np.uint64(0))
+        if 3 * bits <= 64:  # group, rank of what follows, and position in one number: sorting it is all
+            packed = (rank[own] << np.uint64(2 * bits)) | (second << np.uint64(bits)) | own.astype(np.uint64)
+            packed.sort()
+            order[active] = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+            key = packed >> np.uint64(bits)
+        else:
+            key = (rank[own] << np.uint64(32)) | second
+            by = np.argsort(key)
+            order[active] = own[by]
+            key = key[by]
         active = number(active, np.concatenate(([True], key[1:] != key[:-1])))
         have *= 2
     if len(active):  # what is still equal: by position, so that the transform's mapping is consistent
         own = order[active]
-        order[active] = own[np.argsort((rank[own].astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64))]
-    return order
+        order[active] = own[np.argsort((rank[own] << np.uint64(32)) | own.astype(np.uint64))]
+    return order, first
+
 
+def common_groups(text: np.ndarray, order: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Group number of each place in the order: neighbours share `length` bytes if they share a number.
 
-def common_groups(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Group number of each place in the order: neighbours share `length` bytes if they share a number."""
+    The sorted first 8 bytes give the common prefixes under 8 and the intervals of 8-byte strings; those that close at
+    a common prefix of 7 begin the search, as they would be its next intervals.
+    """
     n = len(text)
     bwt = text[order - 1]
-    back = np.empty(n, np.int64)  # place of the suffix that is one byte longer
     by_byte = np.argsort(bwt, kind="stable")
+    back = np.empty(n, np.int64)  # place of the suffix that is one byte longer
     back[by_byte] = np.arange(n)
     new_byte = np.zeros(n + 1, bool)  # where the first byte of the suffixes changes
     new_byte[np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=256))))] = True
+    begin = min(8, length)
+    differs = first[1:] ^ first[:-1]
     met = np.zeros(n + 1, bool)
     met[0] = met[n] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    label = np.full(n + 1, -1, np.int64)
-    for _ in range(length):  # intervals of strings of 0, 1, 2, ... bytes
+    met[1:n] = differs >> np.uint64(64 - 8 * begin) > 0
+    edges = np.flatnonzero(met)
+    low, high = edges[:-1], edges[1:]
+    seventh = np.ones(n + 1, bool)
+    seventh[1:n] = differs >> np.uint64(64 - 8 * (begin - 1)) == 0 if begin > 1 else True
+    fresh = seventh[high]
+    low, high = low[fresh], high[fresh]
+    label = np.full(n + 1, -1, np.int32)
+    for _ in range(begin, length):  # intervals of strings of 8, 9, 10, ... bytes
         if not len(low):
             break
         sizes = high - low
         spots = back[c.ranges(low, sizes)]
-        names = np.repeat(np.arange(len(low)), sizes)
+        names = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
         if len(spots) * 8 > n:
             label[:] = -1
             label[spots] = names
-            opens = (label[1:-1] != label[:-2]) | new_byte[1:-1]
-            starts = np.concatenate(([0], np.flatnonzero(opens) + 1))
+            opens = np.flatnonzero((label[1:-1] != label[:-2]) | new_byte[1:-1]) + 1
+            starts = np.concatenate(([0], opens))
             starts = starts[label[starts] >= 0]
-            closes = np.concatenate((np.flatnonzero(opens) + 1, [n]))
+            closes = np.concatenate((opens, [n]))
             closes = closes[label[closes - 1] >= 0]
         else:
-            by = np.argsort(spots)
-            spots, names = spots[by], names[by]
+            packed = (spots.astype(np.uint64) << np.uint64(32)) | names.astype(np.uint64)
+            packed.sort()
+            spots, names = (packed >> np.uint64(32)).astype(np.int64), packed.astype(np.uint32)
             opens = np.concatenate(([True], (names[1:] != names[:-1]) | (spots[1:] != spots[:-1] + 1) | new_byte[spots[1:]]))
             starts = spots[opens]
             closes = spots[np.concatenate((opens[1:], [True]))] + 1
@@ -211,8 +236,8 @@ def later_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
     text = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)  # a byte that UTF-8 never has ends each piece
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     starts = np.cumsum(sizes + 1) - sizes - 1
-    order = suffix_order(text, length + 28)
-    groups = common_groups(text, order, length)
+    order, first = suffix_order(text, length + 28)
+    groups = common_groups(text, order, first, length)
     valid = np.zeros(len(text), bool)
     valid[c.ranges(starts, np.maximum(0, sizes - length + 1))] = True
     keep = valid[order]
@@ -287,7 +312,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                 for r in own:
                     out.append((d.as_py(), t, r["s"], r["h"], r["hot"], bytes(raw[r["s"] : r["s"] + r["w"] + length - 1])))
                     held += len(out[-1][-1])
-                    if held > STRETCH:
+                    if held > 1 << 20:
                         yield _pieces(out, b.schema.field(0).type)
                         out, held = [], 0
             if out:
