@@ -10,7 +10,8 @@ largest impact in the block (for the frequent terms from a table of block maxima
 added exactly). The blocks with the highest bounds are scored first and give the threshold, the k-th best score;
 blocks whose bound is below it are skipped, as in WAND; the rest are scored. Scoring runs in single precision with a
 margin that is wider than its error; what may be in the top k is scored again in double precision, term by term in a
-fixed order, so scores do not depend on the sharding. The shards' top k are merged; ties go to the smaller id.
+fixed order, so scores do not depend on the sharding. A task carries each query's best k from shard to shard, and their
+least score as a floor; the tasks' best are merged. Ties go to the smaller id.
 
 score = sum over terms of qtf * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg)).
 Terms are runs of letters and digits in lower case, known by their 64-bit hash.
@@ -29,8 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _common as c
 
@@ -147,9 +149,19 @@ class Shard:
         self.own_term, self.own_impact = term[by], self.impact[by]
         self.own = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
         self.weights = np.zeros(len(terms))
+        self.leading = {int(terms[t]): i for i, t in enumerate(dense.tolist())}
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[list[int], list[float]]]:
-        """Per query, given as (hashes, weights): places and scores of its best k documents."""
+    def grouped(self, block: list[tuple]) -> list[int]:
+        """The queries' places, those with the same heaviest common term beside each other, as they need the same blocks."""
+        leading = self.leading
+
+        def heaviest(q: tuple) -> int:
+            return max(((w, leading[h]) for h, w in zip(q[1].tolist(), q[2].tolist(), strict=True) if h in leading), default=(0.0, -1))[1]
+
+        return sorted(range(len(block)), key=lambda i: heaviest(block[i]))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floors: np.ndarray) -> list[list[tuple[float, object]]]:
+        """Per query, given as (hashes, weights): (score, id) of its best k documents that reach its floor."""
         q, n = len(queries), self.n
         wide = np.zeros((self.matrix.shape[1], q), np.float32)
         rare = np.zeros((self.blocks * BLOCK, q), np.float32)
@@ -181,20 +193,26 @@ class Shard:
         score(np.unique(np.argpartition(-bound, first - 1, axis=0)[:first]))
         flat = scores.reshape(-1, q)
         least = np.partition(flat, -k, axis=0)[-k] if len(flat) >= k else np.zeros(q, np.float32)
+        least = np.maximum(least, floors)
         score(np.flatnonzero(~done & (bound > np.maximum(0, least * (1 - MARGIN))).any(axis=1)))
         out = []
         for i, (at, weights) in enumerate(known):
             s = flat[:, i]
-            least_i = float(np.partition(s, -k)[-k]) if len(s) >= k else 0.0
+            least_i = max(float(np.partition(s, -k)[-k]) if len(s) >= k else 0.0, floors[i])
             close = np.flatnonzero((s > 0) & (s >= least_i * (1 - MARGIN)))
             self.weights[at] = weights
             exact = [float((self.weights[self.own_term[a:z]] * self.own_impact[a:z]).sum()) for a, z in zip(self.own[close].tolist(), self.own[close + 1].tolist(), strict=True)]
             self.weights[at] = 0
-            best = sorted(zip(exact, close.tolist(), strict=True), key=lambda x: (-x[0], self.ids[x[1]] is None, self.ids[x[1]] or 0))[:k]
-            out.append(([p for _, p in best], [e for e, _ in best]))
+            out.append(best_of([(e, self.ids[p]) for e, p in zip(exact, close.tolist(), strict=True)], k))
         return out
 
 
+def best_of(found: list[tuple[float, object]], k: int) -> list[tuple[float, object]]:
+    """The k best (score, id); ties go to the smaller id, null ids come last."""
+    missing = [x for x in found if x[1] is None]
+    return sorted(sorted((x for x in found if x[1] is not None), key=lambda x: x[1]) + missing, key=lambda x: -x[0])[:k]
+
+
 def _blocks(weighted: DataFrame) -> Iterator[list[tuple]]:
     """Queries as (id, hashes, weights), in lists of bounded size; partitions are streamed."""
     held, size = [], 0
@@ -215,6 +233,7 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = 1.2,
     n, total = (x or 0 for x in own.agg(F.sum("n"), F.sum("total")).first())
     asked = queries.select(queries[query_id_col].alias("query_id"), queries[query_text_col].alias("text"))
     kind, asked_kind = own.schema["ids"].dataType.elementType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    id_type, asked_type = to_arrow_type(own.schema["ids"].dataType.elementType), to_arrow_type(asked.schema["query_id"].dataType)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -252,34 +271,36 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = 1.2,
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = sent.value
+            best: list[list[tuple[float, object]]] = [[] for _ in block]  # of the shards that this task has seen
+            floors = np.zeros(len(block))
             for x in batches:
                 for r in range(x.num_rows):
                     arrays = {name: np.frombuffer(x.column(i)[r].as_buffer(), t) for i, (name, t) in enumerate((("lengths", np.int32), ("terms", np.uint64), ("df", np.int32), ("doc", np.int32), ("tf", np.int32)), 1)}
                     shard = Shard(x.column(0)[r].as_py(), avg=avg, k1=k1, b=b, **arrays)
                     if not len(shard.terms):
                         continue
-                    common = np.argsort(-shard.column, kind="stable")
-                    leading = {int(shard.terms[t]): i for i, t in enumerate(common[: int((shard.column >= 0).sum())].tolist())}
-                    like = sorted(range(len(block)), key=lambda i: max(((w, leading[h]) for h, w in zip(block[i][1].tolist(), block[i][2].tolist(), strict=True) if h in leading), default=(0, -1))[1])
+                    like = shard.grouped(block)
                     for a in range(0, len(like), TOGETHER):
                         part = like[a : a + TOGETHER]
-                        q, d, s = [], [], []
-                        for i, (places, scores) in zip(part, shard.search([block[i][1:] for i in part], k), strict=True):
-                            q += [block[i][0]] * len(places)
-                            d += [shard.ids[p] for p in places]
-                            s += scores
-                        yield pa.RecordBatch.from_arrays([pa.array(q, _arrow(asked_kind)), pa.array(d, x.column(0).type.value_type), pa.array(s, pa.float64())], ["query_id", "id", "score"])
-
-        part = own.select("ids", "lengths", "terms", "df", "doc", "tf").mapInArrow(run, f"query_id {asked_kind}, id {kind}, score double")
+                        for i, top in zip(part, shard.search([block[i][1:] for i in part], k, floors[part]), strict=True):
+                            best[i] = best_of(best[i] + top, k)
+                            floors[i] = best[i][-1][0] if len(best[i]) == k else 0.0
+            for a in range(0, len(block), 1024):
+                some = [i for i in range(a, min(a + 1024, len(block))) if best[i]]
+                top = pa.array([[{"id": d, "score": s} for s, d in best[i]] for i in some], pa.list_(pa.struct([("id", id_type), ("score", pa.float64())])))
+                yield pa.RecordBatch.from_arrays([pa.array([block[i][0] for i in some], asked_type), top], ["query_id", "top"])
+
+        part = own.select("ids", "lengths", "terms", "df", "doc", "tf").mapInArrow(run, f"query_id {asked_kind}, top array<struct<id: {kind}, score: double>>")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], f"query_id {asked_kind}, id {kind}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+        found = spark.createDataFrame([], f"query_id {asked_kind}, top array<struct<id: {kind}, score: double>>")
 
+    def order(x: Column, y: Column) -> Column:
+        up = F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1)
+        return up.when(x["id"].isNull() & y["id"].isNull(), 0).when(x["id"].isNull(), 1).when(y["id"].isNull(), -1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)
 
-def _arrow(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top")), order), 1, k).alias("top"))  # k rows of each task
+    return merged.select("query_id", F.posexplode("top").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("long").alias("rank"), "x.id", "x.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
