@@ -108,7 +108,7 @@ def boundary_to_utc(spark: SparkSession, local: datetime | str, *, zone: str = Z
     text = str(local)
     row = (
         spark.range(1)
-        .select(F.expr(f"try_to_timestamp('{text}')").alias("l"))
+        .select(F.try_to_timestamp(F.lit(text), F.lit("yyyy-MM-dd HH:mm:ss")).alias("l"))
         .select("l", F.to_utc_timestamp("l", zone).alias("u"))
         .select("l", "u", F.from_utc_timestamp("u", zone).alias("again"), *[F.from_utc_timestamp(F.col("u") + F.expr(f"INTERVAL {h} HOURS"), zone).alias(n) for h, n in ((-1, "before"), (1, "after"))])
         .first()

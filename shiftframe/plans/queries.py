@@ -209,13 +209,13 @@ def transition_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "calendar_features_2016",
-    AXIS + """, f AS (SELECT step, hour(l) * 60 + minute(l) AS m, isodow(l) - 1 AS w, dayofyear(l) - 1 AS d, date_diff('second', t, l) / 3600.0 AS o FROM loc WHERE step % 24 = 0 OR step BETWEEN 8344 AND 8360 OR step BETWEEN 29176 AND 29200)
+    AXIS + """, f AS (SELECT step, hour(l) * 60 + minute(l) AS m, isodow(l) - 1 AS w, dayofyear(l) - 1 AS d, date_diff('second', t, l) / 3600.0 AS o FROM loc WHERE step % 24 = 0 OR step BETWEEN 8255 AND 8275 OR step BETWEEN 29085 AND 29105)
 SELECT step, round(sin(2 * pi() * m / 1440), 9) + 0.0::DOUBLE AS minute_sin, round(cos(2 * pi() * m / 1440), 9) + 0.0::DOUBLE AS minute_cos, round(sin(2 * pi() * w / 7), 9) + 0.0::DOUBLE AS weekday_sin, round(cos(2 * pi() * w / 7), 9) + 0.0::DOUBLE AS weekday_cos,
  round(sin(2 * pi() * d / 366), 9) + 0.0::DOUBLE AS year_sin, round(cos(2 * pi() * d / 366), 9) + 0.0::DOUBLE AS year_cos, CAST(o AS DOUBLE) AS utc_offset_hours, CASE WHEN o > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_dst FROM f""",
 )
 def calendar_features_2016(spark: SparkSession, sf_dir: str) -> DataFrame:
     axis = timeaxis.generated_axis(spark, YEAR_START, YEAR)
-    some = axis.where("step % 24 = 0 OR step BETWEEN 8344 AND 8360 OR step BETWEEN 29176 AND 29200")
+    some = axis.where("step % 24 = 0 OR step BETWEEN 8255 AND 8275 OR step BETWEEN 29085 AND 29105")
     return rounded(timeaxis.calendar_table(some), 9, *CALENDAR)
 
 
