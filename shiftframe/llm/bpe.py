@@ -53,8 +53,10 @@ class Codec:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.texts: list[str] = []
         self.ids: list[tuple[int, ...]] = []
+        self.counts: list[int] = []
+        self.texts: list[str] = []  # decimals of the ids
+        self.bytes: list[bytes] = []  # what the ids decode to
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         found = self.pairs.get(left.astype(np.int64) << 32 | right.astype(np.int64))
@@ -147,7 +149,9 @@ class Codec:
         for piece, ids in found:
             self.index[piece] = len(self.ids)
             self.ids.append(ids)
+            self.counts.append(len(ids))
             self.texts.append(",".join([decimal[i] for i in ids]))
+            self.bytes.append(self.decode(ids))
 
     def lookup(self, texts: list[str | None]) -> list[list[int]]:
         """Per text the cache places of its pieces."""
@@ -168,12 +172,16 @@ class Codec:
         return b"".join([token[i] for i in ids])
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Per text the number of ids, the digest of their decimals, and that of the decoded bytes."""
+        """Per text the number of ids, the digest of their decimals, and that of the decoded bytes.
+
+        Ids are decoded piece by piece: the bytes of a sequence of ids are those of its parts, one behind the other.
+        """
+        sha = hashlib.sha256
         out = []
         for places in self.lookup(texts):
-            ids = [i for p in places for i in self.ids[p]]
-            decimals = ",".join([self.texts[p] for p in places])
-            out.append((len(ids), hashlib.sha256(decimals.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()))
+            n = sum(map(self.counts.__getitem__, places))
+            decimals = ",".join(map(self.texts.__getitem__, places))
+            out.append((n, sha(decimals.encode()).hexdigest(), sha(b"".join(map(self.bytes.__getitem__, places))).hexdigest()))
         return out
 
 
@@ -197,7 +205,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
             ids = pa.array(own.encode(b.column(1).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
 
-    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    one = c.spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
@@ -225,7 +233,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
             n, ids, decoded = zip(*own.digests(b.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    one = c.spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     kind = one.schema["id"].dataType.simpleString()
     return one.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 

@@ -179,7 +179,7 @@ def matches(
     """(id, item, n_windows, n_changed) of each document and item that share a window."""
     spark = docs.sparkSession
     c.tune(spark)
-    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    one = c.spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     out = None
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast((items, window, literals, least))

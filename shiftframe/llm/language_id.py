@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             lang, score = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
-    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    one = c.spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 

@@ -95,9 +95,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 150) -> np.ndarray:
+def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 150, start: np.ndarray | None = None) -> np.ndarray:
     """Weights by accelerated gradient steps, scaled by each column's curvature."""
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start
     ahead, t = w.copy(), 1.0
     per_row = np.maximum(1.0, np.bincount(x.row, np.ones(len(x.row)), x.shape[0]))
     scale = 1 / (0.25 * x.squares(weight * per_row) + ridge)  # a bound on the curvature that holds for all columns at once
@@ -120,8 +120,8 @@ class Model:
         self.words, self.content, self.meta, self.calibration, self.mix, self.constant = words, content, meta, calibration, mix, constant
 
     @staticmethod
-    def content_row(text: str | None, words: dict[str, int]) -> list[tuple[int, float]]:
-        numbers, own = style(text or "")
+    def content_row(text: str | None, words: dict[str, int], known: tuple[list[float], set[str]] | None = None) -> list[tuple[int, float]]:
+        numbers, own = known or style(text or "")
         row = list(enumerate(numbers))
         hits = [words[w] for w in own.intersection(words)]
         return row + [(STYLE + h, 1.0) for h in hits]
@@ -162,23 +162,23 @@ def train(labelled: list[tuple], y: np.ndarray, pool: list[tuple], *, rounds: in
     """labelled and pool: (text, source, lang, n_chars). y: 1 for good documents."""
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros(0), np.zeros(0), [], np.zeros(3), float(y.mean()) if len(y) else 1.0)
-    sets = [style(r[0] or "")[1] for r in labelled]
-    words = telling_words(sets, y, most_words, max(3, len(y) // 1000))
-    build = lambda rows: ([Model.content_row(r[0], words) for r in rows], [Model.meta_row(*r[1:]) for r in rows])
-    known, other = build(labelled), build(pool)
+    seen = [style(r[0] or "") for r in labelled]
+    words = telling_words([own for _, own in seen], y, most_words, max(3, len(y) // 1000))
+    build = lambda rows, seen: ([Model.content_row(r[0], words, x) for r, x in zip(rows, seen, strict=True)], [Model.meta_row(*r[1:]) for r in rows])
+    known, other = build(labelled, seen), build(pool, [None] * len(pool))
     widths, ridges = (STYLE + len(words), 1 + BUCKETS), (0.3, 3.0)
 
     def co_train(train_at: np.ndarray) -> list[np.ndarray]:
         """Weights of both views, after the exchanges."""
         given: list[dict[int, float]] = [{}, {}]  # per view: pseudo-labels of pool places, from the other one
         target = y[train_at]
+        weights: list[np.ndarray | None] = [None, None]
         for r in range(rounds + 1):
-            weights = []
             for v in (0, 1):
                 rows = [known[v][i] for i in train_at.tolist()] + [other[v][i] for i in given[v]]
                 labels = np.concatenate((target, np.array(list(given[v].values()))))
                 trusts = np.concatenate((np.ones(len(target)), np.full(len(given[v]), trust)))
-                weights.append(logistic(Sparse(rows, widths[v]), labels, trusts, ridges[v]))
+                weights[v] = logistic(Sparse(rows, widths[v]), labels, trusts, ridges[v], 60 if r else 150, weights[v])
             if r == rounds or not pool:
                 return weights
             for v in (0, 1):
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id") -> DataFrame
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b, own), pa.float64())], ["id", "score"])
 
-    one = docs.select(docs[id_col].alias("id"), docs["text"], docs["source"], docs["lang"], docs["n_chars"].cast("long").alias("n_chars"))
+    one = c.spread(docs.select(docs[id_col].alias("id"), docs["text"], docs["source"], docs["lang"], docs["n_chars"].cast("long").alias("n_chars")))
     return one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 

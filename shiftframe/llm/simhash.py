@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", tex
             fps = b"".join([fingerprint(t.as_py(), words) for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], ["id", "fp"])
 
-    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    one = c.spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, fp long")
 
 

@@ -257,7 +257,7 @@ def _spans(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = docs[text_col]
-    return docs.select(docs[id_col].alias("d"), F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)).cast("int").alias("t"), text.cast("binary").alias("text"))
+    return c.spread(docs.select(docs[id_col].alias("d"), F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)).cast("int").alias("t"), text.cast("binary").alias("text")))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

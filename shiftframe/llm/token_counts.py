@@ -164,7 +164,7 @@ def token_counts(docs: DataFrame, path: str, *, start: bytes = b" ", inner: byte
             words, tokens = zip(*own.counts(b.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["id", "n_words", "n_tokens"])
 
-    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    one = c.spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     kind = one.schema["id"].dataType.simpleString()
     return one.mapInArrow(run, f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
 

@@ -100,7 +100,7 @@ INDEX = "ids array<{}>, n long, total long, lengths binary, terms binary, df bin
 def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index: one row of arrays for each shard."""
     c.tune(docs.sparkSession)
-    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    one = c.spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     kind = one.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
