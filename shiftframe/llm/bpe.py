@@ -164,8 +164,8 @@ class Codec:
         return [list(map(self.index.__getitem__, x)) for x in cut]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        ids = self.ids
-        return [[i for p in places for i in ids[p]] for places in self.lookup(texts)]
+        found = self.lookup(texts)  # may start a new cache
+        return [[i for p in places for i in self.ids[p]] for places in found]
 
     def decode(self, ids) -> bytes:
         token = self.token

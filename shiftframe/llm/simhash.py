@@ -189,7 +189,12 @@ def link(points: np.ndarray, homes: np.ndarray, queries: np.ndarray, radius: int
             first = p[ball][0]
             links.unite(p[ball], np.full(int(ball.sum()), first))
             links.unite(q[near], np.full(int(near.sum()), first))
-            stack += [(p[~ball & (dp <= 2 * radius)], q[near]), (p[ball], q[~near & (dq <= 2 * radius)]), (p[~ball], q[~near])]
+            stack += [(p[~ball & (dp <= 2 * radius)], q[near]), (p[~ball], q[~near])]
+            dense, rim = p[ball], q[~near & (dq <= 2 * radius)]
+            if near.sum() * 8 >= len(q):
+                stack.append((dense, rim))
+            else:  # too few were settled: halve, so that every step makes the problem smaller
+                stack += [(dense[: len(dense) // 2], rim), (dense[len(dense) // 2 :], rim)]
         elif (inner := dp <= m).all():
             stack += [(p[: len(p) // 2], q), (p[len(p) // 2 :], q)]
         else:

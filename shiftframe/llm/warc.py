@@ -191,13 +191,16 @@ def read(manifest: DataFrame, *, content: bool = True, chunk: int = CHUNK) -> Da
                     continue
                 digest, got, number, held = hashlib.sha1(), 0, 0, io.BytesIO()
                 for part in reader.block(length):
-                    digest.update(part)
-                    got += len(part)
-                    if content:
-                        held.write(part)
-                        if held.tell() >= chunk and got < length:
+                    while part:
+                        if held.tell() == chunk:  # full, and more to come
                             yield page, kind, None, number, False, got, base32(digest.digest()), held.getvalue()
                             number, held = number + 1, io.BytesIO()
+                        some = part[: chunk - held.tell()] if content else part
+                        part = part[len(some) :]
+                        digest.update(some)
+                        got += len(some)
+                        if content:
+                            held.write(some)
                 if base32(digest.digest()) != stated:
                     raise ValueError(f"payload of page {page} does not have its digest")
                 yield page, kind, None, number, True, got, base32(digest.digest()), held.getvalue() if content else None
