@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -53,8 +54,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that results may still read lazily; they go when the program ends, if its session is still there.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clean)
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        remove(spark, *_WRITTEN)
 
 
 def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
