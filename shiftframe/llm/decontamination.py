@@ -36,6 +36,8 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:%|°?[a-zA-Z]{1,4})?")
 EDGES = re.compile(r"^[^\w$€£%°+-]+|[^\w%°$€£]+$|^-+$")
+#: Marks that end a sentence.
+ENDS = frozenset(".!?:;…")
 #: Words held by the cache of a worker before it starts anew.
 CACHE = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,20 +63,25 @@ class Words:
         if len(self.index) > CACHE:
             self.__init__()
         for word in set(words).difference(self.index):
-            core = EDGES.sub("", word)
-            flags = 8 * (word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", ";", "…"))
-            if not any(map(str.isalnum, core)) and core not in UNITS:
+            core = word.rstrip(".,;:!?")
+            plain = core.isalpha()  # most words: nothing else to strip, and no number
+            if not plain:
+                core = EDGES.sub("", word)
+            lower = core.lower()
+            last = word[-1] if plain else word.rstrip("\"')]»”’")[-1:]
+            flags = 8 * (last in ENDS)
+            if not plain and not any(map(str.isalnum, core)) and core not in UNITS:
                 flags |= 16
-            elif NUMBER.fullmatch(core):
+            elif not plain and NUMBER.fullmatch(core):
                 flags |= 1
             else:
-                flags |= 2 * (core.lower() in UNITS) | 4 * core[:1].isupper()
+                flags |= 2 * (lower in UNITS) | 4 * core[0].isupper()
             n = len(self.cores)
             if n == len(self.flags):
                 self.hashes, self.flags = np.resize(self.hashes, 2 * n), np.resize(self.flags, 2 * n)
             self.index[word] = n
-            self.cores.append(core.lower())
-            self.hashes[n], self.flags[n] = _hash(core.lower()), flags
+            self.cores.append(lower)
+            self.hashes[n], self.flags[n] = _hash(lower), flags
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
