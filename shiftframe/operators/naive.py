@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contract import Split, WindowSpec
@@ -69,7 +68,7 @@ def error_rows(cube: DataFrame, split: Split, name: str, spec: WindowSpec, basel
 
     With a stride of one, a lagged forecast of a target is the same in every window that holds it, so one row stands
     for w windows, 16 or 96 times fewer rows than windows x steps; horizon is NULL in these. The last value depends on
-    the horizon: one lag column each, and w is 1. All lags share one window specification.
+    the horizon: one lag column each, and w is 1. All lags share one window specification, and all forecasts one explode.
     """
     if spec.stride != 1:
         raise IntegrityError("closed forms need a stride of 1; use forecasts() for other plans")
@@ -87,16 +86,14 @@ def error_rows(cube: DataFrame, split: Split, name: str, spec: WindowSpec, basel
     own = own.withColumns({k: F.lag("y", v).over(by_bus) for k, v in lags.items()}).where(F.col("step") >= a)
     t = F.col("step")
     covered = F.greatest(F.least(t, F.lit(b - h)) - F.greatest(F.lit(a), t - (h - 1)) + 1, F.lit(0))
-    parts = []
-    lagged = [x for x in baselines if x.mode == "target_lag"]
-    if lagged:
-        each = F.explode(F.array(*[F.struct(F.lit(x.baseline_id).alias("baseline"), F.col(f"l{x.lag}").alias("yhat")) for x in lagged])).alias("x")
-        parts.append(own.select("bus", "step", "y", covered.cast("long").alias("w"), each).select("x.baseline", "bus", F.lit(None).cast("int").alias("horizon"), "step", "y", "x.yhat", "w"))
-    if last:
-        each = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.col(f"l{spec.lead + k}").alias("yhat")) for k in range(h)])).alias("x")
-        rows = own.select("bus", "step", "y", each).where((F.col("step") >= F.col("x.horizon") + a) & (F.col("step") <= F.col("x.horizon") + (b - h)))
-        parts.append(rows.select(F.lit(last[0].baseline_id).alias("baseline"), "bus", "x.horizon", "step", "y", "x.yhat", F.lit(1).cast("long").alias("w")))
-    return reduce(DataFrame.unionByName, parts).where("w > 0")
+
+    def forecast(baseline: Baseline, horizon: int | None, yhat: str, w: Column) -> Column:
+        return F.struct(F.lit(baseline.baseline_id).alias("baseline"), F.lit(horizon).cast("int").alias("horizon"), F.col(yhat).alias("yhat"), w.cast("long").alias("w"))
+
+    each = [forecast(x, None, f"l{x.lag}", covered) for x in baselines if x.mode == "target_lag"]
+    each += [forecast(x, k, f"l{spec.lead + k}", F.when((t >= a + k) & (t <= b - h + k), 1).otherwise(0)) for x in last for k in range(h)]
+    rows = own.select("bus", "step", "y", F.explode(F.filter(F.array(*each), lambda x: x["w"] > 0)).alias("x"))
+    return rows.select("x.baseline", "bus", "x.horizon", "step", "y", "x.yhat", "x.w")
 
 
 def by_horizon(rows: DataFrame, split: Split, name: str, spec: WindowSpec, keep: list[str] | None = None) -> DataFrame:
