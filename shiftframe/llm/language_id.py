@@ -17,12 +17,12 @@ columns are read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ from . import _common as c
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words held by the cache of a worker before it starts anew.
 CACHE = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def _grams(word: str, n: int) -> list[str]:

@@ -409,11 +409,11 @@ def test_language_id(spark, empty):
     rng = random.Random(2)
     other = "der die und nicht ist ein haus fluss nacht stein wasser gelb schnell".split()
     rows = [(i, prose(rng, 20) if i % 2 else " ".join(rng.choice(other) for _ in range(20)), "en" if i % 2 else "de") for i in range(300)]
-    rows += [(1000, None, "en"), (1001, "12 34 !!", "en"), (1002, "", None), (1003, "häuser wassers flusse", None)]
+    rows += [(1000, None, "en"), (1001, "12 34 !!", "en"), (1002, "", None), (1003, "häuser wassers flusse", None), (1004, "² ½ ٣", "en")]
     docs = frame(spark, rows)
     model = language_id.fit(docs.where(~language_id.held_out(docs["doc_id"])))
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()}
-    assert all(got[i][0] == x for i, _, x in rows[:300]) and got[1000] == got[1001] == got[1002] == ("und", 0.0) and got[1003][0] == "de"
+    assert all(got[i][0] == x for i, _, x in rows[:300]) and got[1000] == got[1001] == got[1002] == got[1004] == ("und", 0.0) and got[1003][0] == "de"
     assert all(0 <= s <= 1 for _, s in got.values()) and language_id.predict(empty, model).count() == 0
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(docs.where("lang IS NULL"))).collect()} == {"und"}
 
