@@ -9,13 +9,13 @@ from typing import Any
 from .errors import IntegrityError
 from .schemas import ACTIVITY_EPSILON, CALENDAR, NET_P, NET_Q, QUANTILES, SPLITS
 
-# --- fixed values: the benchmark's identity and calendar
-CONTRACT_ID = "gridshiftbench-v1"
+#: Names are ours; the grid code and the calendar are fixed values of the dataset and its splits.
+CONTRACT_ID = "shiftframe-v1"
 SCHEMA_VERSION = 1
 GRID_CODE = "1-MV-urban--1-no_sw"
 ZONE = "Europe/Berlin"
 TRAIN_START, VALIDATION_START, TEST_START, DATASET_END = "2016-01-01 00:00:00", "2016-09-13 00:00:00", "2016-11-07 00:00:00", "2017-01-01 00:00:00"
-PRIMARY_TASK, SECONDARY_TASK = "gsb_bus_pq_4h_v1", "gsb_bus_pq_24h_v1"
+PRIMARY_TASK, SECONDARY_TASK = "bus_pq_4h_v1", "bus_pq_24h_v1"
 LEVELS = ("bus_micro", "bus_macro_active", "system_aggregate", "horizon_step")
 
 
