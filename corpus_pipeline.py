@@ -24,8 +24,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8 or more), that with the least id."""
+    return simhash.one_of_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

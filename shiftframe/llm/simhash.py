@@ -15,6 +15,13 @@ representatives, and a distributed component search joins them.
 
 Nothing is dropped or capped: sample and tree only decide where a pair is compared. Rows with equal id are one
 document for component ids. Empty tables give empty results; columns other than the two named are not read.
+
+`one_of_similar` is for corpora without a contract of four words and four bits: documents are near copies if the
+Jaccard similarity of their sets of shingles (64-bit hashes) is at least `similarity`. Fingerprints within a wide
+radius only say where to look: the documents of each component of such links are compared exactly, all with all, in
+blocks of bounded size, and only pairs that pass are linked. Equal sets are one point. Pairs farther apart than the
+radius are found only if a chain of fingerprints joins them, so recall is below one. At a wide radius the trees hardly
+prune: comparing fingerprints costs the square of their number.
 """
 
 from __future__ import annotations
@@ -39,26 +46,38 @@ SHARD = 16384
 LEAST_SHARDS = 64
 #: Points of a block that is compared without a further split.
 LEAF = 192
+#: Documents (about) of a block when the documents of a component are compared exactly.
+BLOCK = 512
 
 
-def fingerprint(text: str | None, words: int = 4) -> bytes:
-    """8 bytes, the highest bit first."""
+def _hashes(text: str | None, words: int) -> bytes:
+    """The hashes of all shingles, repeats included, 8 bytes each."""
     own = text.encode().lower().split() if text else []
     n = len(own)
     if not n:
-        return bytes(8)
+        return b""
     flat = b" ".join(own)
     if n <= words:
-        return xxhash.xxh64_digest(flat, 42)  # one hash: its own majority
+        return xxhash.xxh64_digest(flat, 42)
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(flat[a:b], 42) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)])
-    count, m = np.zeros(64, np.int64), n - words + 1
+    return b"".join([digest(flat[a:b], 42) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)])
+
+
+def _majority(hashes: bytes) -> bytes:
+    if len(hashes) <= 8:
+        return hashes or bytes(8)  # one hash: its own majority
+    count = np.zeros(64, np.int64)
     raw = np.frombuffer(hashes, np.uint8)
     for k in range(0, len(raw), 8 << 16):
         count += np.unpackbits(raw[k : k + (8 << 16)]).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * count > m).tobytes()
+    return np.packbits(2 * count > len(hashes) // 8).tobytes()
+
+
+def fingerprint(text: str | None, words: int = 4) -> bytes:
+    """8 bytes, the highest bit first."""
+    return _majority(_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,5 +271,96 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataF
     return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
+def _set(hashes: bytes) -> tuple[bytes, str]:
+    """The distinct hashes in order, and their digest."""
+    own = np.unique(np.frombuffer(hashes, ">u8")).astype("<u8").tobytes()
+    return own, xxhash.xxh3_128_hexdigest(own)
+
+
+def same_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Root place of each set of hashes, after linking all pairs of at least the similarity; linked ones are not compared again."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    starts = np.cumsum(size) - size
+    links, seen = _Links(n), np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        a, b = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+        others = others[(a > 0) & (a >= similarity * b - 1e-9)]
+        if not len(others):
+            return others
+        hit = seen[flat[c.ranges(starts[others], size[others])]]
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[others]) - size[others])
+        return others[both >= similarity * (size[others] + size[i] - both) - 1e-9]
+
+    for i in range(1, n):
+        own = flat[starts[i] : starts[i] + size[i]]
+        seen[own] = True
+        for others in (np.unique(links.root[:i]), np.arange(i)):  # the first of each group, then what is not linked yet
+            others = near(i, others[links.root[others] != links.root[i]])
+            links.unite(np.full(len(others), i), others)
+        seen[own] = False
+    return links.root
+
+
+def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of each row; component_id is the least id that links of exactly checked pairs reach."""
+    spark = docs.sparkSession
+    c.tune(spark)
+    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kind = one.schema["id"].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [_hashes(t.as_py(), words) for t in b.column(1)]
+            fps = np.frombuffer(b"".join(map(_majority, hashes)), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([_set(x)[1] for x in hashes], pa.string())], ["id", "fp", "digest"])
+
+    each, each_path = c.saved(c.spread(one).mapInArrow(prints, f"id {kind}, fp long, digest string"), "similar")
+    points, points_path = c.saved(each.groupBy("digest").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "similar-points")
+    edges, edges_path = c.saved(near_links(points.select("fp").distinct(), radius=radius), "similar-links")
+    nodes = components(edges, "fp", "root")
+    placed = points.join(nodes, points["fp"] == nodes["node"], "left").select("digest", "least", F.coalesce("component", "fp").alias("place"))
+    large = placed.groupBy("place").count().where("count > 1")
+    wanted, wanted_path = c.saved(placed.join(large, "place"), "similar-wanted")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_set(_hashes(t, words)) for t in b.column(0).to_pylist()]
+            right = pa.array([x == y for (_, x), y in zip(sets, b.column(1).to_pylist(), strict=True)], pa.bool_())
+            out = [b.column(1), b.column(2), b.column(3), pa.array([x for x, _ in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["digest", "place", "n", "hashes"]).filter(right)  # another row of the same id
+
+    held = one.join(wanted, one["id"].eqNullSafe(wanted["least"])).select("text", "digest", "place", F.col("count").alias("n"))
+    held = held.mapInArrow(chosen, "digest string, place long, n long, hashes binary")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    held = held.withColumn("own", F.pmod(F.xxhash64("digest"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    held = held.select("digest", "hashes", "place", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+    def checked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("digest")
+        digests = pdf["digest"].to_numpy(object)
+        root = same_sets([np.frombuffer(x, "<u8") for x in pdf["hashes"]], similarity)
+        moved = root != np.arange(len(root))
+        return pd.DataFrame({"a": digests[moved], "b": digests[root[moved]]})
+
+    pairs, pairs_path = c.saved(held.groupBy("place", "a", "b").applyInPandas(checked, "a string, b string"), "similar-pairs")
+    groups = components(pairs, "a", "b")
+    members, members_path = c.saved(groups.join(points, groups["node"] == points["digest"]).select("digest", "component", "least"), "similar-members")
+    reached = members.join(members.groupBy("component").agg(F.min("least").alias("reached")), "component").select("digest", "reached")
+    found = points.join(reached, "digest", "left").select("digest", F.coalesce("reached", "least").alias("component_id"))
+    out, _ = c.saved(each.join(found, "digest").select(F.col("id").alias(id_col), "component_id"), "similar-found")
+    c.remove(spark, each_path, points_path, edges_path, wanted_path, pairs_path, members_path)
+    return out
+
+
+def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
+    """As one_of_each, by groups of exactly checked pairs."""
+    found = similar_groups(docs, id_col=id_col, **settings)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(c.table(spark, sf_dir, "documents"))

@@ -239,6 +239,47 @@ def test_near_dedup(spark, docs, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def shingle_set(text, n=5):
+    own = (text or "").encode().lower().split()
+    return {b" ".join(own[i : i + n]) for i in range(max(1, len(own) - n + 1))} if own else set()
+
+
+def test_similar_groups_find_edited_copies(spark, empty, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)  # components are compared in several blocks
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        own = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for k in range(12):
+            text = list(own)
+            for _ in range(rng.randint(1, 5) if k else 0):
+                text[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(text), "en"))
+    rows += [(5000, None, "en"), (5001, "", "de"), (5002, "two words", "en"), (5003, "Two  WORDS", "en"), (5004, "two other", "en"), rows[0]]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert len(got) == len(rows) - 1 and got[5001] == 5000 and got[5003] == 5002 and got[5004] == 5004
+    assert sum(got[i] == i - i % 100 for i, *_ in rows if i < 5000) >= 0.95 * 144 and all(got[i] // 100 == i // 100 for i in got if i < 5000)
+    kept = simhash.one_of_similar(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
+    assert simhash.one_of_each(docs).where("doc_id < 5000").count() > 2 * kept.where("doc_id < 5000").count()
+    assert simhash.similar_groups(empty).count() == 0
+
+
+def test_same_sets_are_exact():
+    rng = random.Random(6)
+    base = [rng.sample(range(400), 60) for _ in range(6)]
+    sets = [sorted(set(x[: rng.randint(50, 60)]) | set(rng.sample(range(400), rng.randint(0, 8)))) for x in base for _ in range(9)] + [[]]
+    at = {i: i for i in range(len(sets))}
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = set(sets[i]), set(sets[j])
+        if a and b and 5 * len(a & b) >= 4 * len(a | b):
+            old, new = max(at[i], at[j]), min(at[i], at[j])
+            at = {k: new if v == old else v for k, v in at.items()}
+    root = simhash.same_sets([np.array(x, np.uint64) for x in sets], 0.8)
+    assert all((root[i] == root[j]) == (at[i] == at[j]) for i, j in itertools.combinations(range(len(sets)), 2))
+
+
 # --- suffix dedup
 
 
