@@ -7,8 +7,9 @@ words, times the number of words; prediction is the best language, the smallest
 posterior probability with equal priors.
 
 The model is fitted on a bounded sample of labelled rows (`sample` rows, those with the smallest hash of their id; an
-equal share for each language as far as it goes) and holds at most `most_words` words and `most_grams` n-grams of
-each length, the most frequent ones, so what goes to the executors has a fixed bound.
+equal share for each language as far as it goes) and holds at most `most_words` words and
+`most_grams` n-grams of each length: the most frequent ones of each language in turn, counted over all words of the
+sample. So what goes to the executors has a fixed bound.
 
 Null texts and texts without a letter are `und` with score 0. Whole texts are scored. Rows with null lang or text are
 not learned from; without any learned row everything is `und`. Repeated rows get equal results; only the named
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -100,15 +101,29 @@ class Model:
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
+def _counts(words: DataFrame) -> DataFrame:
+    """(kind, lang, part, n) of words (kind 0) and of the n-grams of all words (kind is their length), by the executors."""
+    own = words.groupBy("lang", "word").count()
+
+    def grams(n: int) -> Column:
+        text = F.concat(F.lit("^"), F.col("word"), F.lit("$")) if n > 1 else F.col("word")
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("kind"), F.substring(text, i, F.lit(n)).alias("part")))
+
+    whole = F.array(F.struct(F.lit(0).alias("kind"), F.col("word").alias("part")))
+    each = own.select("lang", "count", F.explode(F.concat(whole, *map(grams, LENGTHS))).alias("p"))
+    return each.groupBy("p.kind", "lang", "p.part").agg(F.sum("count").alias("n"))
+
+
 def fit(docs: DataFrame, *, sample: int = 6000, most_words: int = 20_000, most_grams: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Model of a bounded sample of the labelled rows. Words are counted by the executors; the driver gets the most
-    frequent ones, three times `most_words`, and derives the n-grams from them."""
+    """Model of a bounded sample of the labelled rows. Words and n-grams are counted by the executors over all words of
+    the sample; the driver gets those that the model keeps, the most frequent ones of each language in turn."""
     spark = docs.sparkSession
     c.tune(spark)
     labelled = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    key = F.xxhash64(F.col("id").cast("string"))
     ids = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang"))
-    langs = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    key = F.xxhash64(F.col("id").cast("string"))
+    langs = sorted(r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
     share = max(1, sample // max(1, len(langs)))
     chosen = None
     for lang in langs:  # a bounded top-k for each language: no group is gathered
@@ -119,8 +134,28 @@ def fit(docs: DataFrame, *, sample: int = 6000, most_words: int = 20_000, most_g
     picked = F.broadcast(chosen.distinct())  # at most `sample` ids
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).join(picked, "id")
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    top = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(3 * most_words)
-    return Model.fit([(r[0], r[1], r[2]) for r in top.collect()], most_words, most_grams)
+    counts, path = c.saved(_counts(words), "language-counts")
+    totals = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
+    place = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "part"))
+    parts = counts.withColumn("place", place).groupBy("kind", "part").agg(F.min("place").alias("best"), F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("of"))
+    parts, parts_path = c.saved(parts, "language-parts")
+    sizes = {r[0]: r[1] for r in parts.groupBy("kind").count().collect()}
+    at = {x: i for i, x in enumerate(langs)}
+
+    def logs(kind: int, most: int, least: int) -> dict[str, list[float]]:
+        top = parts.where((F.col("kind") == kind) & (F.col("total") >= least)).orderBy("best", F.desc("total"), "part").limit(most)
+        total = np.array([totals.get((kind, x), 0) for x in langs], np.float64)
+        found = {}
+        for r in top.collect():
+            own = np.zeros(len(langs))
+            for lang, n in r["of"]:
+                own[at[lang]] = n
+            found[r["part"]] = np.log((own + 0.5) / (total + 0.5 * max(1, sizes.get(kind, 0)))).tolist()
+        return found
+
+    model = Model(langs, logs(0, most_words, 2), [logs(n, most_grams, 1) for n in LENGTHS])
+    c.remove(spark, path, parts_path)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

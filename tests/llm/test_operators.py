@@ -464,6 +464,16 @@ def test_backoff_goes_to_shorter_grams():
     assert m.predict("xyzq")[0] == "a" and m.predict("quvw")[0] == "b" and m.predict("w")[0] == "b"
 
 
+def test_small_languages_keep_their_ngrams(spark):
+    rng = random.Random(9)
+    big = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(60))
+    rare = lambda: "".join(rng.choice("qxzw") for _ in range(12))  # noqa: E731  every run of letters is new
+    rows = [(i, big("abcd") if i % 2 else big("efgh"), "en" if i % 2 else "de") for i in range(100)] + [(1000 + i, rare(), "zz") for i in range(12)]
+    model = language_id.fit(frame(spark, rows), most_words=20, most_grams=60)
+    assert model.langs == ["de", "en", "zz"] and len(model.words) <= 20 and all(len(x) <= 60 for x in model.grams)
+    assert all(model.predict(rare())[0] == "zz" for _ in range(20)) and model.predict(big("abcd"))[0] == "en"
+
+
 # --- search
 
 
