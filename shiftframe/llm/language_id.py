@@ -7,9 +7,9 @@ words, times the number of words; prediction is the best language, the smallest
 posterior probability with equal priors.
 
 The model is fitted on a bounded sample of labelled rows (`sample` rows, those with the smallest hash of their id; an
-equal share for each language as far as it goes) and holds at most `most_words` words and
+equal share for each language as far as it goes, and one row at least) and holds at most `most_words` words and
 `most_grams` n-grams of each length: the most frequent ones of each language in turn, counted over all words of the
-sample. So what goes to the executors has a fixed bound.
+sample. So what goes to the executors is bounded by these numbers and the number of languages, all of which are known.
 
 Null texts and texts without a letter are `und` with score 0. Whole texts are scored. Rows with null lang or text are
 not learned from; without any learned row everything is `und`. Repeated rows get equal results; only the named
@@ -33,6 +33,8 @@ from . import _common as c
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words held by the cache of a worker before it starts anew.
 CACHE = 200_000
+#: Parts of each language's ids that are ranked apart before the sample is drawn.
+SALTS = 64
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -85,7 +87,7 @@ class Model:
         found = Counter(LETTERS.findall(text.lower())) if text else None
         if not found or not self.langs:
             return "und", 0.0
-        if len(self.index) > CACHE:
+        if len(self.index) > min(CACHE, 16 * CACHE // len(self.langs)):  # its bytes are bounded for any number of languages
             self.index.clear()
         places = []
         for word in found:
@@ -101,6 +103,16 @@ class Model:
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
+def _sample(ids: DataFrame, share: int) -> DataFrame:
+    """Of each lang the `share` rows with the smallest hash of their id: first in each of a few salts, so that no task holds a language."""
+    key = F.xxhash64(F.col("id").cast("string"))
+    salted = ids.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("key", "id"))
+        salted = salted.withColumn("rank", rank).where(F.col("rank") <= share).drop("rank")
+    return salted.select("id")
+
+
 def _counts(words: DataFrame) -> DataFrame:
     """(kind, lang, part, n) of words (kind 0) and of the n-grams of all words (kind is their length), by the executors."""
     own = words.groupBy("lang", "word").count()
@@ -122,16 +134,10 @@ def fit(docs: DataFrame, *, sample: int = 6000, most_words: int = 20_000, most_g
     c.tune(spark)
     labelled = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     ids = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang"))
-    key = F.xxhash64(F.col("id").cast("string"))
-    langs = sorted(r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
-    share = max(1, sample // max(1, len(langs)))
-    chosen = None
-    for lang in langs:  # a bounded top-k for each language: no group is gathered
-        part = ids.where(F.col("lang") == lang).select("id").orderBy(key, "id").limit(share)
-        chosen = part if chosen is None else chosen.union(part)
-    if chosen is None:
+    langs = sorted(r[0] for r in ids.select("lang").distinct().collect())
+    if not langs:
         return Model([], {}, [{} for _ in LENGTHS])
-    picked = F.broadcast(chosen.distinct())  # at most `sample` ids
+    picked = F.broadcast(_sample(ids, max(1, sample // len(langs))).distinct())  # at most `sample` ids, or one for each language
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).join(picked, "id")
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts, path = c.saved(_counts(words), "language-counts")

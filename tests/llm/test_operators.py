@@ -474,6 +474,15 @@ def test_small_languages_keep_their_ngrams(spark):
     assert all(model.predict(rare())[0] == "zz" for _ in range(20)) and model.predict(big("abcd"))[0] == "en"
 
 
+def test_more_than_64_languages(spark):
+    name = lambda k: chr(97 + k // 10) + chr(107 + k % 10)
+    rows = [(10 * k + j, " ".join([name(k) * 3, name(k) * 2] * 4), f"l{k:02}") for k in range(80) for j in range(3)]
+    docs = frame(spark, rows)
+    model = language_id.fit(docs, sample=160)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert len(model.langs) == 80 and all(got[i] == x for i, _, x in rows)
+
+
 # --- search
 
 
