@@ -3,9 +3,13 @@
 Words lose their punctuation and case; words without a letter or digit go. Numbers, units after a number, and names
 (capitalised words that don't begin a sentence) become typed placeholders. The windows of `window` template words of
 every benchmark item are hash-joined with those of every document. A window that matches is checked in full: the
-template words must be equal, `literals` of them at least must be plain words, and the slots must be consistent: one
-benchmark value stands for one document value throughout the window, and the reverse. So an item whose numbers or
-names were exchanged is still found. Items shorter than a window are matched as a whole if they have `least` words.
+template words must be equal, and the slots must be consistent: one benchmark value stands for one document value
+throughout the window, and the reverse. So an item whose numbers or names were exchanged is still found. If a value
+differs, `literals` template words at least must be plain (of a shorter item a share of them); a window with equal
+values counts as it is. Items shorter than a window are matched as a whole if they have `least` words.
+
+A capitalised word that begins a sentence may be a name or not, so there is a second template, in which it is a name.
+Windows of either template match those of the other; two or more such words of an item make up for one plain word.
 
 A document is contaminated if one window matches. Null and empty texts match nothing; long texts are scanned whole;
 repeated rows are judged alike; equal items are all reported; an empty benchmark or document table gives no matches.
@@ -84,22 +88,26 @@ class Words:
             self.hashes[n], self.flags[n] = _hash(lower), flags
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per template word: its place, its kind (0 plain, 1 number, 2 unit, 3 name), its hash."""
+    def template(self, text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The place of each template word; by template its kind (0 plain, 1 number, 2 unit, 3 name) and its hash. In the
+        second template a capitalised word that begins a sentence is a name."""
         at = self.places(text.split())
         flags = self.flags[at]
         begins = np.ones(len(at), bool)
         begins[1:] = flags[:-1] & 8 > 0
         keep = (flags & 16) == 0
         at, flags, begins = at[keep], flags[keep], begins[keep]
-        kind = np.zeros(len(at), np.uint8)
-        kind[(flags & 4 > 0) & ~begins] = 3
         after = np.zeros(len(at), bool)
         after[1:] = flags[:-1] & 1 > 0
-        kind[(flags & 2 > 0) & after] = 2
-        kind[flags & 1 > 0] = 1
         slots = np.array([0, _hash(NUM), _hash(UNIT), _hash(NAME)], np.uint64)
-        return at, kind, np.where(kind == 0, self.hashes[at], slots[kind])
+        both = []
+        for names in ((flags & 4 > 0) & ~begins, flags & 4 > 0):
+            kind = np.zeros(len(at), np.uint8)
+            kind[names] = 3
+            kind[(flags & 2 > 0) & after] = 2
+            kind[flags & 1 > 0] = 1
+            both.append((kind, np.where(kind == 0, self.hashes[at], slots[kind])))
+        return at, both
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -114,43 +122,54 @@ class Matcher:
     """The windows of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, literals: int, least: int):
-        self.words, self.literals = Words(), literals
-        self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.words, self.window, self.literals = Words(), window, literals
+        self.at: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
         self.items = []
         for item, text in items:
-            place, kind, hashes = self.words.template(text or "")
+            place, both = self.words.template(text or "")
             n = min(window, len(place))
             if n < least:
                 continue
-            self.items.append((item, [self.words.cores[p] for p in place.tolist()], kind))
-            for k, h in enumerate(windows(hashes, n).tolist()):
-                self.at[n][h].append((len(self.items) - 1, k))
+            self.items.append((item, [self.words.cores[p] for p in place.tolist()], [kind for kind, _ in both]))
+            first, second = (windows(hashes, n).tolist() for _, hashes in both)
+            for k, (h, h2) in enumerate(zip(first, second, strict=True)):
+                self.at[n][h].append((len(self.items) - 1, k, 0))
+                if h2 != h:
+                    self.at[n][h2].append((len(self.items) - 1, k, 1))
         self.words = Words()
         self.maps = {}
         for n, own in self.at.items():
-            self.maps[n] = np.zeros(1 << 18, bool)
-            self.maps[n][np.array(list(own), np.uint64) >> np.uint64(46)] = True
+            self.maps[n] = np.zeros(1 << 20, bool)
+            self.maps[n][np.array(list(own), np.uint64) >> np.uint64(44)] = True
 
     def matches(self, text: str | None) -> dict[int, tuple[int, int]]:
         """By place of the item: windows that match, and those of them with an exchanged slot."""
         found: dict[int, tuple[int, int]] = {}
         if not text:
             return found
-        place, kind, hashes = self.words.template(text)
+        place, both = self.words.template(text)
         for n, own in self.at.items():
-            got = windows(hashes, n)
-            for k in np.flatnonzero(self.maps[n][got >> np.uint64(46)]).tolist():
-                for item, j in own.get(int(got[k]), ()):
-                    same = self.same(item, j, [self.words.cores[p] for p in place[k : k + n].tolist()], kind[k : k + n])
-                    if same:
-                        total, changed = found.get(item, (0, 0))
-                        found[item] = total + 1, changed + (same == 2)
+            before, seen = None, {}
+            for kind, hashes in both:
+                got = windows(hashes, n)
+                hit = self.maps[n][got >> np.uint64(44)]
+                if before is not None:
+                    hit &= got != before
+                before = got
+                for k in np.flatnonzero(hit).tolist():
+                    for item, j, template in own.get(int(got[k]), ()):
+                        same = self.same(item, j, template, [self.words.cores[p] for p in place[k : k + n].tolist()], kind[k : k + n])
+                        if same:  # of both templates, the equal one counts
+                            seen[k, item, j] = min(same, seen.get((k, item, j), 2))
+            for (_, item, _), same in seen.items():
+                total, changed = found.get(item, (0, 0))
+                found[item] = total + 1, changed + (same == 2)
         return found
 
-    def same(self, item: int, j: int, cores: list[str], kind: np.ndarray) -> int:
+    def same(self, item: int, j: int, template: int, cores: list[str], kind: np.ndarray) -> int:
         """0: no match; 1: equal; 2: equal but for consistent slots."""
-        n, (_, own, own_kind) = len(cores), self.items[item]
-        if not np.array_equal(own_kind[j : j + n], kind) or int((kind == 0).sum()) < min(self.literals, n):
+        n, (_, own, kinds) = len(cores), self.items[item]
+        if not np.array_equal(kinds[template][j : j + n], kind):
             return 0
         there: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
@@ -163,6 +182,11 @@ class Matcher:
                 return 0
             elif a != b:
                 changed = 2
+        if changed == 2:
+            plain, begins = int((kind == 0).sum()), int((kinds[0][j : j + n] != kind).sum())
+            need = max(1, min(self.literals, n) if n == self.window else self.literals * n // self.window)
+            if plain + (begins > 1) < need:
+                return 0
         return changed
 
 

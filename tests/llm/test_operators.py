@@ -396,6 +396,19 @@ def test_slots_must_be_consistent():
     assert not own.matches("take 6 from 6 and give 6 to each")
 
 
+def test_few_plain_words():
+    names = "Tom has 12 apples. Mary has 5 pears. Sam has 9."
+    own = decontamination.Matcher([(1, "Who wrote Hamlet in 1601?"), (2, "from Rome to Oslo 12 km, to Bonn 7 km, to Kiel 9 km"), (3, names)], 8, 5, 5)
+    assert own.matches("He asks: Who wrote Hamlet in 1601? Nobody knows.")[0] == (1, 0)
+    assert own.matches("Who wrote Faust in 1808?")[0] == (1, 1) and not own.matches("Who made Hamlet in 1601?")
+    assert own.matches("it is from Rome to Oslo 12 km, to Bonn 7 km, to Kiel 9 km")[1][1] == 0
+    assert not own.matches("it is from Riga to Ulm 40 km, to Bern 8 km, to Nice 5 km")
+    assert own.matches(names)[2] == (4, 0)
+    assert own.matches("Ann has 30 apples. Bob has 4 pears. Eve has 8.")[2] == (4, 4)
+    assert own.matches("Ann has 30 apples. Ann has 4 pears. Eve has 8.")[2] == (3, 3)  # not the window with both names
+    assert own.matches("Then Ann has 30 apples. Bob has 4 pears. Eve has 8.")[2][1] > 0
+
+
 def test_decontaminate_keeps_the_rest(spark, docs, empty):
     bench = spark.createDataFrame([(1, corpus()[8][1])], "item_id long, text string")
     out = decontamination.decontaminate(docs, bench)
