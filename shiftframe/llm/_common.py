@@ -91,15 +91,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of input, by Spark's estimate, up to which rows are dealt out anew; a single file may be one partition.
-SMALL = 64 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """df, with its rows dealt out over all cores if it is small; larger inputs have partitions enough, and stay where they are."""
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
-        return df
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """df as its files split it; only a table of fewer files than cores is dealt out anew, over all of them.
+
+    No size is looked at: a table of many files is never shuffled, whether large or small.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(4 * cores)
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

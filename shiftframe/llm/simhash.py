@@ -5,23 +5,28 @@ space (a shorter text: all its words), each hashed by XXH64 with seed 42; a bit
 hashes, repeats included. A text without words has fingerprint zero, which links like any other. Null texts count as
 texts without words.
 
-Fingerprints within `radius` bits are linked. Equal fingerprints are one point. A vantage-point tree over a bounded
-sample routes every point to its home shard, and as a query to each shard that its ball may reach by the triangle
-inequality; of the two directions of a pair, only that towards the later shard is followed. In a shard a second tree
-prunes in the same way down to blocks that are compared exactly. Points within `radius` of a vantage point are one
-component at once, and are not compared with each other, so a dense ball costs no square of its size (nor can it
-grow with the data: at most 679,121 fingerprints lie within 4 bits of another). Shards return links to their local
-representatives, and a distributed component search joins them.
-
-Nothing is dropped or capped: sample and tree only decide where a pair is compared. Rows with equal id are one
-document for component ids. Empty tables give empty results; columns other than the two named are not read.
-
-`one_of_similar` is for corpora without a contract of four words and four bits: documents are near copies if the
-Jaccard similarity of their sets of shingles (64-bit hashes) is at least `similarity`. Fingerprints within a wide
-radius only say where to look: the documents of each component of such links are compared exactly, all with all, in
-blocks of bounded size, and only pairs that pass are linked. Equal sets are one point. Pairs farther apart than the
-radius are found only if a chain of fingerprints joins them, so recall is below one. At a wide radius the trees hardly
-prune: comparing fingerprints costs the square of their number.
+Fingerprints within `radius` bits are linked. Equal fingerprints are one point. A vantage-point tree over a sample that
+grows with the points (one in SAMPLE_SHARE) routes every point to its home shard, and as a query to each later shard that
+its ball may reach by the triangle inequality: every child knows the least and the greatest distance of its own points to
+the vantage point. The tree is as deep as it takes for a shard to get VISITS points and queries on average, which the
+sample measures. In a shard a second tree prunes in the same way down to blocks that are compared exactly. Points within
+`radius` of a vantage point are one component at once, and are not compared with each other, so a dense ball costs no
+square of its size (nor can it grow with the data: at most 679,121 fingerprints lie within 4 bits of another). Shards
+return links to their local representatives, and a distributed component search joins them.
+
+Nothing is dropped or capped: sample and tree only decide where a pair is compared. Rows are documents each; rows that
+share an id have the same id in results, but are linked by their texts alone. A null id comes last. Empty tables give
+empty results; columns other than the two named are not read.
+
+`similar_groups` is for corpora without a contract of four words and four bits: documents are near copies if the Jaccard
+similarity of their sets of shingles (64-bit hashes) is at least `similarity`. At 0.8 fingerprints differ in some ten
+bits of 64; a ball of that radius meets nearly every shell of a tree over the whole corpus, so the search would cost the
+square of the documents. Therefore documents meet in cells: a cell is a shingle that is among the SKETCH smallest hashes of
+each of them. Two sets of similarity 0.8 share none of theirs with a probability of about 0.2 ** SKETCH. In a cell a
+vantage-point tree finds the fingerprints within `radius`; in a cell of more than CELL documents each is compared with
+SALTS leaders instead, so no group costs its square. Then every link is checked exactly: the documents of each component
+are compared all with all if they are at most BLOCK; else with the component's leaders, and those that these links leave
+outside its largest group with all. Equal sets are one point.
 """
 
 from __future__ import annotations
@@ -39,15 +44,17 @@ from pyspark.sql import functions as F
 from . import _common as c
 from .components import components
 
-#: Fingerprints (at most) from which the routing tree takes its vantage points and medians.
-SAMPLE = 8192
-#: Distinct fingerprints that a shard should hold.
-SHARD = 16384
+#: One in so many fingerprints makes the routing tree (of fewer than LEAST_SAMPLE times this number, LEAST_SAMPLE do).
+SAMPLE_SHARE, LEAST_SAMPLE = 2048, 8192
+#: Distinct fingerprints that a shard should hold at most, and those that may visit it, on average.
+SHARD, VISITS = 16384, 1 << 20
 LEAST_SHARDS = 64
 #: Points of a block that is compared without a further split.
 LEAF = 192
-#: Documents (about) of a block when the documents of a component are compared exactly.
+#: Documents of a block when the documents of a component are compared exactly.
 BLOCK = 512
+#: Smallest shingle hashes of a document that are its cells; documents of a cell that are searched all; leaders of larger ones.
+SKETCH, CELL, SALTS = 8, 2000, 16
 
 
 def _hashes(text: str | None, words: int) -> bytes:
@@ -125,21 +132,36 @@ def routing_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return vantage, limit
 
 
-def route(points: np.ndarray, vantage: np.ndarray, limit: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shells(points: np.ndarray, vantage: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(child, least distance, greatest distance) to its parent's vantage point, of the points below each child met."""
+    depth = int(len(vantage) + 1).bit_length() - 1
+    node, found = np.zeros(len(points), np.int64), []
+    for _ in range(depth):
+        d = np.bitwise_count(points ^ vantage[node]).astype(np.int64)
+        node = np.where(d <= limit[node], 2 * node + 1, 2 * node + 2)
+        child, at = np.unique(node, return_inverse=True)
+        low, high = np.full(len(child), 64), np.zeros(len(child), np.int64)
+        np.minimum.at(low, at, d)
+        np.maximum.at(high, at, d)
+        found.append((child, low, high))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def route(points: np.ndarray, vantage: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place in points, shard, whether it is home there) of each visit to the home shard or a later one."""
     depth = int(len(vantage) + 1).bit_length() - 1
     at, node, home = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool)
     for _ in range(depth):
         d = np.bitwise_count(points[at] ^ vantage[node]).astype(np.int16)
-        m = limit[node]
-        left, right = d - radius <= m, d + radius > m
-        belongs = d <= m
+        one, two = 2 * node + 1, 2 * node + 2
+        left, right = ((d + radius >= low[x]) & (d - radius <= high[x]) for x in (one, two))
+        belongs = d <= limit[node]
         # a visit that is home goes on as home on its own side, and as a query only to the right of it
-        go_left = left & (belongs | ~home)
-        go_right = right
+        go_left = np.where(home, belongs, left)
+        go_right = right | (home & ~belongs)
         at, node, home = (
             np.concatenate((at[go_left], at[go_right])),
-            np.concatenate((2 * node[go_left] + 1, 2 * node[go_right] + 2)),
+            np.concatenate((one[go_left], two[go_right])),
             np.concatenate((home[go_left] & belongs[go_left], home[go_right] & ~belongs[go_right])),
         )
     return at, node - len(vantage), home
@@ -223,18 +245,38 @@ def link(points: np.ndarray, homes: np.ndarray, queries: np.ndarray, radius: int
 
 def near_links(fps: DataFrame, *, radius: int = 4) -> DataFrame:
     """(fp, root): links between distinct fingerprints, as a star for each component of each shard."""
-    spark = fps.sparkSession
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    share = max(1, n // max(LEAST_SAMPLE, n // SAMPLE_SHARE))
+    rows = fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp").collect()
+    sample = np.sort(np.array([r[0] for r in rows], np.int64)).view(np.uint64)
     depth = max(int(math.log2(LEAST_SHARDS)), math.ceil(math.log2(max(1, n / SHARD))))
-    vantage, limit = routing_tree(sample, depth)
+    while True:  # shards get smaller and visits more with the depth
+        vantage, limit = routing_tree(sample, depth)
+        low, high = np.full(2 * len(vantage) + 1, 65, np.int16), np.full(2 * len(vantage) + 1, -65, np.int16)
+        if len(sample):
+            child, least, most = shells(sample, vantage, limit)
+            low[child], high[child] = least, most
+            some = sample[:: max(1, len(sample) // 2048)]
+            visits_each = len(route(some, vantage, limit, low, high, radius)[0]) / len(some)
+        if not len(sample) or n * visits_each / (1 << depth) <= VISITS or len(sample) < 4 << depth:
+            break
+        depth += 1
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            child, least, most = shells(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), vantage, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(least), pa.array(most)], ["child", "low", "high"])
+
+    found = fps.select("fp").mapInArrow(bounds, "child long, low long, high long").groupBy("child").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    for r in found.collect():  # two rows a shard at most
+        low[r["child"]], high[r["child"]] = r["low"], r["high"]
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(own), 4096):
                 part = own[k : k + 4096]
-                at, shard, home = route(part, vantage, limit, radius)
+                at, shard, home = route(part, vantage, limit, low, high, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(part[at].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,7 +291,6 @@ def near_links(fps: DataFrame, *, radius: int = 4) -> DataFrame:
 
 def near_dedup(docs: DataFrame, *, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of each row; component_id is the least id that links reach."""
-    spark = docs.sparkSession
     each, _ = c.saved(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "simhash")
     fps, fps_path = c.saved(each.groupBy("fp").agg(F.min("id").alias("least")), "simhash-points")
     edges, edges_path = c.saved(near_links(fps, radius=radius), "simhash-links")
@@ -259,107 +300,218 @@ def near_dedup(docs: DataFrame, *, words: int = 4, radius: int = 4, id_col: str
     best, best_path = c.saved(best, "simhash-best")
     reached = members.join(best, "component").select("fp", "reached")
     found, _ = c.saved(fps.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")), "simhash-found")
-    c.remove(spark, fps_path, edges_path, members_path, best_path)
+    c.remove(each.sparkSession, fps_path, edges_path, members_path, best_path)
     out = each.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of docs whose id is the least of its component: one document of each group, and all that have none near."""
-    found = near_dedup(docs, id_col=id_col, **settings)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+def _set(hashes: bytes) -> np.ndarray:
+    """The distinct hashes in order."""
+    return np.unique(np.frombuffer(hashes, ">u8")).astype("<u8")
 
 
-def _set(hashes: bytes) -> tuple[bytes, str]:
-    """The distinct hashes in order, and their digest."""
-    own = np.unique(np.frombuffer(hashes, ">u8")).astype("<u8").tobytes()
-    return own, xxhash.xxh3_128_hexdigest(own)
+def _digest(own: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(own.tobytes())
 
 
-def same_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Root place of each set of hashes, after linking all pairs of at least the similarity; linked ones are not compared again."""
-    n = len(sets)
-    size = np.array([len(x) for x in sets], np.int64)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
-    starts = np.cumsum(size) - size
-    links, seen = _Links(n), np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
+class Sets:
+    """Sets of hashes that are compared exactly; those that are linked already are not compared again."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.similarity, n = similarity, len(sets)
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+        self.starts = np.cumsum(self.size) - self.size
+        self.seen = np.zeros(int(self.flat.max()) + 1 if len(self.flat) else 1, bool)
+        self.links = _Links(n)
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that are like set i."""
+        size, limit = self.size, self.similarity
         a, b = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-        others = others[(a > 0) & (a >= similarity * b - 1e-9)]
+        others = others[(a > 0) & (a >= limit * b - 1e-9)]
         if not len(others):
             return others
-        hit = seen[flat[c.ranges(starts[others], size[others])]]
+        own = self.flat[self.starts[i] : self.starts[i] + size[i]]
+        self.seen[own] = True
+        hit = self.seen[self.flat[c.ranges(self.starts[others], size[others])]]
+        self.seen[own] = False
         both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[others]) - size[others])
-        return others[both >= similarity * (size[others] + size[i] - both) - 1e-9]
-
-    for i in range(1, n):
-        own = flat[starts[i] : starts[i] + size[i]]
-        seen[own] = True
-        for others in (np.unique(links.root[:i]), np.arange(i)):  # the first of each group, then what is not linked yet
-            others = near(i, others[links.root[others] != links.root[i]])
-            links.unite(np.full(len(others), i), others)
-        seen[own] = False
+        return others[both >= limit * (size[others] + size[i] - both) - 1e-9]
+
+    def link(self, i: int, others: np.ndarray) -> None:
+        """Unite set i with what is like it among the others: first of each group one, then what is not linked yet."""
+        root = self.links.root
+        for some in (np.unique(root[others]), others):
+            some = self.near(i, some[self.links.root[some] != self.links.root[i]])
+            self.links.unite(np.full(len(some), i), some)
+
+
+def same_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Root place of each set of hashes, after linking all pairs of at least the similarity."""
+    own = Sets(sets, similarity)
+    for i in range(1, len(sets)):
+        own.link(i, np.arange(i))
+    return own.links.root
+
+
+def cell_links(cells: np.ndarray, points: np.ndarray, radius: int) -> np.ndarray:
+    """Root place of each point, after linking all points within the radius in each cell; equal cells are neighbours."""
+    n, links = len(points), _Links(len(points))
+    begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begin, n))
+    small = np.repeat(sizes <= 32, sizes)
+    for k in range(1, min(32, n)):
+        i = np.flatnonzero((cells[k:] == cells[:-k]) & small[:-k])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(points[i] ^ points[i + k]) <= radius]
+        links.unite(i, i + k)
+    for a, size in zip(begin[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+        every = np.arange(size)
+        links.unite(a + every, a + link(points[a : a + size], every, every, radius))
     return links.root
 
 
-def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of each row; component_id is the least id that links of exactly checked pairs reach."""
-    spark = docs.sparkSession
-    c.tune(spark)
-    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = one.schema["id"].dataType.simpleString()
+def _candidates(points: DataFrame, radius: int) -> DataFrame:
+    """(fp, root): fingerprints within the radius that share a cell, as stars."""
+    entries = points.select("digest", "fp", F.explode("sketch").alias("h"))
+    leader = F.min(F.struct(F.xxhash64("digest", "h").alias("k"), "fp")).alias("leader")
+    parts = entries.groupBy("h", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n"), leader)
+    cells = parts.groupBy("h").agg(F.sum("n").alias("n"), F.collect_set("leader.fp").alias("leaders")).where("n > 1")
+    cells, _ = c.saved(cells.select("h", "n", F.when(F.col("n") > CELL, F.col("leaders")).alias("leaders")), "similar-cells")
+    met = entries.select("h", "fp").join(cells, "h")
+    near = F.filter("leaders", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius))
+    large = met.where(F.col("n") > CELL).select("fp", F.explode(near).alias("root"))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, point = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            hashes = [_hashes(t.as_py(), words) for t in b.column(1)]
-            fps = np.frombuffer(b"".join(map(_majority, hashes)), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([_set(x)[1] for x in hashes], pa.string())], ["id", "fp", "digest"])
+            cell = np.concatenate((cell, b.column(0).to_numpy(zero_copy_only=False)))
+            point = np.concatenate((point, b.column(1).to_numpy(zero_copy_only=False)))
+            whole = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on in the next batch
+            yield stars(cell[:whole], point[:whole])
+            cell, point = cell[whole:], point[whole:]
+        yield stars(cell, point)
 
-    each, each_path = c.saved(c.spread(one).mapInArrow(prints, f"id {kind}, fp long, digest string"), "similar")
-    points, points_path = c.saved(each.groupBy("digest").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "similar-points")
-    edges, edges_path = c.saved(near_links(points.select("fp").distinct(), radius=radius), "similar-links")
-    nodes = components(edges, "fp", "root")
-    placed = points.join(nodes, points["fp"] == nodes["node"], "left").select("digest", "least", F.coalesce("component", "fp").alias("place"))
-    large = placed.groupBy("place").count().where("count > 1")
-    wanted, wanted_path = c.saved(placed.join(large, "place"), "similar-wanted")
+    def stars(cell: np.ndarray, point: np.ndarray) -> pa.RecordBatch:
+        root = cell_links(cell, point.view(np.uint64), radius)
+        moved = point != point[root]
+        return pa.RecordBatch.from_arrays([pa.array(point[moved]), pa.array(point[root[moved]])], ["fp", "root"])
+
+    few = met.where(F.col("n") <= CELL).select("h", "fp").repartition("h").sortWithinPartitions("h")
+    return large.unionByName(few.mapInArrow(run, "fp long, root long"))
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_set(_hashes(t, words)) for t in b.column(0).to_pylist()]
-            right = pa.array([x == y for (_, x), y in zip(sets, b.column(1).to_pylist(), strict=True)], pa.bool_())
-            out = [b.column(1), b.column(2), b.column(3), pa.array([x for x, _ in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["digest", "place", "n", "hashes"]).filter(right)  # another row of the same id
 
-    held = one.join(wanted, one["id"].eqNullSafe(wanted["least"])).select("text", "digest", "place", F.col("count").alias("n"))
-    held = held.mapInArrow(chosen, "digest string, place long, n long, hashes binary")
+def _checked(rows: DataFrame, wanted: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links of digests in the same place that pass the exact check. wanted: (digest, id, th, place, n)."""
+    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS))
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    held = held.withColumn("own", F.pmod(F.xxhash64("digest"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    held = held.select("digest", "hashes", "place", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    large = wanted.where(F.col("n") > BLOCK)
+    leaders = large.groupBy("place", salt.alias("salt")).agg(F.min("digest").alias("digest")).select("place", "digest", F.lit(True).alias("leads"))
+    wanted = wanted.join(leaders, ["place", "digest"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
 
-    def checked(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("digest")
-        digests = pdf["digest"].to_numpy(object)
-        root = same_sets([np.frombuffer(x, "<u8") for x in pdf["hashes"]], similarity)
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_set(_hashes(t, words)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "place", "n", "leads", "hashes"])
+
+    held = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["th"] == wanted["th"])).select("text", "digest", "place", "n", "leads")
+    held, _ = c.saved(held.mapInArrow(chosen, "digest string, place long, n long, leads boolean, hashes binary"), "similar-sets")
+    own = F.pmod(F.xxhash64("digest"), blocks)
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A small place all with all; of a larger one, the members of a block with the leaders."""
+        pdf = pdf.drop_duplicates("digest").sort_values("leads", ascending=False, kind="stable")
+        sets, digests, n_leaders = [np.frombuffer(x, "<u8") for x in pdf["hashes"]], pdf["digest"].to_numpy(object), int(pdf["leads"].sum())
+        if not n_leaders:
+            root = same_sets(sets, similarity)
+        else:
+            of = Sets(sets, similarity)
+            for i in range(n_leaders):
+                of.link(i, np.arange(i + 1, len(sets)))
+            root = of.links.root
         moved = root != np.arange(len(root))
-        return pd.DataFrame({"a": digests[moved], "b": digests[root[moved]]})
+        return pd.DataFrame({"place": pdf["place"].to_numpy()[moved], "a": digests[moved], "b": digests[root[moved]]})
+
+    to = F.when(F.col("leads"), every).otherwise(F.array(own))
+    found, _ = c.saved(held.withColumn("block", F.explode(to)).groupBy("place", "block").applyInPandas(first, "place long, a string, b string"), "similar-first")
+    links = found.select("a", "b")
+    if large.isEmpty():
+        return links
+    # what is not in the largest group of its place is compared with all of the place
+    groups = components(found.join(large.select("place").distinct(), "place"), "a", "b")
+    parts = large.select("place", "digest").join(groups, groups["node"] == large["digest"], "left").select("place", "digest", F.coalesce("component", "digest").alias("part"))
+    main = parts.groupBy("place", "part").agg(F.count("*").alias("n")).groupBy("place").agg(F.max(F.struct("n", "part")).alias("main"))
+    lone, _ = c.saved(parts.join(main, "place").where("part <> main.part").select("place", "digest"), "similar-lone")
+    if lone.isEmpty():
+        return links
+    many = lone.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("lots"))
+    again = held.join(many, "place").join(lone.withColumn("lone", F.lit(True)), ["place", "digest"], "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
+    lot = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("lots"))
+    as_lone = again.where("lone").select("place", "digest", "hashes", "lone", F.explode(every).alias("block"), lot.alias("lot"))
+    as_member = again.select("place", "digest", "hashes", F.lit(False).alias("lone"), own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"))
+
+    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Those outside the place's largest group, with all members of a block."""
+        pdf = pdf.sort_values("lone", ascending=False, kind="stable").drop_duplicates("digest")
+        of = Sets([np.frombuffer(x, "<u8") for x in pdf["hashes"]], similarity)
+        for i in range(int(pdf["lone"].sum())):
+            of.link(i, np.arange(i + 1, len(pdf)))
+        moved, digests = of.links.root != np.arange(len(pdf)), pdf["digest"].to_numpy(object)
+        return pd.DataFrame({"a": digests[moved], "b": digests[of.links.root[moved]]})
+
+    return links.unionByName(as_lone.unionByName(as_member).groupBy("place", "block", "lot").applyInPandas(second, "a string, b string"))
+
+
+def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 16, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, component_id, first) of each row: th is a hash of the text, component_id the least id that links of exactly
+    checked pairs reach, and first tells whether the row's id and text are the component's first."""
+    spark = docs.sparkSession
+    c.tune(spark)
+    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("th", F.xxhash64("text"))
+    kind = one.schema["id"].dataType.simpleString()
 
-    pairs, pairs_path = c.saved(held.groupBy("place", "a", "b").applyInPandas(checked, "a string, b string"), "similar-pairs")
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [_hashes(t.as_py(), words) for t in b.column(1)]
+            fps = np.frombuffer(b"".join(map(_majority, hashes)), ">i8").astype(np.int64)
+            sets = [_set(x) for x in hashes]
+            sketch = pa.array([(x[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps), pa.array(map(_digest, sets), pa.string()), sketch], ["id", "th", "fp", "digest", "sketch"])
+
+    each, each_path = c.saved(c.spread(one).mapInArrow(prints, f"id {kind}, th long, fp long, digest string, sketch array<long>"), "similar")
+    lead = F.struct(F.col("id").isNull().alias("none"), "id", "th")  # a null id comes last
+    points, points_path = c.saved(each.groupBy("digest").agg(F.min(lead).alias("least"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch")), "similar-points")
+    edges, edges_path = c.saved(_candidates(points, radius).distinct(), "similar-links")
+    nodes = components(edges, "fp", "root")
+    placed = points.join(nodes, points["fp"] == nodes["node"], "left").select("digest", "least.id", "least.th", F.coalesce("component", "fp").alias("place"))
+    sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+    wanted, wanted_path = c.saved(placed.join(sizes, "place"), "similar-wanted")
+    pairs, pairs_path = c.saved(_checked(one, wanted, words, similarity), "similar-pairs")
     groups = components(pairs, "a", "b")
     members, members_path = c.saved(groups.join(points, groups["node"] == points["digest"]).select("digest", "component", "least"), "similar-members")
-    reached = members.join(members.groupBy("component").agg(F.min("least").alias("reached")), "component").select("digest", "reached")
-    found = points.join(reached, "digest", "left").select("digest", F.coalesce("reached", "least").alias("component_id"))
-    out, _ = c.saved(each.join(found, "digest").select(F.col("id").alias(id_col), "component_id"), "similar-found")
-    c.remove(spark, each_path, points_path, edges_path, wanted_path, pairs_path, members_path)
+    best, best_path = c.saved(members.groupBy("component").agg(F.min("least").alias("reached")), "similar-best")
+    reached = members.join(best, "component").select("digest", "reached")
+    found, _ = c.saved(points.join(reached, "digest", "left").select("digest", F.coalesce("reached", "least").alias("reached")), "similar-found")
+    first = F.col("id").eqNullSafe(F.col("reached.id")) & (F.col("th") == F.col("reached.th"))
+    out, _ = c.saved(each.join(found, "digest").select(F.col("id").alias(id_col), "th", F.col("reached.id").alias("component_id"), first.alias("first")), "similar-rows")
+    c.remove(spark, each_path, points_path, edges_path, wanted_path, pairs_path, members_path, best_path)
     return out
 
 
-def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
-    """As one_of_each, by groups of exactly checked pairs."""
-    found = similar_groups(docs, id_col=id_col, **settings)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of docs for each group of near copies: that with the least id (of one id, the least hash of the text). Rows
+    that are equal in id and text are one; of them any stays."""
+    found = similar_groups(docs, id_col=id_col, text_col=text_col, **settings).where("first")
+    kept, _ = c.saved(found.groupBy(F.col(id_col).alias("kept_id"), F.col("th").alias("kept_th")).agg(F.count("*").alias("kept_n")), "similar-kept")
+    th = F.xxhash64(docs[text_col])
+    at = lambda part: docs.join(part, docs[id_col].eqNullSafe(part["kept_id"]) & (th == part["kept_th"]), "left_semi")
+    again = kept.where("kept_n > 1")
+    if again.isEmpty():
+        return at(kept)
+    return at(kept.where("kept_n = 1")).unionByName(at(again).dropDuplicates([id_col, text_col]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
