@@ -1,50 +1,55 @@
-"""Exact BM25 top-k search over an inverted index with block-max pruning, by shard.
+"""Exact BM25 top-k search over an inverted index with block-max WAND pruning, by shard.
 
 Index: each task cuts its rows into shards of bounded text, orders a shard's documents so that like ones are
-neighbours (by their most frequent common word, then by length), and writes sorted posting lists as one row of arrays.
-Document frequencies, number of documents and mean length are global.
-
-Search: queries go to the executors in blocks of bounded size, one pass over the index for each. In a shard, blocks of
-64 neighbouring documents have an upper bound for each query: the sum, over the query's terms, of weight times the
-largest impact in the block (for the frequent terms from a table of block maxima; the rare terms' few postings are
-added exactly). The blocks with the highest bounds are scored first and give the threshold, the k-th best score;
-blocks whose bound is below it are skipped, as in WAND; the rest are scored. Scoring runs in single precision with a
-margin that is wider than its error; what may be in the top k is scored again in double precision, term by term in a
-fixed order, so scores do not depend on the sharding. A task carries each query's best k from shard to shard, and their
-least score as a floor; the tasks' best are merged. Ties go to the smaller id.
+neighbours (by their most frequent common word, then by length), and writes posting lists sorted by document as one row
+of arrays. Document frequencies, number of documents and mean length are global.
+
+Search, in a shard: a posting list is cut at every BLOCK documents, and each cut knows its greatest impact (block
+maximum). A query's cursors move over the cuts of all its terms: the sum of weight times block maximum bounds every
+document of a block. Blocks are visited from the highest bound on, in waves; those whose bound is below the threshold,
+the k-th best score so far, are skipped, and their postings are never read. In a block that is visited, the terms are
+ordered by their maxima, and the pivot is the first at which the sum passes the threshold: a document without a posting
+of the pivot or a later term cannot reach it. So the postings from the pivot on name the candidates; those before it are
+read only in blocks that have candidates left. What may be in the top k is scored again, term by term in a fixed order,
+so scores do not depend on the sharding. They are rounded to six digits; ties go to the smaller id, null ids come last.
+
+Queries are a written table that each task reads for itself, in bounded pieces. The search of the first shards, as many
+as the square root of their number, gives every query a floor, the k-th best score there; the other shards start with
+it as their threshold and return only what reaches it. The merge ranks by query, k rows of each task at most.
 
 score = sum over terms of qtf * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg)).
-Terms are runs of letters and digits in lower case, known by their 64-bit hash.
+Terms are runs of letters and digits in lower case, known by their 64-bit hash: of V different terms any two meet with a
+probability of V * V / 2 ** 65 (a hundred million: 0.0003).
 
 Null and empty texts have no terms: they match nothing and find nothing. A document without a term of the query is not
-returned, so a query may have fewer than k rows. Repeated rows are documents each. Empty tables give empty results.
-Very long texts are indexed and searched whole.
+returned, so a query may have fewer than k rows. Repeated rows are documents each. Rows that share a query id are one
+query: repeated ones count once, and of different texts the terms are added. Empty tables give empty results. Very long
+texts are indexed and searched whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _common as c
 
 TERM = re.compile(r"[^\W_]+")
-#: Bytes of text in a shard, documents in a block, entries of queries in a block of queries.
-SHARD_TEXT, BLOCK, QUERY_ENTRIES = 16 << 20, 64, 1 << 20
-#: Terms of a shard (at most) that have a dense column, and the share of its documents that they must occur in.
-DENSE, DENSE_SHARE = 384, 1 / 24
-#: Queries that are bounded and scored together.
-TOGETHER = 32
-#: Relative margin over single-precision error when candidates are chosen.
-MARGIN = 1e-4
+#: Bytes of text in a shard, documents in a block, bytes of queries that a task holds at a time.
+SHARD_TEXT, BLOCK, QUERY_BYTES = 16 << 20, 64, 8 << 20
+#: Digits of scores, and what is more than the error of a sum but does not matter to them.
+DIGITS, MARGIN = 6, 2e-6
 CACHE = 300_000
 
 
@@ -131,80 +136,98 @@ class Shard:
     """Impacts, block maxima, and both directions of one shard."""
 
     def __init__(self, ids: list, lengths: np.ndarray, terms: np.ndarray, df: np.ndarray, doc: np.ndarray, tf: np.ndarray, avg: float, k1: float, b: float):
-        self.ids, self.terms, self.n = ids, terms, len(ids)
-        self.starts = np.concatenate(([0], np.cumsum(df, dtype=np.int64)))
-        self.doc = doc
-        self.impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / avg)) if len(doc) else np.zeros(0)
-        dense = np.argsort(-df, kind="stable")[:DENSE]
-        dense = dense[df[dense] >= max(2, self.n * DENSE_SHARE)]
-        self.column = np.full(len(terms), -1, np.int64)
-        self.column[dense] = np.arange(len(dense))
+        self.ids, self.terms, self.n, self.doc = ids, terms, len(ids), doc
         self.blocks = -(-self.n // BLOCK)
-        self.matrix = np.zeros((self.blocks * BLOCK, len(dense)), np.float32)
-        at = c.ranges(self.starts[dense], df[dense])
-        self.matrix[doc[at], np.repeat(np.arange(len(dense)), df[dense])] = self.impact[at]
-        self.bounds = self.matrix.reshape(self.blocks, BLOCK, -1).max(axis=1) if self.blocks else np.zeros((0, len(dense)), np.float32)
+        self.impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / avg)) if len(doc) else np.zeros(0)
         term = np.repeat(np.arange(len(terms)), df)
+        block = doc // BLOCK
+        opens = np.ones(len(doc), bool)
+        opens[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        cut = np.flatnonzero(opens)  # a cut of a posting list: one term's postings in one block
+        self.cut = np.append(cut, len(doc))
+        self.cut_block = block[cut].astype(np.int64)
+        self.cut_most = np.maximum.reduceat(self.impact, cut) if len(cut) else np.zeros(0)
+        self.first_cut = np.concatenate(([0], np.cumsum(np.bincount(term[cut], minlength=len(terms)))))
         by = np.argsort(doc, kind="stable")  # term by term within a document, in the order of the hashes
         self.own_term, self.own_impact = term[by], self.impact[by]
         self.own = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
         self.weights = np.zeros(len(terms))
-        self.leading = {int(terms[t]): i for i, t in enumerate(dense.tolist())}
-
-    def grouped(self, block: list[tuple]) -> list[int]:
-        """The queries' places, those with the same heaviest common term beside each other, as they need the same blocks."""
-        leading = self.leading
-
-        def heaviest(q: tuple) -> int:
-            return max(((w, leading[h]) for h, w in zip(q[1].tolist(), q[2].tolist(), strict=True) if h in leading), default=(0.0, -1))[1]
-
-        return sorted(range(len(block)), key=lambda i: heaviest(block[i]))
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floors: np.ndarray) -> list[list[tuple[float, object]]]:
-        """Per query, given as (hashes, weights): (score, id) of its best k documents that reach its floor."""
-        q, n = len(queries), self.n
-        wide = np.zeros((self.matrix.shape[1], q), np.float32)
-        rare = np.zeros((self.blocks * BLOCK, q), np.float32)
-        known = []
-        for i, (hashes, weights) in enumerate(queries):
-            at = np.searchsorted(self.terms, hashes)
-            hit = at < len(self.terms)
-            hit[hit] = self.terms[at[hit]] == hashes[hit]
-            at, weights = at[hit], weights[hit]
-            known.append((at, weights))
-            column = self.column[at]
-            is_dense = column >= 0
-            wide[column[is_dense], i] = weights[is_dense]
-            at, weights = at[~is_dense], weights[~is_dense]
-            sizes = self.starts[at + 1] - self.starts[at]
-            postings = c.ranges(self.starts[at], sizes)
-            rare[:, i] = np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weights, sizes), self.blocks * BLOCK)
-        bound = self.bounds @ wide + rare.reshape(self.blocks, BLOCK, q).max(axis=1)
-        scores = np.zeros((self.blocks, BLOCK, q), np.float32)
-        done = np.zeros(self.blocks, bool)
-
-        def score(blocks: np.ndarray) -> None:
-            if len(blocks):
-                rows = self.matrix.reshape(self.blocks, BLOCK, -1)[blocks].reshape(len(blocks) * BLOCK, -1)
-                scores[blocks] = (rows @ wide + rare.reshape(self.blocks, BLOCK, q)[blocks].reshape(-1, q)).reshape(len(blocks), BLOCK, q)
-                done[blocks] = True
-
-        first = min(self.blocks, -(-k // BLOCK) + 1)
-        score(np.unique(np.argpartition(-bound, first - 1, axis=0)[:first]))
-        flat = scores.reshape(-1, q)
-        least = np.partition(flat, -k, axis=0)[-k] if len(flat) >= k else np.zeros(q, np.float32)
-        least = np.maximum(least, floors)
-        score(np.flatnonzero(~done & (bound > np.maximum(0, least * (1 - MARGIN))).any(axis=1)))
-        out = []
-        for i, (at, weights) in enumerate(known):
-            s = flat[:, i]
-            least_i = max(float(np.partition(s, -k)[-k]) if len(s) >= k else 0.0, floors[i])
-            close = np.flatnonzero((s > 0) & (s >= least_i * (1 - MARGIN)))
-            self.weights[at] = weights
-            exact = [float((self.weights[self.own_term[a:z]] * self.own_impact[a:z]).sum()) for a, z in zip(self.own[close].tolist(), self.own[close + 1].tolist(), strict=True)]
-            self.weights[at] = 0
-            out.append(best_of([(e, self.ids[p]) for e, p in zip(exact, close.tolist(), strict=True)], k))
-        return out
+        self.met, self.visited, self.read = 0, 0, 0  # blocks with a term of a query, those visited, and postings read
+
+    def exact(self, docs: np.ndarray) -> np.ndarray:
+        """Scores of the documents by self.weights, rounded."""
+        sizes = self.own[docs + 1] - self.own[docs]
+        at = c.ranges(self.own[docs], sizes)
+        return np.round(np.add.reduceat(self.weights[self.own_term[at]] * self.own_impact[at], np.cumsum(sizes) - sizes), DIGITS)
+
+    def postings(self, cuts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and weighted impacts of the cuts' postings."""
+        sizes = self.cut[cuts + 1] - self.cut[cuts]
+        at = c.ranges(self.cut[cuts], sizes)
+        self.read += len(at)
+        return self.doc[at], self.impact[at] * np.repeat(weights, sizes)
+
+    def visit(self, live: np.ndarray, cuts: np.ndarray, weights: np.ndarray, most: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(document, score) of the candidates of the live blocks: those that may reach `least`."""
+        inside = live[self.cut_block[cuts]]
+        cuts, weights, most = cuts[inside], weights[inside], most[inside]
+        block = self.cut_block[cuts]
+        rest = np.zeros(self.blocks)
+        ahead = np.ones(len(cuts), bool)  # from the pivot on
+        if least > 0:
+            by = np.lexsort((most, block))
+            total = np.cumsum(most[by])
+            heads = np.flatnonzero(np.concatenate(([True], block[by][1:] != block[by][:-1])))
+            total -= np.repeat(total[heads] - most[by][heads], np.diff(np.append(heads, len(by))))
+            ahead[by] = total >= least
+            rest = np.bincount(block[~ahead], most[~ahead], self.blocks)
+        size = self.blocks * BLOCK
+        doc, part = self.postings(cuts[ahead], weights[ahead])
+        score = np.bincount(doc, part, size)
+        able = (score > 0) & (score + np.repeat(rest, BLOCK) >= least)
+        late = ~ahead
+        late[late] = able.reshape(-1, BLOCK).any(axis=1)[block[late]]
+        if late.any():
+            doc, part = self.postings(cuts[late], weights[late])
+            score += np.bincount(doc, part, size)
+        found = np.flatnonzero(able & (score >= least))
+        return found, score[found]
+
+    def search(self, hashes: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[float, object]]:
+        """(score, id) of the query's best k documents that reach the floor."""
+        at = np.searchsorted(self.terms, hashes)
+        hit = at < len(self.terms)
+        hit[hit] = self.terms[at[hit]] == hashes[hit]
+        at, weights = at[hit], weights[hit]
+        if not len(at):
+            return []
+        sizes = self.first_cut[at + 1] - self.first_cut[at]
+        cuts, each = c.ranges(self.first_cut[at], sizes), np.repeat(weights, sizes)
+        most = each * self.cut_most[cuts]
+        bound = np.bincount(self.cut_block[cuts], most, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int((bound > 0).sum())]
+        self.met += len(order)
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
+        least, wave, done = floor - MARGIN, -(-k // BLOCK) + 1, 0
+        while done < len(order) and bound[order[done]] >= least:
+            some = order[done : done + wave]
+            some = some[bound[some] >= least]
+            done, wave = done + wave, 3 * wave
+            self.visited += len(some)
+            live = np.zeros(self.blocks, bool)
+            live[some] = True
+            more, own = self.visit(live, cuts, each, most, least)
+            docs, scores = np.concatenate((docs, more)), np.concatenate((scores, own))
+            if len(docs) > k:
+                least = max(least, float(np.partition(scores, -k)[-k]) - MARGIN)
+                docs, scores = docs[scores >= least], scores[scores >= least]
+        if not len(docs):
+            return []
+        self.weights[at] = weights
+        exact = self.exact(docs)
+        self.weights[at] = 0
+        return best_of([(s, self.ids[d]) for s, d in zip(exact.tolist(), docs.tolist(), strict=True) if s >= floor], k)
 
 
 def best_of(found: list[tuple[float, object]], k: int) -> list[tuple[float, object]]:
@@ -213,27 +236,50 @@ def best_of(found: list[tuple[float, object]], k: int) -> list[tuple[float, obje
     return sorted(sorted((x for x in found if x[1] is not None), key=lambda x: x[1]) + missing, key=lambda x: -x[0])[:k]
 
 
-def _blocks(weighted: DataFrame) -> Iterator[list[tuple]]:
-    """Queries as (id, hashes, weights), in lists of bounded size; partitions are streamed."""
-    held, size = [], 0
-    for r in weighted.toLocalIterator():
-        if held and size + len(r[1]) // 8 > QUERY_ENTRIES:
-            yield held
-            held, size = [], 0
-        held.append((r[0], np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.float64)))
-        size += len(r[1]) // 8
-    if held:
-        yield held
+def _asked(path: str) -> Iterator[pa.RecordBatch]:
+    """The queries written below the path, in bounded pieces."""
+    fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    for file in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet")):
+        with fs.open_input_file(file) as raw:
+            yield from pq.ParquetFile(raw).iter_batches(256, columns=["query_id", "h", "w", "floor"])
+
+
+def _found(shards: DataFrame, path: str, kinds: tuple[str, str], types: tuple[pa.DataType, pa.DataType], k: int, avg: float, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score): of each shard every query's best k that reach its floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for r in range(x.num_rows):
+                arrays = {name: np.frombuffer(x.column(i)[r].as_buffer(), t) for i, (name, t) in enumerate((("lengths", np.int32), ("terms", np.uint64), ("df", np.int32), ("doc", np.int32), ("tf", np.int32)), 1)}
+                shard = Shard(x.column(0)[r].as_py(), avg=avg, k1=k1, b=b, **arrays)
+                for asked in _asked(path) if len(shard.terms) else ():
+                    queries, ids, scores = [], [], []
+                    for key, h, w, floor in zip(*(asked.column(i) for i in range(4)), strict=True):
+                        top = shard.search(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float64), k, floor.as_py())
+                        queries += [key.as_py()] * len(top)
+                        ids += [d for _, d in top]
+                        scores += [s for s, _ in top]
+                    if ids:
+                        yield pa.RecordBatch.from_arrays([pa.array(queries, types[0]), pa.array(ids, types[1]), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
+
+    return shards.select("ids", "lengths", "terms", "df", "doc", "tf").mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best k of each query; Spark cuts every task's rows to k before the shuffle."""
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text") -> DataFrame:
     """(query_id, rank, id, score) of the k best documents of each query."""
     spark = docs.sparkSession
-    own, _ = c.saved(index(docs, id_col=id_col, text_col=text_col), "bm25-index")
-    n, total = (x or 0 for x in own.agg(F.sum("n"), F.sum("total")).first())
-    asked = queries.select(queries[query_id_col].alias("query_id"), queries[query_text_col].alias("text"))
-    kind, asked_kind = own.schema["ids"].dataType.elementType.simpleString(), asked.schema["query_id"].dataType.simpleString()
-    id_type, asked_type = to_arrow_type(own.schema["ids"].dataType.elementType), to_arrow_type(asked.schema["query_id"].dataType)
+    own, _ = c.saved(index(docs, id_col=id_col, text_col=text_col).withColumn("shard", F.monotonically_increasing_id()), "bm25-index")
+    n, total, shards = (x or 0 for x in own.agg(F.sum("n"), F.sum("total"), F.count("*")).first())
+    asked = queries.select(queries[query_id_col].alias("query_id"), queries[query_text_col].alias("text")).distinct()
+    asked_field, id_field = asked.schema["query_id"].dataType, own.schema["ids"].dataType.elementType
+    kinds = asked_field.simpleString(), id_field.simpleString()
+    types = to_arrow_type(asked_field), to_arrow_type(id_field)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -249,9 +295,9 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = 1.2,
                     yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(h), x.column(0).type), pa.array(h.view(np.int64)), pa.array(tf)], ["query_id", "h", "qtf"])
 
     df = own.select("terms", "df").mapInArrow(frequencies, "h long, df int").groupBy("h").agg(F.sum("df").alias("df"))
-    terms = asked.mapInArrow(asked_terms, f"query_id {asked_kind}, h long, qtf int").join(df, "h")
+    terms = asked.mapInArrow(asked_terms, f"query_id {kinds[0]}, h long, qtf int").groupBy("query_id", "h").agg(F.sum("qtf").alias("qtf")).join(df, "h")
     weight = F.col("qtf") * F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms, _ = c.saved(terms.select("query_id", "h", weight.alias("w")), "bm25-queries")
+    lists = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("h", weight.alias("w")))).alias("terms"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -260,50 +306,34 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = 1.2,
                 pairs = entries.values
                 h.append(np.asarray(pairs.field("h")).astype(np.int64).tobytes())
                 w.append(np.asarray(pairs.field("w")).astype(np.float64).tobytes())
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(h, pa.binary()), pa.array(w, pa.binary())], ["query_id", "h", "w"])
-
-    lists = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("terms"))
-    weighted, _ = c.saved(lists.mapInArrow(packed, f"query_id {asked_kind}, h binary, w binary"), "bm25-weighted")
-    avg = total / n if n and total else 1.0
-    found = None
-    for block in _blocks(weighted):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            best: list[list[tuple[float, object]]] = [[] for _ in block]  # of the shards that this task has seen
-            floors = np.zeros(len(block))
-            for x in batches:
-                for r in range(x.num_rows):
-                    arrays = {name: np.frombuffer(x.column(i)[r].as_buffer(), t) for i, (name, t) in enumerate((("lengths", np.int32), ("terms", np.uint64), ("df", np.int32), ("doc", np.int32), ("tf", np.int32)), 1)}
-                    shard = Shard(x.column(0)[r].as_py(), avg=avg, k1=k1, b=b, **arrays)
-                    if not len(shard.terms):
-                        continue
-                    like = shard.grouped(block)
-                    for a in range(0, len(like), TOGETHER):
-                        part = like[a : a + TOGETHER]
-                        for i, top in zip(part, shard.search([block[i][1:] for i in part], k, floors[part]), strict=True):
-                            best[i] = best_of(best[i] + top, k)
-                            floors[i] = best[i][-1][0] if len(best[i]) == k else 0.0
-            for a in range(0, len(block), 1024):
-                some = [i for i in range(a, min(a + 1024, len(block))) if best[i]]
-                top = pa.array([[{"id": d, "score": s} for s, d in best[i]] for i in some], pa.list_(pa.struct([("id", id_type), ("score", pa.float64())])))
-                yield pa.RecordBatch.from_arrays([pa.array([block[i][0] for i in some], asked_type), top], ["query_id", "top"])
-
-        part = own.select("ids", "lengths", "terms", "df", "doc", "tf").mapInArrow(run, f"query_id {asked_kind}, top array<struct<id: {kind}, score: double>>")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], f"query_id {asked_kind}, top array<struct<id: {kind}, score: double>>")
-
-    def order(x: Column, y: Column) -> Column:
-        up = F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1)
-        return up.when(x["id"].isNull() & y["id"].isNull(), 0).when(x["id"].isNull(), 1).when(y["id"].isNull(), -1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)
-
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top")), order), 1, k).alias("top"))  # k rows of each task
-    return merged.select("query_id", F.posexplode("top").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("long").alias("rank"), "x.id", "x.score")
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(h, pa.binary()), pa.array(w, pa.binary()), pa.array(np.zeros(len(h)))], ["query_id", "h", "w", "floor"])
+
+    weighted, path = c.saved(lists.mapInArrow(packed, f"query_id {kinds[0]}, h binary, w binary, floor double"), "bm25-queries")
+    rest = kinds, types, k, total / n if n and total else 1.0, k1, b
+    chosen = own.select("shard").orderBy(F.xxhash64("shard")).limit(math.isqrt(shards))
+    first, _ = c.saved(_ranked(_found(own.join(F.broadcast(chosen), "shard", "left_semi"), path, *rest), k), "bm25-first")  # a shard number for the root of the shards
+    floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    ready = weighted.join(floors, weighted["query_id"].eqNullSafe(floors["query_id"]), "left")
+    _, ready_path = c.saved(ready.select(weighted["query_id"], "h", "w", F.coalesce("reached", "floor").alias("floor")), "bm25-floors")
+    second = _found(own.join(F.broadcast(chosen), "shard", "left_anti"), ready_path, *rest)
+    ranked = _ranked(first.drop("rank").unionByName(second), k)
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose id is divisible by 100 as queries, with their whole texts, against all documents."""
     docs = c.table(spark, sf_dir, "documents")
     return search(docs, docs.where("doc_id % 100 = 0")).withColumnRenamed("id", "doc_id")
+
+
+SQL = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf) AS size FROM tf GROUP BY ALL),
+total AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(size) FROM sizes) / (SELECT count(*) FROM documents) AS mean),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT doc_id AS query_id, term, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM tf JOIN df USING (term), total WHERE doc_id % 100 = 0),
+s AS (SELECT query_id, tf.doc_id, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
+      FROM q JOIN tf USING (term) JOIN sizes ON sizes.doc_id = tf.doc_id, total GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10
+"""

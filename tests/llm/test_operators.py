@@ -528,29 +528,67 @@ def slow_search(rows, queries, k, k1=1.2, b=0.75):
             size = sum(bag.values())
             s = sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * bag[w] * (k1 + 1) / (bag[w] + k1 * (1 - b + b * size / avg)) for w, m in collections.Counter(re.findall(r"[^\W_]+", (t or "").lower())).items() if bag[w])
             if s > 0:
-                found.append((-s, i))
+                found.append((-round(s, 6), i))
         out[q] = [(i, -s) for s, i in sorted(found)[:k]]
     return {q: x for q, x in out.items() if x}
 
 
+def rare_corpus(n, seed):
+    """Words of very different frequency, copies in number, and a word that one document holds."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randint(1, 60))) for _ in range(n)]
+    for i in range(0, n, 7):
+        texts[i] = texts[rng.randrange(n)]
+    texts[3] += " only"
+    return [(10 * i, t, "en") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pruned_search_of_a_shard_is_exact(monkeypatch, seed):
+    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    rows, terms = rare_corpus(300, seed), topk_search.Terms()
+    made = topk_search.build_shard([i for i, *_ in rows], [terms.count(t) for _, t, _ in rows])
+    arrays = {k: np.frombuffer(made[k], t) for k, t in (("lengths", np.int32), ("terms", np.uint64), ("df", np.int32), ("doc", np.int32), ("tf", np.int32))}
+    shard = topk_search.Shard(made["ids"], avg=made["total"] / made["n"], k1=1.2, b=0.75, **arrays)
+    df = dict(zip(arrays["terms"].tolist(), arrays["df"].tolist(), strict=True))
+    rng = random.Random(seed)
+    asked = [(i, t) for i, t, _ in rows[:40]] + [(10_000 + i, " ".join(rng.choices([f"w{j}" for j in range(400)], k=rng.randint(1, 3)))) for i in range(60)] + [(20_000, "only w0")]
+    want = slow_search(rows, asked, 5)
+    for q, t in asked:
+        h, tf = terms.count(t)
+        by = np.argsort(h)
+        n = np.array([df.get(x, 0) for x in h[by].tolist()])
+        weights = tf[by] * np.log1p((300 - n + 0.5) / (n + 0.5))
+        got = [(i, s) for s, i in shard.search(h[by], weights, 5)]
+        assert [i for i, _ in got] == [i for i, _ in want.get(q, [])] and [s for _, s in got] == pytest.approx([s for _, s in want.get(q, [])], abs=2e-6)
+        if len(got) == 5:  # the floor keeps what reaches it, and no more
+            assert [(i, s) for s, i in shard.search(h[by], weights, 5, got[2][1])] == [x for x in got if x[1] >= got[2][1]]
+    assert shard.visited < 0.8 * shard.met
+
+
 @pytest.mark.parametrize("shard", [1 << 24, 400])
-@pytest.mark.parametrize("entries", [1 << 20, 5])
-def test_search(spark, monkeypatch, shard, entries):
+def test_search(spark, monkeypatch, shard):
     monkeypatch.setattr(topk_search, "SHARD_TEXT", shard)
-    monkeypatch.setattr(topk_search, "QUERY_ENTRIES", entries)
-    monkeypatch.setattr(topk_search, "BLOCK", 4)
-    rows = corpus(90, 3)
+    rows = [*rare_corpus(150, 3), *((i + 5000, t, x) for i, t, x in corpus(40, 3)[:40])]
     docs = frame(spark, rows)
-    queries = [(i, t) for i, t, _ in rows if i % 100 == 0] + [(10_001, "river stone"), (10_002, "unknownword")]
-    asked = spark.createDataFrame(queries, "doc_id long, text string")
+    queries = [(i, t) for i, t, _ in rows if i % 100 == 0] + [(10_001, "w1 w50 only"), (10_002, "unknownword"), (10_003, "w70 w71"), (10_004, None), (10_005, "")]
+    again = [(10_001, "w1 w50 only"), queries[0], queries[3]]  # repeated queries count once
+    asked = spark.createDataFrame(queries + again, "doc_id long, text string")
     got = collections.defaultdict(list)
     for r in topk_search.search(docs, asked, k=5).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r["query_id"]]) + 1
         got[r["query_id"]].append((r["id"], r["score"]))
     want = slow_search(rows, queries, 5)
     assert set(got) == set(want)
     for q, x in want.items():
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in x])
-        assert len({i for i, _ in got[q]} - {i for i, _ in x}) <= 1
+        assert [i for i, _ in got[q]] == [i for i, _ in x] and [s for _, s in got[q]] == pytest.approx([s for _, s in x], abs=2e-6)
+    two = spark.createDataFrame([(1, "w70"), (1, "w71"), (None, "only")], "doc_id long, text string")  # texts of one id are one query
+    found = collections.defaultdict(list)
+    for r in topk_search.search(docs, two, k=5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["id"])
+    assert found == {1: [i for i, _ in got[10_003]], None: [30]}
 
 
 def test_search_of_empty_tables(spark, docs, empty):
