@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by length-bucketed padded matrices.
 
-Text is cut by the tokenizer's pattern. Pieces seen before come from a bounded cache; the others go, bucketed by
+Text is cut by the tokenizer's pattern. Pieces seen before come from a cache of bounded bytes; the others go, bucketed by
 length, into padded matrices of token ids in which each round merges every row's leftmost minimum-rank pair. Ranks
 of pairs come from an open-addressing table, rows that are done leave the matrix, and widths shrink as rows do.
+Decoding knows ids alone: a document's bytes are gathered, token by token, from a flat table of all tokens' bytes.
 
 Null and empty texts give no ids. Texts of any length are encoded whole. Rows are independent: ties, repeated rows,
 empty tables and extra columns need no special care; only the two named columns are read.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +24,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as c
 
-#: Pieces held by the cache of a worker before it starts anew.
-CACHE = 200_000
+#: Bytes (about) held by the cache of a worker before it starts anew, and what an entry costs besides its piece and ids.
+CACHE_BYTES, ENTRY = 96 << 20, 200
 #: Longer pieces are merged through a heap: a matrix row would cost the square of its length.
 WIDEST = 512
 NO_RANK = np.int32(2**31 - 1)
 
 
+class Flat:
+    """Byte strings side by side, for gathering many at once."""
+
+    def __init__(self, parts: list[bytes]):
+        self.size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    def gather(self, ids: np.ndarray) -> bytes:
+        """The strings of the ids, one behind the other."""
+        return self.flat[c.ranges(self.start[ids], self.size[ids])].tobytes()
+
+
 class Codec:
     """Encoder and decoder of one rank file in the tiktoken format."""
 
@@ -39,7 +54,8 @@ class Codec:
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
-        self.decimal = [str(i) for i in range(len(self.token))]
+        self.token_bytes = Flat(self.token)
+        self.decimals = Flat([b"%d," % i for i in range(len(self.token))])
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         keys, values = [], []
         for token, rank in self.ranks.items():
@@ -52,11 +68,11 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
+        """Start a new cache: pieces, and the ids of each in one growing pool."""
         self.index: dict[str, int] = {}
-        self.ids: list[tuple[int, ...]] = []
-        self.counts: list[int] = []
-        self.texts: list[str] = []  # decimals of the ids
-        self.bytes: list[bytes] = []  # what the ids decode to
+        self.held = 0
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         found = self.pairs.get(left.astype(np.int64) << 32 | right.astype(np.int64))
@@ -145,44 +161,39 @@ class Codec:
             step = max(16, 1_000_000 // max(map(len, raws)))
             for k in range(0, len(raws), step):
                 found += zip(names[k : k + step], self.merge_matrix(raws[k : k + step]), strict=True)
-        decimal = self.decimal
         for piece, ids in found:
-            self.index[piece] = len(self.ids)
-            self.ids.append(ids)
-            self.counts.append(len(ids))
-            self.texts.append(",".join([decimal[i] for i in ids]))
-            self.bytes.append(self.decode(ids))
-
-    def lookup(self, texts: list[str | None]) -> list[list[int]]:
-        """Per text the cache places of its pieces."""
+            at, n = len(self.index), len(ids)
+            if at == len(self.starts):
+                self.starts, self.counts = np.resize(self.starts, 2 * at), np.resize(self.counts, 2 * at)
+            while self.used + n > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * len(self.pool))
+            self.index[piece] = at
+            self.starts[at], self.counts[at] = self.used, n
+            self.pool[self.used : self.used + n] = ids
+            self.used += n
+            self.held += ENTRY + 4 * len(piece) + 4 * n
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [self.pattern.findall(t) if t else [] for t in texts]
         fresh = set().union(*cut).difference(self.index) if cut else set()
-        if len(self.index) + len(fresh) > CACHE and self.index:
+        if self.index and self.held + sum(ENTRY + 8 * len(x) for x in fresh) > CACHE_BYTES:
             self.forget()
             fresh = set().union(*cut)
         self.learn(fresh)
-        return [list(map(self.index.__getitem__, x)) for x in cut]
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        found = self.lookup(texts)  # may start a new cache
-        return [[i for p in places for i in self.ids[p]] for places in found]
+        places = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        sizes = self.counts[places]
+        ids = self.pool[c.ranges(self.starts[places], sizes)]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(x) for x in cut], dtype=np.int64)] if cut else []
+        return np.split(ids, ends[:-1]) if cut else []
 
     def decode(self, ids) -> bytes:
-        token = self.token
-        return b"".join([token[i] for i in ids])
+        return self.token_bytes.gather(np.asarray(ids, np.int64))
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Per text the number of ids, the digest of their decimals, and that of the decoded bytes.
-
-        Ids are decoded piece by piece: the bytes of a sequence of ids are those of its parts, one behind the other.
-        """
+        """Per text the number of ids, the digest of their decimals, and that of the bytes that these ids decode to."""
         sha = hashlib.sha256
-        out = []
-        for places in self.lookup(texts):
-            n = sum(map(self.counts.__getitem__, places))
-            decimals = ",".join(map(self.texts.__getitem__, places))
-            out.append((n, sha(decimals.encode()).hexdigest(), sha(b"".join(map(self.bytes.__getitem__, places))).hexdigest()))
-        return out
+        return [(len(ids), sha(self.decimals.gather(ids)[:-1]).hexdigest(), sha(self.decode(ids)).hexdigest()) for ids in self.encode(texts)]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -201,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in c.pieces_of(batches, "text"):
+        for b in c.pieces_of(batches, "text", 1 << 20):
             ids = pa.array(own.encode(b.column(1).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
 
@@ -216,7 +227,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            content = pa.array([own.decode(x or ()) for x in b.column(1).to_pylist()], pa.binary())
+            content = pa.array([own.decode(x.values if x.is_valid else ()) for x in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), content], ["id", "content"])
 
     one = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
@@ -229,7 +240,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in c.pieces_of(batches, "text"):
+        for b in c.pieces_of(batches, "text", 1 << 20):
             n, ids, decoded = zip(*own.digests(b.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

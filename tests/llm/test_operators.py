@@ -102,21 +102,33 @@ def codec():
 @settings(deadline=None, max_examples=300)
 def test_encoding_equals_the_library(text):
     own = bpe.codec(*bpe.default_ranks())
-    ids = own.encode([text])[0]
+    ids = own.encode([text])[0].tolist()
     assert ids == REFERENCE.encode_ordinary(text) and own.decode(ids) == text.encode()
 
 
 @pytest.mark.parametrize("text", ["a" * 700, " " * 3000, "!" * 2000, "tion" * 500, "é漢" * 400, "x\x1cy\x85z ", "ab" * 256 + "c"])
 def test_long_pieces(codec, text):
-    assert codec.encode([text])[0] == REFERENCE.encode_ordinary(text)
+    assert codec.encode([text])[0].tolist() == REFERENCE.encode_ordinary(text)
 
 
 def test_cache_overflow_changes_nothing(monkeypatch):
     own = bpe.Codec(*bpe.default_ranks())
-    monkeypatch.setattr(bpe, "CACHE", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1500)
     for k in range(5):
-        text = f"some words number {k} and yet more of them"
-        assert own.encode([text])[0] == REFERENCE.encode_ordinary(text)
+        texts = [f"some words number {k} and yet more of them", None, "", f"x{k}"]
+        assert [x.tolist() for x in own.encode(texts)] == [REFERENCE.encode_ordinary(t or "") for t in texts]
+        assert own.held <= 4000
+
+
+def test_decoding_knows_ids_alone(codec, monkeypatch):
+    text = "one two three, four"
+    right, ids = codec.digests([text])[0], codec.encode([text])[0]
+    assert right[2] == hashlib.sha256(text.encode()).hexdigest()
+    monkeypatch.setattr(codec, "encode", lambda texts: [np.concatenate((ids[:2][::-1], ids[2:]))])
+    n, own, decoded = codec.digests([text])[0]
+    assert n == right[0] and own != right[1] and decoded != right[2]
+    monkeypatch.setattr(codec, "encode", lambda texts: [ids[1:]])
+    assert codec.digests([text])[0][2] == hashlib.sha256(text.encode()[len(codec.token[ids[0]]) :]).hexdigest()
 
 
 def test_round_trip(docs, empty):
