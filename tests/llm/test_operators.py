@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import math
@@ -633,6 +634,35 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.where("page_id < 0"))).count() == 0
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_of_others(spark, tmp_path, packed):
+    """Records without our own headers, of other types, folded into one gzip member each or plain."""
+    body = b"z" * 3000
+    record = lambda lines, block: b"\r\n".join([b"WARC/1.0", *lines, b"content-length: %d" % len(block), b"", b""]) + block + b"\r\n\r\n"
+    records = [
+        record([b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:a>"], b"software: x\r\n"),
+        record([b"WARC-Type: response", b"WARC-Record-ID: <urn:b>", b"Content-Type: application/http; msgtype=response"], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body),
+        record([b"WARC-Type: request", b"Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"),
+        record([b"WARC-Type: revisit", b"WARC-Record-ID: <urn:d>"], b""),
+        record([b"WARC-Type: resource", b"WARC-Record-ID: <urn:e>", b"WARC-Payload-Digest: md5:00"], body),
+    ]
+    (tmp_path / "a").write_bytes(b"".join(gzip.compress(x) if packed else x for x in records))
+    manifest = spark.createDataFrame([(str(tmp_path / "a"),)], "path string")
+    got = warc.read(manifest, chunk=1000).collect()
+    last = {(r["record_type"], r["record_id"], r["page_id"], r["payload_bytes"]) for r in got if r["is_last"]}
+    assert last == {("warcinfo", "<urn:a>", None, 13), ("response", "<urn:b>", None, 3000), ("request", None, None, 0), ("revisit", "<urn:d>", None, None), ("resource", "<urn:e>", None, 3000)}
+    assert [r["payload_digest"] for r in got if r["record_id"] == "<urn:b>"] == [warc.base32(hashlib.sha1(body[:n]).digest()) for n in (1000, 2000, 3000)]
+
+
+def test_revisits_name_their_response(spark):
+    pages = spark.createDataFrame([(1, "u 1", "same"), (2, "u2", "same"), (3, "u3", "other")], "page_id long, url string, html string")
+    manifest = warc.write(pages)
+    texts = b"".join(b"".join(gzip.decompress(open(r["path"].removeprefix("file://"), "rb").read()) for _ in (0,)) for r in manifest.collect()).decode()
+    records = {re.search(r"X-Page-ID: (\d)", x)[1]: x for x in texts.split("WARC/1.1\r\n")[1:]}
+    name = re.search(r"WARC-Record-ID: (\S+)", records["2"])[1]
+    assert f"WARC-Refers-To: {name}" in records["1"] and "WARC-Refers-To-Target-URI: u2" in records["1"] and "HTTP/1.1 200 OK" in records["3"]
+
+
 def test_small_payloads_are_no_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.read(warc.write(pages, least=3)).collect()}
