@@ -1,21 +1,25 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose their punctuation and case; words without a letter or digit go. Numbers, units after a number, and names
-(capitalised words that don't begin a sentence) become typed placeholders. The windows of `window` template words of
-every benchmark item are hash-joined with those of every document. A window that matches is checked in full: the
-template words must be equal, and the slots must be consistent: one benchmark value stands for one document value
-throughout the window, and the reverse. So an item whose numbers or names were exchanged is still found. If a value
-differs, `literals` template words at least must be plain (of a shorter item a share of them); a window with equal
-values counts as it is. Items shorter than a window are matched as a whole if they have `least` words.
-
-A capitalised word that begins a sentence may be a name or not, so there is a second template, in which it is a name.
-Windows of either template match those of the other; two or more such words of an item make up for one plain word.
+Words lose their punctuation and case; words without a letter or digit go. Numbers (digits or number words), units after
+a number, and names (capitalised words that don't begin a sentence) become typed placeholders. A capitalised word that
+begins a sentence may be a name or not, so there is a second template, in which it is a name; windows of either template
+match those of the other.
+
+1. The hashes of all windows of `window` template words of the benchmark make a table, and a Bloom filter of
+   2 ** 28 bits at most. Items shorter than a window are matched as a whole if they have `least` words.
+2. One pass over the documents, whatever the benchmark's size, keeps those with a window in the filter, and a hash join
+   with the table gives the pairs of document and item that share a window.
+3. Each pair is checked in full. Consecutive matching windows at one offset make a stretch, along which the template
+   words must be equal. A window whose slots have the item's own values counts as it is: verbatim copies are found
+   whatever they are made of. A window with exchanged values counts if the slots are consistent over the whole stretch
+   (one benchmark value stands for one document value throughout, and the reverse), and if it holds `literals` words
+   at least that are equal and no numbers (of a shorter item a share of them); two or more names that begin sentences
+   make up for one. So an item whose numbers, units or names were exchanged is still found.
 
 A document is contaminated if one window matches. Null and empty texts match nothing; long texts are scanned whole;
-repeated rows are judged alike; equal items are all reported; an empty benchmark or document table gives no matches.
-
-The benchmark goes to the executors in blocks of at most `block_bytes` of text, one pass over the documents for each
-block, so its size is bounded whatever the table's.
+repeated rows are judged alike and counted once; rows of one id with different texts are judged each by its own text;
+equal items are all reported, and texts that share an item id are passages of one item; an empty benchmark or document
+table gives no matches. Ids may be of any type. Other columns are carried along by `decontaminate` and not read.
 """
 
 from __future__ import annotations
@@ -26,31 +30,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _common as c
 
-#: Units that become a placeholder after a number.
+#: Units that become a placeholder after a number, in four languages.
 UNITS = frozenset(
     "% percent kg g mg lb lbs oz ton tons tonnes km m cm mm mi mile miles ft feet foot inch inches yd yards meter meters metre metres "
     "l ml liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks "
     "month months year years $ € £ dollar dollars cent cents euro euros pound pounds usd eur gbp kmh mph hz khz mhz ghz w kw mw kwh j kj cal kcal "
-    "v a degrees degree °c °f b kb mb gb tb".split()
+    "v a degrees degree °c °f b kb mb gb tb "
+    "prozent gramm kilogramm tonne tonnen kilometer meile meilen fuß zoll sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren grad pfund "
+    "pourcent gramme grammes kilogramme kilogrammes kilomètre kilomètres mètre mètres litron seconde secondes heure heures jour jours semaine semaines mois an ans année années degré degrés livre livres "
+    "gramo gramos kilo kilos kilogramo kilogramos kilómetro kilómetros metro metros litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados libra libras".split()
 )
+#: Words that are numbers, in four languages; those that are articles too are left out.
+NUMBERS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty "
+    "sixty seventy eighty ninety hundred thousand million billion dozen "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig hundert tausend dutzend "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille douzaine "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta cien ciento mil docena".split()
+) - {"cent"}  # a coin, too
 NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:%|°?[a-zA-Z]{1,4})?")
 EDGES = re.compile(r"^[^\w$€£%°+-]+|[^\w%°$€£]+$|^-+$")
 #: Marks that end a sentence.
 ENDS = frozenset(".!?:;…")
-#: Words held by the cache of a worker before it starts anew.
-CACHE = 300_000
+#: Bytes (about) of words held by the cache of a worker before it starts anew.
+CACHE_BYTES = 64 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NUM, UNIT, NAME = "\0number", "\0unit", "\0name"
+#: Bits of the filter: so many for each window of the benchmark, between 2 to the power of the one and of the other.
+BITS_EACH, LEAST_BITS, MOST_BITS = 256, 16, 28
+#: Places of the filter that a window sets.
+PROBES = 4
+#: Items that one document is checked against at a time.
+LOT = 256
 
 
 def _hash(word: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(word, 11)
 
 
@@ -60,11 +81,12 @@ class Words:
     def __init__(self):
         self.index: dict[str, int] = {}
         self.cores: list[str] = []
+        self.held = 0
         self.hashes = np.zeros(1024, np.uint64)
         self.flags = np.zeros(1024, np.uint8)
 
     def places(self, words: list[str]) -> np.ndarray:
-        if len(self.index) > CACHE:
+        if self.held > CACHE_BYTES:
             self.__init__()
         for word in set(words).difference(self.index):
             core = word.rstrip(".,;:!?")
@@ -76,7 +98,7 @@ class Words:
             flags = 8 * (last in ENDS)
             if not plain and not any(map(str.isalnum, core)) and core not in UNITS:
                 flags |= 16
-            elif not plain and NUMBER.fullmatch(core):
+            elif lower in NUMBERS or (not plain and NUMBER.fullmatch(core)):
                 flags |= 1
             else:
                 flags |= 2 * (lower in UNITS) | 4 * core[0].isupper()
@@ -85,6 +107,7 @@ class Words:
                 self.hashes, self.flags = np.resize(self.hashes, 2 * n), np.resize(self.flags, 2 * n)
             self.index[word] = n
             self.cores.append(lower)
+            self.held += 300 + 8 * len(word)
             self.hashes[n], self.flags[n] = _hash(lower), flags
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
@@ -118,120 +141,185 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-class Matcher:
-    """The windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int, literals: int, least: int):
-        self.words, self.window, self.literals = Words(), window, literals
-        self.at: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.items = []
-        for item, text in items:
-            place, both = self.words.template(text or "")
-            n = min(window, len(place))
-            if n < least:
-                continue
-            self.items.append((item, [self.words.cores[p] for p in place.tolist()], [kind for kind, _ in both]))
-            first, second = (windows(hashes, n).tolist() for _, hashes in both)
-            for k, (h, h2) in enumerate(zip(first, second, strict=True)):
-                self.at[n][h].append((len(self.items) - 1, k, 0))
-                if h2 != h:
-                    self.at[n][h2].append((len(self.items) - 1, k, 1))
-        self.words = Words()
-        self.maps = {}
-        for n, own in self.at.items():
-            self.maps[n] = np.zeros(1 << 20, bool)
-            self.maps[n][np.array(list(own), np.uint64) >> np.uint64(44)] = True
-
-    def matches(self, text: str | None) -> dict[int, tuple[int, int]]:
-        """By place of the item: windows that match, and those of them with an exchanged slot."""
-        found: dict[int, tuple[int, int]] = {}
-        if not text:
-            return found
-        place, both = self.words.template(text)
-        for n, own in self.at.items():
-            before, seen = None, {}
-            for kind, hashes in both:
-                got = windows(hashes, n)
-                hit = self.maps[n][got >> np.uint64(44)]
-                if before is not None:
-                    hit &= got != before
-                before = got
-                for k in np.flatnonzero(hit).tolist():
-                    for item, j, template in own.get(int(got[k]), ()):
-                        same = self.same(item, j, template, [self.words.cores[p] for p in place[k : k + n].tolist()], kind[k : k + n])
-                        if same:  # of both templates, the equal one counts
-                            seen[k, item, j] = min(same, seen.get((k, item, j), 2))
-            for (_, item, _), same in seen.items():
-                total, changed = found.get(item, (0, 0))
-                found[item] = total + 1, changed + (same == 2)
-        return found
-
-    def same(self, item: int, j: int, template: int, cores: list[str], kind: np.ndarray) -> int:
-        """0: no match; 1: equal; 2: equal but for consistent slots."""
-        n, (_, own, kinds) = len(cores), self.items[item]
-        if not np.array_equal(kinds[template][j : j + n], kind):
-            return 0
-        there: dict[tuple[int, str], str] = {}
-        back: dict[tuple[int, str], str] = {}
-        changed = 1
-        for a, b, k in zip(own[j : j + n], cores, kind.tolist(), strict=True):
-            if k == 0:
-                if a != b:
-                    return 0
-            elif there.setdefault((k, a), b) != b or back.setdefault((k, b), a) != a:
-                return 0
-            elif a != b:
-                changed = 2
-        if changed == 2:
-            plain, begins = int((kind == 0).sum()), int((kinds[0][j : j + n] != kind).sum())
-            need = max(1, min(self.literals, n) if n == self.window else self.literals * n // self.window)
-            if plain + (begins > 1) < need:
-                return 0
-        return changed
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in order of id, in lists of bounded size; they are streamed by partition, never held together."""
-    held, size = [], 0
-    rows = benchmark.select(item_col, text_col).orderBy(item_col, text_col)
-    for item, text in rows.toLocalIterator():
-        if held and size + len(text or "") > block_bytes:
-            yield held
-            held, size = [], 0
-        held.append((item, text))
-        size += len(text or "")
-    yield held
+def windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n template words."""
+    out = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+    for k in range(n):
+        out = out * BASE + hashes[k : k + len(out)]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+class Filter:
+    """A Bloom filter of window hashes."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int, probe: int) -> np.ndarray:
+        return ((hashes >> np.uint64(9 * probe)) * BASE) >> np.uint64(64 - bits)
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be in the benchmark."""
+        at = np.arange(len(hashes))
+        for probe in range(PROBES):
+            place = self.places(hashes[at], self.bits, probe)
+            at = at[(self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0]
+            if not len(at):
+                break
+        return at
+
+
+class Text:
+    """The template words of a text: their ids in `known`, and by template the kinds and hashes."""
+
+    def __init__(self, text: str, words: Words, known: dict[str, int]):
+        place, self.both = words.template(text)
+        cores = words.cores
+        self.ids = np.array([known.setdefault(cores[p], len(known)) for p in place.tolist()], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _consistent(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether one value stands for one other throughout, by kind of slot, in both directions."""
+    slots = kind > 0
+    pairs = set(zip(kind[slots].tolist(), a[slots].tolist(), b[slots].tolist(), strict=True))
+    return len({x[:2] for x in pairs}) == len({x[::2] for x in pairs}) == len(pairs)
+
+
+def compare(doc: Text, item: Text, window: int, literals: int) -> tuple[int, int]:
+    """(windows of the item that match one of the document, those of them with an exchanged slot)."""
+    n = min(window, len(item))
+    seen: dict[tuple[int, int], bool] = {}  # by places in document and item: whether a slot is exchanged
+    need = max(1, min(literals, n) if n == window else literals * n // window)
+    plain_item = item.both[0][0]
+    for item_kind, item_hashes in item.both:
+        own = defaultdict(list)
+        for j, h in enumerate(windows(item_hashes, n).tolist()):
+            own[h].append(j)
+        keys = np.array(sorted(own), np.uint64)
+        for kind, hashes in doc.both:
+            got = windows(hashes, n)
+            at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
+            places = np.flatnonzero(keys[at] == got)
+            by_offset = defaultdict(list)
+            for i in places.tolist():
+                for j in own[int(got[i])]:
+                    by_offset[i - j].append(j)
+            for offset, js in by_offset.items():
+                js = np.unique(js)
+                for run in np.split(js, np.flatnonzero(np.diff(js) > 1) + 1):
+                    a, z = int(run[0]), int(run[-1]) + n
+                    x, y = item.ids[a:z], doc.ids[a + offset : z + offset]
+                    kinds = item_kind[a:z]
+                    differs = x != y
+                    if (kinds != kind[a + offset : z + offset]).any() or (differs & (kinds == 0)).any():
+                        continue  # hashes that meet by chance
+                    same = ~differs & (kinds != 1)
+                    begins = plain_item[a:z] != kinds
+                    consistent = _consistent(kinds, x, y) if differs.any() else True
+                    for j in run.tolist():
+                        part = slice(j - a, j - a + n)
+                        changed = bool(differs[part].any())
+                        if changed and not (consistent and int(same[part].sum()) + (int((begins & differs)[part].sum()) > 1) >= need):
+                            continue
+                        key = j + offset, j
+                        seen[key] = changed and seen.get(key, True)
+    return len(seen), sum(seen.values())
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).where(F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals: int = 5, least: int = 5, block_bytes: int = 4 << 20,
+    docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals: int = 5, least: int = 5,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """(id, item, n_windows, n_changed) of each document and item that share a window."""
+    """(id, th, item, n_windows, n_changed) of each document and item that share a window; th is the hash of the text."""
     spark = docs.sparkSession
     c.tune(spark)
-    one = c.spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    out = None
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast((items, window, literals, least))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = Matcher(*sent.value)
-            for b in batches:
-                rows = [(k, own.items[i][0], *n) for k, t in enumerate(b.column(1)) for i, n in own.matches(t.as_py()).items()]
-                if rows:
-                    k, item, total, changed = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), pa.array(item, pa.int64()), pa.array(total, pa.int64()), pa.array(changed, pa.int64())], ["id", "item", "n_windows", "n_changed"])
-
-        part = one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, item long, n_windows long, n_changed long")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of docs that match no item. Rows with a null id are judged together, as one document."""
-    found = matches(docs, benchmark, id_col=id_col, **settings).select(F.col("id").alias("matched_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["matched_id"]), "left_anti")
+    items = benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text")).where(F.col("text").isNotNull()).distinct()
+    items, _ = c.saved(items.withColumn("key", F.xxhash64("item", "text")), "bench-items")
+
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _, both = words.template(text)
+                n = min(window, len(both[0][1]))
+                if n >= least:
+                    h = np.unique(np.concatenate([windows(hashes, n) for _, hashes in both]))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(np.full(len(h), key))], ["h", "n", "key"])
+
+    own, _ = c.saved(items.select("key", "text").mapInArrow(item_windows, "h long, n int, key long"), "bench-windows")
+    sizes = {r["n"]: r["count"] for r in own.groupBy("n").count().collect()}
+    bits = min(MOST_BITS, max(LEAST_BITS, int(BITS_EACH * sum(sizes.values())).bit_length()))
+
+    def filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            place = np.concatenate([Filter.places(h, bits, probe) for probe in range(PROBES)])
+            bit = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(bit)], ["word", "bit"])
+
+    filled = np.zeros(1 << (bits - 6), np.uint64)
+    rows = own.select("h").mapInArrow(filter_words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    for r in rows.toLocalIterator():  # of a filter of 2 ** MOST_BITS bits at most
+        filled[r["word"]] = np.int64(r["bits"]).view(np.uint64)
+    sent = spark.sparkContext.broadcast((bits, filled))
+    one = c.spread(_keyed(docs, id_col, text_col))
+    kind, id_type = one.schema["id"].dataType.simpleString(), to_arrow_type(one.schema["id"].dataType)
+    item_kind, item_type = items.schema["item"].dataType.simpleString(), to_arrow_type(items.schema["item"].dataType)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = Words(), Filter(*sent.value)
+        for b in batches:
+            found = []
+            for text in b.column(1):
+                _, both = words.template(text.as_py())
+                # the templates differ in few windows, so that most of the second ones are not looked up
+                got = np.concatenate([windows(hashes, n) for n in sizes for _, hashes in both] or [np.zeros(0, np.uint64)])
+                found.append(np.unique(got[known.hits(got)]).view(np.int64))
+            some = [k for k, x in enumerate(found) if len(x)]
+            if some:
+                yield pa.RecordBatch.from_arrays([*(col.take(pa.array(some)) for col in b.columns), pa.array([found[k] for k in some], pa.list_(pa.int64()))], ["id", "text", "th", "hs"])
+
+    held, _ = c.saved(one.select("id", "text", "th").mapInArrow(hits, f"id {kind}, text string, th long, hs array<long>"), "bench-hits")
+    pairs = held.select("id", "th", F.explode("hs").alias("h")).join(own.select("h", "key"), "h").select("id", "th", "key").distinct()
+    lot = F.floor((F.row_number().over(Window.partitionBy("id", "th").orderBy("key")) - 1) / LOT)
+    lists = pairs.withColumn("lot", lot).join(items.select("key", "item", F.col("text").alias("item_text")), "key")
+    lists = lists.groupBy("id", "th", "lot").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
+    texts = held.select("id", "text", "th").dropDuplicates(["id", "th"])
+    joined = texts.join(lists, texts["id"].eqNullSafe(lists["id"]) & (texts["th"] == lists["th"])).select(texts["id"], texts["th"], "text", "items")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            out = []
+            for key, th, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                known: dict[str, int] = {}
+                doc = Text(text, words, known)
+                for x in asked:
+                    total, changed = compare(doc, Text(x["item_text"], words, known), window, literals)
+                    if total:
+                        out.append((key, th, x["item"], total, changed))
+            if out:
+                columns = zip(zip(*out, strict=True), (id_type, pa.int64(), item_type, pa.int64(), pa.int64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["id", "th", "item", "n_windows", "n_changed"])
+
+    found = joined.mapInArrow(checked, f"id {kind}, th long, item {item_kind}, n_windows long, n_changed long")
+    return found.groupBy("id", "th", "item").agg(F.sum("n_windows").alias("n_windows"), F.sum("n_changed").alias("n_changed"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs that match no item."""
+    found = matches(docs, benchmark, id_col=id_col, text_col=text_col, **settings)
+    found, _ = c.saved(found.select(F.col("id").alias("matched_id"), F.col("th").alias("matched_th")).distinct(), "bench-found")
+    return docs.join(found, docs[id_col].eqNullSafe(found["matched_id"]) & (F.xxhash64(docs[text_col]) == found["matched_th"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,14 +396,15 @@ def test_line_dedup_tells_texts_of_one_id_apart(spark):
 ITEMS = [(1, "Alice bought 12 apples for 3 dollars and then walked to the old market by the river."), (2, "tiny item of five words"), (3, None), (4, ""), (5, "2 3 4 5 6 7 8 9 10 11")]
 
 
-def contaminated(spark, texts, **settings):
+def contaminated(spark, texts, items=ITEMS, **settings):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
     return {(r["id"], r["item"]): r["n_changed"] for r in decontamination.matches(docs, bench, **settings).collect()}
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 10])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("lot", [256, 1])
+def test_decontamination(spark, monkeypatch, lot):
+    monkeypatch.setattr(decontamination, "LOT", lot)
     texts = [
         "Before it. " + ITEMS[0][1] + " And after.",
         "so Alice bought 40 apples for 9 dollars and then walked to the old market by the river",
@@ -414,30 +415,127 @@ def test_decontamination(spark, block_bytes):
         "12 13 14 15 16 17 18 19 20 21 22 23 24 25 26",
         "nothing to see here at all, only plain words about the weather",
         "word " * 20000 + ITEMS[0][1],
+        "tiny item of five words. " + ITEMS[0][1],
     ]
-    got = contaminated(spark, texts, block_bytes=block_bytes)
-    assert set(got) == {(0, 1), (1, 1), (3, 2), (8, 1)}
+    got = contaminated(spark, texts)
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (8, 1), (9, 1), (9, 2)}  # a whole window in the third text
     assert got[0, 1] == 0 and got[1, 1] > 0
 
 
+def pair(doc, item, window=8, literals=5):
+    words, known = decontamination.Words(), {}
+    return decontamination.compare(decontamination.Text(doc, words, known), decontamination.Text(item, words, known), window, literals)
+
+
+@pytest.mark.parametrize("text", [
+    "Im Laden kauft Anna 5 Bücher, 3 Stifte und 2 Hefte für die Schule.",
+    "12 + 15 = 27, 8 * 3 = 24, 9 - 4 = 5, find 7 * 6",
+    "Paris Berlin London Madrid Rome Oslo Vienna Prague Lisbon Athens",
+    "What Is The Name Of The Longest River In The World",
+    "Who wrote Hamlet in 1601?",
+])
+def test_verbatim_copies_are_found(text):
+    n = len(text.split())
+    assert pair(text, text)[0] > 0 and pair("See this: " + text + " Did you?", text)[0] > 0 and n
+
+
+@pytest.mark.parametrize(("item", "copy"), [
+    ("Tom has 5 boxes. Tom puts 3 pens in each box. How many pens are there?", "Max has 7 boxes. Max puts 4 pens in each box. How many pens are there?"),
+    ("A farmer has twelve cows and sells five of them at the market on Monday.", "A farmer has thirty cows and sells nine of them at the market on Friday."),
+    ("A train goes 60 miles in two hours and then stops at the station.", "A train goes 90 kilometers in three hours and then stops at the station."),
+    ("Der Zug fährt 60 Kilometer in 2 Stunden und hält dann am Bahnhof.", "Der Zug fährt 90 Meilen in 3 Tagen und hält dann am Bahnhof."),
+    ("Tom has 12 apples. Mary has 5 pears. Sam has 9.", "Ann has 30 apples. Bob has 4 pears. Eve has 8."),
+])
+def test_exchanged_slots_are_found(item, copy):
+    total, changed = pair("Once more: " + copy + " So they ask.", item)
+    assert total and changed
+
+
 def test_slots_must_be_consistent():
-    own = decontamination.Matcher([(1, "take 5 from 5 and give 7 to each of them all")], 8, 4, 4)
-    assert own.matches("take 6 from 6 and give 8 to each of them all")
-    assert not own.matches("take 6 from 9 and give 8 to each")
-    assert not own.matches("take 6 from 6 and give 6 to each")
+    item = "take 5 from 5 and give 7 to each of them all"
+    assert pair("take 6 from 6 and give 8 to each of them all", item, literals=4)[1] > 0
+    assert not pair("take 6 from 9 and give 8 to each", item, literals=4)[0]
+    assert not pair("take 6 from 6 and give 6 to each", item, literals=4)[0]
+    far = "first take 5 of the small red stones and put all of them into the box then give back 5 of them"
+    assert pair(far.replace("5", "6"), far)[1] > 0
+    assert pair(far.replace("take 5", "take 6").replace("back 5", "back 9"), far)[1] == 0  # over the whole stretch
+    assert pair(far.replace("back 5", "back 9"), far) == (12, 0)  # the windows without the exchanged slot are verbatim
 
 
 def test_few_plain_words():
-    names = "Tom has 12 apples. Mary has 5 pears. Sam has 9."
-    own = decontamination.Matcher([(1, "Who wrote Hamlet in 1601?"), (2, "from Rome to Oslo 12 km, to Bonn 7 km, to Kiel 9 km"), (3, names)], 8, 5, 5)
-    assert own.matches("He asks: Who wrote Hamlet in 1601? Nobody knows.")[0] == (1, 0)
-    assert own.matches("Who wrote Faust in 1808?")[0] == (1, 1) and not own.matches("Who made Hamlet in 1601?")
-    assert own.matches("it is from Rome to Oslo 12 km, to Bonn 7 km, to Kiel 9 km")[1][1] == 0
-    assert not own.matches("it is from Riga to Ulm 40 km, to Bern 8 km, to Nice 5 km")
-    assert own.matches(names)[2] == (4, 0)
-    assert own.matches("Ann has 30 apples. Bob has 4 pears. Eve has 8.")[2] == (4, 4)
-    assert own.matches("Ann has 30 apples. Ann has 4 pears. Eve has 8.")[2] == (3, 3)  # not the window with both names
-    assert own.matches("Then Ann has 30 apples. Bob has 4 pears. Eve has 8.")[2][1] > 0
+    rome, names = "from Rome to Oslo 12 km, to Bonn 7 km, to Kiel 9 km", "Tom has 12 apples. Mary has 5 pears. Sam has 9."
+    assert pair("He asks: Who wrote Hamlet in 1601? Nobody knows.", "Who wrote Hamlet in 1601?") == (1, 0)
+    assert pair("Who wrote Faust in 1808?", "Who wrote Hamlet in 1601?") == (1, 1)
+    assert pair("Who made Hamlet in 1601?", "Who wrote Hamlet in 1601?") == (0, 0)
+    assert pair("it is " + rome, rome)[0] and pair("it is " + rome, rome)[1] == 0
+    assert pair("it is from Riga to Ulm 40 km, to Bern 8 km, to Nice 5 km", rome) == (0, 0)
+    assert pair(names, names) == (4, 0)
+    assert pair("Ann has 30 apples. Ann has 4 pears. Eve has 8.", names) == (0, 0)
+
+
+def slow_pair(doc, item, window, literals):
+    """All windows of both, word by word; a stretch is grown from each pair of windows."""
+    words = decontamination.Words()
+
+    def forms(text):
+        place, both = words.template(text)
+        cores = [words.cores[p] for p in place.tolist()]
+        return cores, [kind.tolist() for kind, _ in both]
+
+    (x, xk), (y, yk) = forms(item), forms(doc)
+    n = min(window, len(x))
+    need = max(1, min(literals, n) if n == window else literals * n // window)
+    seen = {}
+    for own, other in itertools.product(xk, yk):
+        fits = lambda j, i: 0 <= j < len(x) and 0 <= i < len(y) and own[j] == other[i] and (own[j] > 0 or x[j] == y[i])  # noqa: E731, B023
+        for j, i in itertools.product(range(len(x) - n + 1), range(len(y) - n + 1)):
+            if not all(fits(j + t, i + t) for t in range(n)):
+                continue
+            a, z = j, j + n
+            while fits(a - 1, i + a - 1 - j):
+                a -= 1
+            while fits(z, i + z - j):
+                z += 1
+            slots = {(own[t], x[t], y[i + t - j]) for t in range(a, z) if own[t]}
+            consistent = all((p == q) for p, q in itertools.product(slots, slots) if p[0] == q[0] and (p[1] == q[1] or p[2] == q[2]))
+            differs = [x[j + t] != y[i + t] for t in range(n)]
+            literal = sum(not d and own[j + t] != 1 for t, d in enumerate(differs))
+            begins = sum(d and xk[0][j + t] != own[j + t] for t, d in enumerate(differs))
+            if any(differs) and not (consistent and literal + (begins > 1) >= need):
+                continue
+            seen[j, i] = any(differs) and seen.get((j, i), True)
+    return len(seen), sum(seen.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_equals_all_windows_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["the", "boy", "has", "red", "box", "Tom", "Mary", "Rome", "5", "7", "twelve", "km", "days", "Then", "of", "and", "puts", "Haus"]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
+    items = [sentence(rng.randint(3, 25)) for _ in range(12)]
+    swap = {"Tom": "Max", "Mary": "Eve", "Rome": "Oslo", "5": "31", "7": "8", "km": "miles", "Haus": "Haus"}
+    texts = []
+    for k in range(40):
+        item = items[k % 12]
+        copy = re.sub(r"\w+", lambda m: swap.get(m[0], m[0]) if rng.random() < 0.95 else m[0], item) if k % 3 else item  # noqa: B023
+        texts.append(sentence(rng.randint(0, 20)) + " " + (copy if k % 5 else sentence(15)) + " " + sentence(rng.randint(0, 20)))
+    got = {}
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    docs = spark.createDataFrame([(f"d{k}", t, 1, 2) for k, t in enumerate(texts)], "doc_id string, text string, id int, th int")
+    for r in decontamination.matches(docs.union(docs.limit(5)), bench, window=6, literals=3, least=4).collect():
+        got[r["id"], r["item"]] = r["n_windows"], r["n_changed"]
+    want = {}
+    for i, j in itertools.product(range(40), range(12)):
+        if len(items[j].split()) >= 4 and (x := slow_pair(texts[i], items[j], 6, 3))[0]:
+            want[f"d{i}", f"i{j}"] = x
+    assert got == want and any(c for _, c in want.values())
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    docs = spark.createDataFrame([(1, "so " + ITEMS[0][1]), (1, "clean"), (None, ITEMS[0][1]), (None, "clean too"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([*ITEMS, ITEMS[0], (9, ITEMS[0][1])], "item_id long, text string")
+    assert {r["text"] for r in decontamination.decontaminate(docs, bench).collect()} == {"clean", "clean too", None}
+    assert {(r["id"], r["item"]) for r in decontamination.matches(docs, bench).collect()} == {(1, 1), (1, 9), (None, 1), (None, 9)}
 
 
 def test_decontaminate_keeps_the_rest(spark, docs, empty):
