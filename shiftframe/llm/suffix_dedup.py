@@ -12,12 +12,17 @@ earlier start) is removed. Strings never cross rows, overlaps count, and strings
    Burrows-Wheeler transform. Intervals are extended backward breadth first; an interval of strings of l bytes that
    closes at a boundary not met before gives it the common prefix l. The search stops at `length`: boundaries that are
    still open lie between suffixes with that much in common. In each such group the earliest window stays.
-4. A value with more than HOT different runs (the rim of a passage that very many rows share) would make one shard
-   grow with the data. Its windows are hashed one by one instead, which spreads them; this is exact as well.
+4. A value whose different runs have more than HOT_BYTES (the rim of a passage that very many rows share, or long rules
+   of one character) would make one shard grow with the data. Its windows are hashed one by one instead, which spreads
+   them; of equal windows in one run only the first is sent.
+
+Equal runs are told by a 64-bit hash of their bytes beside value and number of windows, and a hot value's windows by 128
+bits of BLAKE2b. Two runs that differ but share their value meet with a probability of 2 ** -64: of a million million
+such pairs, 5e-8. Elsewhere bytes themselves are sorted and compared.
 
 A null text counts as empty: no bytes, nothing removed. Texts of any length are cut into stretches of windows. Rows
-equal in id and text count as one row and get equal results; different texts with one id are told apart by a hash of
-the text. Empty tables give empty results. Other columns are not read.
+equal in id and text count as one row and get equal results; different texts with one id are told apart by a 64-bit hash
+of the text. Empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +43,8 @@ K = 24
 STRETCH = 1 << 17
 #: Bytes of runs in a shard; three places then fit into one 64-bit number.
 SHARD_BYTES = 1 << 20
-HOT = 5000
+#: Bytes of a value's different runs beyond which its windows are hashed one by one.
+HOT_BYTES = 1 << 19
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 B_INVERSE = np.uint64(pow(int(B), -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
@@ -257,7 +263,7 @@ def _spans(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = docs[text_col]
-    return c.spread(docs.select(docs[id_col].alias("d"), F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)).cast("int").alias("t"), text.cast("binary").alias("text")))
+    return c.spread(docs.select(docs[id_col].alias("d"), F.xxhash64(text).alias("t"), text.cast("binary").alias("text")))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +295,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
 
     often = rows.select("text").mapInArrow(values, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     often, often_path = c.saved(often, "runs-often")
-    every = rows.mapInArrow(described, f"d {kind}, t int, s int, w int, h long, dig long, p boolean").join(often, "h")
+    every = rows.mapInArrow(described, f"d {kind}, t long, s int, w int, h long, dig long, p boolean").join(often, "h")
     every, every_path = c.saved(every, "runs")
     first = F.min(F.struct("d", "t", "s")).alias("first")
     kinds, kinds_path = c.saved(every.groupBy("h", "dig", "w").agg(first, F.count("*").alias("n"), F.max("p").alias("p")), "run-kinds")
@@ -298,7 +304,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     copies = copies.select("d", "t", "s", (F.col("s") + F.col("w") + (length - 1)).alias("e"))
 
     open_, open_path = c.saved(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("w").alias("windows"), F.max("p").alias("p")).where("kinds > 1 OR p"), "run-open")
-    wanted = kinds.join(open_.select("h", (F.col("kinds") > HOT).alias("hot")), "h").select("first.*", "w", "h", "hot")
+    wanted = kinds.join(open_.select("h", (F.col("windows") + F.col("kinds") * length > HOT_BYTES).alias("hot")), "h").select("first.*", "w", "h", "hot")
     lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("s", "w", "h", "hot")).alias("runs"))
     size = open_.agg(F.sum(F.col("windows") + F.col("kinds") * length)).first()[0] or 0
     shards = max(64, -(-size // SHARD_BYTES))
@@ -319,7 +325,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                 yield _pieces(out, b.schema.field(0).type)
 
     joined = rows.join(lists, rows["d"].eqNullSafe(lists["d"]) & (rows["t"] == lists["t"])).select(rows["d"], rows["t"], rows["text"], "runs")
-    pieces, pieces_path = c.saved(joined.mapInArrow(cut, f"d {kind}, t int, s int, h long, hot boolean, piece binary"), "run-pieces")
+    pieces, pieces_path = c.saved(joined.mapInArrow(cut, f"d {kind}, t long, s int, h long, hot boolean, piece binary"), "run-pieces")
 
     def expanded(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["d", "t", "s"]).sort_values(["d", "t", "s"], na_position="first", kind="stable")
@@ -331,28 +337,42 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
         return pd.DataFrame(out, columns=["d", "t", "s", "e"])
 
     spread = pieces.where("NOT hot").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).repartition(int(min(shards, 1 << 14)), "shard")
-    by_interval = spread.groupBy("shard").applyInPandas(expanded, f"d {kind}, t int, s int, e int")
+    by_interval = spread.groupBy("shard").applyInPandas(expanded, f"d {kind}, t long, s int, e int")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first of each window of a piece with its hash, and spans of those that occur earlier in the piece."""
         for b in batches:
             for k, piece in enumerate(b.column(3).to_pylist()):
-                n = len(piece) - length + 1
-                digests = np.frombuffer(b"".join([hashlib.blake2b(piece[i : i + length], digest_size=16).digest() for i in range(n)]), ">i8").astype(np.int64)
-                of = pa.array(np.full(n, k))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array((b.column(2)[k].as_py() + np.arange(n)).astype(np.int32)), pa.array(digests[::2]), pa.array(digests[1::2])], ["d", "t", "s", "x", "y"])
-
-    alone = pieces.where("hot").select("d", "t", "s", "piece").mapInArrow(single, f"d {kind}, t int, s int, x long, y long")
-    alone, _ = c.saved(alone, "run-windows")
-    firsts, _ = c.saved(alone.groupBy("x", "y").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"), "run-window-firsts")
-    by_window = alone.join(firsts, ["x", "y"]).where(~F.struct("d", "t", "s").eqNullSafe(F.col("first"))).select("d", "t", "s", (F.col("s") + length).alias("e"))
-    out, _ = c.saved(copies.unionByName(by_interval).unionByName(by_window), "run-spans")
+                n, seen, firsts, later = len(piece) - length + 1, set(), [], []
+                for i in range(n):
+                    digest = hashlib.blake2b(piece[i : i + length], digest_size=16).digest()
+                    if digest in seen:
+                        later.append(i)
+                    else:
+                        seen.add(digest)
+                        firsts.append((i, digest))
+                at = np.array([i for i, _ in firsts])
+                digests = np.frombuffer(b"".join([x for _, x in firsts]), ">i8").astype(np.int64)
+                a, z = _spans(np.array(later)) if later else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                s = b.column(2)[k].as_py() + np.concatenate((at, a))
+                e = s + length + np.concatenate((np.zeros(len(at), np.int64), z - a))
+                of, none = pa.array(np.full(len(s), k)), pa.nulls(len(a), pa.int64())
+                x, y = (pa.concat_arrays([pa.array(digests[j::2]), none]) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), x, y], ["d", "t", "s", "e", "x", "y"])
+
+    alone = pieces.where("hot").select("d", "t", "s", "piece").mapInArrow(single, f"d {kind}, t long, s int, e int, x long, y long")
+    alone, alone_path = c.saved(alone, "run-windows")
+    firsts, firsts_path = c.saved(alone.where("x IS NOT NULL").groupBy("x", "y").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"), "run-window-firsts")
+    by_window = alone.join(firsts, ["x", "y"]).where(~F.struct("d", "t", "s").eqNullSafe(F.col("first"))).select("d", "t", "s", "e")
+    out, _ = c.saved(copies.unionByName(by_interval).unionByName(by_window).unionByName(alone.where("x IS NULL").select("d", "t", "s", "e")), "run-spans")
+    c.remove(spark, alone_path, firsts_path)
     c.remove(spark, often_path, every_path, kinds_path, open_path, pieces_path)
     return out
 
 
 def _pieces(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     d, t, s, h, hot, piece = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(d, kind), pa.array(t, pa.int32()), pa.array(s, pa.int32()), pa.array(h, pa.int64()), pa.array(hot, pa.bool_()), pa.array(piece, pa.binary())], ["d", "t", "s", "h", "hot", "piece"])
+    return pa.RecordBatch.from_arrays([pa.array(d, kind), pa.array(t, pa.int64()), pa.array(s, pa.int32()), pa.array(h, pa.int64()), pa.array(hot, pa.bool_()), pa.array(piece, pa.binary())], ["d", "t", "s", "h", "hot", "piece"])
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

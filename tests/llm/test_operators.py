@@ -343,9 +343,9 @@ def slow_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [5000, 2])
+@pytest.mark.parametrize("hot", [1 << 19, 200])
 def test_suffix_dedup(spark, empty, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
     rng = random.Random(4)
     shared = prose(rng, 40)
@@ -355,6 +355,25 @@ def test_suffix_dedup(spark, empty, monkeypatch, hot):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_rules_of_many_lengths(spark, monkeypatch):
+    """Long runs of one value: their bytes count, not their number."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1 << 12)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 1 << 14)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 8) + "-" * (150 + 17 * i) + prose(rng, 8), "en") for i in range(120)] + [(500 + i, "ab" * (60 + i), "en") for i in range(20)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix_dedup.dedup(frame(spark, rows)).collect()}
+    assert got == slow_removed(rows, 100)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 60) for _ in range(6)]
+    rows = [(None, t, "en") for t in texts] + [(1, texts[0], "en"), (1, texts[1] + " x", "en"), (1, None, "en")]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup(frame(spark, rows)).collect())
+    size = lambda t: len(t.encode())
+    assert got == sorted([*((0, size(t), 0) for t in texts), (1, size(texts[0]), size(texts[0])), (1, size(texts[1]) + 2, size(texts[1])), (1, 0, 0)])
+
+
 # --- line dedup
 
 
