@@ -376,13 +376,24 @@ def cell_links(cells: np.ndarray, points: np.ndarray, radius: int) -> np.ndarray
 def _candidates(points: DataFrame, radius: int) -> DataFrame:
     """(fp, root): fingerprints within the radius that share a cell, as stars."""
     entries = points.select("digest", "fp", F.explode("sketch").alias("h"))
-    leader = F.min(F.struct(F.xxhash64("digest", "h").alias("k"), "fp")).alias("leader")
+    leader = F.min(F.struct(F.xxhash64("digest").alias("k"), "fp")).alias("leader")
     parts = entries.groupBy("h", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n"), leader)
     cells = parts.groupBy("h").agg(F.sum("n").alias("n"), F.collect_set("leader.fp").alias("leaders")).where("n > 1")
     cells, _ = c.saved(cells.select("h", "n", F.when(F.col("n") > CELL, F.col("leaders")).alias("leaders")), "similar-cells")
     met = entries.select("h", "fp").join(cells, "h")
-    near = F.filter("leaders", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius))
-    large = met.where(F.col("n") > CELL).select("fp", F.explode(near).alias("root"))
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each point with the first leader that is near, and that leader with the others; few leaders make few such pairs."""
+        for b in batches:
+            found = set()
+            for fp, leaders in zip(b.column(0).to_numpy(zero_copy_only=False).tolist(), b.column(1), strict=True):
+                own = np.asarray(leaders.values)
+                near = sorted(own[np.bitwise_count(own.view(np.uint64) ^ np.int64(fp).view(np.uint64)) <= radius].tolist())
+                found.update((x, near[0]) for x in [fp, *near[1:]] if near and x != near[0])
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["fp", "root"])
+
+    large = met.where(F.col("n") > CELL).select("fp", "leaders").mapInArrow(led, "fp long, root long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, point = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -488,7 +499,12 @@ def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 16, similar
     nodes = components(edges, "fp", "root")
     placed = points.join(nodes, points["fp"] == nodes["node"], "left").select("digest", "least.id", "least.th", F.coalesce("component", "fp").alias("place"))
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-    wanted, wanted_path = c.saved(placed.join(sizes, "place"), "similar-wanted")
+    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
+    big = sizes.where(F.col("n") > BLOCK).select("place", F.col("n").alias("big"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spot = F.when(F.col("big").isNull(), F.col("place")).otherwise(F.xxhash64("digest", "place"))  # large places are counted: spread
+    placed = placed.withColumn("salt", salt).join(big, ["place", "salt"], "left").withColumn("spot", spot)
+    placed = placed.join(sizes.select(F.col("place").alias("spot"), F.col("n").alias("few")), "spot", "left").withColumn("n", F.coalesce("big", "few"))
+    wanted, wanted_path = c.saved(placed.where("n IS NOT NULL").select("digest", "id", "th", "place", "n"), "similar-wanted")
     pairs, pairs_path = c.saved(_checked(one, wanted, words, similarity), "similar-pairs")
     groups = components(pairs, "a", "b")
     members, members_path = c.saved(groups.join(points, groups["node"] == points["digest"]).select("digest", "component", "least"), "similar-members")
