@@ -5,12 +5,13 @@ capitals, digits and separators, repetition of words and lines, lengths of words
 page's metadata: source, language and recorded length. Each is a logistic regression fitted on the labelled sample.
 In each round every view scores the unlabelled pool and hands its most confident documents, as pseudo-labels of
 weight `trust`, to the other view, in proportion to the labels' classes; then both are fitted anew. At last each view
-is calibrated by Platt scaling on out-of-fold scores, and a logistic regression on both calibrated logits, fitted out
-of fold too, combines them. A view that tells nothing gets no say.
+is calibrated by Platt scaling on out-of-fold scores, and a logistic regression on both calibrated logits combines them;
+its weights are not negative, so a view that tells nothing gets no say. Telling words are chosen anew in each fold.
 
-A document is good if its quality label is 1 and its toxic label is not 1. Labels are read for the sample alone:
-`most_labelled` labelled and `most_pool` unlabelled documents at most, those with the smallest hash of their id. All
-documents are scored on their whole text.
+A document is good if its quality label is 1 and its toxic label is not 1. The model is fitted on a bounded sample: the
+`most_labelled` labelled documents with the smallest hash of their id, and as a pool without labels the `most_pool` next
+ones that are not among them, whether they have a label or not; documents that would bring the sample over `most_chars`
+characters are left out. All documents are scored on their whole text.
 
 Null and empty texts have no words and are scored by their style and metadata; null metadata is a value of its own.
 Ids that are labelled twice count with their worst label; labels without a document, and null labels, are ignored.
@@ -95,21 +96,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 150, start: np.ndarray | None = None) -> np.ndarray:
-    """Weights by accelerated gradient steps, scaled by each column's curvature."""
+def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 150, start: np.ndarray | None = None, least: float = -np.inf) -> np.ndarray:
+    """Weights by accelerated gradient steps, scaled by each column's curvature; all but the first are `least` or more."""
     w = np.zeros(x.shape[1]) if start is None else start
     ahead, t = w.copy(), 1.0
     per_row = np.maximum(1.0, np.bincount(x.row, np.ones(len(x.row)), x.shape[0]))
     scale = 1 / (0.25 * x.squares(weight * per_row) + ridge)  # a bound on the curvature that holds for all columns at once
     for _ in range(rounds):
         step = ahead - scale * (x.back(weight * (_sigmoid(x.dot(ahead)) - y)) + ridge * ahead)
+        step[1:] = np.maximum(step[1:], least)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = step + (t - 1) / t2 * (step - w), step, t2
     return w
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    w = logistic(Sparse([[(0, 1.0), (1, float(v))] for v in z], 2), y, np.ones(len(y)), 1e-3)
+    w = logistic(Sparse([[(0, 1.0), (1, float(v))] for v in z], 2), y, np.ones(len(y)), 1e-3, least=0.0)
     return float(w[0]), float(w[1])
 
 
@@ -162,80 +164,99 @@ def train(labelled: list[tuple], y: np.ndarray, pool: list[tuple], *, rounds: in
     """labelled and pool: (text, source, lang, n_chars). y: 1 for good documents."""
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros(0), np.zeros(0), [], np.zeros(3), float(y.mean()) if len(y) else 1.0)
-    seen = [style(r[0] or "") for r in labelled]
-    words = telling_words([own for _, own in seen], y, most_words, max(3, len(y) // 1000))
-    build = lambda rows, seen: ([Model.content_row(r[0], words, x) for r, x in zip(rows, seen, strict=True)], [Model.meta_row(*r[1:]) for r in rows])
-    known, other = build(labelled, seen), build(pool, [None] * len(pool))
-    widths, ridges = (STYLE + len(words), 1 + BUCKETS), (0.3, 3.0)
-
-    def co_train(train_at: np.ndarray) -> list[np.ndarray]:
-        """Weights of both views, after the exchanges."""
-        given: list[dict[int, float]] = [{}, {}]  # per view: pseudo-labels of pool places, from the other one
+    seen, seen_pool = ([style(r[0] or "") for r in rows] for rows in (labelled, pool))
+    known_meta, other_meta = ([Model.meta_row(*r[1:]) for r in rows] for rows in (labelled, pool))
+    ridges = (0.3, 3.0)
+
+    def content(some: list[tuple[list[float], set[str]]], words: dict[str, int]) -> list[list[tuple[int, float]]]:
+        return [Model.content_row(None, words, x) for x in some]
+
+    def co_train(train_at: np.ndarray) -> tuple[dict[str, int], list[np.ndarray]]:
+        """Telling words, and weights of both views after the exchanges."""
         target = y[train_at]
+        own = [seen[i] for i in train_at.tolist()]
+        words = telling_words([x for _, x in own], target, most_words, max(3, len(target) // 1000))
+        known = content(own, words), [known_meta[i] for i in train_at.tolist()]
+        other = content(seen_pool, words), other_meta
+        widths = STYLE + len(words), 1 + BUCKETS
+        given: list[dict[int, float]] = [{}, {}]  # per view: pseudo-labels of pool places, from the other one
         weights: list[np.ndarray | None] = [None, None]
         for r in range(rounds + 1):
             for v in (0, 1):
-                rows = [known[v][i] for i in train_at.tolist()] + [other[v][i] for i in given[v]]
+                rows = known[v] + [other[v][i] for i in given[v]]
                 labels = np.concatenate((target, np.array(list(given[v].values()))))
                 trusts = np.concatenate((np.ones(len(target)), np.full(len(given[v]), trust)))
                 weights[v] = logistic(Sparse(rows, widths[v]), labels, trusts, ridges[v], 60 if r else 150, weights[v])
             if r == rounds or not pool:
-                return weights
+                return words, weights
             for v in (0, 1):
                 p = _sigmoid(Sparse(other[v], widths[v]).dot(weights[v]))
                 free = [i for i in np.argsort(-np.abs(p - 0.5), kind="stable").tolist() if i not in given[1 - v]]
                 for label, share in ((1.0, target.mean()), (0.0, 1 - target.mean())):
                     sure = [i for i in free if (p[i] if label else 1 - p[i]) >= 0.95]
                     given[1 - v].update(dict.fromkeys(sure[: max(1, round(exchange * share))], label))
-        return weights
+        return words, weights
 
     fold = np.arange(len(y)) % folds
     out = np.zeros((len(y), 2))
     for k in range(folds):
-        weights = co_train(np.flatnonzero(fold != k))
+        words, weights = co_train(np.flatnonzero(fold != k))
         test = np.flatnonzero(fold == k)
+        rows = content([seen[i] for i in test.tolist()], words), [known_meta[i] for i in test.tolist()]
         for v in (0, 1):
-            out[test, v] = Sparse([known[v][i] for i in test.tolist()], widths[v]).dot(weights[v])
+            out[test, v] = Sparse(rows[v], len(weights[v])).dot(weights[v])
     calibration = [_platt(out[:, v], y) for v in (0, 1)]
     z = np.stack([b0 + b1 * out[:, v] for v, (b0, b1) in enumerate(calibration)], axis=1)
-    mix = logistic(Sparse([[(0, 1.0), (1, a), (2, b)] for a, b in z.tolist()], 3), y, np.ones(len(y)), 1e-2)
-    content, meta = co_train(np.arange(len(y)))
-    return Model(words, content, meta, calibration, mix)
+    mix = logistic(Sparse([[(0, 1.0), (1, a), (2, b)] for a, b in z.tolist()], 3), y, np.ones(len(y)), 1e-2, least=0.0)
+    words, (own_content, own_meta) = co_train(np.arange(len(y)))
+    return Model(words, own_content, own_meta, calibration, mix)
+
 
+#: The columns of text, two values of any kind, and length.
+COLUMNS = ("text", "source", "lang", "n_chars")
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 6000, most_pool: int = 1500, most_chars: int = 40_000_000, id_col: str = "doc_id", **settings) -> Model:
+
+def _own(docs: DataFrame, id_col: str, columns: tuple[str, str, str, str]) -> DataFrame:
+    text, source, lang, size = (docs[x] for x in columns)
+    return docs.select(docs[id_col].alias("id"), text.alias("text"), source.cast("string").alias("source"), lang.cast("string").alias("lang"), size.cast("long").alias("n_chars"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 6000, most_pool: int = 1500, most_chars: int = 40_000_000, id_col: str = "doc_id", columns: tuple[str, str, str, str] = COLUMNS, **settings) -> Model:
     """Model of a bounded sample: by number of documents, and by characters, so that the driver's memory is bounded."""
-    spark = docs.sparkSession
-    c.tune(spark)
+    c.tune(docs.sparkSession)
     key = F.xxhash64(F.col("id").cast("string"))
     good = F.min(F.when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 0).otherwise(F.col("quality"))).alias("good")
     judged = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(good)
-    known = judged.orderBy(key, "id").limit(most_labelled)
-    ids = docs.select(docs[id_col].alias("id"))
-    pool = ids.join(judged.select("id"), "id", "left_anti").select("id").distinct().orderBy(key, "id").limit(most_pool).withColumn("good", F.lit(None).cast("int"))
-    picked = F.broadcast(known.select("id", F.col("good").cast("int").alias("good")).union(pool))  # most_labelled + most_pool rows
-    rows = docs.select(docs[id_col].alias("id"), "text", "source", "lang", "n_chars").join(picked, "id").dropDuplicates(["id"])
+    ids = docs.select(docs[id_col].alias("id")).distinct()
+    chosen = judged.join(ids, "id").orderBy(key, "id").limit(most_labelled)
+    known, _ = c.saved(chosen.select("id", F.col("good").cast("int").alias("good")), "quality-labels")
+    # the pool: the first ids beyond the sample's, found among the first most_labelled + most_pool of all
+    first = ids.orderBy(key, "id").limit(most_labelled + most_pool).join(known, "id", "left_anti")
+    pool = first.orderBy(key, "id").limit(most_pool).withColumn("good", F.lit(None).cast("int"))
+    picked = F.broadcast(known.union(pool))  # most_labelled + most_pool rows
+    rows = _own(docs, id_col, columns).join(picked, "id").dropDuplicates(["id"])
     held, size = [], 0
-    for r in rows.orderBy(key, "id").toLocalIterator():
-        size += len(r["text"] or "")
-        if size > most_chars and held:
-            break
-        held.append(((r["text"], r["source"], r["lang"], r["n_chars"]), r["good"]))
+    for r in rows.orderBy(F.col("good").isNull(), key, "id").toLocalIterator():
+        n = len(r["text"] or "")
+        if size + n <= most_chars:
+            size += n
+            held.append(((r["text"], r["source"], r["lang"], r["n_chars"]), r["good"]))
     known_rows = [x for x, g in held if g is not None]
     return train(known_rows, np.array([float(g) for _, g in held if g is not None]), [x for x, g in held if g is None], **settings)
 
 
-def _scores(batch: pa.RecordBatch, own: Model) -> np.ndarray:
+def _scores(batch: pa.RecordBatch, own: Model, columns: tuple[str, ...] = COLUMNS) -> np.ndarray:
     out = np.empty(batch.num_rows)
     at = 0
-    for part in c.pieces_of(iter([batch]), "text", 1 << 20):
-        columns = [part.column(part.schema.get_field_index(x)).to_pylist() for x in ("text", "source", "lang", "n_chars")]
-        out[at : at + part.num_rows] = own.score(list(zip(*columns, strict=True)))
+    for part in c.pieces_of(iter([batch]), columns[0], 1 << 20):
+        values = [part.column(part.schema.get_field_index(x)).to_pylist() for x in columns]
+        values[1:3] = ([None if v is None else str(v) for v in x] for x in values[1:3])
+        out[at : at + part.num_rows] = own.score(list(zip(*values, strict=True)))
         at += part.num_rows
     return out
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", columns: tuple[str, str, str, str] = COLUMNS) -> DataFrame:
     """(id, score) of each row: the probability that the document is good."""
     c.tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
@@ -245,11 +266,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id") -> DataFrame
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b, own), pa.float64())], ["id", "score"])
 
-    one = c.spread(docs.select(docs[id_col].alias("id"), docs["text"], docs["source"], docs["lang"], docs["n_chars"].cast("long").alias("n_chars")))
+    one = c.spread(_own(docs, id_col, columns))
     return one.mapInArrow(run, f"id {one.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
-def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.5, columns: tuple[str, str, str, str] = COLUMNS) -> DataFrame:
     """The rows of docs that score at least the threshold, in one pass without a shuffle."""
     c.tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
@@ -257,7 +278,7 @@ def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**sent.value)
         for b in batches:
-            yield b.filter(pa.array(_scores(b, own) >= threshold))
+            yield b.filter(pa.array(_scores(b, own, columns) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

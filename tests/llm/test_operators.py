@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as tok
@@ -599,6 +600,59 @@ def test_quality(spark, empty):
     assert quality.score(empty, model).count() == 0
 
 
+def slow_score(m, text, source, lang, n_chars):
+    """Both views by sums over dictionaries."""
+    numbers, words = quality.style(text or "")
+    a = sum(w * x for w, x in zip(m.content, numbers, strict=False)) + sum(m.content[quality.STYLE + m.words[w]] for w in words if w in m.words)
+    size = "none" if n_chars is None else str(int(math.log2(max(1, n_chars))))
+    b = m.meta[0] + sum(m.meta[k] for k in {1 + zlib.crc32(v.encode()) % quality.BUCKETS for v in (f"source={source}", f"lang={lang}", f"size={size}")})
+    z = [p + q * x for (p, q), x in zip(m.calibration, (a, b), strict=True)]
+    return 1 / (1 + math.exp(-(m.mix[0] + m.mix[1] * z[0] + m.mix[2] * z[1])))
+
+
+def test_scores_equal_a_slow_version(spark):
+    rows, labels, _ = labelled(400, 3)
+    docs = frame(spark, [*rows, rows[0], (1, "another text of the same id", "de"), (9000, "word " * 200_000, "en"), (9001, None, None), (9002, "", "de")]).withColumnsRenamed({"lang": "tongue", "source": "site"})
+    columns = ("text", "site", "tongue", "n_chars")
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), columns=columns)
+    got = sorted((r["doc_id"], r["score"]) for r in quality.score(docs, model, columns=columns).collect())
+    want = sorted((r["doc_id"], slow_score(model, r["text"], r["site"], r["tongue"], r["n_chars"])) for r in docs.collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+    assert got[0] == got[1] and quality.keep_good(docs, model, columns=columns).count() == sum(s >= 0.5 for _, s in got)
+
+
+def test_a_view_that_tells_nothing_gets_no_say():
+    rng = random.Random(4)
+    rows, labels, bad = labelled(400, 4)
+    told = [(t, rng.choice("abc"), rng.choice(["en", "de"]), rng.randrange(1, 5000)) for _, t, _ in rows]
+    model = quality.train(told, np.array([float(i not in bad) for i, *_ in rows]), [])
+    assert model.mix[1] > 0 and model.mix[2] >= 0 and all(slope >= 0 for _, slope in model.calibration)
+    same = ("the same text", "a", "en", 5)
+    noise = quality.train([same] * 40, np.array([float(i % 2) for i in range(40)]), [same] * 10)
+    assert noise.score([same])[0] == pytest.approx(0.5, abs=0.1)
+
+
+def test_the_sample_leaves_out_what_is_too_long(spark):
+    rows, labels, bad = labelled(300, 5)
+    rows[0] = (0, "y" * 100_000, "en")
+    docs, lab = frame(spark, rows), spark.createDataFrame([(0, 1, 0), *labels], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, lab, most_chars=90_000)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert model.constant is None and sum((got[i] < 0.5) == (i in bad) for i in range(1, 300)) > 285
+
+
+def test_quality_on_the_given_tables(spark):
+    """Fitted on two thirds of the labels, the last third is told apart."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels.where("doc_id % 3 <> 0"))
+    held = labels.where("doc_id % 3 = 0").select("doc_id", ((labels["quality"] == 1) & (labels["toxic"] != 1)).alias("good"))
+    rows = quality.score(docs.join(held.select("doc_id"), "doc_id", "left_semi"), model).join(held, "doc_id").collect()
+    good, rest = ([r["score"] for r in rows if r["good"] is flag] for flag in (True, False))
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in rest) / (len(good) * len(rest))
+    assert auc > 0.95 and sum(s >= 0.5 for s in good) > 0.97 * len(good) and sum(s < 0.5 for s in rest) > 0.75 * len(rest)
+
+
 def test_quality_without_labels_rejects_nothing(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.keep_good(docs, quality.fit(docs, none)).count() == docs.count()
