@@ -18,6 +18,7 @@ columns are read.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -31,11 +32,23 @@ from . import _common as c
 
 #: Lengths of n-grams, the longest first.
 LENGTHS = (5, 4, 3, 2, 1)
-#: Words held by the cache of a worker before it starts anew.
-CACHE = 200_000
+#: Bytes (about) of words and their scores held by the cache of a worker before it starts anew.
+CACHE_BYTES = 96 << 20
 #: Parts of each language's ids that are ranked apart before the sample is drawn.
 SALTS = 64
 LETTERS = regex.compile(r"\p{L}+")
+#: Runs of letters, and of numerals that are no digits; what is not all letters is cut again by LETTERS.
+NEARLY = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text: str) -> Counter[str]:
+    """The runs of letters of a text, in lower case, with their number."""
+    found = Counter(NEARLY.findall(text.lower()))
+    for odd in [w for w in found if not w.isalpha()]:
+        n = found.pop(odd)
+        for word in LETTERS.findall(odd):
+            found[word] += n
+    return found
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -50,6 +63,7 @@ class Model:
         self.langs = langs
         self.words, self.grams = words, grams
         self.index: dict[str, int] = {}
+        self.held = 0
         self.rows = np.zeros((1024, max(1, len(langs))))
 
     @classmethod
@@ -84,11 +98,12 @@ class Model:
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(LETTERS.findall(text.lower())) if text else None
+        found = letter_words(text) if text else None
         if not found or not self.langs:
             return "und", 0.0
-        if len(self.index) > min(CACHE, 16 * CACHE // len(self.langs)):  # its bytes are bounded for any number of languages
+        if self.held > CACHE_BYTES:
             self.index.clear()
+            self.held = 0
         places = []
         for word in found:
             at = self.index.get(word)
@@ -97,6 +112,7 @@ class Model:
                 if at == len(self.rows):
                     self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
                 self.rows[at] = self.score_word(word)
+                self.held += 200 + 4 * len(word) + 8 * len(self.langs)
             places.append(at)
         total = np.fromiter(found.values(), np.float64, len(found)) @ self.rows[places]
         best = int(total.argmax())

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import _common as c
 
-#: Words held by the cache of a worker before it starts anew.
-CACHE = 300_000
-#: Longer words are scanned one by one, as a byte column with few words costs as much as a full one.
+#: Bytes (about) of words held by the cache of a worker before it starts anew.
+CACHE_BYTES = 64 << 20
+#: Longer words go through the same automaton one by one, as a byte column with few words costs as much as a full one.
 WIDEST = 128
 
 
@@ -82,6 +82,7 @@ class Automaton:
         )
         self.child = child
         self.cache: dict[str, int] = {}
+        self.held = 0
 
     def scan(self, word: bytes) -> int:
         """Pieces of one word."""
@@ -128,9 +129,11 @@ class Automaton:
         """(words, tokens) of each text."""
         cut = [t.split() if t else [] for t in texts]
         fresh = set().union(*cut).difference(self.cache)
-        if len(self.cache) + len(fresh) > CACHE and self.cache:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
             fresh = set().union(*cut)
+        self.held += sum(150 + 4 * len(w) for w in fresh)
         names = list(fresh)
         raw = [self.start + w.encode() for w in names]
         short = [i for i, w in enumerate(raw) if len(w) <= WIDEST]

@@ -46,11 +46,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import _common as c
 
 TERM = re.compile(r"[^\W_]+")
-#: Bytes of text in a shard, documents in a block, bytes of queries that a task holds at a time.
-SHARD_TEXT, BLOCK, QUERY_BYTES = 16 << 20, 64, 8 << 20
+#: Bytes of text in a shard, documents in a block.
+SHARD_TEXT, BLOCK = 16 << 20, 64
 #: Digits of scores, and what is more than the error of a sum but does not matter to them.
 DIGITS, MARGIN = 6, 2e-6
-CACHE = 300_000
+#: Bytes (about) of words held by the cache of a worker before it starts anew.
+CACHE_BYTES = 64 << 20
 
 
 class Terms:
@@ -58,15 +59,18 @@ class Terms:
 
     def __init__(self):
         self.cache: dict[str, int] = {}
+        self.held = 0
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(hash, occurrences) of each term."""
         found = Counter(TERM.findall(text.lower())) if text else {}
         cache = self.cache
-        if len(cache) > CACHE:
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
         for w in [w for w in found if w not in cache]:
             cache[w] = xxhash.xxh64_intdigest(w)
+            self.held += 150 + 4 * len(w)
         n = len(found)
         return np.fromiter(map(cache.__getitem__, found), np.uint64, n), np.fromiter(found.values(), np.int32, n)
 

@@ -13,12 +13,13 @@ import zlib
 import numpy as np
 import public_tokenizers as tok
 import pytest
+import regex
 import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shiftframe.llm import bpe, components, decontamination, language_id, line_dedup, quality, simhash, suffix_dedup, token_counts, topk_search, warc
+from shiftframe.llm import bpe, components, decontamination, language_id, line_dedup, quality, queries, simhash, suffix_dedup, token_counts, topk_search, warc
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tok.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
 REFERENCE = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -689,6 +690,43 @@ def test_small_languages_keep_their_ngrams(spark):
     assert all(model.predict(rare())[0] == "zz" for _ in range(20)) and model.predict(big("abcd"))[0] == "en"
 
 
+def slow_language(m, text):
+    """Word by word, from the model's tables."""
+    words = [w for w in regex.findall(r"\p{L}+", (text or "").lower())]
+    if not words:
+        return "und", 0.0
+    total = [0.0] * len(m.langs)
+    for w in words:
+        own = [m.words[w]] if w in m.words else []
+        for n, table in zip(language_id.LENGTHS, m.grams, strict=True):
+            framed = f"^{w}$" if n > 1 else w
+            own = own or [table[framed[i : i + n]] for i in range(len(framed) - n + 1) if framed[i : i + n] in table]
+        total = [t + (sum(x[k] for x in own) / len(own) if own else 0.0) for k, t in enumerate(total)]
+    best = max(total)
+    return m.langs[total.index(best)], 1 / sum(math.exp(t - best) for t in total)
+
+
+def test_predictions_equal_a_slow_version(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 12) if i % 2 else " ".join(rng.choice(["haus", "fluss", "nacht", "wasser", "über"]) for _ in range(9)), "en" if i % 2 else "de") for i in range(60)]
+    texts = ["flussnacht riverhouse", "qqq", "über² x½y", "", None, "haus" * 3000, "river " * 50_000, "nacht night " * 7, "... 12"]
+    docs = frame(spark, [*rows, *((100 + i, t, None) for i, t in enumerate(texts)), rows[0], (100, "other text of this id", None)])
+    model = language_id.fit(docs)
+    monkeypatch.setattr(language_id, "CACHE_BYTES", 500)  # here in the driver: overflows change nothing
+    for r in docs.select("doc_id", "text").collect():
+        got, want = model.predict(r["text"]), slow_language(model, r["text"])
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-9)
+    assert language_id.predict(docs, model).count() == 71
+    even = language_id.Model(["a", "b"], {"w": [-1.0, -1.0]}, [{} for _ in language_id.LENGTHS])
+    assert even.predict("w w") == ("a", 0.5) and even.predict("z") == ("a", 0.5)  # a tie, and nothing known
+
+
+def test_held_out_accuracy_on_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = queries.queries()["op10_language_id"](spark, "/root/testdata/sf0.1").join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(rows) > 2000 and sum(r["lang"] == r["lang_pred"] for r in rows) > 0.99 * len(rows)
+
+
 def test_more_than_64_languages(spark):
     name = lambda k: chr(97 + k // 10) + chr(107 + k % 10)
     rows = [(10 * k + j, " ".join([name(k) * 3, name(k) * 2] * 4), f"l{k:02}") for k in range(80) for j in range(3)]
