@@ -32,4 +32,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     modules = {name: import_module(f".{module}", __package__) for name, module in NAMES.items()}
-    return {name: m.SQL for name, m in modules.items() if hasattr(m, "SQL")}
+    found = {name: m.SQL for name, m in modules.items() if hasattr(m, "SQL")}
+    return found | {name: m.sql() for name, m in modules.items() if hasattr(m, "sql")}

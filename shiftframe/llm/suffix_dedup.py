@@ -415,3 +415,17 @@ def dedup(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_co
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(c.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 99)) AS s FROM d WHERE length(x) >= 200)),
+w AS (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS nth FROM p),
+l AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM w WHERE nth > 1),
+i AS (SELECT doc_id, s, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM l),
+r AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS z FROM i GROUP BY ALL),
+k AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM r)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(sum(z - a), 0)::BIGINT AS n_removed, count(a)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') || substr(x, 2 * coalesce(max(z), 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id, x
+"""

@@ -172,7 +172,25 @@ def token_counts(docs: DataFrame, path: str, *, start: bytes = b" ", inner: byte
     return one.mapInArrow(run, f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vocabulary() -> str:
     import public_tokenizers
 
-    return token_counts(c.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(c.table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def sql() -> str:
+    """Greedy segmentation of each different word by a recursive query over hexadecimal digits of the vocabulary."""
+    return rf"""
+WITH RECURSIVE v AS (SELECT hex(from_base64(token)) AS token FROM read_csv('{_vocabulary()}', delim = ' ', header = false, quote = '', escape = '', columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}})),
+w AS (SELECT doc_id, unnest(string_split_regex(text, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+')) AS word FROM documents),
+n AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+cut AS (SELECT DISTINCT word, '20' || hex(encode(word)) AS rest, 0 AS pieces FROM n
+  UNION ALL SELECT word, substr(rest, 1 + max(length(v.token))), pieces + 1 FROM cut, range(1, 129) t(k), v
+            WHERE rest <> '' AND 2 * k <= length(rest) AND v.token = substr(rest, 1, 2 * k) GROUP BY word, rest, pieces)
+SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_words, coalesce(sum(n * pieces), 0)::BIGINT AS n_tokens
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN cut ON cut.word = n.word AND rest = '' GROUP BY d.doc_id
+"""
