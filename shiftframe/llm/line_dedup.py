@@ -8,7 +8,7 @@ Windows are judged on the input, not on what is left.
 Null texts stay null with zero lines; empty texts have one empty line; documents with fewer lines than a window are
 left as they are. Rows equal in id and text count as one document and get the same result; rows that share an id with
 different texts are told apart by the text's hash; a null id sorts first. Empty tables give empty results. All other
-columns are carried along; columns named n_lines or n_removed are replaced. A text that loses every line is empty.
+columns are carried along; columns named n_lines or n_removed are replaced, unless counts=False. A text that loses every line is empty.
 
 A window in a third of all rows is one row for each task before the shuffle of the aggregate; the join back to the
 windows reads a written table, so that AQE can split a hot window's rows.
@@ -45,8 +45,8 @@ def _kept(lines: Column, later: Column, window: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts)), lambda i: F.slice(lines, gap(i)[0] + 1, F.greatest(gap(i)[1] - gap(i)[0], F.lit(0)))))
 
 
-def line_dedup(docs: DataFrame, *, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated windows of lines removed from the text, plus n_lines and n_removed."""
+def line_dedup(docs: DataFrame, *, window: int = 3, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs with repeated windows of lines removed from the text, plus n_lines and n_removed (not with counts=False)."""
     if window < 1:
         raise ValueError("window must be at least 1")
     row = F.struct(*[docs[x] for x in docs.columns])
@@ -63,8 +63,8 @@ def line_dedup(docs: DataFrame, *, window: int = 3, id_col: str = "doc_id", text
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     left = F.when(F.col("kept").isNull(), n).otherwise(F.size("kept")).cast("long")
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
-    out = [text.alias(x) if x == text_col else F.col(f"row.`{x}`").alias(x) for x in docs.columns if x not in ("n_lines", "n_removed")]
-    return at.select(*out, n.alias("n_lines"), (n - left).alias("n_removed"))
+    out = [text.alias(x) if x == text_col else F.col(f"row.`{x}`").alias(x) for x in docs.columns if not counts or x not in ("n_lines", "n_removed")]
+    return at.select(*out, n.alias("n_lines"), (n - left).alias("n_removed")) if counts else at.select(*out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

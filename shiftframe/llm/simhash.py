@@ -23,7 +23,7 @@ similarity of their sets of shingles (64-bit hashes) is at least `similarity`. A
 bits of 64; a ball of that radius meets nearly every shell of a tree over the whole corpus, so the search would cost the
 square of the documents. Therefore documents meet in cells: a cell is a shingle that is among the SKETCH smallest hashes of
 each of them. Two sets of similarity 0.8 share none of theirs with a probability of about 0.2 ** SKETCH. In a cell a
-vantage-point tree finds the fingerprints within `radius`; in a cell of more than CELL documents each is compared with
+vantage-point tree finds the fingerprints (here of the set, without repeats) within `radius`; in a cell of more than CELL documents each is compared with
 SALTS leaders instead, so no group costs its square. Then every link is checked exactly: the documents of each component
 are compared all with all if they are at most BLOCK; else with the component's leaders, and those that these links leave
 outside its largest group with all. Equal sets are one point.
@@ -476,7 +476,7 @@ def _checked(rows: DataFrame, wanted: DataFrame, words: int, similarity: float)
     return links.unionByName(as_lone.unionByName(as_member).groupBy("place", "block", "lot").applyInPandas(second, "a string, b string"))
 
 
-def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 16, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 18, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, component_id, first) of each row: th is a hash of the text, component_id the least id that links of exactly
     checked pairs reach, and first tells whether the row's id and text are the component's first."""
     spark = docs.sparkSession
@@ -487,8 +487,8 @@ def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 16, similar
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [_hashes(t.as_py(), words) for t in b.column(1)]
-            fps = np.frombuffer(b"".join(map(_majority, hashes)), ">i8").astype(np.int64)
             sets = [_set(x) for x in hashes]
+            fps = np.frombuffer(b"".join([_majority(x.astype(">u8").tobytes()) for x in sets]), ">i8").astype(np.int64)
             sketch = pa.array([(x[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps), pa.array(map(_digest, sets), pa.string()), sketch], ["id", "th", "fp", "digest", "sketch"])
 
