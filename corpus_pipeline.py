@@ -19,7 +19,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated windows of three lines; n_chars is that of the text that is left."""
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, counts=False)
     return out.select(*[F.length("text").cast(docs.schema[x].dataType).alias(x) if x == "n_chars" else F.col(x) for x in docs.columns])
 
 
