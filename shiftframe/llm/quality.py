@@ -22,6 +22,7 @@ Repeated rows get equal scores; empty tables give empty results.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -73,6 +74,12 @@ def style(text: str) -> tuple[list[float], set[str]]:
     ], set(counts)
 
 
+def example(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> tuple:
+    """What training keeps of a document: its form and words, not its text."""
+    numbers, words = style(text or "")
+    return (numbers, {sys.intern(w) for w in words}), source, lang, n_chars
+
+
 class Sparse:
     """Rows of (column, value), for sums by row and by column."""
 
@@ -161,10 +168,10 @@ def telling_words(texts: list[set[str]], y: np.ndarray, most: int, least: int) -
 
 
 def train(labelled: list[tuple], y: np.ndarray, pool: list[tuple], *, rounds: int = 3, exchange: int = 200, trust: float = 0.3, folds: int = 4, most_words: int = 2000) -> Model:
-    """labelled and pool: (text, source, lang, n_chars). y: 1 for good documents."""
+    """labelled and pool: made by example(). y: 1 for good documents."""
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros(0), np.zeros(0), [], np.zeros(3), float(y.mean()) if len(y) else 1.0)
-    seen, seen_pool = ([style(r[0] or "") for r in rows] for rows in (labelled, pool))
+    seen, seen_pool = ([r[0] for r in rows] for rows in (labelled, pool))
     known_meta, other_meta = ([Model.meta_row(*r[1:]) for r in rows] for rows in (labelled, pool))
     ridges = (0.3, 3.0)
 
@@ -240,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 6000, most_p
         n = len(r["text"] or "")
         if size + n <= most_chars:
             size += n
-            held.append(((r["text"], r["source"], r["lang"], r["n_chars"]), r["good"]))
+            held.append((example(r["text"], r["source"], r["lang"], r["n_chars"]), r["good"]))
     known_rows = [x for x, g in held if g is not None]
     return train(known_rows, np.array([float(g) for _, g in held if g is not None]), [x for x, g in held if g is None], **settings)
 

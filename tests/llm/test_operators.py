@@ -625,11 +625,11 @@ def test_scores_equal_a_slow_version(spark):
 def test_a_view_that_tells_nothing_gets_no_say():
     rng = random.Random(4)
     rows, labels, bad = labelled(400, 4)
-    told = [(t, rng.choice("abc"), rng.choice(["en", "de"]), rng.randrange(1, 5000)) for _, t, _ in rows]
+    told = [quality.example(t, rng.choice("abc"), rng.choice(["en", "de"]), rng.randrange(1, 5000)) for _, t, _ in rows]
     model = quality.train(told, np.array([float(i not in bad) for i, *_ in rows]), [])
     assert model.mix[1] > 0 and model.mix[2] >= 0 and all(slope >= 0 for _, slope in model.calibration)
     same = ("the same text", "a", "en", 5)
-    noise = quality.train([same] * 40, np.array([float(i % 2) for i in range(40)]), [same] * 10)
+    noise = quality.train([quality.example(*same)] * 40, np.array([float(i % 2) for i in range(40)]), [quality.example(*same)] * 10)
     assert noise.score([same])[0] == pytest.approx(0.5, abs=0.1)
 
 
