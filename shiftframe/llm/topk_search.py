@@ -5,10 +5,10 @@ neighbours (by their most frequent common word, then by length), and writes post
 of arrays. Document frequencies, number of documents and mean length are global.
 
 Search, in a shard: a posting list is cut at every BLOCK documents, and each cut knows its greatest impact (block
-maximum). A query's cursors move over the cuts of all its terms: the sum of weight times block maximum bounds every
-document of a block. Blocks are visited from the highest bound on, in waves; those whose bound is below the threshold,
+maximum); the lists of a shard's most frequent terms are kept as columns, with a place for each document. A query's
+cursors move over the cuts of all its terms: the sum of weight times block maximum bounds every document of a block. Blocks are visited from the highest bound on, in waves; those whose bound is below the threshold,
 the k-th best score so far, are skipped, and their postings are never read. In a block that is visited, the terms are
-ordered by their maxima, and the pivot is the first at which the sum passes the threshold: a document without a posting
+ordered by weight, columns first, and the pivot is the first at which the sum of maxima passes the threshold: a document without a posting
 of the pivot or a later term cannot reach it. So the postings from the pivot on name the candidates; those before it are
 read only in blocks that have candidates left. What may be in the top k is scored again, term by term in a fixed order,
 so scores do not depend on the sharding. They are rounded to six digits; ties go to the smaller id, null ids come last.
@@ -48,10 +48,12 @@ from . import _common as c
 TERM = re.compile(r"[^\W_]+")
 #: Bytes of text in a shard, documents in a block.
 SHARD_TEXT, BLOCK = 16 << 20, 64
-#: Digits of scores, and what is more than the error of a sum but does not matter to them.
-DIGITS, MARGIN = 6, 2e-6
+#: Digits of scores; what is more than their rounding; and more than the relative error of single precision.
+DIGITS, MARGIN, SINGLE = 6, 2e-6, 1e-5
 #: Bytes (about) of words held by the cache of a worker before it starts anew.
 CACHE_BYTES = 64 << 20
+#: Terms of a shard (at most) whose posting list is kept as a column, and the share of its documents that they must occur in.
+MOST_COLUMNS, COLUMN_SHARE = 512, 1 / 8
 
 
 class Terms:
@@ -140,62 +142,76 @@ class Shard:
     """Impacts, block maxima, and both directions of one shard."""
 
     def __init__(self, ids: list, lengths: np.ndarray, terms: np.ndarray, df: np.ndarray, doc: np.ndarray, tf: np.ndarray, avg: float, k1: float, b: float):
-        self.ids, self.terms, self.n, self.doc = ids, terms, len(ids), doc
+        self.ids, self.terms, self.n, self.doc, self.k1 = ids, terms, len(ids), doc, k1
         self.blocks = -(-self.n // BLOCK)
-        self.impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / avg)) if len(doc) else np.zeros(0)
-        term = np.repeat(np.arange(len(terms)), df)
+        self.norm = k1 * (1 - b + b * lengths / avg)
+        self.impact = self.impacts(doc, tf).astype(np.float32)  # to choose candidates; their scores are in double precision
+        term = np.repeat(np.arange(len(terms), dtype=np.int32), df)
+        often = np.argsort(-df, kind="stable")[:MOST_COLUMNS]
+        often = often[df[often] >= max(2, self.n * COLUMN_SHARE)]
+        self.column = np.full(len(terms), -1)
+        self.column[often] = np.arange(len(often))
+        starts = np.cumsum(df, dtype=np.int64) - df
+        at = c.ranges(starts[often], df[often].astype(np.int64))
+        self.columns = np.zeros((self.blocks, BLOCK, len(often)), np.float32)  # posting lists by place: an impact for each document
+        self.columns[doc[at] // BLOCK, doc[at] % BLOCK, self.column[term[at]]] = self.impact[at]
+        self.column_most = self.columns.max(axis=1, initial=0)
         block = doc // BLOCK
         opens = np.ones(len(doc), bool)
         opens[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         cut = np.flatnonzero(opens)  # a cut of a posting list: one term's postings in one block
         self.cut = np.append(cut, len(doc))
-        self.cut_block = block[cut].astype(np.int64)
-        self.cut_most = np.maximum.reduceat(self.impact, cut) if len(cut) else np.zeros(0)
+        self.cut_block = block[cut]
+        self.cut_most = np.maximum.reduceat(self.impact, cut) if len(cut) else np.zeros(0, np.float32)
         self.first_cut = np.concatenate(([0], np.cumsum(np.bincount(term[cut], minlength=len(terms)))))
         by = np.argsort(doc, kind="stable")  # term by term within a document, in the order of the hashes
-        self.own_term, self.own_impact = term[by], self.impact[by]
+        self.own_term, self.own_tf = term[by], tf[by]
         self.own = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
         self.weights = np.zeros(len(terms))
         self.met, self.visited, self.read = 0, 0, 0  # blocks with a term of a query, those visited, and postings read
 
+    def impacts(self, docs: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return tf * (self.k1 + 1) / (tf + self.norm[docs])
+
     def exact(self, docs: np.ndarray) -> np.ndarray:
         """Scores of the documents by self.weights, rounded."""
         sizes = self.own[docs + 1] - self.own[docs]
         at = c.ranges(self.own[docs], sizes)
-        return np.round(np.add.reduceat(self.weights[self.own_term[at]] * self.own_impact[at], np.cumsum(sizes) - sizes), DIGITS)
-
-    def postings(self, cuts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and weighted impacts of the cuts' postings."""
-        sizes = self.cut[cuts + 1] - self.cut[cuts]
-        at = c.ranges(self.cut[cuts], sizes)
-        self.read += len(at)
-        return self.doc[at], self.impact[at] * np.repeat(weights, sizes)
+        parts = self.weights[self.own_term[at]] * self.impacts(np.repeat(docs, sizes), self.own_tf[at])
+        return np.round(np.add.reduceat(parts, np.cumsum(sizes) - sizes), DIGITS)
 
-    def visit(self, live: np.ndarray, cuts: np.ndarray, weights: np.ndarray, most: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def visit(self, live: np.ndarray, query: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(document, score) of the candidates of the live blocks: those that may reach `least`."""
-        inside = live[self.cut_block[cuts]]
-        cuts, weights, most = cuts[inside], weights[inside], most[inside]
-        block = self.cut_block[cuts]
-        rest = np.zeros(self.blocks)
-        ahead = np.ones(len(cuts), bool)  # from the pivot on
-        if least > 0:
-            by = np.lexsort((most, block))
-            total = np.cumsum(most[by])
-            heads = np.flatnonzero(np.concatenate(([True], block[by][1:] != block[by][:-1])))
-            total -= np.repeat(total[heads] - most[by][heads], np.diff(np.append(heads, len(by))))
-            ahead[by] = total >= least
-            rest = np.bincount(block[~ahead], most[~ahead], self.blocks)
-        size = self.blocks * BLOCK
-        doc, part = self.postings(cuts[ahead], weights[ahead])
-        score = np.bincount(doc, part, size)
-        able = (score > 0) & (score + np.repeat(rest, BLOCK) >= least)
-        late = ~ahead
-        late[late] = able.reshape(-1, BLOCK).any(axis=1)[block[late]]
+        cuts, terms, light, most, wide, common = query
+        place = np.full(self.blocks, -1)
+        place[live] = np.arange(len(live))
+        block = place[self.cut_block[cuts]]
+        inside = np.flatnonzero(block >= 0)
+        cuts, terms, block = cuts[inside], terms[inside], block[inside]
+        upto = np.cumsum(np.concatenate((common[live, None], most[live]), axis=1), axis=1)  # the columns' terms come first
+        pivot = (upto < least).sum(axis=1) - 1  # the first term of lists at which the sum passes the threshold; -1: a column's
+        rest = np.where(pivot >= 0, upto[np.arange(len(live)), np.maximum(pivot, 0)], np.inf)
+        ahead = terms >= pivot[block]
+
+        def scores(which: np.ndarray) -> np.ndarray:
+            some = cuts[which]
+            starts = self.cut[some]
+            sizes = self.cut[some + 1] - starts
+            at = c.ranges(starts, sizes)
+            self.read += len(at)
+            base = (block[which] - self.cut_block[some]) * BLOCK
+            found = np.bincount(self.doc[at] + np.repeat(base, sizes), self.impact[at] * np.repeat(light[terms[which]], sizes), len(live) * BLOCK)
+            return found.astype(np.float64).reshape(-1, BLOCK)
+
+        score = scores(ahead)
+        able = ((score > 0) | (pivot < 0)[:, None]) & (score + rest[:, None] >= least)
+        left = np.flatnonzero(able.any(axis=1))
+        late = ~ahead & able.any(axis=1)[block]
         if late.any():
-            doc, part = self.postings(cuts[late], weights[late])
-            score += np.bincount(doc, part, size)
-        found = np.flatnonzero(able & (score >= least))
-        return found, score[found]
+            score += scores(late)
+        score[left] += self.columns[live[left]] @ wide
+        row, at = np.nonzero(able & (score >= max(least, 1e-30)))
+        return live[row] * BLOCK + at, score[row, at]
 
     def search(self, hashes: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[float, object]]:
         """(score, id) of the query's best k documents that reach the floor."""
@@ -205,26 +221,33 @@ class Shard:
         at, weights = at[hit], weights[hit]
         if not len(at):
             return []
-        sizes = self.first_cut[at + 1] - self.first_cut[at]
-        cuts, each = c.ranges(self.first_cut[at], sizes), np.repeat(weights, sizes)
-        most = each * self.cut_most[cuts]
-        bound = np.bincount(self.cut_block[cuts], most, self.blocks)
+        column = self.column[at]
+        wide = np.zeros(self.columns.shape[2], np.float32)
+        wide[column[column >= 0]] = weights[column >= 0]
+        common = self.column_most @ wide  # of each block: the sum of the maxima of the columns' terms
+        order = np.argsort(np.where(column < 0, weights, np.inf), kind="stable")[: int((column < 0).sum())]
+        by, light = at[order], weights[order].astype(np.float32)
+        sizes = self.first_cut[by + 1] - self.first_cut[by]
+        cuts, terms = c.ranges(self.first_cut[by], sizes), np.repeat(np.arange(len(by)), sizes)
+        most = np.zeros((self.blocks, len(by)), np.float32)  # block maxima of the terms of lists, in order of weight
+        most[self.cut_block[cuts], terms] = self.cut_most[cuts] * light[terms]
+        bound = (common + most.sum(axis=1)) * (1 + SINGLE)
+        query = cuts, terms, light, most, wide, common
         order = np.argsort(-bound, kind="stable")
         order = order[: int((bound > 0).sum())]
         self.met += len(order)
         docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        least, wave, done = floor - MARGIN, -(-k // BLOCK) + 1, 0
+        least, done = floor * (1 - SINGLE) - MARGIN, 0
+        wave = len(order) if floor > 0 else -(-k // BLOCK) + 1
         while done < len(order) and bound[order[done]] >= least:
-            some = order[done : done + wave]
-            some = some[bound[some] >= least]
-            done, wave = done + wave, 3 * wave
-            self.visited += len(some)
-            live = np.zeros(self.blocks, bool)
-            live[some] = True
-            more, own = self.visit(live, cuts, each, most, least)
+            live = order[done : done + wave]
+            live = live[bound[live] >= least]
+            done, wave = done + wave, 4 * wave
+            self.visited += len(live)
+            more, own = self.visit(live, query, least * (1 - SINGLE))
             docs, scores = np.concatenate((docs, more)), np.concatenate((scores, own))
             if len(docs) > k:
-                least = max(least, float(np.partition(scores, -k)[-k]) - MARGIN)
+                least = max(least, float(np.partition(scores, -k)[-k]) * (1 - SINGLE) - MARGIN)
                 docs, scores = docs[scores >= least], scores[scores >= least]
         if not len(docs):
             return []

@@ -768,8 +768,10 @@ def rare_corpus(n, seed):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_pruned_search_of_a_shard_is_exact(monkeypatch, seed):
+@pytest.mark.parametrize("share", [1 / 8, 1 / 100, 2])
+def test_pruned_search_of_a_shard_is_exact(monkeypatch, seed, share):
     monkeypatch.setattr(topk_search, "BLOCK", 4)
+    monkeypatch.setattr(topk_search, "COLUMN_SHARE", share)
     rows, terms = rare_corpus(300, seed), topk_search.Terms()
     made = topk_search.build_shard([i for i, *_ in rows], [terms.count(t) for _, t, _ in rows])
     arrays = {k: np.frombuffer(made[k], t) for k, t in (("lengths", np.int32), ("terms", np.uint64), ("df", np.int32), ("doc", np.int32), ("tf", np.int32))}
