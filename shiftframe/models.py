@@ -198,7 +198,7 @@ def evaluate(predictions: DataFrame, cube: DataFrame, split: Split, channel: str
     """The four levels for one channel of predict()."""
     rows = predictions.where(F.col("channel") == channel).withColumn("baseline", F.lit("trees")).withColumn("w", F.lit(1))
     active = scaling.activity(cube, split, channel)
-    return metrics.levels(rows, rows, active, ["baseline"])  # a step and a horizon name one origin
+    return metrics.levels(rows, metrics.horizon_step(rows, ["baseline"]), active, ["baseline"])  # a step and a horizon name one origin
 
 
 def importances(model: object) -> list[tuple[str, float]]:

@@ -55,16 +55,27 @@ def known_keys(left: DataFrame, right: DataFrame, on: str, what: str) -> None:
     none_of(missing_keys(left.select(on).distinct(), right, on), what)
 
 
+def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n) of keys that occur more than once."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
     """No key occurs twice."""
-    none_of(df.groupBy(*keys).count().where("count > 1"), what)
+    none_of(duplicates(df, keys), what)
 
 
-def same_keys(left: DataFrame, right: DataFrame, key: str, what: str) -> None:
-    """The same set of keys on either side; their order means nothing."""
+def differing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side) of keys that only one side has: left or right."""
     a = left.select(key).distinct().withColumn("_left", F.lit(True))
     b = right.select(key).distinct().withColumn("_right", F.lit(True))
-    none_of(a.join(b, key, "full_outer").where("_left IS NULL OR _right IS NULL"), what)
+    one = a.join(b, key, "full_outer").where("_left IS NULL OR _right IS NULL")
+    return one.select(key, F.when(F.col("_left"), "left").otherwise("right").alias("side"))
+
+
+def same_keys(left: DataFrame, right: DataFrame, key: str, what: str) -> None:
+    """The same set of keys on either side; their order means nothing."""
+    none_of(differing_keys(left, right, key), what)
 
 
 def columns_present(df: DataFrame, required: Iterable[str], what: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import checks, metrics
 
 
 def radius(df: DataFrame, alpha: float = 0.1, group: list[str] | None = None, y: str = "y", yhat: str = "yhat") -> DataFrame:
@@ -27,11 +27,16 @@ def radius(df: DataFrame, alpha: float = 0.1, group: list[str] | None = None, y:
     return ranked.where(F.col("upto") >= F.least(k + 1, F.col("n"))).groupBy(*group).agg(F.min("r").alias("radius"), F.first("n").alias("n"))
 
 
-def interval(df: DataFrame, radius_: float, yhat: str = "yhat") -> DataFrame:
-    """The rows with lo and hi, a radius on either side of the prediction."""
-    if not radius_ >= 0 or radius_ == float("inf"):
+def interval(df: DataFrame, radius_: float | str, yhat: str = "yhat") -> DataFrame:
+    """The rows with lo and hi, a radius on either side of the prediction. The radius is a number, or a column's name."""
+    if isinstance(radius_, str):
+        checks.require(df, {"the radius is not finite": checks.not_finite(F.col(radius_)), "the radius is negative": F.col(radius_) < 0}, "interval")
+        radius = F.col(radius_)
+    elif not 0 <= radius_ < float("inf"):
         raise ValueError("the radius must be finite and not negative")
-    return df.withColumn("lo", F.col(yhat) - radius_).withColumn("hi", F.col(yhat) + radius_)
+    else:
+        radius = F.lit(radius_)
+    return df.withColumn("lo", F.col(yhat) - radius).withColumn("hi", F.col(yhat) + radius)
 
 
 def coverage(df: DataFrame, y: str = "y", lower: str = "lo", upper: str = "hi") -> DataFrame:

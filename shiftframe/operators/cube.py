@@ -32,18 +32,27 @@ def signal_name(element: str, column: str, profile: Column) -> Column:
     return F.concat(profile, F.lit(suffix)) if suffix else profile
 
 
+def _matched(elements: DataFrame, signals: DataFrame, element: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """Elements with base and signal, and those with a signal beside each family that has it (null where none has)."""
+    profile = F.col("profile") if "profile" in elements.columns else F.lit(None).cast("string")
+    own = elements.select("element_id", F.col(column).cast("double").alias("base"), signal_name(element, column, profile).alias("signal"))
+    usable = signals.where(F.col("family").isin(*FAMILIES[element])).select("family", "signal").distinct()
+    return own, own.where("signal IS NOT NULL").join(usable, "signal", "left")
+
+
+def ambiguous_signals(elements: DataFrame, signals: DataFrame, element: str, column: str) -> DataFrame:
+    """(element_id, signal, matches) of elements whose signal is in no family that may drive them, or in several."""
+    matched = _matched(elements, signals, element, column)[1]
+    return matched.groupBy("element_id", "signal").agg(F.count("family").alias("matches")).where("matches <> 1")
+
+
 def resolved_signals(elements: DataFrame, signals: DataFrame, element: str, column: str) -> DataFrame:
     """(element_id, base, family, signal) of each element; an element with a profile needs one family that has its signal.
 
     signals: (family, signal), one row for each column of the profile tables.
     """
-    base = F.col(column).cast("double")
-    profile = F.col("profile") if "profile" in elements.columns else F.lit(None).cast("string")
-    own = elements.select("element_id", base.alias("base"), signal_name(element, column, profile).alias("signal"))
-    usable = signals.where(F.col("family").isin(*FAMILIES[element])).select("family", "signal").distinct()
-    matched = own.where("signal IS NOT NULL").join(usable, "signal", "left")
-    wrong = matched.groupBy("element_id", "signal").agg(F.count("family").alias("matches")).where("matches <> 1")
-    checks.none_of(wrong, f"{element}.{column}: a profile must have its signal in exactly one family")
+    checks.none_of(ambiguous_signals(elements, signals, element, column), f"{element}.{column}: a profile must have its signal in exactly one family")
+    own, matched = _matched(elements, signals, element, column)
     plain = own.where("signal IS NULL").select("element_id", "base", F.lit(None).cast("string").alias("family"), "signal")
     return matched.select("element_id", "base", "family", "signal").unionByName(plain)
 

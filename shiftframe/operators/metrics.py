@@ -42,7 +42,8 @@ def bus_micro(rows: DataFrame, group: list[str], weight: Column | None = None) -
 
 def bus_macro(rows: DataFrame, active: DataFrame, group: list[str], weight: Column | None = None) -> DataFrame:
     """Each active bus's metrics, then their plain mean; undefined WAPEs are skipped."""
-    per_bus = rows.groupBy(*group, "bus").agg(*named(error_sums(weight))).join(active.where("active").select("bus"), "bus")
+    own = [x for x in group if x in active.columns]  # such as the channel
+    per_bus = rows.groupBy(*group, "bus").agg(*named(error_sums(weight))).join(active.where("active").select(*own, "bus"), [*own, "bus"])
     per_bus = per_bus.select(*group, "bus", *named(finals()), "n")
     return per_bus.groupBy(*group).agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("wape").alias("wape"), F.sum("n").cast("long").alias("points"), F.count("*").alias("active_buses"))
 
@@ -65,13 +66,13 @@ def horizon_arrays(rows: DataFrame, group: list[str]) -> DataFrame:
     return out.select(*group, *[F.col(f"x.{k}").alias(k) for k in ("mae", "rmse", "wape")])
 
 
-def levels(rows: DataFrame, horizon_rows: DataFrame, active: DataFrame, group: list[str]) -> DataFrame:
-    """All four levels as one table. rows carry a weight w and, where it matters, the horizon."""
+def levels(rows: DataFrame, by_step: DataFrame, active: DataFrame, group: list[str]) -> DataFrame:
+    """All four levels as one table. rows carry a weight w and, where it matters, the horizon; by_step is the last level."""
     if not active.where("active").take(1):
         raise IntegrityError("there is no active bus")
     w = F.col("w")
     null = {"bus": F.lit(None).cast("long"), "horizon": F.lit(None).cast("int"), "active_buses": F.lit(None).cast("long")}
-    parts = {"bus_micro": bus_micro(rows, group, w), "bus_macro_active": bus_macro(rows, active, group, w), "system_aggregate": system(rows, group, ["step", "horizon"], w), "horizon_step": horizon_step(horizon_rows, group)}
+    parts = {"bus_micro": bus_micro(rows, group, w), "bus_macro_active": bus_macro(rows, active, group, w), "system_aggregate": system(rows, group, ["step", "horizon"], w), "horizon_step": by_step}
     out = [x.withColumns({k: v for k, v in null.items() if k not in x.columns}).select(F.lit(name).alias("level"), *group, *LEVEL[1:]) for name, x in parts.items()]
     return reduce(DataFrame.unionByName, out)
 
@@ -88,29 +89,58 @@ def grouping_sets(rows: DataFrame, group: list[str]) -> DataFrame:
 # --- scalar metrics over a table; each takes the names of its columns and returns one row
 
 
-def _checked(df: DataFrame, columns: list[str], rules: dict[str, Column] | None = None) -> DataFrame:
-    bad = {f"{x} is not finite": checks.not_finite(F.col(x)) for x in columns}
-    found = checks.count_rules(df, bad | (rules or {}))
+def _raise_for(found: dict[str, int]) -> None:
     if not found.pop("_rows"):
         raise ValueError("there are no rows")
     broken = [k for k, v in found.items() if v]
     if broken:
         raise ValueError(", ".join(broken))
+
+
+def _rules(columns: list[str], rules: dict[str, Column] | None) -> dict[str, Column]:
+    return {f"{x} is not finite": checks.not_finite(F.col(x)) for x in columns} | (rules or {})
+
+
+def _checked(df: DataFrame, columns: list[str], rules: dict[str, Column] | None = None) -> DataFrame:
+    """df, after a pass for the rules."""
+    _raise_for(checks.count_rules(df, _rules(columns, rules)))
     return df
 
 
+def measured(df: DataFrame, columns: list[str], values: dict[str, Column], rules: dict[str, Column] | None = None) -> DataFrame:
+    """One row of aggregates, from the same pass that counts the rows which break a rule; a broken rule raises."""
+    broken = [F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in _rules(columns, rules).items()]
+    row = df.agg(F.count("*").alias("_rows"), *broken, *[v.cast("double").alias(f"_{k}") for k, v in values.items()]).first().asDict()
+    result = tuple(row.pop(f"_{k}") for k in values)
+    _raise_for(row)
+    return df.sparkSession.createDataFrame([result], ", ".join(f"{k} double" for k in values))
+
+
 def _in_unit(x: float, name: str) -> None:
     if not 0 < x < 1:
         raise ValueError(f"{name} must lie in (0, 1)")
 
 
+def mae_value(y: str = "y", yhat: str = "yhat") -> Column:
+    return F.avg(F.abs(F.col(y) - F.col(yhat)))
+
+
+def rmse_value(y: str = "y", yhat: str = "yhat") -> Column:
+    e = F.col(y) - F.col(yhat)
+    return F.sqrt(F.avg(e * e))
+
+
+def pinball_value(q: float, y: str = "y", yhat: str = "yhat") -> Column:
+    _in_unit(q, "the quantile")
+    return F.avg(pinball(F.col(y), F.col(yhat), q))
+
+
 def mae(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
-    return _checked(df, [y, yhat]).agg(F.avg(F.abs(F.col(y) - F.col(yhat))).alias("mae"))
+    return measured(df, [y, yhat], {"mae": mae_value(y, yhat)})
 
 
 def rmse(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
-    e = F.col(y) - F.col(yhat)
-    return _checked(df, [y, yhat]).agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    return measured(df, [y, yhat], {"rmse": rmse_value(y, yhat)})
 
 
 def pinball(y: Column, pred: Column, q: float) -> Column:
@@ -119,8 +149,7 @@ def pinball(y: Column, pred: Column, q: float) -> Column:
 
 
 def pinball_loss(df: DataFrame, q: float, y: str = "y", yhat: str = "yhat") -> DataFrame:
-    _in_unit(q, "the quantile")
-    return _checked(df, [y, yhat]).agg(F.avg(pinball(F.col(y), F.col(yhat), q)).alias("pinball"))
+    return measured(df, [y, yhat], {"pinball": pinball_value(q, y, yhat)})
 
 
 def covered(y: Column, lower: Column, upper: Column) -> Column:
@@ -129,12 +158,11 @@ def covered(y: Column, lower: Column, upper: Column) -> Column:
 
 
 def interval_coverage(df: DataFrame, y: str = "y", lower: str = "lo", upper: str = "hi") -> DataFrame:
-    own = _checked(df, [y, lower, upper], {"lower above upper": F.col(lower) > F.col(upper)})
-    return own.agg(F.avg(covered(F.col(y), F.col(lower), F.col(upper))).alias("coverage"))
+    return measured(df, [y, lower, upper], {"coverage": F.avg(covered(F.col(y), F.col(lower), F.col(upper)))}, {"lower above upper": F.col(lower) > F.col(upper)})
 
 
 def mean_interval_width(df: DataFrame, lower: str = "lo", upper: str = "hi") -> DataFrame:
-    return _checked(df, [lower, upper], {"lower above upper": F.col(lower) > F.col(upper)}).agg(F.avg(F.col(upper) - F.col(lower)).alias("width"))
+    return measured(df, [lower, upper], {"width": F.avg(F.col(upper) - F.col(lower))}, {"lower above upper": F.col(lower) > F.col(upper)})
 
 
 def winkler(y: Column, lower: Column, upper: Column, alpha: float) -> Column:
@@ -144,8 +172,7 @@ def winkler(y: Column, lower: Column, upper: Column, alpha: float) -> Column:
 
 def interval_score(df: DataFrame, alpha: float, y: str = "y", lower: str = "lo", upper: str = "hi") -> DataFrame:
     _in_unit(alpha, "alpha")
-    own = _checked(df, [y, lower, upper], {"lower above upper": F.col(lower) > F.col(upper)})
-    return own.agg(F.avg(winkler(F.col(y), F.col(lower), F.col(upper), alpha)).alias("score"))
+    return measured(df, [y, lower, upper], {"score": F.avg(winkler(F.col(y), F.col(lower), F.col(upper), alpha))}, {"lower above upper": F.col(lower) > F.col(upper)})
 
 
 def regret(cost: Column, oracle: Column) -> Column:
@@ -162,7 +189,7 @@ def violation_rate(df: DataFrame, lower: float, upper: float, value: str = "valu
     if not lower <= upper:
         raise ValueError("lower above upper")
     v = F.col(value)
-    return _checked(df, [value]).agg(F.avg(F.when((v < lower) | (v > upper), 1.0).otherwise(0.0)).alias("violation_rate"))
+    return measured(df, [value], {"violation_rate": F.avg(F.when((v < lower) | (v > upper), 1.0).otherwise(0.0))})
 
 
 # --- probabilistic metrics over wide quantile columns

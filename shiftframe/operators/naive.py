@@ -63,12 +63,13 @@ def forecasts(cube: DataFrame, windows: DataFrame, baseline: Baseline, channel:
     return y.join(values.select(F.col("step").alias("source"), "bus", F.col("v").alias("yhat")), ["source", "bus"]).select("origin", "horizon", "bus", "y", "yhat")
 
 
-def error_rows(cube: DataFrame, split: Split, name: str, spec: WindowSpec, baselines: tuple[Baseline, ...], channel: str) -> DataFrame:
-    """(baseline, bus, horizon, step, y, yhat, w): each target once per distinct forecast, w times its windows.
+def error_rows(cube: DataFrame, split: Split, name: str, spec: WindowSpec, baselines: tuple[Baseline, ...], channels: str | tuple[str, ...]) -> DataFrame:
+    """(channel, baseline, bus, horizon, step, y, yhat, w): each target once per distinct forecast, w times its windows.
 
     With a stride of one, a lagged forecast of a target is the same in every window that holds it, so one row stands
     for w windows, 16 or 96 times fewer rows than windows x steps; horizon is NULL in these. The last value depends on
-    the horizon: one lag column each, and w is 1. All lags share one window specification, and all forecasts one explode.
+    the horizon: one lag column each, and w is 1. All lags and all channels share one window specification, and all
+    forecasts one explode. For one channel, given by its name, there is no column of channels.
     """
     if spec.stride != 1:
         raise IntegrityError("closed forms need a stride of 1; use forecasts() for other plans")
@@ -76,13 +77,14 @@ def error_rows(cube: DataFrame, split: Split, name: str, spec: WindowSpec, basel
     h = spec.horizon
     for x in baselines:
         require_causal(x, spec, a)
-    by_bus = Window.partitionBy("bus").orderBy("step")
+    many = (channels,) if isinstance(channels, str) else channels
+    by_bus = Window.partitionBy("channel", "bus").orderBy("step")
     lags = {f"l{x.lag}": x.lag for x in baselines if x.mode == "target_lag"}
     last = [x for x in baselines if x.mode == "origin_constant"]
     if last:
         lags |= {f"l{spec.lead + k}": spec.lead + k for k in range(h)}
     halo = max(lags.values(), default=0)
-    own = cube.where((F.col("step") >= a - halo) & (F.col("step") < b)).select("step", "bus", F.col(channel).alias("y"))
+    own = cube.where((F.col("step") >= a - halo) & (F.col("step") < b)).unpivot(["step", "bus"], list(many), "channel", "y")
     own = own.withColumns({k: F.lag("y", v).over(by_bus) for k, v in lags.items()}).where(F.col("step") >= a)
     t = F.col("step")
     covered = F.greatest(F.least(t, F.lit(b - h)) - F.greatest(F.lit(a), t - (h - 1)) + 1, F.lit(0))
@@ -92,8 +94,9 @@ def error_rows(cube: DataFrame, split: Split, name: str, spec: WindowSpec, basel
 
     each = [forecast(x, None, f"l{x.lag}", covered) for x in baselines if x.mode == "target_lag"]
     each += [forecast(x, k, f"l{spec.lead + k}", F.when((t >= a + k) & (t <= b - h + k), 1).otherwise(0)) for x in last for k in range(h)]
-    rows = own.select("bus", "step", "y", F.explode(F.filter(F.array(*each), lambda x: x["w"] > 0)).alias("x"))
-    return rows.select("x.baseline", "bus", "x.horizon", "step", "y", "x.yhat", "x.w")
+    rows = own.select("channel", "bus", "step", "y", F.explode(F.filter(F.array(*each), lambda x: x["w"] > 0)).alias("x"))
+    rows = rows.select("channel", "x.baseline", "bus", "x.horizon", "step", "y", "x.yhat", "x.w")
+    return rows.drop("channel") if isinstance(channels, str) else rows
 
 
 def by_horizon(rows: DataFrame, split: Split, name: str, spec: WindowSpec, keep: list[str] | None = None) -> DataFrame:
@@ -125,7 +128,15 @@ def horizon_sums(rows: DataFrame, split: Split, name: str, spec: WindowSpec, gro
     return out.where(F.col("horizon") < h)
 
 
+def horizon_metrics(rows: DataFrame, split: Split, name: str, spec: WindowSpec, group: list[str]) -> DataFrame:
+    """(group, horizon, mae, rmse, wape, points) from horizon_sums."""
+    y = F.col("y").cast("double")
+    e = y - F.col("yhat").cast("double")
+    sums = horizon_sums(rows, split, name, spec, group, {"abs_e": F.abs(e), "sq_e": e * e, "abs_y": F.abs(y)})
+    return sums.select(*group, "horizon", *metrics.named(metrics.finals()), F.col("n").cast("long").alias("points"))
+
+
 def evaluate(cube: DataFrame, split: Split, name: str, spec: WindowSpec, channel: str, active: DataFrame, baselines: tuple[Baseline, ...] = BASELINES) -> DataFrame:
     """Metrics of all baselines at the four levels, for one channel and split, as long rows (see metrics.LEVEL)."""
     rows = error_rows(cube, split, name, spec, baselines, channel)
-    return metrics.levels(rows, by_horizon(rows, split, name, spec), active, ["baseline"])
+    return metrics.levels(rows, horizon_metrics(rows, split, name, spec, ["baseline"]), active, ["baseline"])

@@ -49,7 +49,14 @@ def transform(cube: DataFrame, scaler: DataFrame, channels: list[str] | tuple[st
 
 def activity(cube: DataFrame, split: Split, channel: str, *, epsilon: float = ACTIVITY_EPSILON) -> DataFrame:
     """(bus, active): mean absolute value over the training rows above epsilon."""
-    if channel not in cube.columns:
-        raise IntegrityError(f"unknown channel {channel!r}")
+    return activities(cube, split, (channel,), epsilon=epsilon).select("bus", "active")
+
+
+def activities(cube: DataFrame, split: Split, channels: tuple[str, ...], *, epsilon: float = ACTIVITY_EPSILON) -> DataFrame:
+    """(channel, bus, active) of several channels in one pass."""
+    gone = sorted(set(channels) - set(cube.columns))
+    if gone:
+        raise IntegrityError(f"unknown channels {gone}")
     train = cube.where((F.col("step") >= split.train[0]) & (F.col("step") < split.train[1]))
-    return train.groupBy("bus").agg((F.avg(F.abs(F.col(channel).cast("double"))) > epsilon).alias("active"))
+    means = train.groupBy("bus").agg(*[(F.avg(F.abs(F.col(x).cast("double"))) > epsilon).alias(x) for x in channels])
+    return means.unpivot(["bus"], list(channels), "channel", "active").select("channel", "bus", "active")

@@ -17,7 +17,7 @@ from ..operators import checks, conformal, features, metrics, naive, physics, sc
 from ..operators import cube as cubes
 from ..schemas import CALENDAR, CHANNELS, NET_P, NET_Q, QUANTILES, STATIC
 from ..session import pin
-from ..sources import events
+from ..sources import events, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,15 +62,13 @@ base AS (
   SELECT s.step, b.bus, CAST(coalesce(load_p_mw, 0) AS BIGINT) AS load_p_mw, CAST(coalesce(load_q_mvar, 0) AS BIGINT) AS load_q_mvar, CAST(coalesce(sgen_p_mw, 0) AS BIGINT) AS sgen_p_mw,
     CAST(coalesce(gen_p_mw, 0) AS BIGINT) AS gen_p_mw, CAST(coalesce(storage_p_mw, 0) AS BIGINT) AS storage_p_mw
   FROM range(2880) s(step) CROSS JOIN range(8) b(bus) LEFT JOIN sums x ON x.step = s.step AND x.bus = b.bus),
-cube AS (SELECT *, load_p_mw + storage_p_mw - sgen_p_mw - gen_p_mw AS net_demand_p_mw, load_q_mvar AS net_demand_q_mvar FROM base),
-net AS (SELECT step, bus, 'net_p' AS channel, net_demand_p_mw AS v FROM cube UNION ALL SELECT step, bus, 'net_q', net_demand_q_mvar FROM cube),
+cube AS MATERIALIZED (SELECT *, load_p_mw + storage_p_mw - sgen_p_mw - gen_p_mw AS net_demand_p_mw, load_q_mvar AS net_demand_q_mvar FROM base),
+net AS MATERIALIZED (SELECT step, bus, 'net_p' AS channel, net_demand_p_mw AS v FROM cube UNION ALL SELECT step, bus, 'net_q', net_demand_q_mvar FROM cube),
 bl AS (SELECT * FROM (VALUES ('last_value_v1', 0), ('seasonal_24h_v1', 96), ('seasonal_7d_v1', 672)) t(baseline, lag)),
 vo AS (SELECT o AS origin FROM range(2015, 2480) t(o)),
-fc AS (
-  SELECT n.channel, bl.baseline, vo.origin, CAST(h.h AS INT) AS horizon, n.bus, n.v AS y, s.v AS yhat
-  FROM vo CROSS JOIN range(16) h(h) CROSS JOIN bl
-  JOIN net n ON n.step = vo.origin + 1 + h.h
-  JOIN net s ON s.channel = n.channel AND s.bus = n.bus AND s.step = CASE WHEN bl.lag = 0 THEN vo.origin ELSE vo.origin + 1 + h.h - bl.lag END),
+tg AS (SELECT n.channel, vo.origin, CAST(h.h AS INT) AS horizon, n.bus, n.step, n.v AS y FROM vo CROSS JOIN range(16) h(h) JOIN net n ON n.step = vo.origin + 1 + h.h),
+src AS (SELECT tg.*, bl.baseline, CASE WHEN bl.lag = 0 THEN tg.origin ELSE tg.step - bl.lag END AS source FROM tg CROSS JOIN bl),
+fc AS (SELECT src.channel, src.baseline, src.origin, src.horizon, src.bus, src.y, s.v AS yhat FROM src JOIN net s ON s.channel = src.channel AND s.bus = src.bus AND s.step = src.source),
 act AS (SELECT channel, bus, avg(abs(v)) > 1e-8 AS active FROM net WHERE step < 2016 GROUP BY 1, 2)
 """
 
@@ -103,48 +101,52 @@ def cube_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.conserved(own, per_bus, "value", 0.0).agg(F.count("*").alias("broken_steps"))
 
 
-@query(
-    "element_to_bus_join",
-    "SELECT n_nationkey AS bus, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS quantity, count(l_suppkey) AS n_elements FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1",
-)
+@query("element_to_bus_join", "SELECT l_linenumber::BIGINT AS step, s_nationkey::BIGINT AS bus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2")
 def element_to_bus_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitems are elements at suppliers, nations are buses. Quantities are summed by supplier before the join."""
-    line = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"))
-    at = line.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").groupBy("s_nationkey").agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
-    buses = table(spark, sf_dir, "nation").select("n_nationkey")
-    return buses.join(at, buses["n_nationkey"] == at["s_nationkey"], "left").select(F.col("n_nationkey").alias("bus"), F.coalesce("q", F.lit(0)).alias("quantity"), F.coalesce("n", F.lit(0)).alias("n_elements"))
+    """Suppliers are elements at the bus of their nation, line numbers are steps."""
+    values = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("pos"), F.col("l_suppkey").alias("element_id"), F.col("l_quantity").cast("long").alias("value"))
+    elements = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("element_id"), F.col("s_nationkey").cast("long").alias("bus"))
+    buses = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("bus"))
+    return cubes.element_to_bus(values, elements, buses, "quantity")
+
+
+@query("elements_per_bus", "SELECT n_nationkey::BIGINT AS bus, count(s_suppkey) AS n, coalesce(CAST(sum(abs(CAST(round(s_acctbal * 100) AS BIGINT))) AS BIGINT), 0) AS installed FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def elements_per_bus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and installed power of the elements of each bus, none included."""
+    elements = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("bus"), F.round(F.col("s_acctbal") * 100).alias("p_mw"))
+    buses = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("bus"))
+    installed = features.abs_sum_by_bus(elements, buses, "p_mw", "installed").withColumn("installed", F.col("installed").cast("long"))
+    return features.counts_by_bus(elements, buses, "n").join(installed, "bus")
 
 
 @query(
     "profile_formula",
-    """WITH f AS (SELECT DISTINCT p_brand AS signal, 40 + 3 * CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS pct FROM part),
-e AS (SELECT l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS base, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS signal FROM lineitem JOIN part ON p_partkey = l_partkey)
-SELECT s_nationkey AS bus, CAST(sum(base * coalesce(pct, 100)) AS BIGINT) AS value, count(*) AS n, count(pct) AS driven FROM e JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN f ON f.signal = e.signal GROUP BY 1""",
+    """WITH e AS (SELECT s_suppkey AS element_id, CAST(round(s_acctbal * 100) AS BIGINT) AS base, CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey END AS nation FROM supplier)
+SELECT p.pos, e.element_id, CAST(base * CASE WHEN nation IS NULL THEN 1 ELSE 40 + 3 * nation + p.pos END AS BIGINT) AS value FROM e CROSS JOIN range(24) p(pos)""",
 )
 def profile_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base times factor, in hundredths times per cent; parts of some sizes have no profile and a factor of one."""
-    part = table(spark, sf_dir, "part")
-    factors = part.select(F.col("p_brand").alias("signal")).distinct().withColumn("pct", 40 + 3 * F.replace("signal", F.lit("Brand#"), F.lit("")).cast("long"))
-    signal = F.when(F.col("p_size") % 5 != 0, F.col("p_brand"))
-    priced = part.select("p_partkey", signal.alias("signal")).join(factors, "signal", "left")
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("base"))
-    rows = line.join(priced, line["l_partkey"] == priced["p_partkey"])
-    sums = rows.groupBy("l_suppkey").agg(F.sum(F.col("base") * F.coalesce("pct", F.lit(100))).alias("value"), F.count("*").alias("n"), F.count("pct").alias("driven"))
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    at = sums.join(supplier, sums["l_suppkey"] == supplier["s_suppkey"])
-    return at.groupBy(F.col("s_nationkey").alias("bus")).agg(*[F.sum(x).alias(x) for x in ("value", "n", "driven")])
+    """Suppliers are loads with their balance as base power; those of four in five have their nation's profile."""
+    supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    profile = F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
+    loads = supplier.select(F.col("s_suppkey").alias("element_id"), F.round(F.col("s_acctbal") * 100).alias("p_mw"), profile.alias("profile"))
+    axis = spark.range(24).select(F.col("id").alias("pos"))
+    factor = (40 + 3 * F.col("n_nationkey") + F.col("pos")).cast("double")
+    signal = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("_pload"))
+    profiles = nation.select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(23)).cast("array<bigint>")).alias("pos")).select(F.lit("load").alias("family"), "pos", signal.alias("signal"), factor.alias("factor"))
+    return cubes.absolute_profile(loads, profiles, axis, "load", "p_mw").select("pos", "element_id", F.col("value").cast("long").alias("value"))
 
 
 @query(
     "profile_ambiguity",
     """WITH s AS (SELECT DISTINCT 'powerplants' AS family, p_brand AS signal FROM part WHERE p_size <= 2 UNION ALL SELECT DISTINCT 'renewables', p_brand FROM part WHERE p_size >= 49)
-SELECT b.signal, count(s.family) AS matches FROM (SELECT DISTINCT p_brand AS signal FROM part) b LEFT JOIN s ON s.signal = b.signal GROUP BY 1 HAVING count(s.family) <> 1""",
+SELECT p_partkey AS element_id, b.p_brand AS signal, count(s.family) AS matches FROM part b LEFT JOIN s ON s.signal = b.p_brand GROUP BY 1, 2 HAVING count(s.family) <> 1""",
 )
 def profile_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are static generators with their brand as profile; small and large sizes make the two families that may drive them."""
     part = table(spark, sf_dir, "part")
-    families = [part.where(w).select(F.lit(f).alias("family"), F.col("p_brand").alias("signal")).distinct() for f, w in (("powerplants", "p_size <= 2"), ("renewables", "p_size >= 49"))]
-    used = part.select(F.col("p_brand").alias("signal")).distinct()
-    return used.join(families[0].union(families[1]), "signal", "left").groupBy("signal").agg(F.count("family").alias("matches")).where("matches <> 1")
+    families = [part.where(w).select(F.lit(f).alias("family"), F.col("p_brand").alias("signal")) for f, w in (("powerplants", "p_size <= 2"), ("renewables", "p_size >= 49"))]
+    elements = part.select(F.col("p_partkey").alias("element_id"), F.col("p_size").alias("p_mw"), F.col("p_brand").alias("profile"))
+    return cubes.ambiguous_signals(elements, families[0].union(families[1]), "sgen", "p_mw")
 
 
 TAP = """WITH t AS (SELECT p_partkey AS element_id, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size - 25 END AS tap_pos, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END AS step_percent,
@@ -176,14 +178,20 @@ def tap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return physics.tap_bounds(_trafo(spark, sf_dir)).select("element_id", F.col("tap_pos").cast("long").alias("tap_pos"))
 
 
-@query(
-    "numeric_coercion",
-    """SELECT count(*) AS n, count(*) FILTER (WHERE try_cast(k AS DOUBLE) IS NULL) AS bad_props, count(*) FILTER (WHERE try_cast(event_type AS DOUBLE) IS NULL) AS bad_types,
- CAST(sum(CAST(try_cast(k AS DOUBLE) AS BIGINT)) AS BIGINT) AS total FROM (SELECT json_extract_string(props, '$.k') AS k, event_type FROM events)""",
-)
+@query("numeric_coercion", "SELECT event_id AS pos, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(value AS DOUBLE) AS value FROM events")
 def numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").try_cast("double").alias("k"), F.col("event_type").try_cast("double").alias("t"))
-    return own.agg(F.count("*").alias("n"), F.count_if(F.col("k").isNull()).alias("bad_props"), F.count_if(F.col("t").isNull()).alias("bad_types"), F.sum(F.col("k").cast("long")).alias("total"))
+    """Numbers in strings and numbers, as the columns of a profile table."""
+    own = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("ts").alias("time"), F.get_json_object("props", "$.k").alias("k"), "value")
+    return tables.numeric_profile(own, "events").select("pos", "k", "value")
+
+
+@query("profiles_without_signal", "SELECT s_suppkey AS element_id, 'n' || s_nationkey AS signal FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+def profiles_without_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are storages with their nation's profile; three regions have signals."""
+    named = lambda x: F.concat(F.lit("n"), F.col(x).cast("string"))
+    elements = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("element_id"), named("s_nationkey").alias("profile"))
+    signals = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.lit("storage").alias("family"), named("n_nationkey").alias("signal"))
+    return tables.unmapped(elements, signals, "storage")
 
 
 # --- the time axis
@@ -209,14 +217,13 @@ def transition_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "calendar_features_2016",
-    AXIS + """, f AS (SELECT step, hour(l) * 60 + minute(l) AS m, isodow(l) - 1 AS w, dayofyear(l) - 1 AS d, date_diff('second', t, l) / 3600.0 AS o FROM loc WHERE step % 24 = 0 OR step BETWEEN 8255 AND 8275 OR step BETWEEN 29085 AND 29105)
+    AXIS + """, f AS (SELECT step, hour(l) * 60 + minute(l) AS m, isodow(l) - 1 AS w, dayofyear(l) - 1 AS d, date_diff('second', t, l) / 3600.0 AS o FROM loc)
 SELECT step, round(sin(2 * pi() * m / 1440), 9) + 0.0::DOUBLE AS minute_sin, round(cos(2 * pi() * m / 1440), 9) + 0.0::DOUBLE AS minute_cos, round(sin(2 * pi() * w / 7), 9) + 0.0::DOUBLE AS weekday_sin, round(cos(2 * pi() * w / 7), 9) + 0.0::DOUBLE AS weekday_cos,
  round(sin(2 * pi() * d / 366), 9) + 0.0::DOUBLE AS year_sin, round(cos(2 * pi() * d / 366), 9) + 0.0::DOUBLE AS year_cos, CAST(o AS DOUBLE) AS utc_offset_hours, CASE WHEN o > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_dst FROM f""",
 )
 def calendar_features_2016(spark: SparkSession, sf_dir: str) -> DataFrame:
     axis = timeaxis.generated_axis(spark, YEAR_START, YEAR)
-    some = axis.where("step % 24 = 0 OR step BETWEEN 8255 AND 8275 OR step BETWEEN 29085 AND 29105")
-    return rounded(timeaxis.calendar_table(some), 9, *CALENDAR)
+    return rounded(timeaxis.calendar_table(axis), 9, *CALENDAR)
 
 
 @query("contract_split_positions", AXIS + "SELECT CAST(count(*) FILTER (WHERE l < TIMESTAMP '2016-09-13') AS BIGINT) AS validation_start, CAST(count(*) FILTER (WHERE l < TIMESTAMP '2016-11-07') AS BIGINT) AS test_start, CAST(count(*) AS BIGINT) AS end_step FROM loc")
@@ -278,11 +285,11 @@ TASK = Task("events_4h", "primary", 96, 16)
 
 @query(
     "materialize_windows",
-    CUBE + ", o AS (SELECT * FROM (VALUES (2015), (2300)) t(origin)), w AS (SELECT origin, 'history' AS part, k::INT AS position, origin - 95 + k AS step FROM o CROSS JOIN range(96) r(k) UNION ALL SELECT origin, 'target', k::INT, origin + 1 + k FROM o CROSS JOIN range(16) r(k)) "
+    CUBE + ", o AS (SELECT origin FROM vo), w AS (SELECT origin, 'history' AS part, k::INT AS position, origin - 95 + k AS step FROM o CROSS JOIN range(96) r(k) UNION ALL SELECT origin, 'target', k::INT, origin + 1 + k FROM o CROSS JOIN range(16) r(k)) "
     "SELECT origin, part, position, w.step, bus, net_demand_p_mw, net_demand_q_mvar FROM w JOIN cube USING (step)",
 )
 def materialize_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = windows.for_split(windows.plan(spark, events.STEPS, events.SPLIT, SPEC), "validation").where("origin IN (2015, 2300)")
+    chosen = windows.for_split(windows.plan(spark, events.STEPS, events.SPLIT, SPEC), "validation")
     rows = windows.materialise(events.cube(spark, sf_dir), chosen, TASK)
     return rows.select("origin", "part", "position", "step", "bus", NET_P, NET_Q)
 
@@ -316,9 +323,7 @@ def scaler_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("activity_mask", CUBE + "SELECT channel, bus, active FROM act")
 def activity_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = events.cube(spark, sf_dir)
-    parts = [scaling.activity(cube, events.SPLIT, c).select(F.lit(n).alias("channel"), "bus", "active") for c, n in NETS.items()]
-    return parts[0].unionByName(parts[1])
+    return scaling.activities(events.cube(spark, sf_dir), events.SPLIT, (NET_P, NET_Q)).select(_short(), "bus", "active")
 
 
 # --- features
@@ -393,8 +398,8 @@ def static_bus_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATRIX_SQL = (
     CUBE
     + STATIC_SQL
-    + """, smp AS (SELECT i AS row_id, (i // 128) * 97 AS window_index, (i // 16) % 8 AS bus_pos, i % 16 AS horizon_pos FROM range(2560) r(i)),
-o AS (SELECT *, 95 + window_index AS origin, 96 + window_index + horizon_pos AS target_step FROM smp),
+    + """, smp AS (SELECT i AS row_id, i // 128 AS window_index, (i // 16) % 8 AS bus_pos, i % 16 AS horizon_pos FROM range(59520) r(i)),
+o AS (SELECT *, 2015 + window_index AS origin, 2016 + window_index + horizon_pos AS target_step FROM smp),
 fr AS (SELECT step, bus, """
     + ", ".join([f"{c}::DOUBLE AS origin_{x}" for x, c in (("p", NET_P), ("q", NET_Q))])
     + ", "
@@ -414,10 +419,12 @@ FROM o JOIN st8 ON st8.bus_pos = o.bus_pos JOIN fr ON fr.step = o.origin AND fr.
 )
 
 
-@query("feature_matrix_sample", MATRIX_SQL)
-def feature_matrix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = spark.range(2560).select(F.col("id").alias("row_id"), *features.decode(F.col("id"), events.BUSES, SPEC.horizon))
-    sample = features.with_windows(flat.withColumn("window_index", F.col("window_index") * 97), SPEC.history - 1, SPEC)
+@query("feature_matrix", MATRIX_SQL)
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of all validation windows."""
+    a, _ = naive.target_range(events.SPLIT, "validation", SPEC)
+    n = windows.count_windows(events.SPLIT, SPEC)["validation"]
+    sample = features.with_windows(features.exhaustive_rows(spark, n, events.BUSES, SPEC.horizon), a - SPEC.lead, SPEC)
     calendar = timeaxis.calendar_table(timeaxis.generated_axis(spark, events.START, events.STEPS))
     rows = features.matrix(events.cube(spark, sf_dir), sample, _static(spark, sf_dir), calendar, kind="double").drop("bus")
     rows = rounded(rows, 9, *CALENDAR)
@@ -443,8 +450,15 @@ def _forecast(baseline: naive.Baseline) -> Query:
     return run
 
 
+def _naive_sql(baseline: naive.Baseline) -> str:
+    """One baseline: the values at the targets, beside those at their sources."""
+    source = "vo.origin" if baseline.mode == "origin_constant" else f"n.step - {baseline.lag}"
+    return CUBE + f"""SELECT n.channel, vo.origin, CAST(h.h AS INT) AS horizon, n.bus, n.v AS y, s.v AS yhat
+FROM vo CROSS JOIN range(16) h(h) JOIN net n ON n.step = vo.origin + 1 + h.h JOIN net s ON s.channel = n.channel AND s.bus = n.bus AND s.step = {source}"""
+
+
 for _name, _baseline in (("naive_last_value", naive.LAST_VALUE), ("naive_daily", naive.DAILY), ("naive_weekly", naive.WEEKLY)):
-    query(_name, CUBE + f"SELECT channel, origin, horizon, bus, y, yhat FROM fc WHERE baseline = '{_baseline.baseline_id}'")(_forecast(_baseline))
+    query(_name, _naive_sql(_baseline))(_forecast(_baseline))
 
 
 @query(
@@ -459,8 +473,8 @@ def source_causality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _errors(spark: SparkSession, sf_dir: str, split: Split = events.SPLIT) -> tuple[DataFrame, DataFrame]:
     """Weighted error rows of all baselines and both channels, and the activity of the buses."""
     cube = events.cube(spark, sf_dir)
-    rows = [naive.error_rows(cube, split, "validation", SPEC, naive.BASELINES, c).withColumn("channel", F.lit(n)) for c, n in NETS.items()]
-    return rows[0].unionByName(rows[1]), activity_mask(spark, sf_dir)
+    rows = naive.error_rows(cube, split, "validation", SPEC, naive.BASELINES, (NET_P, NET_Q))
+    return rows.withColumn("channel", _short()), scaling.activities(cube, split, (NET_P, NET_Q)).withColumn("channel", _short())
 
 
 KEYS = ["channel", "baseline"]
@@ -481,8 +495,7 @@ def metrics_bus_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def metrics_bus_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, active = _errors(spark, sf_dir)
-    parts = [metrics.bus_macro(rows.where(F.col("channel") == n), active.where(F.col("channel") == n), KEYS, F.col("w")) for n in NETS.values()]
-    return rounded(parts[0].unionByName(parts[1]), 6, *METRICS)
+    return rounded(metrics.bus_macro(rows, active, KEYS, F.col("w")), 6, *METRICS)
 
 
 @query("metrics_system", CUBE + f", t AS (SELECT channel, baseline, origin, horizon, sum(y) AS y, sum(yhat) AS yhat FROM fc GROUP BY 1, 2, 3, 4), m AS (SELECT channel, baseline, {E} FROM t GROUP BY 1, 2) SELECT channel, baseline, {R} FROM m")
@@ -494,10 +507,7 @@ def metrics_system(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("metrics_horizon", CUBE + f", m AS (SELECT channel, baseline, horizon, {E} FROM fc GROUP BY 1, 2, 3) SELECT channel, baseline, horizon, {R} FROM m")
 def metrics_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _errors(spark, sf_dir)
-    e = F.col("y") - F.col("yhat")
-    sums = naive.horizon_sums(rows, events.SPLIT, "validation", SPEC, KEYS, {"abs_e": F.abs(e), "sq_e": e * e, "abs_y": F.abs("y")})
-    out = sums.select(*KEYS, "horizon", *metrics.named(metrics.finals()), F.col("n").cast("long").alias("points"))
-    return rounded(out, 6, *METRICS)
+    return rounded(naive.horizon_metrics(rows, events.SPLIT, "validation", SPEC, KEYS), 6, *METRICS)
 
 
 @query("metrics_horizon_arrays", CUBE + f", m AS (SELECT channel, baseline, horizon, {E} FROM fc GROUP BY 1, 2, 3) SELECT channel, baseline, string_agg(CAST(CAST(round(mae * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY horizon) AS mae_by_horizon FROM m GROUP BY 1, 2")
@@ -590,7 +600,8 @@ def interval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scalar_metrics", CUBE + "SELECT round(sum(abs(y - yhat))::DOUBLE / count(*), 6) AS mae, round(sqrt(sum((y - yhat)::DOUBLE * (y - yhat)) / count(*)), 6) AS rmse, round(avg(greatest((y - yhat) * 0.9::DOUBLE, (y - yhat) * (0.9::DOUBLE - 1))), 4) AS pinball FROM fc WHERE channel = 'net_p' AND baseline = 'seasonal_24h_v1'")
 def scalar_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _forecast(naive.DAILY)(spark, sf_dir).where("channel = 'net_p'")
-    out = metrics.mae(rows).crossJoin(metrics.rmse(rows)).crossJoin(metrics.pinball_loss(rows, 0.9))  # one row each
+    values = {"mae": metrics.mae_value(), "rmse": metrics.rmse_value(), "pinball": metrics.pinball_value(0.9)}
+    out = metrics.measured(rows, ["y", "yhat"], values)  # rules and values in one pass
     return rounded(rounded(out, 6, "mae", "rmse"), 4, "pinball")
 
 
@@ -608,7 +619,7 @@ def _conformal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = events.cube(spark, sf_dir).select("step", "bus", F.col(NET_P).alias("y"), F.lag(NET_P, 96).over(by_bus).alias("yhat"))
     radii = conformal.radius(rows.where("step >= 1920 AND step < 2016"), 0.1, ["bus"])
     own = rows.where("step >= 2016 AND step < 2496").join(radii.select("bus", "radius"), "bus")
-    return radii, own.select("step", "bus", "y", (F.col("yhat") - F.col("radius")).alias("lo"), (F.col("yhat") + F.col("radius")).alias("hi"))
+    return radii, conformal.interval(own, "radius").select("step", "bus", "y", "lo", "hi")
 
 
 @query("conformal_radius", CONF + "SELECT bus, radius, n FROM rad")
@@ -692,6 +703,23 @@ def validation_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return physics.validation_positions(axis, *_peaks(spark, sf_dir))
 
 
+@query(
+    "snapshot_summary",
+    CUBE + """SELECT step AS position, CAST(sum(load_p_mw) AS BIGINT) AS total_load_p_mw, CAST(sum(load_q_mvar) AS BIGINT) AS total_load_q_mvar, CAST(sum(sgen_p_mw) AS BIGINT) AS total_sgen_p_mw, 1.0 + min(bus) / 64.0::DOUBLE AS min_vm_pu, 1.0 + max(bus) / 64.0::DOUBLE AS max_vm_pu,
+ max(abs(net_demand_p_mw))::DOUBLE AS max_line_loading_percent, CAST(sum(gen_p_mw) - sum(storage_p_mw) AS BIGINT) AS active_branch_loss_mw, CAST(sum(load_p_mw) + sum(gen_p_mw) - sum(storage_p_mw) AS BIGINT) AS active_balance_residual_mw FROM cube GROUP BY 1""",
+)
+def snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube as results of a solver: every step is a snapshot, lines lose what is generated, trafos have flows alone."""
+    from ..operators import snapshots
+
+    parts = {("res_load", "p_mw"): "load_p_mw", ("res_load", "q_mvar"): "load_q_mvar", ("res_sgen", "p_mw"): "sgen_p_mw", ("res_line", "pl_mw"): "gen_p_mw", ("res_trafo", "p_from_mw"): "-2 * storage_p_mw", ("res_trafo", "p_to_mw"): "storage_p_mw"}
+    parts |= {("res_bus", "p_mw"): "load_p_mw", ("res_bus", "vm_pu"): "1 + bus / 64", ("res_line", "loading_percent"): f"abs({NET_P})"}
+    each = [F.struct(F.lit(t).alias("result"), F.lit(n).alias("name"), F.expr(x).cast("double").alias("value")) for (t, n), x in parts.items()]
+    results = events.cube(spark, sf_dir).select(F.col("step").alias("position"), F.col("bus").alias("element_id"), F.explode(F.array(*each)).alias("x")).select("position", "element_id", "x.*")
+    whole = ("total_load_p_mw", "total_load_q_mvar", "total_sgen_p_mw", "active_branch_loss_mw", "active_balance_residual_mw")
+    return snapshots.summary(results).select("position", *[F.col(x).cast("long").alias(x) for x in whole], "min_vm_pu", "max_vm_pu", "max_line_loading_percent")
+
+
 @query("missing_groups_except", "SELECT * FROM (VALUES ('load'), ('powerplants'), ('renewables'), ('storage'), ('view'), ('click')) t(name) EXCEPT SELECT DISTINCT event_type FROM events")
 def missing_groups_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     required = spark.createDataFrame([(x,) for x in ("load", "powerplants", "renewables", "storage", "view", "click")], "name string")
@@ -706,16 +734,14 @@ def voltage_delta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("max_abs_delta").cast("long").alias("max_abs_delta"), F.round("mean_abs_delta", 6).alias("mean_abs_delta"), "n")
 
 
-@query("schema_alignment", "SELECT count(*) FILTER (WHERE a.k IS NULL) AS only_right, count(*) FILTER (WHERE b.k IS NULL) AS only_left FROM (SELECT DISTINCT c_nationkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) b ON a.k = b.k")
+@query("schema_alignment", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT p_partkey AS k FROM part) a FULL JOIN (SELECT DISTINCT s_suppkey * 2 AS k FROM supplier) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def schema_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).distinct().withColumn("l", F.lit(1))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct().withColumn("r", F.lit(1))
-    return a.join(b, "k", "full_outer").agg(F.count_if(F.col("l").isNull()).alias("only_right"), F.count_if(F.col("r").isNull()).alias("only_left"))
+    return checks.differing_keys(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("k")), "k")
 
 
 @query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return checks.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query(
@@ -731,28 +757,32 @@ def series_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- learned forecasts; no SQL form
 
 
-def _small_models(spark: SparkSession, sf_dir: str, quantiles: tuple[float, ...], trees: int) -> tuple[DataFrame, DataFrame]:
+def _models(spark: SparkSession, sf_dir: str, quantiles: tuple[float, ...], trees: int) -> tuple[DataFrame, DataFrame]:
+    """Both channels, fitted on the whole sample that the configuration draws, and scored on all validation windows.
+
+    Only the number of trees is less than the configuration's 300, as fitting takes a second or two for each of them.
+    """
     from .. import models
     from ..contract import Contract
 
-    cube, static = events.cube(spark, sf_dir).persist(), _static(spark, sf_dir).persist()
+    cube, static = events.cube(spark, sf_dir), _static(spark, sf_dir)
     calendar = timeaxis.calendar_table(timeaxis.generated_axis(spark, events.START, events.STEPS))
-    contract, config = Contract(), models.Config(trees=trees, max_rows=2000, min_rows=20, max_bins=32)
-    bundle = models.fit(cube, events.SPLIT, static, calendar, contract=contract, config=config, quantiles=quantiles, channels=(NET_P,))
-    return cube, models.predict(bundle, cube, events.SPLIT, static, calendar, contract=contract, max_windows=8)
+    contract, config = Contract(), models.Config(trees=trees)
+    bundle = models.fit(cube, events.SPLIT, static, calendar, contract=contract, config=config, quantiles=quantiles)
+    return cube, models.predict(bundle, cube, events.SPLIT, static, calendar, contract=contract)
 
 
 @query("gbt_point_validation")
 def gbt_point_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error levels of a point model of five trees on eight validation windows."""
+    """Error levels of the point models of both channels, of five trees each."""
     from .. import models
 
-    cube, rows = _small_models(spark, sf_dir, (), 5)
-    return models.evaluate(rows, cube, events.SPLIT, NET_P)
+    cube, rows = _models(spark, sf_dir, (), 5)
+    return reduce(DataFrame.unionByName, [models.evaluate(rows, cube, events.SPLIT, c).withColumn("channel", F.lit(n)) for c, n in NETS.items()])
 
 
 @query("gbt_quantile_validation")
 def gbt_quantile_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pinball, coverage and crossings of three boosted quantiles on eight validation windows."""
-    _, rows = _small_models(spark, sf_dir, (0.05, 0.50, 0.95), 3)
-    return metrics.probabilistic(rows, (0.05, 0.50, 0.95), (0.05, 0.95), ["channel"])
+    """Pinball, coverage and crossings of all boosted quantiles of both channels, of two trees each."""
+    _, rows = _models(spark, sf_dir, QUANTILES, 2)
+    return metrics.probabilistic(rows, QUANTILES, (0.05, 0.95), ["channel"])

@@ -9,7 +9,7 @@ import pytest
 from shiftframe import artifacts, cli, config, models, provenance
 from shiftframe.contract import Contract, Task, split_at
 from shiftframe.errors import ConfigError, IntegrityError
-from shiftframe.operators import checks, features, physics, timeaxis, windows
+from shiftframe.operators import checks, features, physics, snapshots, timeaxis, windows
 from shiftframe.operators import cube as cubes
 from shiftframe.plans import benchmark
 from shiftframe.schemas import CHANNELS, FEATURES, NET_P, STATIC
@@ -95,6 +95,47 @@ def test_snapshot_assignment_is_exact_and_leaves_the_table(spark):
         cubes.assign_row(load, v.where("element_id = 4"), "p_mw", 0)
 
 
+def flow(losses=0.25, vm=1.0, drop=()):
+    """A plain solver: all power meets at one external grid, and one line loses a little."""
+
+    def run(pdf):
+        at, rows = int(pdf["position"].iloc[0]), []
+        add = lambda result, element, **values: rows.extend((at, result, element, k, float(v)) for k, v in values.items() if result not in drop)
+        total = {"p_mw": 0.0, "q_mvar": 0.0}
+        for r in pdf.itertuples():
+            total[r.name] += r.value * (1 if r.element in ("load", "storage") else -1)
+            add(f"res_{r.element}", r.element_id, **{r.name: r.value})
+        add("res_ext_grid", 0, p_mw=total["p_mw"] + 0.25, q_mvar=total["q_mvar"] + 0.5)
+        add("res_line", 0, pl_mw=losses, ql_mvar=0.5, loading_percent=40 + at)
+        add("res_trafo", 0, p_from_mw=3.0, p_to_mw=-3.0, loading_percent=10)
+        add("res_bus", 0, vm_pu=vm, p_mw=-0.25, q_mvar=-0.5)
+        add("res_bus", 1, vm_pu=1.01, p_mw=0, q_mvar=0)
+        return pd.DataFrame(rows, columns=["position", "result", "element_id", "name", "value"])
+
+    return run
+
+
+def test_snapshots(spark):
+    t, p = grid(spark)
+    g = loaded(spark)
+    at = spark.createDataFrame([(2,), (-1,), (2,)], "position long")
+    results, rows = snapshots.reconstruct("g", g, p["load"], at, flow())
+    got = {r["position"]: r.asDict() for r in rows.collect()}
+    assert set(got) == {2, 7}
+    assert (got[7]["local_time"], got[7]["utc_time"], got[7]["converged"], got[7]["grid_code"]) == ("01.06.2016 01:45", "2016-05-31T23:45:00+00:00", True, "g")
+    r = got[2]
+    assert r["total_load_p_mw"] == pytest.approx(6 * 0.2) and r["total_load_q_mvar"] == pytest.approx(1.5 * 0.5) and r["total_storage_p_mw"] == -1.0 and r["total_gen_p_mw"] == 0.5
+    assert (r["min_vm_pu"], r["max_vm_pu"], r["max_line_loading_percent"], r["max_trafo_loading_percent"]) == (1.0, 1.01, 42.0, 10.0)
+    assert (r["active_branch_loss_mw"], r["reactive_branch_loss_mvar"], r["active_balance_residual_mw"], r["reactive_balance_residual_mvar"]) == (0.25, 0.5, 0.0, 0.0)
+    assert len(rows.columns) == 20 and results.where("result = 'res_load' AND name = 'p_mw' AND position = 2").count() == 2
+    for solver in (flow(losses=0.3), flow(vm=0.4), flow(vm=float("nan")), flow(drop=("res_bus",))):
+        with pytest.raises(IntegrityError):
+            snapshots.reconstruct("g", g, p["load"], at, solver)
+    for bad in ([(8,)], [(-9,)], []):
+        with pytest.raises(IntegrityError):
+            snapshots.reconstruct("g", g, p["load"], spark.createDataFrame(bad, "position long"), flow())
+
+
 def test_profile_validation_refuses(spark):
     t, p = grid(spark)
     cases = [

@@ -48,13 +48,13 @@ def forecast(spark, rows):
 def test_levels(spark):
     perfect = forecast(spark, [("b", s, s % 2, b, float(s + b), float(s + b)) for s in range(3) for b in range(2)])
     active = spark.createDataFrame([(0, True), (1, True)], "bus long, active boolean")
-    assert all(r["mae"] == 0 and r["rmse"] == 0 for r in metrics.levels(perfect, perfect, active, ["baseline"]).collect())
+    assert all(r["mae"] == 0 and r["rmse"] == 0 for r in metrics.levels(perfect, metrics.horizon_step(perfect, ["baseline"]), active, ["baseline"]).collect())
     one_off = forecast(spark, [("b", 0, 0, 0, 1.0, 2.0), ("b", 0, 0, 1, 0.0, 100.0)])
-    got = {r["level"]: r for r in metrics.levels(one_off, one_off, spark.createDataFrame([(0, True), (1, False)], "bus long, active boolean"), ["baseline"]).collect()}
+    got = {r["level"]: r for r in metrics.levels(one_off, metrics.horizon_step(one_off, ["baseline"]), spark.createDataFrame([(0, True), (1, False)], "bus long, active boolean"), ["baseline"]).collect()}
     assert got["bus_macro_active"]["mae"] == 1 and got["bus_macro_active"]["active_buses"] == 1
     assert got["system_aggregate"]["mae"] == 101 and got["bus_micro"]["mae"] == 50.5
     with pytest.raises(IntegrityError):
-        metrics.levels(one_off, one_off, active.selectExpr("bus", "false AS active"), ["baseline"])
+        metrics.levels(one_off, metrics.horizon_step(one_off, ["baseline"]), active.selectExpr("bus", "false AS active"), ["baseline"])
 
 
 def test_wape_is_null_without_a_target(spark):
