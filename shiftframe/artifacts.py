@@ -63,10 +63,15 @@ def write_json(value: Any, path: str | Path) -> Path:
 
 
 def require_target(folder: str | Path, overwrite: bool) -> Path:
-    """A folder that may be written: new, empty, or to be overwritten."""
+    """A folder that may be written: new, empty, or to be overwritten. Of an artifact that is there its manifest and
+    tables go, so that none of its files is taken for the new one's; other files stay."""
     out = Path(folder)
-    if out.exists() and any(out.iterdir()) and not overwrite:
-        raise IntegrityError(f"{out} is not empty")
+    if out.exists() and any(out.iterdir()):
+        if not overwrite:
+            raise IntegrityError(f"{out} is not empty")
+        (out / "manifest.json").unlink(missing_ok=True)
+        for old in out.rglob("*.parquet"):
+            old.unlink()
     return out
 
 
@@ -77,7 +82,7 @@ def write_artifact(cube: DataFrame, axis: DataFrame, folder: str | Path, *, cont
     a folder without one is not an artifact.
     """
     contract = contract or Contract()
-    validate_contract(contract)
+    validate_contract(contract, expected_id=contract.contract_id)
     out = require_target(folder, overwrite)
     spark = cube.sparkSession
     timeaxis.utc_axis(axis)
@@ -85,7 +90,6 @@ def write_artifact(cube: DataFrame, axis: DataFrame, folder: str | Path, *, cont
     checks.ordered_columns(cube, CHANNELS, "cube")
     checks.finite(cube, list(CHANNELS), "cube")
     windows.check_dense(cube, split.n_steps)
-    (out / "manifest.json").unlink(missing_ok=True)
     of = windows.containing_split(split, F.col("step"), F.col("step"))
     at = lambda name: f"file://{out.resolve()}/{name}"
     cube.withColumn("split", of).repartition("split", "bus").write.mode("overwrite").partitionBy("split").parquet(at("cube"))

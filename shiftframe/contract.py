@@ -9,7 +9,8 @@ from typing import Any
 from .errors import IntegrityError
 from .schemas import ACTIVITY_EPSILON, CALENDAR, NET_P, NET_Q, QUANTILES, SPLITS
 
-#: Names are ours; the grid code and the calendar are fixed values of the dataset and its splits.
+#: The three ids (contract and tasks) are our own names, as the original ones hold a product's name; they are data, and
+#: artifacts may carry any others (see write_artifact). The grid code, the time zone, and the splits' bounds.
 CONTRACT_ID = "shiftframe-v1"
 SCHEMA_VERSION = 1
 GRID_CODE = "1-MV-urban--1-no_sw"
@@ -112,6 +113,11 @@ class Evaluation:
     primary_interval: tuple[float, float] = (0.05, 0.95)
     aggregation_levels: tuple[str, ...] = LEVELS
     zero_activity_epsilon: float = ACTIVITY_EPSILON
+    notes: tuple[str, ...] = (
+        "Metrics are made of sums over all forecasts, never of means of means but for the macro level.",
+        "WAPE is undefined where the targets' absolute sum is at most the activity epsilon.",
+        "Quantiles that cross are counted and stay as they are.",
+    )
 
 
 @dataclass(frozen=True)
@@ -131,6 +137,10 @@ class Contract:
         )
     )
     evaluation: Evaluation = Evaluation()
+    sign_convention: str = "Consumption is positive: net demand is load and storage less static and other generation."
+    split_policy: str = "By local calendar time, in order; a window belongs to the split that holds all of its targets."
+    scaling_policy: str = "Mean and standard deviation of each bus and channel, over training steps alone."
+    future_covariate_policy: str = "Only the calendar of target steps is known ahead."
 
     def task(self, task_id: str) -> Task:
         for t in self.tasks:
@@ -146,7 +156,7 @@ class Contract:
 
 
 def validate_contract(contract: Contract, expected_id: str = CONTRACT_ID, expected_version: int = SCHEMA_VERSION) -> None:
-    """Every rule that needs no data."""
+    """Every rule that needs no data; the policies and notes are text and have no rules."""
 
     def rule(ok: bool, what: str) -> None:
         if not ok:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import IntegrityError
-from ..schemas import BALANCE_TOLERANCE, BRANCHES, PROFILED
+from ..schemas import BALANCE_TOLERANCE, BRANCHES, FAMILIES, PROFILED
+from ..session import checkpoint_folder
 from . import checks, cube, physics
 
 #: What a solver returns: a value of an element's result table.
@@ -93,24 +94,40 @@ def require_sound(results: DataFrame, summaries: DataFrame, positions: DataFrame
     checks.require(summaries, rules, "power flow")
 
 
+def verify_formula(bundle: Mapping[tuple[str, str], DataFrame], tables: Mapping[str, DataFrame], profiles: DataFrame, positions: DataFrame, tolerance: float = 1e-12) -> None:
+    """The bundle's values at the positions are base power times factor, and base power where there is no profile; one pass."""
+    at = profiles.join(positions.select(F.col("position").alias("pos")), "pos")
+    parts = []
+    for element, name in PROFILED:
+        own = tables[element].select("element_id", F.col(name).cast("double").alias("base"), cube.signal_name(element, name, F.col("profile")).alias("signal"))
+        usable = at.where(F.col("family").isin(*FAMILIES[element])).select("pos", "signal", "factor")
+        official = bundle[element, name].join(positions.select(F.col("position").alias("pos")), "pos")
+        both = official.join(own, "element_id").join(usable, ["pos", "signal"], "left")
+        formula = F.col("base") * F.when(F.col("signal").isNull(), 1.0).otherwise(F.col("factor"))
+        parts.append(both.select(F.lit(f"{element}.{name}").alias("column"), "element_id", "pos", "value", formula.alias("formula")))
+    wrong = reduce(DataFrame.unionByName, parts)
+    checks.none_of(wrong.where(checks.not_finite(F.col("formula")) | (F.abs(F.col("value") - F.col("formula")) > tolerance)), "profile values that are not the formula's")
+
+
 def reconstruct(
-    grid_code: str, grid: Mapping[str, object], raw_profile: DataFrame, positions: DataFrame, solver: Callable[[pd.DataFrame], pd.DataFrame], *, verify_formula: bool = True,
+    grid_code: str, grid: Mapping[str, object], raw_profile: DataFrame, positions: DataFrame, solver: Callable[[pd.DataFrame], pd.DataFrame], *,
+    bundle: Mapping[tuple[str, str], DataFrame] | None = None, formula: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, summaries) of a loaded grid (see tables.load_grid) at the positions asked for.
 
     raw_profile: (pos, time) of a profile family as it was read. The solver gets a position's injections and returns
-    rows of RESULTS; one that does not converge must raise. With verify_formula the bundle is compared with the profile
-    formula at each position first.
+    rows of RESULTS; one that does not converge must raise. It runs once for each position: its results are
+    checkpointed. The bundle of absolute profiles is made if it is not given; `formula` compares it with the formula.
     """
-    tables, profiles, axis = grid["tables"], grid["profiles"], grid["axis"]
-    bundle = cube.absolute_bundle(tables, profiles, axis)
+    tables, axis = grid["tables"], grid["axis"]
+    bundle = bundle or cube.absolute_bundle(tables, grid["profiles"], axis)
     own = at_positions(axis, positions)
-    if verify_formula:
-        for r in own.toLocalIterator():  # the few positions that were asked for
-            cube.verify_formula(bundle, tables, profiles, r["position"])
     if own.isEmpty():
         raise IntegrityError("no position was asked for")
-    results = physics.solve(injections(tables, bundle, own), solver, RESULTS)
+    if formula:
+        verify_formula(bundle, tables, grid["profiles"], own)
+    checkpoint_folder(own.sparkSession)
+    results = physics.solve(injections(tables, bundle, own), solver, RESULTS).checkpoint()
     summaries = summary(results)
     require_sound(results, summaries, own)
     named = summaries.join(times(raw_profile, axis, own), "position")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..contract import Split, Task, WindowSpec, fraction_split, split_at
+from ..contract import Split, Task, WindowSpec, fraction_split, partition_split, split_at
 from ..operators import checks, conformal, features, metrics, naive, physics, scaling, shifts, timeaxis, windows
 from ..operators import cube as cubes
 from ..schemas import CALENDAR, CHANNELS, NET_P, NET_Q, QUANTILES, STATIC
@@ -754,6 +754,84 @@ def series_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(events.cube(spark, sf_dir), CHANNELS)
 
 
+# --- further operators
+
+
+@query("events_outside_axis", CUBE + "SELECT event_type, count(*) AS n FROM ev WHERE step < 0 OR step >= 2880 GROUP BY 1")
+def events_outside_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.outside(spark, sf_dir)
+
+
+@query(
+    "naive_levels",
+    CUBE + f""", mi AS (SELECT channel, baseline, {E} FROM fc GROUP BY 1, 2), bu AS (SELECT channel, baseline, bus, {E} FROM fc GROUP BY 1, 2, 3), ho AS (SELECT channel, baseline, horizon, {E} FROM fc GROUP BY 1, 2, 3),
+sy AS (SELECT channel, baseline, {E} FROM (SELECT channel, baseline, origin, horizon, sum(y) AS y, sum(yhat) AS yhat FROM fc GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+ma AS (SELECT channel, baseline, avg(mae) AS mae, avg(rmse) AS rmse, avg(wape) AS wape, CAST(sum(points) AS BIGINT) AS points, count(*) AS active_buses FROM bu JOIN act USING (channel, bus) WHERE active GROUP BY 1, 2)
+SELECT 'bus_micro' AS level, channel, baseline, NULL::INT AS horizon, {R}, NULL::BIGINT AS active_buses FROM mi UNION ALL SELECT 'bus_macro_active', channel, baseline, NULL, {R}, active_buses FROM ma
+UNION ALL SELECT 'system_aggregate', channel, baseline, NULL, {R}, NULL FROM sy UNION ALL SELECT 'horizon_step', channel, baseline, horizon, {R}, NULL FROM ho""",
+)
+def naive_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark of all naive forecasts: every channel, baseline and level, as one plan."""
+    from .benchmark import naive_benchmark
+
+    rows = naive_benchmark(events.cube(spark, sf_dir), events.SPLIT, (TASK,))
+    return rounded(rows.withColumn("channel", _short()).select("level", "channel", "baseline", "horizon", *METRICS, "points", "active_buses"), 6, *METRICS)
+
+
+@query("target_vector", CUBE + "SELECT vo.origin, tgt.step AS target_step, tgt.bus, tgt.v::DOUBLE AS y FROM vo CROSS JOIN range(16) h(h) JOIN net tgt ON tgt.step = vo.origin + 1 + h.h AND tgt.channel = 'net_q'")
+def target_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of all rows of all validation windows."""
+    n = windows.count_windows(events.SPLIT, SPEC)["validation"]
+    rows = features.with_windows(features.exhaustive_rows(spark, n, events.BUSES, SPEC.horizon), 2015, SPEC)
+    return features.target_vector(rows.withColumn("bus", F.col("bus_pos")), events.cube(spark, sf_dir), NET_Q).select("origin", "target_step", "bus", "y")
+
+
+@query("partition_bounds", "SELECT * FROM (VALUES ('train', 0::BIGINT, CAST(floor(2880 * 0.6::DOUBLE) AS BIGINT)), ('validation', CAST(floor(2880 * 0.6::DOUBLE) AS BIGINT), CAST(floor(2880 * 0.8::DOUBLE) AS BIGINT)), ('test', CAST(floor(2880 * 0.8::DOUBLE) AS BIGINT), 2880::BIGINT)) t(split, \"start\", \"end\")")
+def partition_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.split_table(spark, partition_split(events.STEPS))
+
+
+@query("scaler_task", CUBE + "SELECT channel, bus, round(avg(v), 6) AS mean, round(CASE WHEN stddev_pop(v) <= 1e-12 THEN 1 ELSE stddev_pop(v) END, 4) AS scale, count(*) AS fit_rows FROM (SELECT bus, 'load_p_mw' AS channel, load_p_mw::DOUBLE AS v FROM cube WHERE step < 2016 UNION ALL SELECT bus, 'net_demand_p_mw', net_demand_p_mw::DOUBLE FROM cube WHERE step < 2016) GROUP BY 1, 2")
+def scaler_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History and target channels of a task, each once."""
+    task = Task("own", "primary", 96, 16, history_channels=("load_p_mw", NET_P), target_channels=(NET_P,))
+    return rounded(rounded(scaling.fit_task(events.cube(spark, sf_dir), events.SPLIT, task), 6, "mean"), 4, "scale").drop("is_constant")
+
+
+@query("assigned_row", "SELECT s_suppkey AS element_id, s_nationkey AS bus, CAST(s_suppkey * 10 + 3 AS BIGINT) AS p_mw FROM supplier")
+def assigned_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with their power set to the values at the third of five positions."""
+    supplier = table(spark, sf_dir, "supplier")
+    elements = supplier.select(F.col("s_suppkey").alias("element_id"), F.col("s_nationkey").alias("bus"), F.col("s_acctbal").alias("p_mw"))
+    values = supplier.select(F.col("s_suppkey").alias("element_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")).withColumn("value", F.col("element_id") * 10 + F.col("pos"))
+    return cubes.assign_row(elements, values, "p_mw", 3)
+
+
+@query("voltage_summary", "SELECT 1 + min(p_size) / 64.0::DOUBLE AS min_vm_pu, 1 + max(p_size) / 64.0::DOUBLE AS max_vm_pu FROM part WHERE p_size % 3 <> 0")
+def voltage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are buses; those of some sizes are out of service, and of others it is not known."""
+    part = table(spark, sf_dir, "part")
+    bus = part.select(F.col("p_partkey").alias("element_id"), F.when(F.col("p_size") % 3 == 0, False).when(F.col("p_size") % 3 == 2, True).alias("in_service"))
+    return physics.voltage_summary(part.select(F.col("p_partkey").alias("element_id"), (1 + F.col("p_size") / 64).alias("vm_pu")), bus)
+
+
+@query("snapshot_times", AXIS + "SELECT step AS position, strftime(l, '%d.%m.%Y %H:%M') AS local_time, strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') AS utc_time FROM loc")
+def snapshot_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw local and UTC time of every position of a year."""
+    from ..operators import snapshots
+
+    axis = timeaxis.generated_axis(spark, YEAR_START, YEAR).withColumnRenamed("step", "pos")
+    raw = axis.select("pos", F.date_format(F.from_utc_timestamp("t_utc", timeaxis.ZONE), "dd.MM.yyyy HH:mm").alias("time"))
+    return snapshots.times(raw, axis, axis.select(F.col("pos").alias("position")))
+
+
+@query("safe_aggregates", "SELECT CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) AS total, CAST(max(l_quantity) AS DOUBLE) AS largest, 0.0::DOUBLE AS no_column, 0.0::DOUBLE AS no_rows FROM lineitem")
+def safe_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").withColumn("cents", F.round(F.col("l_tax") * 100))
+    row = physics.safe_sum(line, "cents"), physics.safe_max(line, "l_quantity"), physics.safe_sum(line, "none"), physics.safe_max(line.where("l_quantity < 0"), "l_quantity")
+    return spark.createDataFrame([row], "total double, largest double, no_column double, no_rows double")
+
+
 # --- learned forecasts; no SQL form
 
 

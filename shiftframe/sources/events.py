@@ -27,6 +27,11 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(step.cast("long").alias("step"), (F.col("user_id") % BUSES).alias("bus"), "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
 
 
+def outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_type, n) of the events before the first step or after the last, which the cube leaves out."""
+    return elements(spark, sf_dir).where((F.col("step") < 0) | (F.col("step") >= STEPS)).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(step, bus, five base channels): what there is, not yet dense."""
     own = elements(spark, sf_dir)
@@ -34,7 +39,8 @@ def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(step, bus, seven channels in hundredths), a row for each of the steps and buses."""
+    """(step, bus, seven channels in hundredths), a row for each of the steps and buses. Its axis is the benchmark's 30
+    days; what lies outside is told by outside()."""
     steps, buses = spark.range(STEPS).select(F.col("id").alias("step")), spark.range(BUSES).select(F.col("id").alias("bus"))
     full = cubes.dense(sums(spark, sf_dir), steps, buses, list(BASE_CHANNELS), 0)
     p = F.col("load_p_mw") + F.col("storage_p_mw") - F.col("sgen_p_mw") - F.col("gen_p_mw")

@@ -118,22 +118,36 @@ def flow(losses=0.25, vm=1.0, drop=()):
 def test_snapshots(spark):
     t, p = grid(spark)
     g = loaded(spark)
+    g = g | {"profiles": g["profiles"].checkpoint(), "axis": g["axis"].checkpoint(), "tables": t}  # short plans
+    bundle = {k: v.checkpoint() for k, v in cubes.absolute_bundle(g["tables"], g["profiles"], g["axis"]).items()}
     at = spark.createDataFrame([(2,), (-1,), (2,)], "position long")
-    results, rows = snapshots.reconstruct("g", g, p["load"], at, flow())
+    results, rows = snapshots.reconstruct("g", g, p["load"], at, flow(), bundle=bundle)
     got = {r["position"]: r.asDict() for r in rows.collect()}
     assert set(got) == {2, 7}
     assert (got[7]["local_time"], got[7]["utc_time"], got[7]["converged"], got[7]["grid_code"]) == ("01.06.2016 01:45", "2016-05-31T23:45:00+00:00", True, "g")
     r = got[2]
-    assert r["total_load_p_mw"] == pytest.approx(6 * 0.2) and r["total_load_q_mvar"] == pytest.approx(1.5 * 0.5) and r["total_storage_p_mw"] == -1.0 and r["total_gen_p_mw"] == 0.5
+    assert r["total_load_p_mw"] == pytest.approx(6 * 0.2) and r["total_load_q_mvar"] == pytest.approx(0.75) and r["total_storage_p_mw"] == -1.0 and r["total_gen_p_mw"] == 0.5
     assert (r["min_vm_pu"], r["max_vm_pu"], r["max_line_loading_percent"], r["max_trafo_loading_percent"]) == (1.0, 1.01, 42.0, 10.0)
     assert (r["active_branch_loss_mw"], r["reactive_branch_loss_mvar"], r["active_balance_residual_mw"], r["reactive_balance_residual_mvar"]) == (0.25, 0.5, 0.0, 0.0)
     assert len(rows.columns) == 20 and results.where("result = 'res_load' AND name = 'p_mw' AND position = 2").count() == 2
-    for solver in (flow(losses=0.3), flow(vm=0.4), flow(vm=float("nan")), flow(drop=("res_bus",))):
-        with pytest.raises(IntegrityError):
-            snapshots.reconstruct("g", g, p["load"], at, solver)
+    wrong = bundle | {("load", "p_mw"): bundle["load", "p_mw"].withColumn("value", bundle["load", "p_mw"]["value"] + 1e-9)}
+    with pytest.raises(IntegrityError):
+        snapshots.reconstruct("g", g, p["load"], at, flow(), bundle=wrong)
     for bad in ([(8,)], [(-9,)], []):
         with pytest.raises(IntegrityError):
-            snapshots.reconstruct("g", g, p["load"], spark.createDataFrame(bad, "position long"), flow())
+            snapshots.reconstruct("g", g, p["load"], spark.createDataFrame(bad, "position long"), flow(), bundle=bundle)
+
+
+def test_snapshots_must_be_sound(spark):
+    at = spark.createDataFrame([(2,)], "position long")
+    power = pd.DataFrame([(2, "load", 0, 0, "p_mw", 1.0)], columns=["position", "element", "element_id", "bus", "name", "value"])
+    for solver, good in ((flow(), True), (flow(losses=0.3), False), (flow(vm=0.4), False), (flow(vm=float("nan")), False), (flow(drop=("res_bus",)), False)):
+        results = spark.createDataFrame(solver(power), snapshots.RESULTS)
+        if good:
+            snapshots.require_sound(results, snapshots.summary(results), at)
+            continue
+        with pytest.raises(IntegrityError):
+            snapshots.require_sound(results, snapshots.summary(results), at)
 
 
 def test_profile_validation_refuses(spark):
