@@ -1,7 +1,8 @@
 """Features: lags, rolling means, trends, static bus features, the 41-column matrix, and row sampling.
 
-All lag and rolling columns of a cube share one window specification, partitioned by bus and ordered by step, so there
-is one exchange and one sort whatever their number. The cube must be dense (windows.check_dense).
+All lag and rolling columns of a cube share one window specification, by bus and stretch of steps in order of step, so
+there is one exchange and one sort whatever their number. A stretch has the rows of the longest lag before it as a
+run-up, so a bus with a long history is the work of many tasks. The cube must be dense (windows.check_dense).
 """
 
 from __future__ import annotations
@@ -18,10 +19,25 @@ from ..errors import IntegrityError
 from ..schemas import FEATURES, MEANS, NET_P, NET_Q, ORIGIN_LAGS, STATIC, TARGET_LAGS
 from . import checks
 
-def by_bus() -> WindowSpecification:
-    return Window.partitionBy("bus").orderBy("step")
-
 NET = {"p": NET_P, "q": NET_Q}
+#: Steps of a stretch; its run-up of 672 steps adds 8 percent of rows.
+STRETCH = 8192
+
+
+def by_bus(*more: str) -> WindowSpecification:
+    return Window.partitionBy(*more, "bus", "stretch").orderBy("step")
+
+
+def stretched(rows: DataFrame, run_up: int, length: int | None = None) -> DataFrame:
+    """The rows with their `stretch` of steps, and `home` true; the `run_up` steps before a stretch are in it too, home false."""
+    length = max(run_up, length or STRETCH)
+    own, ahead = F.floor(F.col("step") / length), F.pmod(F.col("step"), F.lit(length)) >= length - run_up
+    rows = rows.withColumn("_own", own).withColumn("stretch", F.explode(F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own))))
+    return rows.withColumn("home", F.col("stretch") == F.col("_own")).drop("_own")
+
+
+def at_home(rows: DataFrame) -> DataFrame:
+    return rows.where("home").drop("stretch", "home")
 
 
 def audit_causality(task: Task) -> None:
@@ -37,7 +53,7 @@ def lagged(value: str | Column, k: int) -> Column:
 
 
 def prefix(value: str) -> Column:
-    """Sum up to and with this step, in double precision."""
+    """Sum up to and with this step within the stretch and its run-up, in double precision."""
     return F.sum(F.col(value).cast("double")).over(by_bus().rowsBetween(Window.unboundedPreceding, 0))
 
 
@@ -52,16 +68,19 @@ def rolling_mean(sums: str, k: int) -> Column:
 def origin_frame(cube: DataFrame, *, kind: str = "float") -> DataFrame:
     """(step, bus, origin values, lags, rolling means, trend) of every step as an origin."""
     own = cube.select("step", "bus", *[F.col(c).alias(f"origin_{x}") for x, c in NET.items()])
+    own = stretched(own, max(*ORIGIN_LAGS.values(), *MEANS.values()))
     own = own.withColumns({f"_sum_{x}": prefix(f"origin_{x}") for x in NET})
     own = own.withColumns(
         {f"lag_{name}_{x}": lagged(f"origin_{x}", k) for name, k in ORIGIN_LAGS.items() for x in NET} | {f"mean_{name}_{x}": rolling_mean(f"_sum_{x}", k).cast(kind) for name, k in MEANS.items() for x in NET}
     )
-    return own.withColumns({f"trend_4h_{x}": (F.col(f"origin_{x}") - F.col(f"mean_4h_{x}")).cast(kind) for x in NET}).drop(*[f"_sum_{x}" for x in NET])
+    return at_home(own).withColumns({f"trend_4h_{x}": (F.col(f"origin_{x}") - F.col(f"mean_4h_{x}")).cast(kind) for x in NET}).drop(*[f"_sum_{x}" for x in NET])
 
 
 def target_frame(cube: DataFrame) -> DataFrame:
     """(step, bus, target_lag_*): values 24 hours and 7 days before each step as a target."""
-    return cube.select("step", "bus", *[lagged(c, k).alias(f"target_lag_{name}_{x}") for name, k in TARGET_LAGS.items() for x, c in NET.items()])
+    own = stretched(cube.select("step", "bus", *NET.values()), max(TARGET_LAGS.values()))
+    lags = {f"target_lag_{name}_{x}": lagged(c, k) for name, k in TARGET_LAGS.items() for x, c in NET.items()}
+    return at_home(own.withColumns(lags)).select("step", "bus", *lags)
 
 
 def counts_by_bus(elements: DataFrame, buses: DataFrame, name: str) -> DataFrame:

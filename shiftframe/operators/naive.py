@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contract import Split, WindowSpec
 from ..errors import IntegrityError
-from . import metrics
+from . import features, metrics
 
 
 @dataclass(frozen=True)
@@ -78,14 +78,15 @@ def error_rows(cube: DataFrame, split: Split, name: str, spec: WindowSpec, basel
     for x in baselines:
         require_causal(x, spec, a)
     many = (channels,) if isinstance(channels, str) else channels
-    by_bus = Window.partitionBy("channel", "bus").orderBy("step")
+    by_bus = features.by_bus("channel")
     lags = {f"l{x.lag}": x.lag for x in baselines if x.mode == "target_lag"}
     last = [x for x in baselines if x.mode == "origin_constant"]
     if last:
         lags |= {f"l{spec.lead + k}": spec.lead + k for k in range(h)}
     halo = max(lags.values(), default=0)
     own = cube.where((F.col("step") >= a - halo) & (F.col("step") < b)).unpivot(["step", "bus"], list(many), "channel", "y")
-    own = own.withColumns({k: F.lag("y", v).over(by_bus) for k, v in lags.items()}).where(F.col("step") >= a)
+    own = features.stretched(own, halo).withColumns({k: F.lag("y", v).over(by_bus) for k, v in lags.items()})
+    own = features.at_home(own).where(F.col("step") >= a)
     t = F.col("step")
     covered = F.greatest(F.least(t, F.lit(b - h)) - F.greatest(F.lit(a), t - (h - 1)) + 1, F.lit(0))
 

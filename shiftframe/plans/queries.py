@@ -66,9 +66,9 @@ cube AS MATERIALIZED (SELECT *, load_p_mw + storage_p_mw - sgen_p_mw - gen_p_mw
 net AS MATERIALIZED (SELECT step, bus, 'net_p' AS channel, net_demand_p_mw AS v FROM cube UNION ALL SELECT step, bus, 'net_q', net_demand_q_mvar FROM cube),
 bl AS (SELECT * FROM (VALUES ('last_value_v1', 0), ('seasonal_24h_v1', 96), ('seasonal_7d_v1', 672)) t(baseline, lag)),
 vo AS (SELECT o AS origin FROM range(2015, 2480) t(o)),
-tg AS (SELECT n.channel, vo.origin, CAST(h.h AS INT) AS horizon, n.bus, n.step, n.v AS y FROM vo CROSS JOIN range(16) h(h) JOIN net n ON n.step = vo.origin + 1 + h.h),
-src AS (SELECT tg.*, bl.baseline, CASE WHEN bl.lag = 0 THEN tg.origin ELSE tg.step - bl.lag END AS source FROM tg CROSS JOIN bl),
-fc AS (SELECT src.channel, src.baseline, src.origin, src.horizon, src.bus, src.y, s.v AS yhat FROM src JOIN net s ON s.channel = src.channel AND s.bus = src.bus AND s.step = src.source),
+goals AS (SELECT n.channel, vo.origin, CAST(h.h AS INT) AS horizon, n.bus, n.step, n.v AS y FROM vo CROSS JOIN range(16) h(h) JOIN net n ON n.step = vo.origin + 1 + h.h),
+sources AS (SELECT goals.*, bl.baseline, CASE WHEN bl.lag = 0 THEN goals.origin ELSE goals.step - bl.lag END AS source FROM goals CROSS JOIN bl),
+fc AS (SELECT sources.channel, sources.baseline, sources.origin, sources.horizon, sources.bus, sources.y, s.v AS yhat FROM sources JOIN net s ON s.channel = sources.channel AND s.bus = sources.bus AND s.step = sources.source),
 act AS (SELECT channel, bus, avg(abs(v)) > 1e-8 AS active FROM net WHERE step < 2016 GROUP BY 1, 2)
 """
 

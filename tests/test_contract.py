@@ -196,6 +196,18 @@ def test_closed_form_equals_exploded_windows(spark):
     assert got == want
 
 
+def test_stretches_change_nothing(spark, monkeypatch):
+    """Lags and means across the borders of short stretches, of two buses."""
+    cube = spark.range(2 * 1800).selectExpr("id div 2 AS step", "id % 2 AS bus", "CAST(pmod(id * 7919, 1009) AS DOUBLE) AS net_demand_p_mw", "CAST(pmod(id * 104729, 997) AS DOUBLE) AS net_demand_q_mvar")
+    whole = [sorted(map(tuple, f(cube).collect()), key=repr) for f in (lambda x: ft.origin_frame(x, kind="double"), ft.target_frame)]
+    split = fraction_split(1800)
+    rows = lambda: sorted(map(tuple, naive.error_rows(cube, split, "validation", WindowSpec(96, 16), naive.BASELINES, (NET_P, "net_demand_q_mvar")).collect()), key=repr)
+    errors = rows()
+    monkeypatch.setattr(ft, "STRETCH", 700)
+    assert [sorted(map(tuple, f(cube).collect()), key=repr) for f in (lambda x: ft.origin_frame(x, kind="double"), ft.target_frame)] == whole
+    assert rows() == errors and len(whole[0]) == 3600
+
+
 def test_seal():
     require_open(("train", "validation"))
     require_open(("test",), unseal=True)
