@@ -33,11 +33,17 @@ def ship(spark: SparkSession) -> None:
     sc._shiftframe_shipped = True
 
 
+#: Rows of one Arrow batch on its way to a Python worker, beside BATCH_BYTES.
+BATCH_ROWS = 4096
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, as rows may be very long, and ship the package."""
+    """Bound the Arrow batches, as rows may be very long, and ship the package. Lower bounds of the session stay."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").rstrip("bB")
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
