@@ -41,7 +41,7 @@ def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches, as rows may be very long, and ship the package. Lower bounds of the session stay."""
     ship(spark)
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").rstrip("bB")
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
         if not now.isdecimal() or not 0 < int(now) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
