@@ -1,4 +1,7 @@
-"""Experiment and data configurations: small mappings in JSON or a plain subset of YAML, read on the driver."""
+"""Experiment and data configurations: small mappings in YAML or JSON, read on the driver.
+
+Where there is a YAML package it reads them; without one, `parse` reads JSON and a plain subset of YAML.
+"""
 
 from __future__ import annotations
 
@@ -58,9 +61,20 @@ def parse(text: str) -> Any:
     return out
 
 
+def _load(text: str) -> Any:
+    try:
+        import yaml
+    except ImportError:
+        return parse(text)
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ConfigError(str(e)) from e
+
+
 def read_mapping(path: str | Path) -> dict[str, Any]:
     try:
-        found = parse(Path(path).read_text(encoding="utf-8"))
+        found = _load(Path(path).read_text(encoding="utf-8"))
     except (OSError, json.JSONDecodeError) as e:
         raise ConfigError(f"{path}: {e}") from e
     if not isinstance(found, dict):

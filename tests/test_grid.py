@@ -354,3 +354,24 @@ def test_models(spark, tmp_path):
     for bad in (lambda: models.require_compatible(bundle, contract, "g"), lambda: models.predict(bundle, cube, split, st, cal, contract=contract, name="test"), lambda: models.predict(bundle, cube, split, st, cal, contract=contract, max_windows=0)):
         with pytest.raises(IntegrityError):
             bad()
+
+
+def test_nested_configuration(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("a:\n  b: [1, 2]\n  c: {d: x}\ntext: |\n  one\n  two\n")
+    assert config.read_mapping(tmp_path / "c.yaml") == {"a": {"b": [1, 2], "c": {"d": "x"}}, "text": "one\ntwo\n"}
+    (tmp_path / "c.yaml").write_text("a: [1")
+    with pytest.raises(ConfigError):
+        config.read_mapping(tmp_path / "c.yaml")
+    assert config.parse("a: [1, 2]\nb:\n- x\n- y\n") == {"a": [1, 2], "b": ["x", "y"]}
+
+
+def test_overwriting_leaves_no_old_tables(tmp_path):
+    (tmp_path / "cube").mkdir()
+    for name in ("cube/part-0.parquet", "manifest.json", "notes.txt"):
+        (tmp_path / name).write_text("x")
+    with pytest.raises(IntegrityError):
+        artifacts.require_target(tmp_path, overwrite=False)
+    artifacts.require_target(tmp_path, overwrite=True)
+    assert sorted(x.name for x in tmp_path.rglob("*") if x.is_file()) == ["notes.txt"]
+    assert Contract().to_dict()["split_policy"] and Contract().evaluation.notes
