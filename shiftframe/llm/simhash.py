@@ -18,13 +18,15 @@ Nothing is dropped or capped: sample and tree only decide where a pair is compar
 share an id have the same id in results, but are linked by their texts alone. A null id comes last. Empty tables give
 empty results; columns other than the two named are not read.
 
-`similar_groups` is for corpora without a contract of four words and four bits: documents are near copies if the Jaccard
-similarity of their sets of shingles (64-bit hashes) is at least `similarity`. At 0.8 fingerprints differ in some ten
-bits of 64; a ball of that radius meets nearly every shell of a tree over the whole corpus, so the search would cost the
-square of the documents. Therefore documents meet in cells: a cell is a shingle that is among the SKETCH smallest hashes of
-each of them. Two sets of similarity 0.8 share none of theirs with a probability of about 0.2 ** SKETCH. In a cell a
-vantage-point tree finds the fingerprints (here of the set, without repeats) within `radius`; in a cell of more than CELL documents each is compared with
-SALTS leaders instead, so no group costs its square. Then every link is checked exactly: the documents of each component
+`similar_groups` is for corpora without a contract of four words and four bits: documents are near copies if their
+similarity is at least `similarity`, by the measure that SimHash estimates: the cosine of their sets of shingles (64-bit
+hashes), shared / sqrt(size * size). It is never less than the Jaccard similarity, so all pairs of 0.8 by that are among
+them. At a cosine of 0.8 fingerprints differ in some thirteen bits of 64; a ball of that radius meets nearly every shell
+of a tree over the whole corpus, so the search would cost the square of the documents. Therefore documents meet in
+cells: a cell is a shingle that is among the SKETCH smallest hashes of each of them. Two sets of cosine 0.8 share none of
+theirs with a probability of about (1 / 3) ** SKETCH. In a cell a vantage-point tree finds the fingerprints (here of the
+set, without repeats) within `radius`; in a cell of more than CELL documents each is compared with SALTS leaders instead,
+so no group costs its square. Then every link is checked exactly: the documents of each component
 are compared all with all if they are at most BLOCK; else with the component's leaders, and those that these links leave
 outside its largest group with all. Equal sets are one point.
 """
@@ -315,7 +317,7 @@ def _digest(own: np.ndarray) -> str:
 
 
 class Sets:
-    """Sets of hashes that are compared exactly; those that are linked already are not compared again."""
+    """Sets of hashes whose cosines are compared exactly; those that are linked already are not compared again."""
 
     def __init__(self, sets: list[np.ndarray], similarity: float):
         self.similarity, n = similarity, len(sets)
@@ -329,7 +331,7 @@ class Sets:
         """Those of the others that are like set i."""
         size, limit = self.size, self.similarity
         a, b = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-        others = others[(a > 0) & (a >= limit * b - 1e-9)]
+        others = others[(a > 0) & (a >= limit * limit * b - 1e-9)]
         if not len(others):
             return others
         own = self.flat[self.starts[i] : self.starts[i] + size[i]]
@@ -337,7 +339,7 @@ class Sets:
         hit = self.seen[self.flat[c.ranges(self.starts[others], size[others])]]
         self.seen[own] = False
         both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[others]) - size[others])
-        return others[both >= limit * (size[others] + size[i] - both) - 1e-9]
+        return others[both >= limit * np.sqrt(size[others] * size[i]) - 1e-9]
 
     def link(self, i: int, others: np.ndarray) -> None:
         """Unite set i with what is like it among the others: first of each group one, then what is not linked yet."""
@@ -348,7 +350,7 @@ class Sets:
 
 
 def same_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Root place of each set of hashes, after linking all pairs of at least the similarity."""
+    """Root place of each set of hashes, after linking all pairs of at least the similarity, by cosine."""
     own = Sets(sets, similarity)
     for i in range(1, len(sets)):
         own.link(i, np.arange(i))

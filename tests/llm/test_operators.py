@@ -283,18 +283,18 @@ def test_similar_groups_find_edited_copies(spark, empty, monkeypatch, limits):
             rows.append((100 * g + k, " ".join(text), "en"))
     rows += [(5000, None, "en"), (5001, "", "de"), (5002, "two words", "en"), (5003, "Two  WORDS", "en"), (5004, "two other", "en"), rows[0]]
     docs = frame(spark, rows)
-    found = simhash.similar_groups(docs)
+    found = simhash.similar_groups(docs, radius=24)
     got = {r["doc_id"]: r["component_id"] for r in found.collect()}
     assert len(got) == len(rows) - 1 and found.count() == len(rows)
     sets = {i: shingle_set(t) for i, t, _ in rows}
     at = {i: i for i in sets}
     for i, j in itertools.combinations(sorted(sets), 2):
         a, b = sets[i], sets[j]
-        if (not a and not b) or 5 * len(a & b) >= 4 * len(a | b):
+        if a == b or 25 * len(a & b) ** 2 >= 16 * len(a) * len(b) > 0:
             at = {k: at[i] if v == at[j] else v for k, v in at.items()}
     right = sum(got[i] == at[i] for i in got)
     assert right == len(got) if limits[1] == 2000 else right >= 0.95 * len(got)
-    kept = simhash.one_of_similar(docs)
+    kept = simhash.one_of_similar(docs, radius=24)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
     assert simhash.similar_groups(empty).count() == 0 and simhash.one_of_similar(empty).count() == 0
 
@@ -306,7 +306,7 @@ def test_same_sets_are_exact():
     at = {i: i for i in range(len(sets))}
     for i, j in itertools.combinations(range(len(sets)), 2):
         a, b = set(sets[i]), set(sets[j])
-        if a and b and 5 * len(a & b) >= 4 * len(a | b):
+        if a and b and 25 * len(a & b) ** 2 >= 16 * len(a) * len(b):
             old, new = max(at[i], at[j]), min(at[i], at[j])
             at = {k: new if v == old else v for k, v in at.items()}
     root = simhash.same_sets([np.array(x, np.uint64) for x in sets], 0.8)

@@ -57,7 +57,7 @@ def slow_lines(rows):
 
 
 def slow_one_of_similar(rows):
-    """The least id of each component of pairs with a Jaccard similarity of 0.8 or more, over all pairs."""
+    """The least id of each component of pairs with a cosine of 0.8 or more, over all pairs."""
     sets = {}
     for r in rows:
         own = (r["text"] or "").encode().lower().split()
@@ -65,7 +65,7 @@ def slow_one_of_similar(rows):
     at = {i: i for i in sets}
     for i, j in itertools.combinations(sorted(sets), 2):
         a, b = sets[i], sets[j]
-        if at[i] != at[j] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+        if at[i] != at[j] and (a == b or 25 * len(a & b) ** 2 >= 16 * len(a) * len(b) > 0):
             old, new = max(at[i], at[j]), min(at[i], at[j])
             at = {k: new if v == old else v for k, v in at.items()}
     return [r for r in rows if at[r["doc_id"]] == r["doc_id"]]
