@@ -26,7 +26,8 @@ of a tree over the whole corpus, so the search would cost the square of the docu
 cells: a cell is a shingle that is among the SKETCH smallest hashes of each of them. Two sets of cosine 0.8 share none of
 theirs with a probability of about (1 / 3) ** SKETCH. In a cell a vantage-point tree finds the fingerprints (here of the
 set, without repeats) within `radius`; in a cell of more than CELL documents each is compared with SALTS leaders instead,
-so no group costs its square. Then every link is checked exactly: the documents of each component
+so no group costs its square. Pairs whose ESTIMATE smallest hashes say that they are less alike than the limit by more
+than SLACK are left out here, so that texts that merely share a passage do not come together in ever larger groups. Then every link is checked exactly: the documents of each component
 are compared all with all if they are at most BLOCK; else with the component's leaders, and those that these links leave
 outside its largest group with all. Equal sets are one point.
 """
@@ -34,11 +35,12 @@ outside its largest group with all. Equal sets are one point.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,8 @@ LEAF = 192
 BLOCK = 512
 #: Smallest shingle hashes of a document that are its cells; documents of a cell that are searched all; leaders of larger ones.
 SKETCH, CELL, SALTS = 8, 2000, 16
+#: Smallest shingle hashes that estimate a pair's similarity, and how far below the limit an estimate may be (about three deviations).
+ESTIMATE, SLACK = 64, 0.15
 
 
 def _hashes(text: str | None, words: int) -> bytes:
@@ -202,10 +206,11 @@ class _Links:
         self.root = to[self.root]
 
 
-def link(points: np.ndarray, homes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
+def link(points: np.ndarray, homes: np.ndarray, queries: np.ndarray, radius: int, agree: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Root place of each point, after linking every home with every query within the radius.
 
-    homes and queries are places in points; homes should be among the queries.
+    homes and queries are places in points; homes should be among the queries. `agree` tells which pairs of places may be
+    linked at all; with it points in one ball are no component at once.
     """
     links = _Links(len(points))
     rng = np.random.default_rng(7)
@@ -222,12 +227,18 @@ def link(points: np.ndarray, homes: np.ndarray, queries: np.ndarray, radius: int
                 part = q[k : k + step]
                 near = np.bitwise_count(points[part][:, None] ^ points[p][None, :]) <= radius
                 i, j = np.nonzero(near)
-                links.unite(part[i], p[j])
+                i, j = part[i], p[j]
+                if agree is not None:
+                    open_ = links.root[i] != links.root[j]
+                    i, j = i[open_], j[open_]
+                    fits = agree(i, j)
+                    i, j = i[fits], j[fits]
+                links.unite(i, j)
             continue
         v, m = _vantage(points[p], rng)
         dp, dq = _distance(points[p], v), _distance(points[q], v)
         ball = dp <= radius
-        if ball.sum() * 4 >= len(p):  # dense: what is near the vantage point is one component
+        if agree is None and ball.sum() * 4 >= len(p):  # dense: what is near the vantage point is one component
             near = dq <= radius
             first = p[ball][0]
             links.unite(p[ball], np.full(int(ball.sum()), first))
@@ -357,8 +368,31 @@ def same_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return own.links.root
 
 
-def cell_links(cells: np.ndarray, points: np.ndarray, radius: int) -> np.ndarray:
-    """Root place of each point, after linking all points within the radius in each cell; equal cells are neighbours."""
+def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets of each pair of rows look as similar as `least` by cosine, from the smallest hashes of both.
+
+    Of the smallest hashes of two sets' union, the share that is in both estimates their Jaccard similarity, and sets of
+    equal size have twice that over one and that as cosine; the union is known up to the end of the shorter sketch.
+    """
+    out = np.zeros(len(a), bool)
+    none = np.uint64(2**64 - 1)
+    for k in range(0, len(a), 8192):
+        x, y = sketches[a[k : k + 8192]], sketches[b[k : k + 8192]]
+        both = np.sort(np.concatenate((x, y), axis=1), axis=1)
+        known = both < none
+        twice = np.zeros(both.shape, bool)
+        twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & known[:, 1:]
+        distinct = np.cumsum(known & ~twice, axis=1)
+        inside = distinct <= ESTIMATE
+        shared, union = (twice & inside).sum(axis=1), np.minimum(distinct[:, -1], ESTIMATE)
+        jaccard = shared / np.maximum(union, 1)
+        out[k : k + 8192] = 2 * jaccard / (1 + jaccard) >= least
+    return out
+
+
+def cell_links(cells: np.ndarray, points: np.ndarray, sketches: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """Root place of each point, after linking all points in each cell that are within the radius and look alike; equal
+    cells are neighbours."""
     n, links = len(points), _Links(len(points))
     begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begin, n))
@@ -367,53 +401,72 @@ def cell_links(cells: np.ndarray, points: np.ndarray, radius: int) -> np.ndarray
         i = np.flatnonzero((cells[k:] == cells[:-k]) & small[:-k])
         if not len(i):
             break
-        i = i[np.bitwise_count(points[i] ^ points[i + k]) <= radius]
+        i = i[(np.bitwise_count(points[i] ^ points[i + k]) <= radius) & (links.root[i] != links.root[i + k])]
+        i = i[alike(sketches, i, i + k, least)]
         links.unite(i, i + k)
     for a, size in zip(begin[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
         every = np.arange(size)
-        links.unite(a + every, a + link(points[a : a + size], every, every, radius))
+        links.unite(a + every, a + link(points[a : a + size], every, every, radius, lambda i, j, a=a: alike(sketches, a + i, a + j, least)))
     return links.root
 
 
-def _candidates(points: DataFrame, radius: int) -> DataFrame:
-    """(fp, root): fingerprints within the radius that share a cell, as stars."""
-    entries = points.select("digest", "fp", F.explode("sketch").alias("h"))
-    leader = F.min(F.struct(F.xxhash64("digest").alias("k"), "fp")).alias("leader")
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Rows of ESTIMATE hashes from a column of binaries; shorter ones end in the greatest number."""
+    raw = b"".join([x.as_buffer().to_pybytes().ljust(8 * ESTIMATE, b"\xff") for x in column])
+    return np.frombuffer(raw, "<u8").reshape(-1, ESTIMATE)
+
+
+def _candidates(points: DataFrame, radius: int, least: float) -> DataFrame:
+    """(a, b): digests of points that share a cell, are within the radius and look alike, as stars."""
+    entries = points.select("digest", "fp", "sketch", F.explode("cells").alias("h"))
+    leader = F.min(F.struct(F.xxhash64("digest").alias("k"), "digest", "fp", "sketch")).alias("leader")
     parts = entries.groupBy("h", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n"), leader)
-    cells = parts.groupBy("h").agg(F.sum("n").alias("n"), F.collect_set("leader.fp").alias("leaders")).where("n > 1")
+    cells = parts.groupBy("h").agg(F.sum("n").alias("n"), F.collect_list("leader").alias("leaders")).where("n > 1")
     cells, _ = c.saved(cells.select("h", "n", F.when(F.col("n") > CELL, F.col("leaders")).alias("leaders")), "similar-cells")
-    met = entries.select("h", "fp").join(cells, "h")
+    met = entries.join(cells, "h")
+
+    def stars(digest: pa.Array, root: np.ndarray) -> pa.RecordBatch:
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([digest.take(pa.array(moved)), digest.take(pa.array(root[moved]))], ["a", "b"])
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each point with the first leader that is near, and that leader with the others; few leaders make few such pairs."""
+        """Each point with the first leader that it looks like, and that leader with the others; few leaders make few such pairs."""
         for b in batches:
-            found = set()
-            for fp, leaders in zip(b.column(0).to_numpy(zero_copy_only=False).tolist(), b.column(1), strict=True):
-                own = np.asarray(leaders.values)
-                near = sorted(own[np.bitwise_count(own.view(np.uint64) ^ np.int64(fp).view(np.uint64)) <= radius].tolist())
-                found.update((x, near[0]) for x in [fp, *near[1:]] if near and x != near[0])
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["fp", "root"])
-
-    large = met.where(F.col("n") > CELL).select("fp", "leaders").mapInArrow(led, "fp long, root long")
+            sizes = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            flat = b.column(2).flatten()
+            row, digest, other = np.repeat(np.arange(len(sizes)), sizes), b.column(0).to_pylist(), flat.field("digest").to_pylist()
+            rows = np.concatenate((_sketches(b.column(1)), _sketches(flat.field("sketch"))))
+            fits = alike(rows, row, len(sizes) + np.arange(len(row)), least)
+            to: dict[str, list[str]] = {}
+            for k in np.flatnonzero(fits).tolist():
+                if digest[row[k]] != other[k]:
+                    to.setdefault(digest[row[k]], []).append(other[k])
+            pairs = sorted({(x, first) for own, all_ in to.items() for first in (min(all_),) for x in (own, *all_) if x != first})
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs, strict=True)], ["a", "b"])
+
+    near = F.filter("leaders", lambda x: F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= radius)
+    large = met.where(F.col("n") > CELL).select("digest", "sketch", near.alias("leaders")).where(F.size("leaders") > 0)
+    large = large.mapInArrow(led, "a string, b string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, point = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = None
         for b in batches:
-            cell = np.concatenate((cell, b.column(0).to_numpy(zero_copy_only=False)))
-            point = np.concatenate((point, b.column(1).to_numpy(zero_copy_only=False)))
+            held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0] if b.num_rows else held
+            cell = held.column(0).to_numpy(zero_copy_only=False)
             whole = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on in the next batch
-            yield stars(cell[:whole], point[:whole])
-            cell, point = cell[whole:], point[whole:]
-        yield stars(cell, point)
+            if whole:
+                yield found(held.slice(0, whole))
+            held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield found(held)
 
-    def stars(cell: np.ndarray, point: np.ndarray) -> pa.RecordBatch:
-        root = cell_links(cell, point.view(np.uint64), radius)
-        moved = point != point[root]
-        return pa.RecordBatch.from_arrays([pa.array(point[moved]), pa.array(point[root[moved]])], ["fp", "root"])
+    def found(b: pa.RecordBatch) -> pa.RecordBatch:
+        cell, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        return stars(b.column(1), cell_links(cell, fp.view(np.uint64), _sketches(b.column(3)), radius, least))
 
-    few = met.where(F.col("n") <= CELL).select("h", "fp").repartition("h").sortWithinPartitions("h")
-    return large.unionByName(few.mapInArrow(run, "fp long, root long"))
+    few = met.where(F.col("n") <= CELL).select("h", "digest", "fp", "sketch").repartition("h").sortWithinPartitions("h")
+    return large.unionByName(few.mapInArrow(run, "a string, b string"))
 
 
 def _checked(rows: DataFrame, wanted: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -478,7 +531,7 @@ def _checked(rows: DataFrame, wanted: DataFrame, words: int, similarity: float)
     return links.unionByName(as_lone.unionByName(as_member).groupBy("place", "block", "lot").applyInPandas(second, "a string, b string"))
 
 
-def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 18, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 20, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, component_id, first) of each row: th is a hash of the text, component_id the least id that links of exactly
     checked pairs reach, and first tells whether the row's id and text are the component's first."""
     spark = docs.sparkSession
@@ -491,15 +544,16 @@ def similar_groups(docs: DataFrame, *, words: int = 5, radius: int = 18, similar
             hashes = [_hashes(t.as_py(), words) for t in b.column(1)]
             sets = [_set(x) for x in hashes]
             fps = np.frombuffer(b"".join([_majority(x.astype(">u8").tobytes()) for x in sets]), ">i8").astype(np.int64)
-            sketch = pa.array([(x[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps), pa.array(map(_digest, sets), pa.string()), sketch], ["id", "th", "fp", "digest", "sketch"])
+            cells = pa.array([x[:SKETCH].view(np.int64) for x in sets], pa.list_(pa.int64()))
+            sketch = pa.array([x[:ESTIMATE].tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps), pa.array(map(_digest, sets), pa.string()), cells, sketch], ["id", "th", "fp", "digest", "cells", "sketch"])
 
-    each, each_path = c.saved(c.spread(one).mapInArrow(prints, f"id {kind}, th long, fp long, digest string, sketch array<long>"), "similar")
+    each, each_path = c.saved(c.spread(one).mapInArrow(prints, f"id {kind}, th long, fp long, digest string, cells array<long>, sketch binary"), "similar")
     lead = F.struct(F.col("id").isNull().alias("none"), "id", "th")  # a null id comes last
-    points, points_path = c.saved(each.groupBy("digest").agg(F.min(lead).alias("least"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch")), "similar-points")
-    edges, edges_path = c.saved(_candidates(points, radius).distinct(), "similar-links")
-    nodes = components(edges, "fp", "root")
-    placed = points.join(nodes, points["fp"] == nodes["node"], "left").select("digest", "least.id", "least.th", F.coalesce("component", "fp").alias("place"))
+    points, points_path = c.saved(each.groupBy("digest").agg(F.min(lead).alias("least"), F.min("fp").alias("fp"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch")), "similar-points")
+    edges, edges_path = c.saved(_candidates(points, radius, similarity - SLACK).distinct(), "similar-links")
+    nodes = components(edges, "a", "b")
+    placed = points.join(nodes, points["digest"] == nodes["node"]).select("digest", "least.id", "least.th", F.xxhash64("component").alias("place"))
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
     salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
     big = sizes.where(F.col("n") > BLOCK).select("place", F.col("n").alias("big"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

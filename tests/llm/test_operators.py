@@ -299,6 +299,24 @@ def test_similar_groups_find_edited_copies(spark, empty, monkeypatch, limits):
     assert simhash.similar_groups(empty).count() == 0 and simhash.one_of_similar(empty).count() == 0
 
 
+def test_estimates_let_alike_sets_through():
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for _ in range(300):
+        n, size = rng.choice([1, 3, 8, 40, 90, 400]), rng.random()
+        base = [rng.getrandbits(64) for _ in range(n)]
+        other = [x if rng.random() < 0.7 + 0.3 * size else rng.getrandbits(64) for x in base] + [rng.getrandbits(64) for _ in range(n // 9)]
+        a, b = set(base), set(other)
+        pairs.append(len(a & b) / math.sqrt(len(a) * len(b)))
+        rows += [np.array(sorted(x)[: simhash.ESTIMATE], "<u8").tobytes() for x in (a, b)]
+    import pyarrow as pa
+
+    sketches = simhash._sketches(pa.array([*rows, b""], pa.binary()))
+    got = simhash.alike(sketches, np.arange(0, 600, 2), np.arange(1, 600, 2), 0.65)
+    assert all(ok for ok, cos in zip(got, pairs, strict=True) if cos >= 0.8) and not all(got)
+    assert not simhash.alike(sketches, np.array([600]), np.array([0]), 0.65)[0]
+
+
 def test_same_sets_are_exact():
     rng = random.Random(6)
     base = [rng.sample(range(400), 60) for _ in range(6)]
