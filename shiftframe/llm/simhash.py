@@ -418,12 +418,14 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 def _candidates(points: DataFrame, radius: int, least: float) -> DataFrame:
     """(a, b): digests of points that share a cell, are within the radius and look alike, as stars."""
-    entries = points.select("digest", "fp", "sketch", F.explode("cells").alias("h"))
-    leader = F.min(F.struct(F.xxhash64("digest").alias("k"), "digest", "fp", "sketch")).alias("leader")
-    parts = entries.groupBy("h", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n"), leader)
-    cells = parts.groupBy("h").agg(F.sum("n").alias("n"), F.collect_list("leader").alias("leaders")).where("n > 1")
-    cells, _ = c.saved(cells.select("h", "n", F.when(F.col("n") > CELL, F.col("leaders")).alias("leaders")), "similar-cells")
-    met = entries.join(cells, "h")
+    entries = points.select("digest", "fp", F.explode("cells").alias("h"))
+    cells, _ = c.saved(entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "similar-cells")
+    narrow, _ = c.saved(entries.join(cells, "h"), "similar-met")  # most cells have one document; the others' get their sketches
+    sketches = points.select("digest", "sketch")
+    first = F.min(F.struct(F.xxhash64("digest").alias("k"), "digest", "fp")).alias("x")
+    leaders = narrow.where(F.col("n") > CELL).groupBy("h", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt")).agg(first).select("h", "x.digest", "x.fp")
+    leaders = leaders.join(sketches, "digest").groupBy("h").agg(F.collect_list(F.struct("digest", "fp", "sketch")).alias("leaders"))  # SALTS at most
+    met = narrow.join(sketches, "digest")
 
     def stars(digest: pa.Array, root: np.ndarray) -> pa.RecordBatch:
         moved = np.flatnonzero(root != np.arange(len(root)))
@@ -446,7 +448,7 @@ def _candidates(points: DataFrame, radius: int, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs, strict=True)], ["a", "b"])
 
     near = F.filter("leaders", lambda x: F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= radius)
-    large = met.where(F.col("n") > CELL).select("digest", "sketch", near.alias("leaders")).where(F.size("leaders") > 0)
+    large = met.where(F.col("n") > CELL).join(leaders, "h").select("digest", "sketch", near.alias("leaders")).where(F.size("leaders") > 0)
     large = large.mapInArrow(led, "a string, b string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
