@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import _common as c
 
 #: Bytes (about) held by the cache of a worker before it starts anew, and what an entry costs besides its piece and ids.
-CACHE_BYTES, ENTRY = 96 << 20, 200
+CACHE_BYTES, ENTRY = 48 << 20, 200
 #: Longer pieces are merged through a heap: a matrix row would cost the square of its length.
 WIDEST = 512
 NO_RANK = np.int32(2**31 - 1)

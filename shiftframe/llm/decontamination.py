@@ -60,7 +60,7 @@ EDGES = re.compile(r"^[^\w$€£%°+-]+|[^\w%°$€£]+$|^-+$")
 #: Marks that end a sentence.
 ENDS = frozenset(".!?:;…")
 #: Bytes (about) of words held by the cache of a worker before it starts anew.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NUM, UNIT, NAME = "\0number", "\0unit", "\0name"
 #: Bits of the filter: so many for each window of the benchmark, between 2 to the power of the one and of the other.

@@ -33,7 +33,7 @@ from . import _common as c
 #: Lengths of n-grams, the longest first.
 LENGTHS = (5, 4, 3, 2, 1)
 #: Bytes (about) of words and their scores held by the cache of a worker before it starts anew.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 48 << 20
 #: Parts of each language's ids that are ranked apart before the sample is drawn.
 SALTS = 64
 LETTERS = regex.compile(r"\p{L}+")

@@ -376,8 +376,8 @@ def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> n
     """
     out = np.zeros(len(a), bool)
     none = np.uint64(2**64 - 1)
-    for k in range(0, len(a), 8192):
-        x, y = sketches[a[k : k + 8192]], sketches[b[k : k + 8192]]
+    for k in range(0, len(a), 1024):
+        x, y = sketches[a[k : k + 1024]], sketches[b[k : k + 1024]]
         both = np.sort(np.concatenate((x, y), axis=1), axis=1)
         known = both < none
         twice = np.zeros(both.shape, bool)
@@ -386,7 +386,7 @@ def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> n
         inside = distinct <= ESTIMATE
         shared, union = (twice & inside).sum(axis=1), np.minimum(distinct[:, -1], ESTIMATE)
         jaccard = shared / np.maximum(union, 1)
-        out[k : k + 8192] = 2 * jaccard / (1 + jaccard) >= least
+        out[k : k + 1024] = 2 * jaccard / (1 + jaccard) >= least
     return out
 
 

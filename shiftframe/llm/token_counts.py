@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import _common as c
 
 #: Bytes (about) of words held by the cache of a worker before it starts anew.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 #: Longer words go through the same automaton one by one, as a byte column with few words costs as much as a full one.
 WIDEST = 128
 

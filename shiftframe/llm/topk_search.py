@@ -51,7 +51,7 @@ SHARD_TEXT, BLOCK = 16 << 20, 64
 #: Digits of scores; what is more than their rounding; and more than the relative error of single precision.
 DIGITS, MARGIN, SINGLE = 6, 2e-6, 1e-5
 #: Bytes (about) of words held by the cache of a worker before it starts anew.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 #: Terms of a shard (at most) whose posting list is kept as a column, and the share of its documents that they must occur in.
 MOST_COLUMNS, COLUMN_SHARE = 512, 1 / 8
 
