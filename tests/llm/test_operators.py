@@ -299,6 +299,33 @@ def test_similar_groups_find_edited_copies(spark, empty, monkeypatch, limits):
     assert simhash.similar_groups(empty).count() == 0 and simhash.one_of_similar(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_similar_groups_miss_no_pair_whatever_the_cells_miss(spark, monkeypatch, seed):
+    """One cell each, leaders in nearly all cells, fingerprints that must be equal and estimates without slack."""
+    for name, value in (("SKETCH", 1), ("CELL", 3), ("SALTS", 2), ("SLACK", 0.0), ("CHUNK_TEXT", 20_000)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(60)]  # a passage of many texts that are not alike
+    rows = [(9000, None, "en"), (9001, "", "en"), (9002, "two words", "en"), (9003, "two other", "en")]
+    for g in range(12):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([5, 6, 14, 80, 200]))] + (common if g % 3 else [])
+        for k in range(8):
+            text = list(own)
+            for _ in range(rng.randint(1, 1 + len(own) // 25) if k else 0):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(text[: len(text) - rng.randint(0, len(text) // 5)] if k % 2 else text), "en"))
+    rows.append((9004, rows[-1][1], "en"))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows), radius=0).collect()}
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    at = {i: i for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if a == b or 25 * len(a & b) ** 2 >= 16 * len(a) * len(b) > 0:
+            at = {k: min(at[i], at[j]) if v in (at[i], at[j]) else v for k, v in at.items()}
+    assert got == at and 20 < len(set(at.values())) < len(rows) - 20
+
+
 def test_estimates_let_alike_sets_through():
     rng = random.Random(11)
     rows, pairs = [], []
