@@ -837,6 +837,41 @@ def test_pruned_search_of_a_shard_is_exact(monkeypatch, seed, share):
     assert shard.visited < 0.8 * shard.met
 
 
+def made_shard(rows):
+    terms = topk_search.Terms()
+    made = topk_search.build_shard([i for i, *_ in rows], [terms.count(t) for _, t, _ in rows])
+    arrays = {k: np.frombuffer(made[k], t) for k, t in (("lengths", np.int32), ("terms", np.uint64), ("df", np.int32), ("doc", np.int32), ("tf", np.int32))}
+    return terms, topk_search.Shard(made["ids"], avg=made["total"] / made["n"], k1=1.2, b=0.75, **arrays)
+
+
+@pytest.mark.parametrize("together", [1, 7, 64])
+def test_queries_searched_together_find_what_each_finds_alone(monkeypatch, together):
+    """With floors and without, some too high for any document, some queries without a known term."""
+    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    monkeypatch.setattr(topk_search, "MOST_TOGETHER", together)
+    rows = rare_corpus(300, 9)
+    terms, shard = made_shard(rows)
+    rng = random.Random(9)
+    asked = []
+    for i in range(90):
+        h, tf = terms.count(rows[i][1] if i % 3 else "unknown" if i % 2 else f"w{rng.randrange(400)} w{rng.randrange(9)}")
+        by = np.argsort(h)
+        asked.append((h[by], tf[by] * np.array([rng.uniform(0.1, 6) for _ in by]), rng.choice([0.0, 0.0, 3.0, 15.0, 1e6])))
+    got = shard.search_all(asked, 5)
+    for (h, w, floor), found in zip(asked, got, strict=True):
+        weight = dict(zip(h.tolist(), w.tolist(), strict=True))
+        scores = []
+        for d in range(shard.n):
+            own = slice(shard.own[d], shard.own[d + 1])
+            of = [weight.get(x, 0.0) for x in shard.terms[shard.own_term[own]].tolist()]
+            score = round(float(np.dot(of, shard.impacts(np.full(len(of), d), shard.own_tf[own]))), 6) if any(of) else 0.0
+            if score > 0 and score >= floor:
+                scores.append((-score, shard.ids[d]))
+        want = sorted(scores)[:5]
+        assert [i for _, i in found] == [i for _, i in want] and [s for s, _ in found] == pytest.approx([-s for s, _ in want], abs=2e-6)
+    assert any(got) and not all(got) and shard.search_all([], 5) == []
+
+
 @pytest.mark.parametrize("shard", [1 << 24, 400])
 def test_search(spark, monkeypatch, shard):
     monkeypatch.setattr(topk_search, "SHARD_TEXT", shard)
