@@ -9,6 +9,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as tok
@@ -895,6 +896,24 @@ def test_search(spark, monkeypatch, shard):
     assert found == {1: [i for i, _ in got[10_003]], None: [30]}
 
 
+def test_each_shard_of_the_index_is_a_row_group(spark, docs, monkeypatch):
+    """Spark's reader holds a whole row group in memory."""
+    import pyarrow.parquet as pq
+
+    paths, saved = {}, topk_search.c.saved
+
+    def spied(df, name, **options):
+        out = saved(df, name, **options)
+        paths[name] = out[1].removeprefix("file:")
+        return out
+
+    monkeypatch.setattr(topk_search.c, "saved", spied)
+    monkeypatch.setattr(topk_search, "SHARD_TEXT", 400)
+    assert topk_search.search(docs, docs.limit(3)).count() > 0
+    sizes = [m.row_group(i).num_rows for f in Path(paths["bm25-index"]).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert len(sizes) > 4 and set(sizes) == {1}
+
+
 def test_search_of_empty_tables(spark, docs, empty):
     assert topk_search.search(empty, docs).count() == 0 and topk_search.search(docs, empty).count() == 0
 
