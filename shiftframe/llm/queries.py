@@ -19,6 +19,7 @@ NAMES = {
     "op8_warc": "warc",
     "op9_line_dedup": "line_dedup",
     "op10_language_id": "language_id",
+    "op11_token_alignment": "alignment",
 }
 
 
