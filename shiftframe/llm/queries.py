@@ -20,6 +20,7 @@ NAMES = {
     "op9_line_dedup": "line_dedup",
     "op10_language_id": "language_id",
     "op11_token_alignment": "alignment",
+    "op12_collocations": "collocations",
 }
 
 
