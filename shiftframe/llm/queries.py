@@ -21,6 +21,7 @@ NAMES = {
     "op10_language_id": "language_id",
     "op11_token_alignment": "alignment",
     "op12_collocations": "collocations",
+    "op13_html_extraction": "html_extraction",
 }
 
 
