@@ -226,7 +226,8 @@ def lines_of(html: str | None) -> list[str]:
         beside[k] = own[k] or beside[parent[k]]
     ratios = np.array([0.0 if beside[at] else max(0, len(text) - linked) / max(1, tags) for text, at, tags, linked in lines])
     smooth = smoothed(ratios)
-    content = (smooth >= smooth.std()) & (ratios > 0)
+    prose = np.array([2 * linked <= len(text) for text, _, _, linked in lines])  # not mostly links
+    content = (smooth >= smooth.std()) & (ratios > 0) & prose
     mass, size = [0] * n, [0] * n  # characters in the cluster, and all outside the parts beside
     for (text, at, _, _), x in zip(lines, content.tolist(), strict=True):
         if not beside[at]:
@@ -250,8 +251,8 @@ def lines_of(html: str | None) -> list[str]:
     for k in range(n):
         near[holder[k]] += direct[k]
     out = []
-    for (text, at, _, linked), x in zip(lines, content.tolist(), strict=True):
-        if inside[at] and not left_out[at] and (article or x or near[holder[at]] and 2 * linked <= len(text)):
+    for (text, at, _, _), x, y in zip(lines, content.tolist(), prose.tolist(), strict=True):
+        if inside[at] and not left_out[at] and (article or x or y and near[holder[at]]):
             out.append(text)
     return out
 
