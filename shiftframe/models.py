@@ -1,38 +1,37 @@
 """Tree models: one point model and one model per quantile for each channel, on the 41-column matrix.
 
-The point model is Spark's gradient-boosted trees. Quantiles are boosted here: each round fits a tree to the sign of
-the pinball gradient and sets each leaf to the residuals' quantile within it, a group aggregate. Training rows are a
-sample of bounded size; scoring runs over all rows.
+All models are boosted together on one binned sample (`boosting`); training rows are a sample of bounded size, scoring runs over all rows. A bundle is
+a table of nodes and the ends of the bins.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+import numpy as np
 import pyspark
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting
 from .contract import Contract, Split, Task
 from .errors import IntegrityError
 from .operators import features, metrics, naive, scaling, windows
 from .schemas import CATEGORICAL, FEATURES
 from .session import checkpoint_folder
 
-#: Stands for an unavailable lag: below any value, so a split can send these rows to one side.
-MISSING = -1e30
-
 
 @dataclass(frozen=True)
 class Config:
     # --- fixed values: the learner's settings
     trees: int = 300
     learning_rate: float = 0.05
-    max_depth: int = 6
+    leaves: int = 63
     min_rows: int = 100
+    reg_lambda: float = 1.0
     row_share: float = 0.8
     column_share: float = 0.9
     max_bins: int = 255
@@ -40,34 +39,12 @@ class Config:
     seed: int = 42
 
     def __post_init__(self):
-        if min(self.trees, self.max_depth, self.min_rows, self.max_rows) < 1 or not 0 < self.learning_rate <= 1 or not (0 < self.row_share <= 1 and 0 < self.column_share <= 1) or self.max_bins < 2 or self.seed < 0:
+        shares = 0 < self.learning_rate <= 1 and 0 < self.row_share <= 1 and 0 < self.column_share <= 1
+        if min(self.trees, self.min_rows, self.max_rows) < 1 or self.leaves < 2 or not shares or self.reg_lambda < 0 or not 3 <= self.max_bins <= boosting.BINS or self.seed < 0:
             raise IntegrityError(f"invalid model settings: {self}")
 
-
-@dataclass
-class QuantileModel:
-    """A constant, and for each round a tree with the values of its leaves."""
-
-    alpha: float
-    start: float
-    learning_rate: float
-    rounds: list[tuple[object, dict[float, float]]] = field(default_factory=list)
-
-    def transform(self, df: DataFrame, name: str) -> DataFrame:
-        out, total = df, F.lit(self.start)
-        for k, (tree, leaves) in enumerate(self.rounds):
-            leaf = f"_leaf{k}"
-            out = tree.copy().setLeafCol(leaf).setPredictionCol(f"_p{k}").transform(out).drop(f"_p{k}")
-            total = total + leaf_value(F.col(leaf), leaves) * self.learning_rate
-        return out.withColumn(name, total).drop(*[f"_leaf{k}" for k in range(len(self.rounds))])
-
-
-def leaf_value(leaf: Column, leaves: dict[float, float]) -> Column:
-    """Look up a leaf's value; a tree has at most 2 ** depth leaves, so the map is a literal."""
-    if not leaves:
-        return F.lit(0.0)
-    pairs = [F.lit(x) for k, v in sorted(leaves.items()) for x in (k, v)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), leaf), F.lit(0.0))
+    def growth(self) -> boosting.Growth:
+        return boosting.Growth(self.leaves, self.min_rows, self.reg_lambda)
 
 
 @dataclass
@@ -76,52 +53,15 @@ class Bundle:
     task_id: str
     fingerprint: str
     config: Config
+    channels: tuple[str, ...]
+    quantiles: tuple[float, ...]
+    nodes: DataFrame
+    ends: list[np.ndarray] = field(default_factory=list)
     engine: str = pyspark.__version__
-    point: dict[str, object] = field(default_factory=dict)
-    quantile: dict[tuple[str, float], QuantileModel] = field(default_factory=dict)
     n_buses: int = 0
 
-
-def vectors(rows: DataFrame, n_buses: int) -> DataFrame:
-    """The rows with `features`: missing values replaced, the bus as a nominal attribute."""
-    nominal = {"ml_attr": {"type": "nominal", "vals": [str(i) for i in range(max(2, n_buses))]}}
-    own = rows.withColumns({x: F.coalesce(F.col(x).cast("double"), F.lit(MISSING)) for x in FEATURES})
-    for x in CATEGORICAL:
-        own = own.withMetadata(x, nominal)
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own)
-
-
-def fit_point(rows: DataFrame, config: Config, n_buses: int) -> object:
-    learner = GBTRegressor(
-        featuresCol="features", labelCol="y", lossType="squared", maxIter=config.trees, stepSize=config.learning_rate, maxDepth=config.max_depth, minInstancesPerNode=config.min_rows,
-        subsamplingRate=config.row_share, featureSubsetStrategy=str(config.column_share), maxBins=max(config.max_bins, n_buses), seed=config.seed,
-    )
-    return learner.fit(rows)
-
-
-def fit_quantile(rows: DataFrame, alpha: float, config: Config, n_buses: int, *, cut_every: int = 10) -> QuantileModel:
-    """rows: features, y. Every `cut_every` rounds the running prediction is checkpointed, so plans stay short."""
-    if not 0 < alpha < 1:
-        raise ValueError("the quantile must lie in (0, 1)")
-    checkpoint_folder(rows.sparkSession)
-    start = rows.agg(F.percentile("y", alpha)).first()[0]
-    model = QuantileModel(alpha, float(start), config.learning_rate)
-    now = rows.select("features", "y", F.lit(float(start)).alias("f"))
-    for k in range(config.trees):
-        g = F.when(F.col("y") > F.col("f"), alpha).otherwise(alpha - 1.0)
-        learner = DecisionTreeRegressor(
-            featuresCol="features", labelCol="g", leafCol="leaf", maxDepth=config.max_depth, minInstancesPerNode=config.min_rows, maxBins=max(config.max_bins, n_buses), seed=config.seed + k,
-        )
-        part = now.withColumn("g", g)
-        chosen = part if config.row_share == 1 else part.where(F.pmod(F.xxhash64("y", "f", F.lit(config.seed + k)), F.lit(1000)) < round(1000 * config.row_share))
-        tree = learner.fit(chosen)
-        placed = tree.transform(part)
-        leaves = {r["leaf"]: float(r["v"]) for r in placed.groupBy("leaf").agg(F.percentile(F.col("y") - F.col("f"), alpha).alias("v")).collect()}  # 2 ** depth rows at most
-        model.rounds.append((tree, leaves))
-        now = placed.select("features", "y", (F.col("f") + leaf_value(F.col("leaf"), leaves) * config.learning_rate).alias("f"))
-        if (k + 1) % cut_every == 0:
-            now = now.checkpoint()
-    return model
+    def models(self) -> list[tuple[str, float | None]]:
+        return [(c, q) for c in self.channels for q in (None, *self.quantiles)]
 
 
 def training_sample(cube: DataFrame, split: Split, task: Task, static: DataFrame, calendar: DataFrame, config: Config) -> DataFrame:
@@ -138,23 +78,26 @@ def training_sample(cube: DataFrame, split: Split, task: Task, static: DataFrame
 
 
 def fit(cube: DataFrame, split: Split, static: DataFrame, calendar: DataFrame, *, contract: Contract, config: Config, fingerprint: str = "", quantiles: tuple[float, ...] | None = None, channels: tuple[str, ...] | None = None) -> Bundle:
-    """All models of the primary task over one matrix, which is kept for all fits."""
+    """All models of the primary task over one matrix, binned once."""
     task = contract.primary()
+    channels = tuple(channels or task.target_channels)
+    quantiles = tuple(contract.evaluation.quantiles if quantiles is None else quantiles)
+    if not all(0 < q < 1 for q in quantiles):
+        raise ValueError("quantiles must lie in (0, 1)")
+    folder = f"{checkpoint_folder(cube.sparkSession)}/models-{uuid.uuid4().hex}"
     rows = training_sample(cube, split, task, static, calendar, config)
-    n_buses = static.count()
-    out = Bundle(contract.contract_id, task.task_id, fingerprint, config, n_buses=n_buses)
-    base = vectors(rows, n_buses).persist()
-    try:
-        for channel in channels or task.target_channels:
-            y = features.target_vector(base.select("bus", "target_step", "origin", "features"), cube, channel).persist()
-            try:
-                out.point[channel] = fit_point(y, config, n_buses)
-                for q in contract.evaluation.quantiles if quantiles is None else quantiles:
-                    out.quantile[channel, q] = fit_quantile(y, q, config, n_buses)
-            finally:
-                y.unpersist()
-    finally:
-        base.unpersist()
+    for channel in channels:
+        rows = features.target_vector(rows.select("row_id", "bus", "origin", "target_step", *FEATURES, *[f"y_{c}" for c in channels if f"y_{c}" in rows.columns]), cube, channel).withColumnRenamed("y", f"y_{channel}")
+    rows.write.parquet(f"{folder}/rows")
+    rows = cube.sparkSession.read.parquet(f"{folder}/rows")
+    ends = boosting.edges(rows, FEATURES, config.max_bins - 1)  # one more for missing values
+    out = Bundle(contract.contract_id, task.task_id, fingerprint, config, channels, quantiles, rows, ends, n_buses=static.count())
+    nodes = boosting.fit(
+        boosting.blocks(rows, FEATURES, ends, channels), out.models(), width=len(FEATURES), trees=config.trees, growth=config.growth(), learning_rate=config.learning_rate,
+        row_share=config.row_share, column_share=config.column_share, nominal=tuple(FEATURES.index(x) for x in CATEGORICAL), seed=config.seed,
+    )
+    nodes.write.parquet(f"{folder}/nodes")
+    out.nodes = cube.sparkSession.read.parquet(f"{folder}/nodes")
     return out
 
 
@@ -177,21 +120,15 @@ def predict(bundle: Bundle, cube: DataFrame, split: Split, static: DataFrame, ca
         raise IntegrityError("there is no window to score")
     first = naive.target_range(split, name, spec)[0] - spec.lead
     drawn = features.exhaustive_rows(cube.sparkSession, n, bundle.n_buses, spec.horizon)
-    rows = vectors(features.matrix(cube, features.with_windows(drawn, first, spec), static, calendar), bundle.n_buses)
-    rows = rows.select("row_id", "bus", "origin", "target_step", "features", (F.col("horizon_step") - 1).cast("int").alias("horizon"))
-    parts = []
-    for channel, model in bundle.point.items():
-        own = model.setPredictionCol("yhat").transform(features_with_target(rows, cube, channel))
-        for (c, q), qm in bundle.quantile.items():
-            if c == channel:
-                own = qm.transform(own, metrics.label(q))
-        qs = [metrics.label(q) for c, q in bundle.quantile if c == channel]
-        parts.append(own.select(F.lit(channel).alias("channel"), "horizon", "bus", "origin", F.col("target_step").alias("step"), "y", "yhat", *qs))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def features_with_target(rows: DataFrame, cube: DataFrame, channel: str) -> DataFrame:
-    return rows.join(cube.select("bus", F.col("step").alias("target_step"), F.col(channel).cast("double").alias("y")), ["bus", "target_step"])
+    rows = features.matrix(cube, features.with_windows(drawn, first, spec), static, calendar).withColumn("horizon", (F.col("horizon_step") - 1).cast("int"))
+    packed = boosting.pack(bundle.nodes)
+    scored = boosting.score(rows, FEATURES, bundle.ends, {k: packed[k] for k in bundle.models()}, ("bus", "origin", "target_step", "horizon"))
+    truth = cube.select("bus", F.col("step").alias("target_step"), *[F.col(c).cast("double").alias(f"y_{c}") for c in bundle.channels])
+    m = 1 + len(bundle.quantiles)
+    by_channel = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"y_{c}").alias("y"), F.slice("scores", k * m + 1, m).alias("s")) for k, c in enumerate(bundle.channels)])
+    each = scored.join(truth, ["bus", "target_step"]).select("bus", "origin", F.col("target_step").alias("step"), "horizon", F.explode(by_channel).alias("c"))
+    names = ["yhat", *[metrics.label(q) for q in bundle.quantiles]]
+    return each.select("c.channel", "horizon", "bus", "origin", "step", "c.y", *[F.element_at("c.s", k).alias(x) for k, x in enumerate(names, 1)])
 
 
 def evaluate(predictions: DataFrame, cube: DataFrame, split: Split, channel: str) -> DataFrame:
@@ -201,11 +138,13 @@ def evaluate(predictions: DataFrame, cube: DataFrame, split: Split, channel: str
     return metrics.levels(rows, metrics.horizon_step(rows, ["baseline"]), active, ["baseline"])  # a step and a horizon name one origin
 
 
-def importances(model: object) -> list[tuple[str, float]]:
+def importances(bundle: Bundle, channel: str, alpha: float | None = None) -> list[tuple[str, float]]:
     """Share of the gain by feature, the largest first; ties in the features' order."""
-    values = model.featureImportances.toArray().tolist()
-    total = sum(values)
-    shares = [v / total if total > 0 else v for v in values]
+    own = bundle.nodes.where((F.col("channel") == channel) & F.col("alpha").eqNullSafe(F.lit(alpha).cast("double")) & (F.col("feature") >= 0))
+    found = {r["feature"]: r["gain"] for r in own.groupBy("feature").agg(F.sum("gain").alias("gain")).collect()}
+    gains = [found.get(k, 0.0) for k in range(len(FEATURES))]
+    total = sum(gains)
+    shares = [v / total if total > 0 else v for v in gains]
     return [(FEATURES[i], shares[i]) for i in sorted(range(len(shares)), key=lambda i: (-shares[i], i))]
 
 
@@ -215,36 +154,23 @@ def label(channel: str, q: float | None = None) -> str:
 
 
 def save(bundle: Bundle, folder: str) -> list[str]:
-    """Save every model below the folder; quantile models as their trees and a table of leaf values."""
+    """Write each model as a table of its nodes, and the settings and ends of bins as text, through Spark's writers."""
     out = []
-    for channel, model in bundle.point.items():
-        out.append(f"{folder}/{label(channel)}")
-        model.write().overwrite().save(out[-1])
-    for (channel, q), model in bundle.quantile.items():
-        at = f"{folder}/{label(channel, q)}"
-        rows = []
-        for k, (tree, leaves) in enumerate(model.rounds):
-            tree.write().overwrite().save(f"{at}/tree={k}")
-            rows += [(k, float(leaf), v) for leaf, v in leaves.items()]
-        session = _session()
-        session.createDataFrame([(-1, model.alpha, model.start), (-2, model.learning_rate, float(len(model.rounds))), *rows], "round int, leaf double, value double").coalesce(1).write.mode("overwrite").parquet(f"{at}/leaves")
-        out.append(at)
+    for channel, q in bundle.models():
+        own = bundle.nodes.where((F.col("channel") == channel) & F.col("alpha").eqNullSafe(F.lit(q).cast("double")))
+        out.append(f"{folder}/{label(channel, q)}")
+        own.coalesce(1).sortWithinPartitions("tree", "node").write.mode("overwrite").parquet(out[-1])
+    head = {"contract_id": bundle.contract_id, "task_id": bundle.task_id, "fingerprint": bundle.fingerprint, "config": asdict(bundle.config), "channels": bundle.channels, "quantiles": bundle.quantiles, "ends": [x.tolist() for x in bundle.ends], "engine": bundle.engine, "n_buses": bundle.n_buses}
+    bundle.nodes.sparkSession.createDataFrame([(json.dumps(head, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/bundle")
     return out
 
 
-def load_quantile(folder: str) -> QuantileModel:
-    from pyspark.ml.regression import DecisionTreeRegressionModel
-
-    rows = _session().read.parquet(f"{folder}/leaves").collect()
-    head = {r["round"]: r for r in rows if r["round"] < 0}
-    model = QuantileModel(head[-1]["leaf"], head[-1]["value"], head[-2]["leaf"])
-    for k in range(int(head[-2]["value"])):
-        leaves = {r["leaf"]: r["value"] for r in rows if r["round"] == k}
-        model.rounds.append((DecisionTreeRegressionModel.load(f"{folder}/tree={k}"), leaves))
-    return model
-
-
-def _session():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active()
+def load(spark: SparkSession, folder: str) -> Bundle:
+    """A bundle that save() wrote; another engine's version is refused."""
+    head = json.loads(spark.read.text(f"{folder}/bundle").first()["value"])
+    if head["engine"] != pyspark.__version__:
+        raise IntegrityError(f"the models were made by engine {head['engine']}; this is {pyspark.__version__}")
+    channels, quantiles = tuple(head["channels"]), tuple(head["quantiles"])
+    nodes = reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{label(c, q)}") for c in channels for q in (None, *quantiles)])
+    ends = [np.array(x, float) for x in head["ends"]]
+    return Bundle(head["contract_id"], head["task_id"], head["fingerprint"], Config(**head["config"]), channels, quantiles, nodes, ends, head["engine"], head["n_buses"])

@@ -341,15 +341,23 @@ def test_models(spark, tmp_path):
     contract = Contract(tasks=(Task("t", "primary", 8, 4),))
     st = spark.createDataFrame([(b, b, *[0.0] * len(STATIC)) for b in (0, 1)], "bus long, bus_pos long, " + ", ".join(f"{x} double" for x in STATIC))
     cal = timeaxis.calendar_table(timeaxis.generated_axis(spark, "2016-01-01 00:00:00", 1200))
-    settings = models.Config(trees=2, max_rows=400, min_rows=5, max_bins=16, max_depth=3)
+    settings = models.Config(trees=2, max_rows=400, min_rows=5, max_bins=16, leaves=6)
     bundle = models.fit(cube, split, st, cal, contract=contract, config=settings, quantiles=(0.5,), channels=(NET_P,), fingerprint="f")
+    assert bundle.nodes.where("feature < 0").groupBy("alpha", "tree").count().where("count > 6").count() == 0 and bundle.nodes.select("alpha", "tree").distinct().count() == 4
     rows = models.predict(bundle, cube, split, st, cal, contract=contract, max_windows=5)
     assert rows.count() == 5 * 2 * 4 and rows.where("yhat IS NULL OR q50 IS NULL").count() == 0
     assert {r["level"] for r in models.evaluate(rows, cube, split, NET_P).collect()} == {"bus_micro", "bus_macro_active", "system_aggregate", "horizon_step"}
-    shares = models.importances(bundle.point[NET_P])
+    shares = models.importances(bundle, NET_P)
     assert len(shares) == len(FEATURES) and sum(v for _, v in shares) == pytest.approx(1)
     saved = models.save(bundle, f"file://{tmp_path}/m")
-    assert saved[1].endswith("net_demand_p_mw__q0p50") and models.load_quantile(saved[1]).rounds[0][1] == bundle.quantile[NET_P, 0.5].rounds[0][1]
+    assert saved[1].endswith("net_demand_p_mw__q0p50")
+    again = models.load(spark, f"file://{tmp_path}/m")
+    other = models.predict(again, cube, split, st, cal, contract=contract, max_windows=5)
+    assert sorted(map(tuple, other.collect())) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "m2").mkdir()
+    spark.createDataFrame([('{"engine": "0.1"}',)], "value string").write.mode("overwrite").text(f"file://{tmp_path}/m2/bundle")
+    with pytest.raises(IntegrityError):
+        models.load(spark, f"file://{tmp_path}/m2")
     models.require_compatible(bundle, contract, "f")
     for bad in (lambda: models.require_compatible(bundle, contract, "g"), lambda: models.predict(bundle, cube, split, st, cal, contract=contract, name="test"), lambda: models.predict(bundle, cube, split, st, cal, contract=contract, max_windows=0)):
         with pytest.raises(IntegrityError):
