@@ -1,20 +1,22 @@
-"""Artifacts: fingerprints, the benchmark dataset as Parquet with a manifest, and its verification."""
+"""Artifacts: fingerprints, the benchmark dataset as .npy arrays with a manifest, and its verification."""
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .contract import Contract, Split, validate_contract
 from .errors import IntegrityError
 from .operators import checks, scaling, timeaxis, windows
-from .schemas import CHANNELS
-from .sources import files
+from .schemas import CALENDAR, CHANNELS, SPLITS
+from .sources import files, npy, store
 
+MANIFEST = "manifest.json"
 ALGORITHM = "sha256 of sorted per-channel, per-bus sha256 digests"
 
 
@@ -62,57 +64,89 @@ def write_json(value: Any, path: str | Path) -> Path:
     return out
 
 
-def require_target(folder: str | Path, overwrite: bool) -> Path:
-    """A folder that may be written: new, empty, or to be overwritten. Of an artifact that is there its manifest and
-    tables go, so that none of its files is taken for the new one's; other files stay."""
-    out = Path(folder)
-    if out.exists() and any(out.iterdir()):
-        if not overwrite:
-            raise IntegrityError(f"{out} is not empty")
-        (out / "manifest.json").unlink(missing_ok=True)
-        for old in out.rglob("*.parquet"):
-            old.unlink()
+def require_target(spark: SparkSession, folder: str | Path, overwrite: bool) -> str:
+    """A folder that may be written: shared, and new, empty or to be overwritten. Of an artifact that is there its manifest
+    goes first, then its arrays, so that none of its files is taken for the new one's; other files stay."""
+    out = store.require_shared(spark, str(folder))
+    found = store.names(out)
+    if found and not overwrite:
+        raise IntegrityError(f"{out} is not empty")
+    if MANIFEST in found:
+        store.remove(f"{out}/{MANIFEST}")
+    for name in found:
+        if name.endswith((".npy", npy.LIST)):
+            store.remove(f"{out}/{name}")
     return out
 
 
-def write_artifact(cube: DataFrame, axis: DataFrame, folder: str | Path, *, contract: Contract | None = None, overwrite: bool = False, split: Split | None = None) -> Path:
-    """Cube, calendar, window plans and scalers as Parquet, with a manifest of every file's size and digest; verified.
+def arrays(cube: DataFrame, axis: DataFrame, split: Split, contract: Contract) -> dict[str, DataFrame]:
+    """Every array of an artifact by its path, as (pos, value) or (pos, values)."""
+    spark = cube.sparkSession
+    buses = cube.select("bus").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("bus")) - 1).cast("long"))  # one row for each bus
+    calendar = timeaxis.calendar_table(axis, zone=contract.zone)
+    out = {
+        "time_utc_ns": axis.select(F.col("step").cast("long").alias("pos"), (F.unix_micros(F.col("t_utc").cast("timestamp")) * 1000).alias("value")),
+        "bus_index": buses.select("pos", F.col("bus").cast("long").alias("value")),
+        "calendar_features": calendar.select(F.col("step").cast("long").alias("pos"), F.array(*[F.col(x).cast("float") for x in CALENDAR]).alias("values")),
+    }
+    out |= {f"channels/{x}": npy.by_step(cube, x) for x in CHANNELS}
+    for task in contract.tasks:
+        plan = windows.plan(spark, split.n_steps, split, task.spec())
+        windows.require_audit(plan, split)
+        out[f"windows/{task.task_id}"] = _ranked(windows.encode(plan), "origin").select("pos", F.array("split", *windows.COLUMNS[1:]).alias("values"))
+    channels = tuple(dict.fromkeys(c for t in contract.tasks for c in t.channels()))
+    fitted = scaling.fit(cube, split, channels).join(buses, "bus")
+    for x in channels:
+        own = fitted.where(F.col("channel") == x)
+        out |= {f"scaling/{x}_{n}": own.select("pos", v.alias("value")) for n, v in (("mean", F.col("mean")), ("scale", F.col("scale")), ("constant_mask", F.col("is_constant").cast("tinyint")))}
+    return out
+
+
+def _ranked(rows: DataFrame, by: str, stretch: int = 1 << 16) -> DataFrame:
+    """Rows with pos, their place by a whole number: places within a stretch, and the counts of the stretches before, which are few."""
+    own = rows.withColumn("_s", F.floor(F.col(by) / stretch))
+    counts = own.groupBy("_s").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_s").orderBy(by)) - 1
+    return own.withColumn("_p", place).join(before, "_s").withColumn("pos", (F.col("_before") + F.col("_p")).cast("long")).drop("_s", "_p", "_before")
 
-    The cube is partitioned by split, so a reader of one split prunes the others' files. The manifest is written last:
-    a folder without one is not an artifact.
+
+def write_artifact(cube: DataFrame, axis: DataFrame, folder: str | Path, *, contract: Contract | None = None, overwrite: bool = False, split: Split | None = None, rows: int = npy.ROWS) -> str:
+    """Time, buses, channels, calendar, window plans and scalers as .npy arrays, with a manifest of every file's size and digest; verified.
+
+    Arrays are written by tasks, in parts (sources.npy). The manifest is written last: a folder without one is not an artifact.
     """
     contract = contract or Contract()
     validate_contract(contract, expected_id=contract.contract_id)
-    out = require_target(folder, overwrite)
     spark = cube.sparkSession
+    out = require_target(spark, folder, overwrite)
     timeaxis.utc_axis(axis)
     split = split or windows.contract_split(axis, contract)
     checks.ordered_columns(cube, CHANNELS, "cube")
     checks.finite(cube, list(CHANNELS), "cube")
     windows.check_dense(cube, split.n_steps)
-    of = windows.containing_split(split, F.col("step"), F.col("step"))
-    at = lambda name: f"file://{out.resolve()}/{name}"
-    cube.withColumn("split", of).repartition("split", "bus").write.mode("overwrite").partitionBy("split").parquet(at("cube"))
-    axis.write.mode("overwrite").parquet(at("time"))
-    timeaxis.calendar_table(axis, zone=contract.zone).write.mode("overwrite").parquet(at("calendar"))
-    plans = windows.contract_plans(spark, split, contract)
-    plans.write.mode("overwrite").partitionBy("task_id").parquet(at("windows"))
-    scalers = [scaling.fit_task(cube, split, t).withColumn("task_id", F.lit(t.task_id)) for t in contract.tasks]
-    for k, s in enumerate(scalers):
-        s.write.mode("append" if k else "overwrite").partitionBy("task_id").parquet(at("scaling"))
+    listed = {}
+    for name, array in arrays(cube, axis, split, contract).items():
+        for part in npy.write(array, f"{out}/{name}", rows=rows)["parts"]:
+            listed[f"{name}/{part['name']}"] = {"bytes": part["bytes"], "sha256": part["sha256"]}
+        listed[f"{name}/{npy.LIST}"] = dict(zip(("bytes", "sha256"), store.digest(f"{out}/{name}/{npy.LIST}"), strict=True))
     fingerprint = series_fingerprint(cube).first()["fingerprint"]
-    listed = {r["name"]: {"bytes": r["length"], "sha256": r["sha256"]} for r in files.digests(spark, at(""), "*.parquet").orderBy("name").collect()}
-    manifest = {"schema_version": contract.schema_version, "contract": contract.to_dict(), "split": {k: list(v) for k, v in split.ranges().items()}, "fingerprint": fingerprint, "fingerprint_algorithm": ALGORITHM, "channels": list(CHANNELS), "files": listed, "spark_version": spark.version}
-    write_json(manifest, out / "manifest.json")
+    span = axis.agg(F.min("t_utc").cast("string").alias("start"), F.max("t_utc").cast("string").alias("end_inclusive")).first().asDict()
+    manifest = {
+        "schema_version": contract.schema_version, "contract": contract.to_dict(), "split": {k: list(v) for k, v in split.ranges().items()}, "fingerprint": fingerprint, "fingerprint_algorithm": ALGORITHM,
+        "n_steps": split.n_steps, "time": span | {"timezone": "UTC"}, "channels": list(CHANNELS), "channel_dtype": "float32", "calendar": list(CALENDAR), "window_columns": ["split", *windows.COLUMNS[1:]],
+        "split_code": {x: k for k, x in enumerate(SPLITS)}, "files": listed, "spark_version": spark.version,
+    }
+    store.write_text(f"{out}/{MANIFEST}", canonical_json(manifest))
     verify_artifact(spark, out)
     return out
 
 
 def verify_artifact(spark: SparkSession, folder: str | Path, expected_version: int = 1) -> dict[str, Any]:
-    """The manifest, after every file in it was found with its size and digest. One join of the listing with the files."""
-    out = Path(folder)
+    """The manifest, after every file in it was found with its size and digest. Tasks read the files, in pieces of a megabyte."""
+    out = store.require_shared(spark, str(folder))
     try:
-        manifest = json.loads((out / "manifest.json").read_text(encoding="utf-8"))
+        manifest = json.loads(store.read_text(f"{out}/{MANIFEST}"))
     except (OSError, ValueError) as e:
         raise IntegrityError(f"{out}: the manifest cannot be read: {e}") from e
     if manifest.get("schema_version") != expected_version:
@@ -121,9 +155,19 @@ def verify_artifact(spark: SparkSession, folder: str | Path, expected_version: i
     if not rows:
         raise IntegrityError(f"{out}: the manifest lists no files")
     listed = spark.createDataFrame(rows, "name string, bytes long, expected string")
-    there = files.digests(spark, f"file://{out.resolve()}", "*.parquet").select("name", "length", "sha256")
+    there = files.digests(spark, out, (".npy", npy.LIST)).select("name", "length", "sha256")
     both = listed.join(there, "name", "full_outer")
     checks.none_of(both.where("sha256 IS NULL").select("name"), f"{out}: files are missing")
     checks.none_of(both.where("expected IS NULL").select("name"), f"{out}: files are not in the manifest")
     checks.none_of(both.where("expected <> sha256 OR bytes <> length").select("name"), f"{out}: files were changed")
     return manifest
+
+
+def read_cube(spark: SparkSession, folder: str | Path) -> DataFrame:
+    """(step, bus, channels) of a written artifact."""
+    out = store.require_shared(spark, str(folder))
+    buses = npy.read(spark, f"{out}/bus_index").select(F.col("pos").alias("bus_pos"), F.col("value").alias("bus"))
+    each = [npy.read(spark, f"{out}/channels/{x}").select(F.col("pos").alias("step"), F.col("values").alias(x)) for x in CHANNELS]
+    whole = reduce(lambda a, b: a.join(b, "step"), each)
+    flat = whole.select("step", F.posexplode(F.arrays_zip(*CHANNELS)).alias("bus_pos", "v")).select("step", F.col("bus_pos").cast("long").alias("bus_pos"), "v.*")
+    return flat.join(F.broadcast(buses), "bus_pos").select("step", "bus", *CHANNELS)  # a row for each bus

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .errors import IntegrityError
+from .session import ship
 
 BINS = 256
 #: Rows of a block on its way to a model's task, and rows that are scored at once.
@@ -389,6 +390,7 @@ def fit(blocks: DataFrame, models: list[tuple[str, float | None]], *, width: int
 
     A model's group is the sample, whose size is bounded by its maker; models are the parallel work.
     """
+    ship(blocks.sparkSession)
     kinds = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(q).cast("double").alias("alpha")) for c, q in models])
     y = F.coalesce(*[F.when(F.col("m.channel") == c, F.col(f"y_{c}")) for c in dict.fromkeys(c for c, _ in models)])
     dealt = blocks.withColumn("m", F.explode(kinds)).select("m.channel", "m.alpha", "block", "n", "bins", y.alias("y"))
@@ -411,6 +413,8 @@ def fit(blocks: DataFrame, models: list[tuple[str, float | None]], *, width: int
 def blocks(rows: DataFrame, names: tuple[str, ...], ends: list[np.ndarray], targets: tuple[str, ...]) -> DataFrame:
     """Rows (row_id, names, y_<target>) as blocks of bins and targets; a block has rows of one task, in the order of row_id by number of task."""
 
+    ship(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False) for x in range(1, 1 + len(names))]
@@ -434,6 +438,7 @@ def pack(nodes: DataFrame) -> dict[tuple[str, float | None], Packed]:
 
 def score(rows: DataFrame, names: tuple[str, ...], ends: list[np.ndarray], models: dict[tuple[str, float | None], Packed], keep: tuple[str, ...]) -> DataFrame:
     """The columns `keep` of each row and `scores`, the models' values in their order."""
+    ship(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast((ends, list(models.values())))
     one = rows.select(*keep, *names)
     schema = ", ".join(f"`{x}` {one.schema[x].dataType.simpleString()}" for x in keep)

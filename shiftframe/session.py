@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +36,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="shiftframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the executors once, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shiftframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="shiftframe-src-"), "shiftframe_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    sc.addPyFile(path)
+    sc._shiftframe_shipped = True

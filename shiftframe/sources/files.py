@@ -1,12 +1,16 @@
-"""Files: digests on the driver by chunks, and on the executors by the binary file source."""
+"""Files: digests on the driver and in tasks, by pieces."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..session import ship
+from . import store
 
 
 def sha256_file(path: str | Path, chunk: int = 1 << 20) -> str:
@@ -17,8 +21,16 @@ def sha256_file(path: str | Path, chunk: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
-def digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length, sha256) of the files below a folder. A file is a row, so each must be under 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    name = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + folder.removeprefix("file://").rstrip("/") + "/", "")
-    return files.select("path", name.alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+def digests(spark: SparkSession, folder: str, ends: str | tuple[str, ...] = "") -> DataFrame:
+    """(name, length, sha256) of the files below a folder whose names end so. Their names are listed once; tasks read them in pieces of a megabyte, whatever their size."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                size, sha = store.digest(f"{folder}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([sha])], ["name", "length", "sha256"])
+
+    found = [(x,) for x in store.names(folder) if x.endswith(ends)]
+    listed = spark.createDataFrame(found, "name string").repartition(max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism)))
+    return listed.mapInArrow(run, "name string, length long, sha256 string")

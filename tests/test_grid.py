@@ -3,6 +3,7 @@
 import json
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -240,18 +241,26 @@ def test_artifact_round_trip_and_tampering(spark, tmp_path):
     out.mkdir()
     artifacts.write_artifact(cube, ax, out, contract=SMALL, split=split)
     manifest = artifacts.verify_artifact(spark, out)
-    again = spark.read.parquet(f"{out}/cube")
+    again = artifacts.read_cube(spark, out)
     assert artifacts.series_fingerprint(again).first()["fingerprint"] == manifest["fingerprint"] and manifest["channels"] == list(CHANNELS)
-    assert spark.read.parquet(f"{out}/windows").where("split IS NULL").count() == windows.count_windows(split, SMALL.tasks[0].spec())["dropped"]
+    counts = windows.count_windows(split, SMALL.tasks[0].spec())
+    plan = np.concatenate([np.load(x, allow_pickle=False) for x in sorted(Path(out, "windows/t").glob("*.npy"))])
+    assert plan.shape == (sum(v for k, v in counts.items() if k != "dropped"), 6) and plan.dtype == np.int64 and np.all(np.diff(plan[:, 3]) > 0)
+    for x in CHANNELS:
+        whole = np.concatenate([np.load(f, allow_pickle=False) for f in sorted(Path(out, "channels", x).glob("*.npy"))])
+        assert whole.shape == (400, 2) and whole.dtype == np.float32
     with pytest.raises(IntegrityError):
         artifacts.write_artifact(cube, ax, out, contract=SMALL, split=split)
-    victim = next(iter(sorted(Path(out, "cube").rglob("*.parquet"))))
+    victim = next(iter(sorted(Path(out, "channels").rglob("*.npy"))))
     raw = bytearray(victim.read_bytes())
-    raw[len(raw) // 2] ^= 1
+    raw[-3] ^= 1
     victim.write_bytes(bytes(raw))
-    (victim.parent / f".{victim.name}.crc").unlink(missing_ok=True)
     with pytest.raises(IntegrityError, match="changed"):
         artifacts.verify_artifact(spark, out)
+    extra = victim.with_name("part-9.npy")
+    extra.write_bytes(b"x")
+    with pytest.raises(IntegrityError, match="not in the manifest"):
+        artifacts.verify_artifact(spark, out)
     victim.unlink()
     with pytest.raises(IntegrityError, match="missing"):
         artifacts.verify_artifact(spark, out)
@@ -278,7 +287,11 @@ def test_fingerprints(spark):
 
 def test_file_digests(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc" * 10)
-    r = files.digests(spark, f"file://{tmp_path}").first()
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "y.txt").write_bytes(b"")
+    found = {r["name"]: r for r in files.digests(spark, f"file://{tmp_path}").collect()}
+    assert set(found) == {"x.bin", "sub/y.txt"} and files.digests(spark, f"file://{tmp_path}", ".txt").first()["length"] == 0
+    r = found["x.bin"]
     assert (r["name"], r["length"], r["sha256"]) == ("x.bin", 30, files.sha256_file(tmp_path / "x.bin"))
 
 
@@ -374,12 +387,12 @@ def test_nested_configuration(tmp_path):
     assert config.parse("a: [1, 2]\nb:\n- x\n- y\n") == {"a": [1, 2], "b": ["x", "y"]}
 
 
-def test_overwriting_leaves_no_old_tables(tmp_path):
+def test_overwriting_leaves_no_old_arrays(spark, tmp_path):
     (tmp_path / "cube").mkdir()
-    for name in ("cube/part-0.parquet", "manifest.json", "notes.txt"):
+    for name in ("cube/part-0.npy", "manifest.json", "notes.txt"):
         (tmp_path / name).write_text("x")
     with pytest.raises(IntegrityError):
-        artifacts.require_target(tmp_path, overwrite=False)
-    artifacts.require_target(tmp_path, overwrite=True)
+        artifacts.require_target(spark, tmp_path, overwrite=False)
+    artifacts.require_target(spark, tmp_path, overwrite=True)
     assert sorted(x.name for x in tmp_path.rglob("*") if x.is_file()) == ["notes.txt"]
     assert Contract().to_dict()["split_policy"] and Contract().evaluation.notes
