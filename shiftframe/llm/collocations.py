@@ -7,8 +7,9 @@ the smallest k). Candidates inside a longer candidate with at least 80 % of thei
 
 1. Words are counted, summed in each task first; the same pass counts pairs of neighbours in a table of fixed size by hash (2^`bits` counters
    a task, which stop at `least`). A pair with f >= `least` is in a counter of `least` or more, so the others can go: nothing frequent does.
-2. Each place where a phrase may begin becomes a pointer: the words from there on while pairs are frequent, four at most. Equal
-   pointers are one row with a count (of a stretch of text, before any shuffle).
+   A second pass counts what is left in two more: the pairs again, by another hash, and the runs of three and four words.
+2. Each place where a phrase may begin becomes a pointer: the words from there on, as many as may be frequent together, four at most. Equal
+   pointers are one row with a count, of a stretch of text before they are shuffled, and of all texts then.
 3. Pointers go to the task of their prefix, sorted by what follows. There the projection of a prefix is a range of rows and that of each
    extension a range within it: ranges are read in order, depth first, and emit the phrases that are frequent. Only the open prefix of each depth is held.
    A prefix of two words with over 1 / `splits` of all rows is dealt out by its third word, and one of three words by its fourth; their own
@@ -34,10 +35,12 @@ from . import _common as c
 #: A-Z become a-z, and all bytes that end a piece a full stop.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
 #: Words that a task numbers, and pointers that it holds, before it passes its counts on.
-MOST_WORDS, MOST_POINTERS = 1 << 20, 1 << 20
+MOST_WORDS, MOST_POINTERS = 1 << 20, 1 << 21
 #: Counters of one row of a task's table of pairs.
 CHUNK = 1 << 16
 SALTS = 32
+#: Makes the second hash of pairs another one.
+SECOND = 0x5EED
 
 
 class Words(dict):
@@ -55,14 +58,27 @@ class Words(dict):
     def numbers(self, text: bytes) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, text.translate(LETTERS).replace(b".", b" . ").split()), np.int32)
 
-    def pair_slots(self, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where two words of a piece follow each other, and the counters of these pairs."""
+    def slots(self, ids: np.ndarray, at: np.ndarray, k: int, bits: int, start: int = 0) -> np.ndarray:
+        """The counters of the k words from each place on."""
         if len(self) > len(self.hashes):
             fresh = list(self)[len(self.hashes) :]
             self.hashes = np.concatenate((self.hashes, np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in fresh), np.uint64, len(fresh))))
-        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        mixed = (self.hashes[ids[at]] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[ids[at + 1]]) * np.uint64(0xD6E8FEB86659FD93)
-        return at, (mixed >> np.uint64(64 - bits)).astype(np.int64)
+        mixed = np.full(len(at), start + k, np.uint64)
+        for j in range(k):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + self.hashes[ids[at + j]]
+            mixed ^= mixed >> np.uint64(29)
+        return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def pairs(self, ids: np.ndarray) -> np.ndarray:
+        """Where two words of a piece follow each other."""
+        return np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+
+    def frequent_pairs(self, ids: np.ndarray, good: np.ndarray, bits: int) -> np.ndarray:
+        """Whether a pair that may be frequent begins at each place; three places more at the end."""
+        at = self.pairs(ids)
+        go = np.zeros(len(ids) + 3, bool)
+        go[at[good[self.slots(ids, at, 2, bits)]]] = True
+        return go
 
     def column(self) -> pa.Array:
         return pa.array(self, pa.binary()).cast(pa.string())
@@ -104,43 +120,74 @@ def _count(docs: DataFrame, least: int, bits: int) -> DataFrame:
                 n = np.bincount(ids, minlength=len(own))
                 n[: len(counts.get(lang, ()))] += counts.get(lang, np.zeros(0, np.int64))
                 counts[lang] = n
-                slots, n = np.unique(own.pair_slots(ids, bits)[1], return_counts=True)
-                table[slots] = np.minimum(table[slots] + n, least)
+                _tally(table, own.slots(ids, own.pairs(ids), 2, bits), least)
             if sum(map(len, words.values())) > MOST_WORDS:
                 yield from counted()
         yield from counted()
-        for k in range(0, len(table), CHUNK):
-            part = table[k : k + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([k // CHUNK], pa.int32()), pa.array([part.tobytes()])], heads)
+        for chunk, part in _chunks(table):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([chunk], pa.int32()), pa.array([part])], heads)
 
     heads = ["lang", "word", "n", "chunk", "counters"]
     return docs.mapInArrow(run, "lang string, word string, n long, chunk int, counters binary")
 
 
-def _frequent_pairs(tables: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The counters of `least` or more as packed bits: 2^bits of them, whatever the input."""
+def _count_longer(docs: DataFrame, found: np.ndarray, least: int, bits: int) -> DataFrame:
+    """(chunk, counters) of pairs that may be frequent, by a second hash, behind those of runs of three and four words of such pairs."""
+    kind, sent = np.uint8 if least < 256 else np.uint32, docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, good = np.zeros(2 << bits, kind), np.unpackbits(sent.value).view(np.bool_)
+        words: dict[str, Words] = {}
+        for batch in c.pieces_of(batches, "text"):
+            for lang, text in _texts(batch):
+                own = words.setdefault(lang, Words(lang))
+                ids = own.numbers(text)
+                go = own.frequent_pairs(ids, good, bits)
+                three = np.flatnonzero(go[:-1] & go[1:])
+                four = three[go[three + 2]]
+                again = own.slots(ids, np.flatnonzero(go), 2, bits, SECOND) + (1 << bits)
+                _tally(table, np.concatenate((own.slots(ids, three, 3, bits), own.slots(ids, four, 4, bits), again)), least)
+            if sum(map(len, words.values())) > MOST_WORDS:
+                words.clear()
+        for chunk, part in _chunks(table):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part])], ["chunk", "counters"])
+
+    return docs.mapInArrow(run, "chunk int, counters binary")
+
+
+def _tally(table: np.ndarray, slots: np.ndarray, least: int) -> None:
+    slots, n = np.unique(slots, return_counts=True)
+    table[slots] = np.minimum(table[slots] + n, least)
+
+
+def _chunks(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for k in range(0, len(table), CHUNK):
+        if table[k : k + CHUNK].any():
+            yield k // CHUNK, table[k : k + CHUNK].tobytes()
+
+
+def _frequent(tables: DataFrame, least: int, size: int) -> np.ndarray:
+    """The counters of `least` or more as packed bits: `size` of them, whatever the input."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counters in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = total.setdefault(chunk, np.zeros(min(CHUNK, 1 << bits), np.uint32))
+                own = total.setdefault(chunk, np.zeros(min(CHUNK, size), np.uint32))
                 np.minimum(own + np.frombuffer(counters.as_buffer(), kind), least, out=own)
         for chunk, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(own >= least).tobytes()])], ["chunk", "found"])
 
     rows = tables.where("chunk IS NOT NULL").select("chunk", "counters")
-    merged = rows.mapInArrow(_halved(least, bits, kind), rows.schema).repartition("chunk").mapInArrow(run, "chunk int, found binary")
-    out = np.zeros(max(1, (1 << bits) // CHUNK), object)
-    out[:] = bytes(min(CHUNK, 1 << bits) // 8)
+    merged = rows.mapInArrow(_halved(least, kind), rows.schema).repartition("chunk").mapInArrow(run, "chunk int, found binary")
+    out = [bytes(min(CHUNK, size) // 8)] * max(1, size // CHUNK)
     for chunk, found in merged.collect():
         out[chunk] = bytes(found)
     return np.frombuffer(b"".join(out), np.uint8)
 
 
-def _halved(least: int, bits: int, kind: type):
+def _halved(least: int, kind: type):
     """Tables that one task reads become one table before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +202,12 @@ def _halved(least: int, bits: int, kind: type):
     return run
 
 
-def _pointers(docs: DataFrame, found: np.ndarray, bits: int) -> DataFrame:
+def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int) -> DataFrame:
     """(lang, w1, w2, w3, w4, n): the words from each place where a phrase may begin."""
-    sent = docs.sparkSession.sparkContext.broadcast(found)
+    sent = docs.sparkSession.sparkContext.broadcast((pairs, longer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = np.unpackbits(sent.value).view(np.bool_)
+        good, good_longer = (np.unpackbits(x).view(np.bool_) for x in sent.value)
         words: dict[str, Words] = {}
         held: dict[str, list[np.ndarray]] = {}
 
@@ -187,13 +234,17 @@ def _pointers(docs: DataFrame, found: np.ndarray, bits: int) -> DataFrame:
             for lang, text in _texts(batch):
                 own = words.setdefault(lang, Words(lang))
                 ids = own.numbers(text)
-                at, slots = own.pair_slots(ids, bits)
-                go = np.zeros(len(ids) + 3, bool)
-                go[at[good[slots]]] = True
+                go = own.frequent_pairs(ids, good, bits)
+                at = np.flatnonzero(go)
+                go[at] = good_longer[own.slots(ids, at, 2, bits, SECOND) + (1 << bits)]
+                three = np.flatnonzero(go[:-1] & go[1:])
+                three = three[good_longer[own.slots(ids, three, 3, bits)]]
+                four = three[go[three + 2]]
+                four = four[good_longer[own.slots(ids, four, 4, bits)]]
                 begin = np.flatnonzero(go)
-                ids = np.concatenate((ids, np.zeros(3, np.int32))).astype(np.int64)
-                third = np.where(go[begin + 1], ids[begin + 2], 0)
-                fourth = np.where(go[begin + 1] & go[begin + 2], ids[np.minimum(begin + 3, len(ids) - 1)], 0)
+                third, fourth = np.zeros(len(go), np.int64), np.zeros(len(go), np.int64)
+                third[three], fourth[four] = ids[three + 2], ids[four + 3]
+                ids, third, fourth = ids.astype(np.int64), third[begin], fourth[begin]
                 held.setdefault(lang, []).append(np.stack((ids[begin] << 32 | ids[begin + 1], third << 32 | fourth)))
             if sum(x.shape[1] for parts in held.values() for x in parts) > MOST_POINTERS:
                 yield from passed_on()
@@ -261,8 +312,9 @@ def phrases(docs: DataFrame, *, least: int = 30, bits: int = 24, splits: int = 1
     counted, counted_path = c.saved(_count(own, least, bits), "phrase-counts")
     words, words_path = c.saved(counted.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
     totals, _ = c.saved(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
-    found = _frequent_pairs(counted, least, bits)
-    pointers, pointers_path = c.saved(_pointers(own, found, bits), "phrase-pointers")
+    pairs = _frequent(counted, least, 1 << bits)
+    longer, longer_path = c.saved(_count_longer(own, pairs, least, bits), "phrase-longer")
+    pointers, pointers_path = c.saved(_pointers(own, pairs, _frequent(longer, least, 2 << bits), bits).groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("n")), "phrase-pointers")
     most = max(1, pointers.count() // splits)
     size = F.sum("n").alias("f"), F.count("*").alias("rows")
     large2, path2 = c.saved(pointers.groupBy("lang", "w1", "w2").agg(*size).where(F.col("rows") > most), "phrase-large2")
@@ -277,7 +329,7 @@ def phrases(docs: DataFrame, *, least: int = 30, bits: int = 24, splits: int = 1
     two = large2.where(F.col("f") >= least).select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("k"), "f")
     three = large3.where(F.col("f") >= least).select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.lit(3).alias("k"), "f")
     all_, _ = c.saved(one.unionByName(grown).unionByName(two).unionByName(three), "phrases")
-    c.remove(spark, counted_path, words_path, pointers_path, path2, path3)
+    c.remove(spark, counted_path, longer_path, words_path, pointers_path, path2, path3)
     return all_, totals
 
 
