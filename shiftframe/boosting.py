@@ -393,7 +393,7 @@ def fit(blocks: DataFrame, models: list[tuple[str, float | None]], *, width: int
     ship(blocks.sparkSession)
     kinds = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(q).cast("double").alias("alpha")) for c, q in models])
     y = F.coalesce(*[F.when(F.col("m.channel") == c, F.col(f"y_{c}")) for c in dict.fromkeys(c for c, _ in models)])
-    dealt = blocks.withColumn("m", F.explode(kinds)).select("m.channel", "m.alpha", "block", "n", "bins", y.alias("y"))
+    dealt = blocks.select("*", F.posexplode(kinds).alias("model", "m")).select("model", "m.channel", "m.alpha", "block", "n", "bins", y.alias("y"))
 
     def one(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("block").to_numpy())
@@ -407,7 +407,8 @@ def fit(blocks: DataFrame, models: list[tuple[str, float | None]], *, width: int
         return pa.Table.from_arrays(head + [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
     names = ["channel", "alpha", "start", *[x.split()[0] for x in NODES.split(", ")]]
-    return dealt.repartition(len(models), "channel", "alpha").groupBy("channel", "alpha").applyInArrow(one, f"channel string, alpha double, start double, {NODES}")
+    # by range, as hashes of so few keys would put several models into one task
+    return dealt.repartitionByRange(len(models), "model").groupBy("model").applyInArrow(one, f"channel string, alpha double, start double, {NODES}")
 
 
 def blocks(rows: DataFrame, names: tuple[str, ...], ends: list[np.ndarray], targets: tuple[str, ...]) -> DataFrame:

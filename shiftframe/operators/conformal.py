@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import checks, metrics
+from . import checks, metrics, scan
 
 
 def radius(df: DataFrame, alpha: float = 0.1, group: list[str] | None = None, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """(group, radius, n): with k = ceil((n + 1)(1 - alpha)), the (k + 1)-th smallest absolute residual, the largest if there
     are not so many. That is one order statistic more than the textbook's, on purpose.
 
-    Without groups there is one order over all rows; equal residuals are first counted, so that the running count is over
-    distinct residuals.
+    The order statistic is found by counting (scan.kth), so neither a group nor all rows are the work of one task.
     """
     metrics._in_unit(alpha, "alpha")
     group = group or []
     own = metrics._checked(df, [y, yhat]).select(*group, F.abs(F.col(y) - F.col(yhat)).alias("r"))
-    counts = own.groupBy(*group, "r").agg(F.count("*").alias("c"))
-    totals = counts.groupBy(*group).agg(F.sum("c").alias("n"))
-    upto = Window.partitionBy(*group).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("c").over(upto))
-    ranked = ranked.join(totals, group) if group else ranked.crossJoin(totals)  # totals: one row
     k = F.ceil((F.col("n").cast("double") + 1.0) * F.lit(1.0 - alpha))
-    return ranked.where(F.col("upto") >= F.least(k + 1, F.col("n"))).groupBy(*group).agg(F.min("r").alias("radius"), F.first("n").alias("n"))
+    totals = own.groupBy(*group).agg(F.count("*").alias("n")).where("n > 0").withColumn("k", F.least(k + 1, F.col("n")))
+    found = scan.kth(own, "r", totals, group)
+    totals = totals.drop("k")
+    both = found.join(totals, group) if group else found.crossJoin(totals)  # without groups one row each
+    return both.select(*group, F.col("r").alias("radius"), "n")
 
 
 def interval(df: DataFrame, radius_: float | str, yhat: str = "yhat") -> DataFrame:
