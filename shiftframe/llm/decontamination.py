@@ -6,7 +6,9 @@ begins a sentence may be a name or not, so there is a second template, in which
 match those of the other.
 
 1. The hashes of all windows of `window` template words of the benchmark make a table, and a Bloom filter of
-   2 ** 28 bits at most. Items shorter than a window are matched as a whole if they have `least` words.
+   2 ** 28 bits at most. Items shorter than a window are matched as a whole; those of under `least` words only verbatim,
+   where they are a sentence (or several) of the document, as so few words stand in many texts by chance. Windows with so
+   many numbers that they count verbatim only are hashed with their values, so that tables of numbers don't meet each other.
 2. One pass over the documents, whatever the benchmark's size, keeps those with a window in the filter, and a hash join
    with the table gives the pairs of document and item that share a window.
 3. Each pair is checked in full. Consecutive matching windows at one offset make a stretch, along which the template
@@ -62,6 +64,8 @@ ENDS = frozenset(".!?:;…")
 #: Bytes (about) of words held by the cache of a worker before it starts anew.
 CACHE_BYTES = 32 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Tells hashes of values from those of templates.
+VERBATIM = np.uint64(0x5A5A5A5A5A5A5A5A)
 NUM, UNIT, NAME = "\0number", "\0unit", "\0name"
 #: Bits of the filter: so many for each window of the benchmark, between 2 to the power of the one and of the other.
 BITS_EACH, LEAST_BITS, MOST_BITS = 256, 16, 28
@@ -111,9 +115,9 @@ class Words:
             self.hashes[n], self.flags[n] = _hash(lower), flags
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def template(self, text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """The place of each template word; by template its kind (0 plain, 1 number, 2 unit, 3 name) and its hash. In the
-        second template a capitalised word that begins a sentence is a name."""
+    def template(self, text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """The place of each template word; by template its kind (0 plain, 1 number, 2 unit, 3 name) and its hash; and whether
+        it begins a sentence. In the second template a capitalised word that begins a sentence is a name."""
         at = self.places(text.split())
         flags = self.flags[at]
         begins = np.ones(len(at), bool)
@@ -130,15 +134,32 @@ class Words:
             kind[(flags & 2 > 0) & after] = 2
             kind[flags & 1 > 0] = 1
             both.append((kind, np.where(kind == 0, self.hashes[at], slots[kind])))
-        return at, both
+        return at, both, begins
 
 
-def windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n template words."""
-    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
-    for k in range(n):
-        out = out * BASE + hashes[k : k + len(out)]
-    return out ^ (out >> np.uint64(29))
+def needed(n: int, window: int, literals: int) -> int:
+    """Words that must be equal and no numbers in a window of n words with an exchanged slot."""
+    return max(1, min(literals, n) if n == window else literals * n // window)
+
+
+def looked_up(template: tuple, values: np.ndarray, begins: np.ndarray, n: int, need: int, least: int) -> np.ndarray:
+    """The hashes under which the windows of n words of one template are looked up: those of the template, or of the
+    values where a window can only match verbatim. Of windows under `least` words those that are whole sentences."""
+    kind, hashes = template
+    if n < least:
+        at = np.flatnonzero(begins[: len(begins) - n + 1] & np.append(begins, True)[n:])
+        return _windows_at(values, at, n)
+    out = windows(hashes, n)
+    numbers = kind == 1
+    if np.count_nonzero(numbers) >= n - need + 2:
+        total = np.concatenate(([0], np.cumsum(numbers)))
+        few = np.flatnonzero(total[n:] - total[:-n] >= n - need + 2)  # at best need - 2 words that are no numbers, and one for names
+        out[few] = _windows_at(values, few, n)
+    return out
+
+
+def _windows_at(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    return windows(values[at[:, None] + np.arange(n)].ravel(), n)[::n] ^ VERBATIM if len(at) else np.zeros(0, np.uint64)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -175,7 +196,7 @@ class Text:
     """The template words of a text: their ids in `known`, and by template the kinds and hashes."""
 
     def __init__(self, text: str, words: Words, known: dict[str, int]):
-        place, self.both = words.template(text)
+        place, self.both, self.begins = words.template(text)
         cores = words.cores
         self.ids = np.array([known.setdefault(cores[p], len(known)) for p in place.tolist()], np.int64)
 
@@ -190,11 +211,14 @@ def _consistent(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     return len({x[:2] for x in pairs}) == len({x[::2] for x in pairs}) == len(pairs)
 
 
-def compare(doc: Text, item: Text, window: int, literals: int) -> tuple[int, int]:
+def compare(doc: Text, item: Text, window: int, literals: int, least: int = 5) -> tuple[int, int]:
     """(windows of the item that match one of the document, those of them with an exchanged slot)."""
     n = min(window, len(item))
+    if not n:
+        return 0, 0
+    short, ends = n < least, np.append(doc.begins, True)
     seen: dict[tuple[int, int], bool] = {}  # by places in document and item: whether a slot is exchanged
-    need = max(1, min(literals, n) if n == window else literals * n // window)
+    need = needed(n, window, literals)
     plain_item = item.both[0][0]
     for item_kind, item_hashes in item.both:
         own = defaultdict(list)
@@ -224,6 +248,8 @@ def compare(doc: Text, item: Text, window: int, literals: int) -> tuple[int, int
                     for j in run.tolist():
                         part = slice(j - a, j - a + n)
                         changed = bool(differs[part].any())
+                        if short and (changed or not (doc.begins[j + offset] and ends[j + offset + n])):
+                            continue
                         if changed and not (consistent and int(same[part].sum()) + (int((begins & differs)[part].sum()) > 1) >= need):
                             continue
                         key = j + offset, j
@@ -249,10 +275,12 @@ def matches(
         words = Words()
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, both = words.template(text)
-                n = min(window, len(both[0][1]))
-                if n >= least:
-                    h = np.unique(np.concatenate([windows(hashes, n) for _, hashes in both]))
+                at, both, begins = words.template(text)
+                n = min(window, len(at))
+                if n:
+                    # a short item is looked for as it is, whatever its own sentences are
+                    begins = begins if n >= least else np.ones(n, bool)
+                    h = np.unique(np.concatenate([looked_up(x, words.hashes[at], begins, n, needed(n, window, literals), least) for x in both]))
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(np.full(len(h), key))], ["h", "n", "key"])
 
     own, _ = c.saved(items.select("key", "text").mapInArrow(item_windows, "h long, n int, key long"), "bench-windows")
@@ -280,9 +308,9 @@ def matches(
         for b in batches:
             found = []
             for text in b.column(1):
-                _, both = words.template(text.as_py())
-                # the templates differ in few windows, so that most of the second ones are not looked up
-                got = np.concatenate([windows(hashes, n) for n in sizes for _, hashes in both] or [np.zeros(0, np.uint64)])
+                at, both, begins = words.template(text.as_py())
+                values = words.hashes[at]
+                got = np.concatenate([looked_up(x, values, begins, n, needed(n, window, literals), least) for n in sizes for x in both[: 1 if n < least else 2]] or [np.zeros(0, np.uint64)])
                 found.append(np.unique(got[known.hits(got)]).view(np.int64))
             some = [k for k, x in enumerate(found) if len(x)]
             if some:
@@ -304,7 +332,7 @@ def matches(
                 known: dict[str, int] = {}
                 doc = Text(text, words, known)
                 for x in asked:
-                    total, changed = compare(doc, Text(x["item_text"], words, known), window, literals)
+                    total, changed = compare(doc, Text(x["item_text"], words, known), window, literals, least)
                     if total:
                         out.append((key, th, x["item"], total, changed))
             if out:

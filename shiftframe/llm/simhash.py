@@ -505,7 +505,7 @@ def _prefixes(rows: DataFrame, words: int, similarity: float, shingles: int) ->
             some = np.flatnonzero(cuts[1:] > cuts[:-1])
             blobs = [packed[cuts[r] : cuts[r + 1]].tobytes() for r in some.tolist()]
             rest = [None] * len(some)  # the last row holds what the chunk's own task needs
-            columns = [pa.array([*some.tolist(), number % ranges], pa.int32()), pa.array([number] * (len(some) + 1), pa.int64()), pa.array([*blobs, b""], pa.binary())]
+            columns = [pa.array([*some.tolist(), xxhash.xxh64_intdigest(number.to_bytes(8, "little")) % ranges], pa.int32()), pa.array([number] * (len(some) + 1), pa.int64()), pa.array([*blobs, b""], pa.binary())]
             return pa.RecordBatch.from_arrays([*columns, pa.array([*rest, list(sets)], pa.list_(pa.string())), pa.array([*rest, sizes.tobytes()], pa.binary())], ["range", "chunk", "packed", "digests", "sizes"])
 
         for b in batches:

@@ -540,17 +540,23 @@ def test_few_plain_words():
     assert pair("Ann has 30 apples. Ann has 4 pears. Eve has 8.", names) == (0, 0)
 
 
-def slow_pair(doc, item, window, literals):
+def slow_pair(doc, item, window, literals, least=5):
     """All windows of both, word by word; a stretch is grown from each pair of windows."""
     words = decontamination.Words()
 
     def forms(text):
-        place, both = words.template(text)
+        place, both, _ = words.template(text)
         cores = [words.cores[p] for p in place.tolist()]
         return cores, [kind.tolist() for kind, _ in both]
 
     (x, xk), (y, yk) = forms(item), forms(doc)
     n = min(window, len(x))
+    if n < least:  # verbatim, and a sentence of its own
+        raw = doc.split()
+        keep = [k for k, w in enumerate(raw) if re.search(r"\w", w) or w.lower().strip(".,;:!?") in decontamination.UNITS]
+        begins = [k == 0 or raw[k - 1].rstrip("\"')]»”’")[-1:] in decontamination.ENDS for k in keep] + [True]
+        hits = [i for i in range(len(y) - n + 1) if n and y[i : i + n] == x and [k[i : i + n] for k in yk][0] in [k[:n] for k in xk] + [[k[i : i + n] for k in yk][0]] and begins[i] and begins[i + n]]
+        return len(hits), 0
     need = max(1, min(literals, n) if n == window else literals * n // window)
     seen = {}
     for own, other in itertools.product(xk, yk):
@@ -579,13 +585,13 @@ def test_decontamination_equals_all_windows_of_all_pairs(spark, seed):
     rng = random.Random(seed)
     vocabulary = ["the", "boy", "has", "red", "box", "Tom", "Mary", "Rome", "5", "7", "twelve", "km", "days", "Then", "of", "and", "puts", "Haus"]
     sentence = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
-    items = [sentence(rng.randint(3, 25)) for _ in range(12)]
+    items = [sentence(rng.randint(3, 25)) for _ in range(10)] + ["Then 5 of 7.", "puts Rome"]
     swap = {"Tom": "Max", "Mary": "Eve", "Rome": "Oslo", "5": "31", "7": "8", "km": "miles", "Haus": "Haus"}
     texts = []
     for k in range(40):
         item = items[k % 12]
         copy = re.sub(r"\w+", lambda m: swap.get(m[0], m[0]) if rng.random() < 0.95 else m[0], item) if k % 3 else item  # noqa: B023
-        texts.append(sentence(rng.randint(0, 20)) + " " + (copy if k % 5 else sentence(15)) + " " + sentence(rng.randint(0, 20)))
+        texts.append(sentence(rng.randint(0, 20)) + rng.choice([" ", ". "]) + (copy if k % 5 else sentence(15)) + " " + sentence(rng.randint(0, 20)))
     got = {}
     bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
     docs = spark.createDataFrame([(f"d{k}", t, 1, 2) for k, t in enumerate(texts)], "doc_id string, text string, id int, th int")
@@ -593,11 +599,48 @@ def test_decontamination_equals_all_windows_of_all_pairs(spark, seed):
         got[r["id"], r["item"]] = r["n_windows"], r["n_changed"]
     want = {}
     for i, j in itertools.product(range(40), range(12)):
-        if len(items[j].split()) >= 4 and (x := slow_pair(texts[i], items[j], 6, 3))[0]:
+        if (x := slow_pair(texts[i], items[j], 6, 3, 4))[0]:
             want[f"d{i}", f"i{j}"] = x
     assert got == want and any(c for _, c in want.values())
 
 
+@pytest.mark.parametrize("item", ["Why?", "What now?", "What is 12 + 30?", "Solve 3x + 5 = 20.", "Name the largest ocean."])
+def test_short_items_are_found_as_sentences_only(item):
+    for text in (item, f"Some words. {item} And more words.", f"“Well.” {item.lower()}"):
+        assert pair(text, item)[0] > 0, text
+    core = item.rstrip("?.")
+    for text in (f"I ask {core} and why, of course", f"So {core[0].lower()}{core[1:]} then?", item.replace("12", "13").replace("3x", "4x").replace("W", "Sw").replace("ocean", "sea")):
+        assert pair(text, item) == (0, 0), text
+
+
+def test_short_items_in_spark(spark):
+    items = [(1, "What is 12 + 30?"), (2, "Why?"), (3, "+ -"), (4, ""), (5, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["Yes. What is 12 + 30? No.", "What is 12 + 31?", "Why? Why not.", "the reason why it is", None, "", "+ -"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["id"], r["item"]) for r in decontamination.matches(docs, bench).collect()} == {(0, 1), (2, 2)}
+
+
+def test_tables_of_numbers_do_not_meet_each_other(spark):
+    """Windows of numbers are looked up by their values: pairs to be checked are few, verbatim copies are found."""
+    rng = random.Random(2)
+    numbers = lambda n: " ".join(str(rng.randint(10, 99_999)) for _ in range(n))
+    items = [f"Sum of these {numbers(50)} please" for _ in range(30)]
+    texts = [f"Table {k}: {numbers(200)}" for k in range(60)] + [f"{numbers(20)} {items[3][13:260]} {numbers(20)}"]
+    words = decontamination.Words()
+
+    def hashes(text):
+        at, both, begins = words.template(text)
+        return {int(h) for x in both for h in decontamination.looked_up(x, words.hashes[at], begins, 8, 5, 5)}
+
+    own = [hashes(t) for t in texts]
+    met = {(i, j) for j, item in enumerate(items) for h in [hashes(item)] for i, x in enumerate(own) if h & x}
+    assert met == {(60, 3)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r["id"], r["item"]) for r in decontamination.matches(docs, bench).collect()] == [(60, 3)]
+
+
 def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     docs = spark.createDataFrame([(1, "so " + ITEMS[0][1]), (1, "clean"), (None, ITEMS[0][1]), (None, "clean too"), (2, None)], "doc_id long, text string")
     bench = spark.createDataFrame([*ITEMS, ITEMS[0], (9, ITEMS[0][1])], "item_id long, text string")
