@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..contract import Contract, Split, Task, WindowSpec
 from ..errors import IntegrityError
 from ..schemas import SPLITS
-from . import checks, timeaxis
+from . import checks, scan, timeaxis
 
 COLUMNS = ("split", "history_start", "history_end", "origin", "target_start", "target_end")
 
@@ -90,22 +90,19 @@ def audit(windows: DataFrame, split: Split) -> DataFrame:
     """One row: counts and the four rules that make a plan leak-proof.
 
     ordered: history ends before the target begins; contained: the target lies in its split; disjoint: no step is a
-    target of two splits; contiguous: the splits follow each other. Targets are stretches, so two splits share a step
-    only if their ranges of targets meet.
+    target of two splits, by a sweep over the targets, so splits may interleave; contiguous: the splits follow each other.
     """
     kept = windows.where("split IS NOT NULL")
     ends = F.lit(None).cast("boolean")
     for name, (a, b) in split.ranges().items():
         ends = F.when(F.col("split") == name, (F.col("target_start") >= a) & (F.col("target_end") < b)).otherwise(ends)
-    lo = {s: F.min(F.when(F.col("split") == s, F.col("target_start"))) for s in SPLITS}
-    hi = {s: F.max(F.when(F.col("split") == s, F.col("target_end"))) for s in SPLITS}
-    apart = [F.coalesce(hi[a] < lo[b], F.lit(True)) for a, b in (("train", "validation"), ("validation", "test"), ("train", "test"))]
     counted = [F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS]
     ordered = (F.col("history_start") <= F.col("history_end")) & (F.col("history_end") == F.col("origin")) & (F.col("origin") < F.col("target_start")) & (F.col("target_start") <= F.col("target_end"))
     contiguous = split.train[1] == split.validation[0] and split.validation[1] == split.test[0]
-    out = kept.agg(*counted, F.coalesce(F.bool_and(ordered), F.lit(True)).alias("ordered"), F.coalesce(F.bool_and(ends), F.lit(True)).alias("contained"), reduce(lambda a, b: a & b, apart).alias("disjoint"))
+    out = kept.agg(*counted, F.coalesce(F.bool_and(ordered), F.lit(True)).alias("ordered"), F.coalesce(F.bool_and(ends), F.lit(True)).alias("contained"))
     dropped = windows.where("split IS NULL").agg(F.count("*").alias("n_dropped"))
-    both = out.crossJoin(dropped).withColumn("contiguous", F.lit(contiguous))  # one row each
+    shared = scan.shared_steps(kept, "split", "target_start", "target_end").agg((F.count("*") == 0).alias("disjoint"))
+    both = out.crossJoin(shared).crossJoin(dropped).withColumn("contiguous", F.lit(contiguous))  # one row each
     return both.withColumn("passed", F.col("ordered") & F.col("contained") & F.col("disjoint") & F.col("contiguous"))
 
 

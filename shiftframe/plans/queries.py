@@ -6,14 +6,16 @@ precision are rounded to what both engines agree on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contract import Split, Task, WindowSpec, fraction_split, partition_split, split_at
-from ..operators import checks, conformal, features, metrics, naive, physics, scaling, shifts, timeaxis, windows
+from ..operators import checks, conformal, features, metrics, naive, physics, scaling, scan, shifts, timeaxis, windows
 from ..operators import cube as cubes
 from ..schemas import CALENDAR, CHANNELS, NET_P, NET_Q, QUANTILES, STATIC
 from ..session import pin
@@ -27,8 +29,6 @@ SPEC = WindowSpec(96, 16)
 SPEC_LONG = WindowSpec(672, 96)
 NETS = {NET_P: "net_p", NET_Q: "net_q"}
 ORDER = [b.baseline_id for b in naive.BASELINES]
-YEAR = 35_136
-YEAR_START = "2015-12-31 23:00:00"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -205,14 +205,28 @@ def cadence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeaxis.cadence_breaks(seen, by=("bus",)).groupBy("bus", "gap").agg(F.count("*").alias("n"))
 
 
-AXIS = f"""WITH axis AS (SELECT step, CAST(TIMESTAMP '{YEAR_START}' + INTERVAL 15 MINUTE * step AS TIMESTAMP) AS t FROM range({YEAR}) r(step)),
-loc AS (SELECT step, t, timezone('Europe/Berlin', timezone('UTC', t)) AS l FROM axis)
+#: Quarter-hours of all days with an order; steps count from the first of these days.
+AXIS = """WITH od AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), first AS (SELECT min(d) AS d0, max(d) AS d1 FROM od),
+axis AS (SELECT CAST(date_diff('day', d0, d) * 96 + q AS BIGINT) AS step, CAST(d AS TIMESTAMP) + INTERVAL 15 MINUTE * q AS t FROM od CROSS JOIN first CROSS JOIN range(96) r(q)),
+loc AS (SELECT step, t, timezone('Europe/Berlin', timezone('UTC', t)) AS l, timezone('Europe/Berlin', timezone('UTC', t + INTERVAL 15 MINUTE)) AS later FROM axis)
 """
 
 
-@query("transition_positions", AXIS + ", d AS (SELECT step, l, lead(l) OVER (ORDER BY step) AS nl FROM loc), j AS (SELECT step FROM d WHERE nl - l <> INTERVAL 15 MINUTE) SELECT step AS pos FROM j UNION SELECT step + 1 FROM j")
+def _order_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+    rows = days.crossJoin(days.agg(F.min("d").alias("d0"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(95))))  # one row
+    return rows.select((F.datediff("d", "d0") * 96 + F.col("q")).cast("long").alias("step"), F.timestamp_seconds(F.unix_date("d").cast("long") * 86400 + F.col("q") * 900).alias("t_utc"))
+
+
+def _order_days(spark: SparkSession, sf_dir: str) -> tuple[date, int]:
+    """The first day with an order, and the days to the last."""
+    row = table(spark, sf_dir, "orders").agg(F.min(F.col("o_orderdate").cast("date")).alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("b")).first()
+    return row["a"], (row["b"] - row["a"]).days + 1
+
+
+@query("transition_positions", AXIS + ", j AS (SELECT step FROM loc WHERE later - l <> INTERVAL 15 MINUTE) SELECT step AS pos FROM j UNION SELECT step + 1 FROM j WHERE step + 1 IN (SELECT step FROM axis)")
 def transition_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeaxis.transitions(timeaxis.generated_axis(spark, YEAR_START, YEAR).withColumnRenamed("step", "pos"))
+    return timeaxis.transitions(_order_axis(spark, sf_dir).withColumnRenamed("step", "pos"))
 
 
 @query(
@@ -222,50 +236,87 @@ SELECT step, round(sin(2 * pi() * m / 1440), 9) + 0.0::DOUBLE AS minute_sin, rou
  round(sin(2 * pi() * d / 366), 9) + 0.0::DOUBLE AS year_sin, round(cos(2 * pi() * d / 366), 9) + 0.0::DOUBLE AS year_cos, CAST(o AS DOUBLE) AS utc_offset_hours, CASE WHEN o > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_dst FROM f""",
 )
 def calendar_features_2016(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = timeaxis.generated_axis(spark, YEAR_START, YEAR)
-    return rounded(timeaxis.calendar_table(axis), 9, *CALENDAR)
+    """Of every quarter-hour of the days with an order."""
+    return rounded(timeaxis.calendar_table(_order_axis(spark, sf_dir)), 9, *CALENDAR)
+
 
+_DAYS = AXIS + """, c AS (SELECT d0, date_diff('day', d0, d1) + 1 AS n FROM first), b AS (SELECT epoch(timezone('Europe/Berlin', CAST(d0 AS TIMESTAMP))) AS z,
+ epoch(timezone('Europe/Berlin', CAST(d0 + CAST(floor(n * 0.7::DOUBLE) AS INTEGER) AS TIMESTAMP))) AS v, epoch(timezone('Europe/Berlin', CAST(d0 + CAST(floor(n * 0.85::DOUBLE) AS INTEGER) AS TIMESTAMP))) AS t, epoch(timezone('Europe/Berlin', CAST(d0 + CAST(n AS INTEGER) AS TIMESTAMP))) AS e FROM c) """
 
-@query("contract_split_positions", AXIS + "SELECT CAST(count(*) FILTER (WHERE l < TIMESTAMP '2016-09-13') AS BIGINT) AS validation_start, CAST(count(*) FILTER (WHERE l < TIMESTAMP '2016-11-07') AS BIGINT) AS test_start, CAST(count(*) AS BIGINT) AS end_step FROM loc")
+
+@query("contract_split_positions", _DAYS + "SELECT CAST((v - z) / 900 AS BIGINT) AS validation_start, CAST((t - z) / 900 AS BIGINT) AS test_start, CAST((e - z) / 900 AS BIGINT) AS end_step FROM b")
 def contract_split_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contract over the days from the first order to the last, with boundaries at local midnights."""
     from ..contract import Contract
 
-    found = windows.contract_split(timeaxis.generated_axis(spark, YEAR_START, YEAR), Contract())
+    first, n = _order_days(spark, sf_dir)
+    at = [f"{first + timedelta(days=k)} 00:00:00" for k in (0, math.floor(n * 0.7), math.floor(n * 0.85), n)]
+    a, e = (timeaxis.boundary_to_utc(spark, x) for x in (at[0], at[3]))
+    axis = timeaxis.generated_axis(spark, a, int((e - a).total_seconds()) // 900)
+    found = windows.contract_split(axis, Contract(train_start=at[0], validation_start=at[1], test_start=at[2], dataset_end=at[3]))
     return spark.createDataFrame([(found.validation[0], found.test[0], found.n_steps)], "validation_start long, test_start long, end_step long")
 
 
 # --- splits and windows
 
 
-@query("split_bounds", "SELECT * FROM (VALUES ('train', 0::BIGINT, CAST(floor(2880 * 0.7::DOUBLE) AS BIGINT)), ('validation', CAST(floor(2880 * 0.7::DOUBLE) AS BIGINT), CAST(floor(2880 * (0.7::DOUBLE + 0.15::DOUBLE)) AS BIGINT)), ('test', CAST(floor(2880 * (0.7::DOUBLE + 0.15::DOUBLE)) AS BIGINT), 2880::BIGINT)) t(split, \"start\", \"end\")")
+#: Steps up to the last event.
+STEPS_SEEN = "WITH en AS (SELECT CAST(max(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) // 900) + 1 AS BIGINT) AS n FROM events)"
+
+
+def _steps_seen(spark: SparkSession, sf_dir: str) -> int:
+    return events.elements(spark, sf_dir).agg(F.max("step")).first()[0] + 1
+
+
+def _seen_split(spark: SparkSession, sf_dir: str) -> Split:
+    return split_at(0, events.SPLIT.validation[0], events.SPLIT.test[0], _steps_seen(spark, sf_dir))
+
+
+def _bounds(train: str, validation: str) -> str:
+    a, b = f"CAST(floor(n * {train}) AS BIGINT)", f"CAST(floor(n * ({validation})) AS BIGINT)"
+    return STEPS_SEEN + f" SELECT 'train' AS split, 0::BIGINT AS \"start\", {a} AS \"end\" FROM en UNION ALL SELECT 'validation', {a}, {b} FROM en UNION ALL SELECT 'test', {b}, n FROM en"
+
+
+@query("split_bounds", _bounds("0.7::DOUBLE", "0.7::DOUBLE + 0.15::DOUBLE"))
 def split_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.split_table(spark, fraction_split(events.STEPS))
+    return windows.split_table(spark, fraction_split(_steps_seen(spark, sf_dir)))
 
 
-PLAN = """WITH s AS (SELECT * FROM (VALUES ('train', 0, 2016), ('validation', 2016, 2496), ('test', 2496, 2880)) t(split, a, b)),
-p AS (SELECT s.split, o - 95 AS history_start, o AS history_end, o AS origin, o + 1 AS target_start, o + 16 AS target_end FROM range(95, 2864) r(o) LEFT JOIN s ON o + 1 >= s.a AND o + 16 < s.b)
+PLAN = STEPS_SEEN + """, s AS (SELECT 'train' AS split, 0 AS a, 2016::BIGINT AS b UNION ALL SELECT 'validation', 2016, 2496 UNION ALL SELECT 'test', 2496, n FROM en),
+r AS (SELECT unnest(range(95, n - 16)) AS o FROM en),
+p AS (SELECT s.split, o - 95 AS history_start, o AS history_end, o AS origin, o + 1 AS target_start, o + 16 AS target_end FROM r LEFT JOIN s ON o + 1 >= s.a AND o + 16 < s.b)
 """
 
 
+def _seen_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Split]:
+    """The plan of the steps up to the last event."""
+    split = _seen_split(spark, sf_dir)
+    return windows.plan(spark, split.n_steps, split, SPEC), split
+
+
 @query("window_plan_primary", PLAN + "SELECT * FROM p WHERE split IS NOT NULL")
 def window_plan_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.plan(spark, events.STEPS, events.SPLIT, SPEC).where("split IS NOT NULL")
+    return _seen_plan(spark, sf_dir)[0].where("split IS NOT NULL")
 
 
 @query("window_plan_encoded", PLAN + "SELECT CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END::BIGINT AS split, history_start, history_end, origin, target_start, target_end FROM p WHERE split IS NOT NULL")
 def window_plan_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.encode(windows.plan(spark, events.STEPS, events.SPLIT, SPEC))
+    return windows.encode(_seen_plan(spark, sf_dir)[0])
 
 
-COUNTS = """WITH c AS (SELECT * FROM (VALUES ('events_4h', 2880, 96, 16, 2016, 2496), ('events_24h', 2880, 672, 96, 2016, 2496), ('year_4h', 35136, 96, 16, 24572, 29856), ('year_24h', 35136, 672, 96, 24572, 29856)) t(task, n, hist, hor, v, t)),
-p AS (SELECT task, CASE WHEN o + hor < v THEN 'train' WHEN o + 1 >= v AND o + hor < t THEN 'validation' WHEN o + 1 >= t THEN 'test' ELSE 'dropped' END AS split FROM c JOIN range(35136) r(o) ON o >= hist - 1 AND o <= n - 1 - hor)
+COUNTS = STEPS_SEEN + """, y AS (SELECT (date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) + 1) * 96 AS n FROM orders),
+c AS (SELECT 'events_4h' AS task, n, 96 AS hist, 16 AS hor, 2016 AS v, 2496 AS t FROM en UNION ALL SELECT 'events_24h', n, 672, 96, 2016, 2496 FROM en
+ UNION ALL SELECT 'orders_4h', n, 96, 16, CAST(floor(n * 0.7::DOUBLE) AS BIGINT), CAST(floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) AS BIGINT) FROM y
+ UNION ALL SELECT 'orders_24h', n, 672, 96, CAST(floor(n * 0.7::DOUBLE) AS BIGINT), CAST(floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) AS BIGINT) FROM y),
+o AS (SELECT c.*, unnest(range(hist - 1, n - hor)) AS o FROM c),
+p AS (SELECT task, CASE WHEN o + hor < v THEN 'train' WHEN o + 1 >= v AND o + hor < t THEN 'validation' WHEN o + 1 >= t THEN 'test' ELSE 'dropped' END AS split FROM o)
 SELECT task, split, count(*) AS n FROM p GROUP BY 1, 2"""
 
 
 @query("window_counts_both_tasks", COUNTS)
 def window_counts_both_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = split_at(0, 24572, 29856, YEAR)
-    tasks = {"events_4h": (events.SPLIT, SPEC), "events_24h": (events.SPLIT, SPEC_LONG), "year_4h": (year, SPEC), "year_24h": (year, SPEC_LONG)}
+    seen, orders = _seen_split(spark, sf_dir), fraction_split(96 * _order_days(spark, sf_dir)[1])
+    tasks = {"events_4h": (seen, SPEC), "events_24h": (seen, SPEC_LONG), "orders_4h": (orders, SPEC), "orders_24h": (orders, SPEC_LONG)}
     return reduce(DataFrame.unionByName, [windows.counts(windows.plan(spark, s.n_steps, s, w)).select(F.lit(k).alias("task"), "split", "n") for k, (s, w) in tasks.items()])
 
 
@@ -273,11 +324,11 @@ def window_counts_both_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "leakage_audit",
     PLAN + """SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'validation') AS n_validation, count(*) FILTER (WHERE split = 'test') AS n_test, count(*) FILTER (WHERE split IS NULL) AS n_dropped,
  bool_and(history_end < target_start AND target_start <= target_end) AS ordered,
- bool_and(split IS NULL OR (split = 'train' AND target_end < 2016) OR (split = 'validation' AND target_start >= 2016 AND target_end < 2496) OR (split = 'test' AND target_start >= 2496 AND target_end < 2880)) AS contained,
+ bool_and(split IS NULL OR (split = 'train' AND target_end < 2016) OR (split = 'validation' AND target_start >= 2016 AND target_end < 2496) OR (split = 'test' AND target_start >= 2496 AND target_end < (SELECT n FROM en))) AS contained,
  NOT EXISTS (SELECT t FROM (SELECT DISTINCT split, unnest(range(target_start, target_end + 1)) AS t FROM p WHERE split IS NOT NULL) GROUP BY t HAVING count(*) > 1) AS disjoint, true AS contiguous, true AS passed FROM p""",
 )
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.audit(windows.plan(spark, events.STEPS, events.SPLIT, SPEC), events.SPLIT)
+    return windows.audit(*_seen_plan(spark, sf_dir))
 
 
 TASK = Task("events_4h", "primary", 96, 16)
@@ -431,9 +482,11 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, 6, *[x for x in rows.columns if x.startswith(("mean_", "trend_"))])
 
 
-@query("cartesian_decode", "SELECT i AS row_id, i // 128 AS window_index, (i // 16) % 8 AS bus_pos, i % 16 AS horizon_pos FROM range(59520) r(i)")
+@query("cartesian_decode", PLAN + "SELECT i AS row_id, i // 128 AS window_index, (i // 16) % 8 AS bus_pos, i % 16 AS horizon_pos FROM (SELECT unnest(range(n)) AS i FROM (SELECT count(*) * 128 AS n FROM p WHERE split = 'train'))")
 def cartesian_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.exhaustive_rows(spark, 465, events.BUSES, SPEC.horizon)
+    """Rows of all training windows of the steps up to the last event."""
+    n = windows.count_windows(_seen_split(spark, sf_dir), SPEC)["train"]
+    return features.exhaustive_rows(spark, n, events.BUSES, SPEC.horizon)
 
 
 # --- naive forecasts
@@ -452,9 +505,10 @@ def _forecast(baseline: naive.Baseline) -> Query:
 
 def _naive_sql(baseline: naive.Baseline) -> str:
     """One baseline: the values at the targets, beside those at their sources."""
-    source = "vo.origin" if baseline.mode == "origin_constant" else f"n.step - {baseline.lag}"
-    return CUBE + f"""SELECT n.channel, vo.origin, CAST(h.h AS INT) AS horizon, n.bus, n.v AS y, s.v AS yhat
-FROM vo CROSS JOIN range(16) h(h) JOIN net n ON n.step = vo.origin + 1 + h.h JOIN net s ON s.channel = n.channel AND s.bus = n.bus AND s.step = {source}"""
+    source = "p.origin" if baseline.mode == "origin_constant" else f"n.step - {baseline.lag}"
+    return CUBE + f""", few AS MATERIALIZED (SELECT * FROM net WHERE step BETWEEN 2015 - 672 AND 2496), pairs AS MATERIALIZED (SELECT origin, CAST(h AS INT) AS horizon, origin + 1 + h AS step FROM vo CROSS JOIN range(16) r(h)),
+wanted AS MATERIALIZED (SELECT n.channel, p.origin, p.horizon, n.bus, n.v AS y, {source} AS source FROM pairs p JOIN few n ON n.step = p.step)
+SELECT w.channel, w.origin, w.horizon, w.bus, w.y, s.v AS yhat FROM wanted w JOIN few s ON s.channel = w.channel AND s.bus = w.bus AND s.step = w.source"""
 
 
 for _name, _baseline in (("naive_last_value", naive.LAST_VALUE), ("naive_daily", naive.DAILY), ("naive_weekly", naive.WEEKLY)):
@@ -463,10 +517,12 @@ for _name, _baseline in (("naive_last_value", naive.LAST_VALUE), ("naive_daily",
 
 @query(
     "source_causality_audit",
-    CUBE + ", s AS (SELECT baseline, origin, CASE WHEN lag = 0 THEN origin ELSE origin + 1 + h - lag END AS src FROM vo CROSS JOIN range(16) r(h) CROSS JOIN bl) SELECT baseline, count(*) AS n_sources, count(*) FILTER (WHERE src < 0) AS n_negative, count(*) FILTER (WHERE src > origin) AS n_future FROM s GROUP BY 1",
+    PLAN + ", bl AS (SELECT * FROM (VALUES ('last_value_v1', 0), ('seasonal_24h_v1', 96), ('seasonal_7d_v1', 672)) t(baseline, lag)), sources AS (SELECT baseline, origin, CASE WHEN lag = 0 THEN origin ELSE origin + 1 + h - lag END AS src FROM p CROSS JOIN range(16) r(h) CROSS JOIN bl WHERE split IN ('validation', 'test')) "
+    "SELECT baseline, count(*) AS n_sources, count(*) FILTER (WHERE src < 0) AS n_negative, count(*) FILTER (WHERE src > origin) AS n_future FROM sources GROUP BY 1",
 )
 def source_causality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = windows.for_split(windows.plan(spark, events.STEPS, events.SPLIT, SPEC), "validation")
+    """Sources of all validation and test windows of the steps up to the last event."""
+    own = _seen_plan(spark, sf_dir)[0].where("split IN ('validation', 'test')")
     return reduce(DataFrame.unionByName, [naive.audit_sources(own, b).select(F.lit(b.baseline_id).alias("baseline"), "*") for b in naive.BASELINES])
 
 
@@ -615,8 +671,8 @@ cf AS (SELECT dy.bus, step, y, yhat - radius AS lo, yhat + radius AS hi FROM dy
 
 def _conformal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The radius of each bus from the last training day, and the validation rows with their intervals."""
-    by_bus = Window.partitionBy("bus").orderBy("step")
-    rows = events.cube(spark, sf_dir).select("step", "bus", F.col(NET_P).alias("y"), F.lag(NET_P, 96).over(by_bus).alias("yhat"))
+    own = features.stretched(events.cube(spark, sf_dir).select("step", "bus", F.col(NET_P).alias("y")), 96)
+    rows = features.at_home(own.withColumn("yhat", features.lagged("y", 96)))
     radii = conformal.radius(rows.where("step >= 1920 AND step < 2016"), 0.1, ["bus"])
     own = rows.where("step >= 2016 AND step < 2496").join(radii.select("bus", "radius"), "bus")
     return radii, conformal.interval(own, "radius").select("step", "bus", "y", "lo", "hi")
@@ -627,6 +683,57 @@ def conformal_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conformal(spark, sf_dir)[0]
 
 
+@query(
+    "conformal_radius_all",
+    "WITH r AS (SELECT abs(l_extendedprice - 1000 * l_quantity) AS r FROM lineitem), o AS (SELECT r, row_number() OVER (ORDER BY r) AS rn, count(*) OVER () AS n FROM r) "
+    "SELECT r AS radius, n FROM o WHERE rn = least(CAST(ceil((n::DOUBLE + 1) * (1 - 0.1::DOUBLE)) AS BIGINT) + 1, n)",
+)
+def conformal_radius_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One radius for all lines, with a thousand a piece as the forecast of the price."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), (1000 * F.col("l_quantity")).alias("yhat"))
+    return conformal.radius(rows, 0.1)
+
+
+# --- scans, sweeps and interval joins
+
+
+@query("prefix_sums", CUBE + "SELECT bus, step, prefix FROM (SELECT bus, step + 1 AS step, CAST(sum(net_demand_p_mw) OVER (PARTITION BY bus ORDER BY step) AS BIGINT) AS prefix FROM cube UNION ALL SELECT DISTINCT bus, 0, 0 FROM cube)")
+def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums before each step of each bus, from 0 to the whole, over stretches of 512 steps."""
+    return scan.prefix_sums(events.cube(spark, sf_dir), "step", NET_P, ["bus"], stretch=512)
+
+
+_OWNED = """WITH ev AS (SELECT DISTINCT CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) // 900 AS BIGINT) AS step, user_id FROM events WHERE event_type = 'purchase'),
+w AS (SELECT CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, step + 1 AS target_start, step + 2 AS target_end FROM ev WHERE user_id % 97 < 9)"""
+
+
+@query(
+    "shared_target_steps",
+    _OWNED + """, t AS (SELECT t FROM (SELECT DISTINCT split, unnest(range(target_start, target_end + 1)) AS t FROM w) GROUP BY t HAVING count(*) > 1)
+SELECT min(t) AS start, max(t) AS "end" FROM (SELECT t, t - row_number() OVER (ORDER BY t) AS g FROM t) GROUP BY g""",
+)
+def shared_target_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows behind purchases, dealt to splits by user, so that splits interleave: the stretches of steps that are targets of two."""
+    own = table(spark, sf_dir, "events").where("event_type = 'purchase' AND user_id % 97 < 9")
+    step = F.expr(f"timestampdiff(SECOND, timestamp_ntz'{events.START}', ts) div 900").cast("long")
+    split = F.when(F.col("user_id") % 3 == 0, "train").when(F.col("user_id") % 3 == 1, "validation").otherwise("test")
+    return scan.shared_steps(own.select(split.alias("split"), (step + 1).alias("a"), (step + 2).alias("z")).distinct(), "split", "a", "z", stretch=256)
+
+
+_FOLDS = CUBE + """, folds AS (SELECT user_id AS fold, min(step) AS a, min(step) + 200 AS b FROM (SELECT user_id, CAST(floor(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) / 900) AS BIGINT) AS step FROM events) GROUP BY 1),
+w AS (SELECT DISTINCT step + 1 AS target_start, step + 16 AS target_end FROM ev)
+SELECT fold, count(*) AS n_windows, CAST(min(target_start) AS BIGINT) AS first, CAST(max(target_end) AS BIGINT) AS last FROM w JOIN folds ON target_start >= a AND target_end < b GROUP BY 1"""
+
+
+@query("windows_of_folds", _FOLDS)
+def windows_of_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold for each user, 200 steps from its first event: the windows behind events that lie in each."""
+    step = F.expr(f"timestampdiff(SECOND, timestamp_ntz'{events.START}', ts) div 900").cast("long")
+    folds = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("fold")).agg(F.min(step).alias("start")).withColumn("end", F.col("start") + 200)
+    own = events.elements(spark, sf_dir).select((F.col("step") + 1).alias("first"), (F.col("step") + 16).alias("last")).distinct()
+    return scan.contained_in(own, "first", "last", folds, bucket=100).groupBy("fold").agg(F.count("*").alias("n_windows"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 @query("conformal_interval", CONF + "SELECT step, bus, y, lo, hi FROM cf")
 def conformal_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conformal(spark, sf_dir)[1]
@@ -786,9 +893,9 @@ def target_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.target_vector(rows.withColumn("bus", F.col("bus_pos")), events.cube(spark, sf_dir), NET_Q).select("origin", "target_step", "bus", "y")
 
 
-@query("partition_bounds", "SELECT * FROM (VALUES ('train', 0::BIGINT, CAST(floor(2880 * 0.6::DOUBLE) AS BIGINT)), ('validation', CAST(floor(2880 * 0.6::DOUBLE) AS BIGINT), CAST(floor(2880 * 0.8::DOUBLE) AS BIGINT)), ('test', CAST(floor(2880 * 0.8::DOUBLE) AS BIGINT), 2880::BIGINT)) t(split, \"start\", \"end\")")
+@query("partition_bounds", _bounds("0.6::DOUBLE", "0.6::DOUBLE + 0.2::DOUBLE"))
 def partition_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.split_table(spark, partition_split(events.STEPS))
+    return windows.split_table(spark, partition_split(_steps_seen(spark, sf_dir)))
 
 
 @query("scaler_task", CUBE + "SELECT channel, bus, round(avg(v), 6) AS mean, round(CASE WHEN stddev_pop(v) <= 1e-12 THEN 1 ELSE stddev_pop(v) END, 4) AS scale, count(*) AS fit_rows FROM (SELECT bus, 'load_p_mw' AS channel, load_p_mw::DOUBLE AS v FROM cube WHERE step < 2016 UNION ALL SELECT bus, 'net_demand_p_mw', net_demand_p_mw::DOUBLE FROM cube WHERE step < 2016) GROUP BY 1, 2")
@@ -817,10 +924,10 @@ def voltage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("snapshot_times", AXIS + "SELECT step AS position, strftime(l, '%d.%m.%Y %H:%M') AS local_time, strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') AS utc_time FROM loc")
 def snapshot_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw local and UTC time of every position of a year."""
+    """Raw local and UTC time of every quarter-hour of the days with an order."""
     from ..operators import snapshots
 
-    axis = timeaxis.generated_axis(spark, YEAR_START, YEAR).withColumnRenamed("step", "pos")
+    axis = _order_axis(spark, sf_dir).withColumnRenamed("step", "pos")
     raw = axis.select("pos", F.date_format(F.from_utc_timestamp("t_utc", timeaxis.ZONE), "dd.MM.yyyy HH:mm").alias("time"))
     return snapshots.times(raw, axis, axis.select(F.col("pos").alias("position")))
 

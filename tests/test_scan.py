@@ -51,8 +51,7 @@ def test_shared_steps(spark, seed):
     got = [(r["start"], r["end"]) for r in scan.shared_steps(df, "o", "a", "z", stretch=9).orderBy("start").collect()]
     assert [t for a, z in got for t in range(a, z + 1)] == want
     assert all(z + 1 < a for (_, z), (a, _) in itertools.pairwise(got))
-    with pytest.raises(IntegrityError):
-        scan.shared_steps(spark.createDataFrame([("x", 3, 2)], "o string, a long, z long"), "o", "a", "z")
+    assert scan.shared_steps(spark.createDataFrame([("x", 3, 2), ("y", 2, 3)], "o string, a long, z long"), "o", "a", "z").count() == 0
 
 
 def test_intervals_join_by_bucket(spark):
