@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BASE_CHANNELS, CHANNELS, FAMILIES, NET_P, NET_Q, PROFILED, SUFFIX
-from . import checks
+from . import checks, scan
 
 
 def net_demand() -> tuple[Column, Column]:
@@ -137,7 +137,8 @@ def build_cube(tables: dict[str, DataFrame], bundle: dict[tuple[str, str], DataF
         checks.none_of(own.join(buses, "bus", "left_anti"), f"{element}: elements at unknown buses")
         parts.append(values.join(own, "element_id").select(F.col("pos").alias("step"), "bus", F.lit(name[element, column]).alias("channel"), "value"))
     long = reduce(DataFrame.unionByName, parts)
-    sums = long.groupBy("step", "bus").agg(*[F.sum(F.when(F.col("channel") == x, F.col("value"))).alias(x) for x in BASE_CHANNELS])
+    each = scan.stable_sums(long, "value", ["step", "bus", "channel"])  # the same bits, and so the same fingerprint, for any partitioning
+    sums = each.groupBy("step", "bus").agg(*[F.max(F.when(F.col("channel") == x, F.col("value"))).alias(x) for x in BASE_CHANNELS])
     cube = with_net_demand(dense(sums, axis.select(F.col("pos").alias("step")), buses, list(BASE_CHANNELS)))
     checks.finite(cube, list(CHANNELS), "cube")
     return cube

@@ -80,6 +80,37 @@ def contained_in(rows: DataFrame, first: str, last: str, intervals: DataFrame, *
     return own.join(cut, [*by, "_b"]).where((F.col(first) >= F.col("start")) & (F.col(last) < F.col("end"))).drop("_b")
 
 
+def _scaled(rows: DataFrame) -> DataFrame:
+    """Finite doubles _x with _r from 1 to 2 (exclusive) and _g, so that |_x| is _r * 2 ** _g; both NULL for 0. Nothing is rounded."""
+    size = F.abs("_x")
+    own = rows.withColumn("_g", F.when(size > 0, F.floor(F.log2(F.when(size > 0, size)))).cast("int"))
+    two = F.lit(2.0)
+    scaled = F.when(F.col("_g") < -1000, size * F.pow(two, F.lit(600.0)) / F.pow(two, F.col("_g") + 600)).otherwise(size / F.pow(two, F.col("_g")))
+    own = own.withColumn("_r", scaled)  # the logarithm may be off by one
+    over, under = F.col("_r") >= 2, F.col("_r") < 1
+    return own.withColumns({"_r": F.when(over, F.col("_r") / 2).when(under, F.col("_r") * 2).otherwise(F.col("_r")), "_g": F.when(over, F.col("_g") + 1).when(under, F.col("_g") - 1).otherwise(F.col("_g"))})
+
+
+def stable_sums(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, value, n): sums of doubles that are the same bits for any order and partitioning of the rows.
+
+    A double is an integer times a power of two; integers are added exactly for each 32 binary places, in partial sums like any others, and at most
+    67 such sums a group meet in a fixed order at the end. A group with a number that is not finite has NaN; nulls don't count.
+    """
+    x = F.col(value).cast("double")
+    finite = ~(F.isnan(x) | (F.abs(x) == float("inf")))
+    own = rows.where(x.isNotNull()).select(*keys, F.when(finite, x).otherwise(0.0).alias("_x"), (~finite).alias("_bad"))
+    own = _scaled(own).withColumn("_e", F.coalesce(F.col("_g") - 52, F.lit(0)))
+    place = F.floor(F.col("_e") / 32).cast("int")
+    whole = F.coalesce(F.signum("_x") * F.col("_r") * F.lit(float(1 << 52)), F.lit(0.0)).cast("decimal(17,0)")
+    parts = own.select(*keys, "_bad", place.alias("_b"), (whole * F.pow(F.lit(2.0), F.col("_e") - 32 * place).cast("decimal(10,0)")).alias("_m"))
+    sums = parts.groupBy(*keys, "_b").agg(F.sum("_m").alias("_s"), F.count("*").alias("_n"), F.bool_or("_bad").alias("_bad"))
+    each = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_s")), asc=False).alias("_p"), F.sum("_n").alias("n"), F.bool_or("_bad").alias("_bad"))
+    half = lambda b: F.pow(F.lit(2.0), 16 * b)  # noqa: E731  in two steps, as the power itself may be too small for a double
+    total = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["_s"].cast("double") * half(p["_b"]) * half(p["_b"]))
+    return each.select(*keys, F.when(F.col("_bad"), float("nan")).otherwise(total).alias(value), "n")
+
+
 def kth(rows: DataFrame, value: str, ranks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, k, value): in each group of `keys` the k-th smallest finite value (k from 1), for ranks (keys, k) with one row for each group.
 
@@ -89,11 +120,7 @@ def kth(rows: DataFrame, value: str, ranks: DataFrame, keys: Sequence[str] = ())
     """
     x = F.col(value).cast("double")
     own = rows.select(*keys, x.alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x) AND abs(_x) < double('infinity')")
-    size = F.abs("_x")
-    own = own.withColumn("_g", F.when(size > 0, F.floor(F.log2(F.when(size > 0, size)))).cast("int"))
-    scaled = F.when(F.col("_g") < -1000, size * F.pow(F.lit(2.0), F.lit(600.0)) / F.pow(F.lit(2.0), F.col("_g") + 600)).otherwise(size / F.pow(F.lit(2.0), F.col("_g")))
-    own = own.withColumn("_r", scaled)
-    own = own.withColumns({"_r": F.when(F.col("_r") >= 2, F.col("_r") / 2).when(F.col("_r") < 1, F.col("_r") * 2).otherwise(F.col("_r")), "_g": F.when(F.col("_r") >= 2, F.col("_g") + 1).when(F.col("_r") < 1, F.col("_g") - 1).otherwise(F.col("_g"))})
+    own, size = _scaled(own), F.abs("_x")
     fraction = ((F.col("_r") - 1) * F.lit(float(1 << 52))).cast("long")
     up = F.col("_x") > 0
     own = own.select(*keys, "_x", F.when(size == 0, 0).when(up, F.col("_g") + 1100).otherwise(-(F.col("_g") + 1100)).alias("_e"), F.when(size == 0, F.lit(0).cast("long")).when(up, fraction).otherwise(F.lit((1 << 52) - 1) - fraction).alias("_f"))

@@ -703,6 +703,13 @@ def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.prefix_sums(events.cube(spark, sf_dir), "step", NET_P, ["bus"], stretch=512)
 
 
+@query("stable_totals", "SELECT l_returnflag AS flag, round(sum(l_extendedprice * (1 - l_discount) * 0.01::DOUBLE), 3) AS total, count(*) AS n FROM lineitem GROUP BY 1")
+def stable_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of doubles that do not depend on the order of the lines."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) * 0.01).alias("total"))
+    return rounded(scan.stable_sums(rows, "total", ["flag"]), 3, "total")
+
+
 _OWNED = """WITH ev AS (SELECT DISTINCT CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) // 900 AS BIGINT) AS step, user_id FROM events WHERE event_type = 'purchase'),
 w AS (SELECT CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, step + 1 AS target_start, step + 2 AS target_end FROM ev WHERE user_id % 97 < 9)"""
 

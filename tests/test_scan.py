@@ -86,6 +86,23 @@ def test_order_statistics_are_exact(spark):
     assert scan.kth(df.where("g = 'few'"), "x", spark.createDataFrame([(6,)], "k long")).count() == 0
 
 
+def test_sums_are_the_same_bits_for_any_partitioning(spark):
+    rng = random.Random(8)
+    own = [rng.gauss(0, 1) * 10 ** rng.randint(-12, 12) for _ in range(600)] + [0.0, -0.0, 2.0**-1074, -(2.0**-1070), 1e300, -1e300]
+    rows = [("a", x) for x in own] + [("b", 0.1)] * 1000 + [("tiny", 2.0**-1074)] * 3 + [("none", None), ("bad", 1.0), ("bad", float("nan")), ("inf", float("inf")), (None, 2.5)]
+    seen = set()
+    for parts in (1, 7, 211):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "g string, x double").repartition(parts)
+        got = {r["g"]: (r["x"], r["n"]) for r in scan.stable_sums(df, "x", ["g"]).collect()}
+        assert math.isnan(got["bad"][0]) and math.isnan(got["inf"][0]) and "none" not in got
+        seen.add((got["a"], got["b"], got["tiny"], got[None]))
+    assert len(seen) == 1
+    a, b, tiny, null = seen.pop()
+    assert a == (pytest.approx(math.fsum(own), rel=1e-12), len(own)) and b[0] == pytest.approx(100, rel=1e-15) and tiny[0] == 3 * 2.0**-1074 and null == (2.5, 1)
+    assert scan.stable_sums(df.where("g = 'nobody'"), "x", ["g"]).count() == 0
+
+
 def test_the_radius_has_no_task_with_a_whole_group(spark):
     df = spark.range(5000).select((F.col("id") % 997 / 7).alias("y"), F.lit(0.0).alias("yhat"), F.lit(1).alias("bus"))
     found = conformal.radius(df, 0.1, ["bus"]).first()
