@@ -309,8 +309,14 @@ def matches(
             found = []
             for text in b.column(1):
                 at, both, begins = words.template(text.as_py())
-                values = words.hashes[at]
-                got = np.concatenate([looked_up(x, values, begins, n, needed(n, window, literals), least) for n in sizes for x in both[: 1 if n < least else 2]] or [np.zeros(0, np.uint64)])
+                numbers, got = np.count_nonzero(both[0][0] == 1), []  # the same in both templates
+                for n in sizes:
+                    need = needed(n, window, literals)
+                    if n >= least and numbers < n - need + 2:  # most texts: all windows by their templates
+                        got += [windows(hashes, n) for _, hashes in both]
+                    else:
+                        got += [looked_up(x, words.hashes[at], begins, n, need, least) for x in both[: 1 if n < least else 2]]
+                got = np.concatenate(got or [np.zeros(0, np.uint64)])
                 found.append(np.unique(got[known.hits(got)]).view(np.int64))
             some = [k for k, x in enumerate(found) if len(x)]
             if some:
