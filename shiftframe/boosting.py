@@ -106,9 +106,10 @@ def best_splits(found: DataFrame, growth: Growth, *keys: str, nominal: tuple[int
     node = Window.partitionBy(*keys, "feature")  # at most 256 rows each
     upto = node.orderBy("place", "bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = own.select(*keys, "feature", "bin", F.sum("g").over(upto).alias("gl"), F.sum("n").over(upto).alias("nl"), F.sum("g").over(node).alias("gt"), F.sum("n").over(node).alias("nt"), F.when(is_nominal, F.collect_list("bin").over(upto)).alias("left"))
-    gr, nr = F.col("gt") - F.col("gl"), F.col("nt") - F.col("nl")
-    gain = F.col("gl") * F.col("gl") / (F.col("nl") + lam) + gr * gr / (nr + lam) - F.col("gt") * F.col("gt") / (F.col("nt") + lam)
-    valid = sums.where((F.col("nl") >= growth.min_rows) & (nr >= growth.min_rows)).withColumn("gain", gain).where(F.col("gain") > 1e-9 * F.greatest(F.lit(1.0), F.col("gt") * F.col("gt") / (F.col("nt") + lam)))
+    nr = F.col("nt") - F.col("nl")
+    gl, gr, gt = (x.cast("double") for x in (F.col("gl"), F.col("gt") - F.col("gl"), F.col("gt")))  # sums of whole numbers are exact, but their squares do not fit a long
+    gain = gl * gl / (F.col("nl") + lam) + gr * gr / (nr + lam) - gt * gt / (F.col("nt") + lam)
+    valid = sums.where((F.col("nl") >= growth.min_rows) & (nr >= growth.min_rows)).withColumn("gain", gain).where(F.col("gain") > 1e-9 * F.greatest(F.lit(1.0), gt * gt / (F.col("nt") + lam)))
     place = F.coalesce(F.size("left"), F.col("bin"))
     first = F.max_by(F.struct("feature", "bin", "left", "gain", F.col("gt").alias("g"), F.col("nt").alias("n"), "gl", "nl"), F.struct(F.col("gain"), -F.col("feature"), -place))
     return valid.groupBy(*keys).agg(first.alias("b")).select(*keys, "b.*")

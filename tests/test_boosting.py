@@ -93,6 +93,19 @@ def test_dataframes_grow_the_same_tree(spark, leaves, nominal):
     assert set(values) == set(names) and all(values[k] == pytest.approx(-g[v].sum() / (len(v) + 1.0)) for k, v in names.items())
 
 
+def test_squares_of_sums_of_whole_gradients_pass_64_bits(spark):
+    bins, _ = sample(400, seed=6)
+    g = bins[:, 0].astype(np.int64) * -(10**9) - bins[:, 2].astype(np.int64) * 10**8  # sums of some 10^12
+    growth = Growth(3, 20, 1.0)
+    rows = spark.createDataFrame([(b.tolist(), int(x)) for b, x in zip(bins, g, strict=True)], "bins array<int>, g long").repartition(3)
+    root = boosting.grow(rows, growth, nominal=(3,))
+    split = root.split
+    gain, feature, left = plain_split(bins, g.astype(float), np.arange(len(g)), growth, (3,))
+    assert split["feature"] == feature == 0 and split["bin"] == max(left) and split["gain"] == pytest.approx(gain)
+    assert split["g"] == int(g.sum()) and split["gl"] == int(g[bins[:, 0] <= split["bin"]].sum())
+    assert sum(x.children is not None for x in (root, *root.children)) == 2
+
+
 def test_histograms_of_parts_add_up(spark):
     bins, y = sample(200)
     df = spark.createDataFrame([(int(k % 3), b.tolist(), float(x)) for k, (b, x) in enumerate(zip(bins, y, strict=True))], "node int, bins array<int>, g double")
