@@ -1,8 +1,8 @@
 """Scans and order statistics over whole series, without one task for a series.
 
 A window without partition, or by one long series, is the work of one task. Here a running sum has two levels: sums of stretches of positions, a running sum of
-those, and the carry joined back to the stretches. An order statistic is found digit by digit: each pass counts the next digit of the numbers
-that agree so far, which are partial sums in every task, whatever the sizes of groups.
+those, and the carry joined back to the stretches. An order statistic is found by counting: each pass counts the cells of the numbers
+that may still be it, which are partial sums in every task, whatever the sizes of groups.
 """
 
 from __future__ import annotations
@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import IntegrityError
 
 #: Positions of a stretch.
 STRETCH = 8192
-#: Bits of a digit of a fraction, and the passes of an order statistic: the exponent and four digits.
-DIGIT, PASSES = 13, 5
+#: Cells of a pass, and the passes of an order statistic: by the exponent, three by cells and one by values.
+CELLS, PASSES = 8192, 5
+#: Groups up to which what is known of an order statistic (a row for each) goes to all tasks; with more of them rows are joined by a shuffle.
+GROUPS = 100_000
 
 
 def running_sums(rows: DataFrame, by: str, values: Sequence[str], keys: Sequence[str] = (), *, stretch: int = STRETCH, suffix: str = "_sum") -> DataFrame:
@@ -111,33 +113,38 @@ def stable_sums(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFr
     return each.select(*keys, F.when(F.col("_bad"), float("nan")).otherwise(total).alias(value), "n")
 
 
+def _cell(level: int) -> Column:
+    """Of the numbers _x from _lo to _hi, a number that never falls as _x rises: for the first pass nearly the exponent, for the last one _x itself."""
+    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+    if level == 0:
+        size = F.floor(F.log2(F.abs(x))) + 1100
+        return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("long"))
+    return x if level == PASSES - 1 else F.floor(F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(0.0) * CELLS)
+
+
 def kth(rows: DataFrame, value: str, ranks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, k, value): in each group of `keys` the k-th smallest finite value (k from 1), for ranks (keys, k) with one row for each group.
 
-    A number is its exponent with its sign and the 52 bits of its fraction, both turned so that they sort as the number does. The first pass
-    counts exponents, four more 13 bits of the fraction each, of the numbers that agree with what is known. A pass is partial sums of at most 8,192 counts a group
-    in every task, and no task gets a group. Ranks beyond a group's rows are absent.
+    The first pass counts numbers of about the same exponent. The next three cut what lies between the least and the largest number of the cell that holds the rank into
+    `CELLS` equal cells, which leaves some 8,192 different doubles of 2 ** 52 for the last one, which counts each of them: nothing is rounded, as a cell only has to
+    keep the order. A pass is partial sums of at most 8,193 counts a group in every task. What is known, a row for each group, goes to the rows and not they to it, so no row is
+    shuffled and no task gets a group; beyond `GROUPS` groups Spark chooses the join. Ranks beyond a group's rows are absent.
     """
     x = F.col(value).cast("double")
     own = rows.select(*keys, x.alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x) AND abs(_x) < double('infinity')")
-    own, size = _scaled(own), F.abs("_x")
-    fraction = ((F.col("_r") - 1) * F.lit(float(1 << 52))).cast("long")
-    up = F.col("_x") > 0
-    own = own.select(*keys, "_x", F.when(size == 0, 0).when(up, F.col("_g") + 1100).otherwise(-(F.col("_g") + 1100)).alias("_e"), F.when(size == 0, F.lit(0).cast("long")).when(up, fraction).otherwise(F.lit((1 << 52) - 1) - fraction).alias("_f"))
+    few = not keys or ranks.limit(GROUPS + 1).count() <= GROUPS
     state = ranks.select(*keys, F.col("k").cast("long").alias("k"), F.col("k").cast("long").alias("_k"))
     for level in range(PASSES):
-        digit = F.col("_e").cast("long") if level == 0 else F.shiftright("_f", 52 - DIGIT * level)
-        known = [] if level == 0 else ["_e"] if level == 1 else ["_e", "_p"]
-        cells = own if level < 2 else own.withColumn("_p", F.shiftright("_f", 52 - DIGIT * (level - 1)))
-        marked = state.select(*keys, *known) if known else None
-        if marked is not None:
-            cells = cells.join(marked, [*keys, *known], "left_semi")
-        counts = cells.groupBy(*keys, digit.alias("_d")).agg(F.count("*").alias("_n"), F.min("_x").alias("_v"))
+        known = F.broadcast(state) if few else state
+        cells, carried = own, []
+        if level:
+            carried = ["k", "_k"]  # the same in all rows of a group, so that a pass names the one before it once
+            cells = (own.join(known, list(keys)) if keys else own.crossJoin(known)).where("_x >= _lo AND _x <= _hi")
+        counts = cells.groupBy(*keys, *carried, _cell(level).alias("_d")).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         upto = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
         counted = counts.withColumn("_u", F.sum("_n").over(upto))
-        both = counted.join(state, list(keys)) if keys else counted.crossJoin(state)  # without keys the state is one row
-        found = both.where((F.col("_u") >= F.col("_k")) & (F.col("_u") - F.col("_n") < F.col("_k")) & (F.col("_k") > 0))
-        part = [F.col("_d").cast("int").alias("_e")] if level == 0 else ["_e", F.col("_d").alias("_p")]
-        state = found.select(*keys, "k", (F.col("_k") - F.col("_u") + F.col("_n")).alias("_k"), *part, "_v")
-        state = state if level == PASSES - 1 else state.drop("_v")
-    return state.select(*keys, "k", F.col("_v").alias(value))
+        if not level:
+            counted = counted.join(known, list(keys)) if keys else counted.crossJoin(known)  # without keys the state is one row
+        found = counted.where((F.col("_u") >= F.col("_k")) & (F.col("_u") - F.col("_n") < F.col("_k")) & (F.col("_k") > 0))
+        state = found.select(*keys, "k", (F.col("_k") - F.col("_u") + F.col("_n")).alias("_k"), "_lo", "_hi")
+    return state.select(*keys, "k", F.col("_lo").alias(value))

@@ -109,3 +109,40 @@ def test_the_radius_has_no_task_with_a_whole_group(spark):
     own = sorted(k % 997 / 7 for k in range(5000))
     assert found["radius"] == own[math.ceil(5001 * 0.9)] and found["n"] == 5000 and conformal.radius(df, 0.1).first()["radius"] == found["radius"]
     assert "collect_list" not in conformal.radius(df, 0.1)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("keys", [[], ["bus"]])
+def test_an_order_statistic_shuffles_counts_and_no_rows(spark, keys):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("bus"), (F.col("id") * 7919 % 4999 / 3).alias("x"))
+    ranks = spark.createDataFrame([(k, 700) for k in range(3)], "bus long, k long").select(*keys, "k").limit(3 if keys else 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        found = scan.kth(rows, "x", ranks, keys)
+        text = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("Range (0, 5000") == scan.PASSES  # each pass reads the rows once
+    assert "SortMergeJoin" not in text and len(max(text.split("\n"), key=len)) < 2000  # and no filter repeats whole expressions
+    own = {k: sorted(i * 7919 % 4999 / 3 for i in range(5000) if not keys or i % 3 == k) for k in range(3)}
+    assert sorted(r["x"] for r in found.collect()) == sorted(own[k][699] for k in range(3 if keys else 1))
+
+
+def test_order_statistics_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(scan, "GROUPS", 2)
+    rows = spark.range(900).select((F.col("id") % 9).alias("g"), (F.col("id") * 37 % 101 / 8).alias("x"))
+    got = {r["g"]: r["x"] for r in scan.kth(rows, "x", spark.createDataFrame([(g, 10 * g + 1) for g in range(9)], "g long, k long"), ["g"]).collect()}
+    assert got == {g: sorted(i * 37 % 101 / 8 for i in range(900) if i % 9 == g)[10 * g] for g in range(9)}
+
+
+def test_order_statistics_among_neighbours_and_far_apart(spark):
+    near = [1.0 + i * 2.0**-52 for i in range(1500)] + [2.0 - i * 2.0**-53 for i in range(1, 700)] + [2.0 + i * 2.0**-51 for i in range(700)]
+    tiny = [i * 2.0**-1074 for i in range(-400, 900)]
+    far = [s * 2.0**e for e in range(-1074, 1024) for s in (-1.0, 1.0)] + [0.0]
+    groups = {"near": near, "tiny": tiny, "far": far}
+    rows = spark.createDataFrame([(g, x) for g, own in groups.items() for x in own], "g string, x double").repartition(4).cache()
+    for share in (0.001, 0.3, 0.52, 1.0):
+        ranks = [(g, math.ceil(share * len(own))) for g, own in groups.items()]
+        got = {r["g"]: r["x"] for r in scan.kth(rows, "x", spark.createDataFrame(ranks, "g string, k long"), ["g"]).collect()}
+        assert got == {g: sorted(groups[g])[k - 1] for g, k in ranks}
+    rows.unpersist()
