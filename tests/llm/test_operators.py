@@ -751,6 +751,20 @@ def test_quality_without_labels_rejects_nothing(spark, docs):
 # --- language
 
 
+def test_unseen_words_score_by_plain_sums(monkeypatch):
+    rng = random.Random(5)
+    m = language_id.Model.fit([(lang, "".join(rng.choice("abcdef") for _ in range(6)), rng.randint(1, 9)) for lang in "xyz" for _ in range(40)], 10, 50)
+    unseen = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 12))) for _ in range(200)] + ["ÿ"]
+    want = []
+    for word in unseen:
+        found = next((own for table, n in zip(m.grams, language_id.LENGTHS, strict=True) if (own := [table[g] for g in language_id._grams(word, n) if g in table])), [[0.0] * 3])
+        want.append(m.words.get(word) or np.mean(found, axis=0).tolist())
+    monkeypatch.setattr(np, "mean", None)  # its calls on some numbers each were half of the time
+    assert [m.score_word(w) for w in unseen] == want
+    text = " ".join(unseen * 2)
+    assert m.predict(text) == m.predict(text) and len(m.index) == len(set(unseen))
+
+
 def test_language_id(spark, empty):
     rng = random.Random(2)
     other = "der die und nicht ist ein haus fluss nacht stein wasser gelb schnell".split()
