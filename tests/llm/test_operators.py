@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -722,6 +723,18 @@ def test_a_view_that_tells_nothing_gets_no_say():
     assert noise.score([same])[0] == pytest.approx(0.5, abs=0.1)
 
 
+def test_training_holds_little_of_a_document():
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(400)) for _ in range(300)]
+    tracemalloc.start()
+    told = [quality.example(t + (" spam" if i % 3 == 0 else ""), "a", "en", len(t)) for i, t in enumerate(texts)]
+    held = tracemalloc.get_traced_memory()[0] / len(texts)
+    tracemalloc.stop()
+    assert held < 6000  # 3,200 bytes of words; as a set of strings some 40,000
+    model = quality.train(told, np.array([float(i % 3 > 0) for i in range(300)]), told[:20])
+    assert set(model.words) == {"spam"} and model.content[quality.STYLE] < 0
+
+
 def test_the_sample_leaves_out_what_is_too_long(spark):
     rows, labels, bad = labelled(300, 5)
     rows[0] = (0, "y" * 100_000, "en")
