@@ -7,9 +7,11 @@ the smallest k). Candidates inside a longer candidate with at least 80 % of thei
 
 1. Words are counted, summed in each task first; the same pass counts pairs of neighbours in a table of fixed size by hash (2^`bits` counters
    a task, which stop at `least`). A pair with f >= `least` is in a counter of `least` or more, so the others can go: nothing frequent does.
-   A second pass counts what is left in two more: the pairs again, by another hash, and the runs of three and four words.
+   A second pass counts what is left in two more: the pairs again, by another hash, and the runs of three and four words, by two hashes, as
+   the false ones of a single one grow with the square of the text.
 2. Each place where a phrase may begin becomes a pointer: the words from there on, as many as may be frequent together, four at most. Equal
-   pointers are one row with a count, of a stretch of text before they are shuffled, and of all texts then.
+   pointers are one row with a count, of all that a core reads before they are shuffled, and of all texts then. There is one task a core,
+   however many files there are: each meets most frequent phrases, and both the files and those phrases grow with the text.
 3. Pointers go to the task of their prefix, sorted by what follows. There the projection of a prefix is a range of rows and that of each
    extension a range within it: ranges are read in order, depth first, and emit the phrases that are frequent. Only the open prefix of each depth is held.
    A prefix of two words with over 1 / `splits` of all rows is dealt out by its third word, and one of three words by its fourth; their own
@@ -34,12 +36,12 @@ from . import _common as c
 
 #: A-Z become a-z, and all bytes that end a piece a full stop.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
-#: Words that a task numbers, and pointers that it holds, before it passes its counts on.
+#: Words that a task numbers, and pointers that it holds, before it sums up those that are equal. Where that leaves over half, it passes them on.
 MOST_WORDS, MOST_POINTERS = 1 << 20, 1 << 21
 #: Counters of one row of a task's table of pairs.
 CHUNK = 1 << 16
 SALTS = 32
-#: Makes the second hash of pairs another one.
+#: Makes the second hash another one.
 SECOND = 0x5EED
 
 
@@ -80,6 +82,15 @@ class Words(dict):
         go[at[good[self.slots(ids, at, 2, bits)]]] = True
         return go
 
+    def keep(self, ids: np.ndarray) -> np.ndarray:
+        """Forget all words but these, 0 among them; returns the new numbers of the old ones."""
+        names, new = list(self), np.zeros(len(self), np.int64)
+        new[ids] = np.arange(len(ids))
+        self.hashes = self.hashes[ids]
+        self.clear()
+        self.update((names[x], k) for k, x in enumerate(ids.tolist()))
+        return new
+
     def column(self) -> pa.Array:
         return pa.array(self, pa.binary()).cast(pa.string())
 
@@ -132,7 +143,7 @@ def _count(docs: DataFrame, least: int, bits: int) -> DataFrame:
 
 
 def _count_longer(docs: DataFrame, found: np.ndarray, least: int, bits: int) -> DataFrame:
-    """(chunk, counters) of pairs that may be frequent, by a second hash, behind those of runs of three and four words of such pairs."""
+    """(chunk, counters) of pairs that may be frequent, by a second hash, behind those of runs of three and four words of such pairs, by both."""
     kind, sent = np.uint8 if least < 256 else np.uint32, docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +157,8 @@ def _count_longer(docs: DataFrame, found: np.ndarray, least: int, bits: int) ->
                 three = np.flatnonzero(go[:-1] & go[1:])
                 four = three[go[three + 2]]
                 again = own.slots(ids, np.flatnonzero(go), 2, bits, SECOND) + (1 << bits)
-                _tally(table, np.concatenate((own.slots(ids, three, 3, bits), own.slots(ids, four, 4, bits), again)), least)
+                runs = [own.slots(ids, at, k, bits, start) for at, k in ((three, 3), (four, 4)) for start in (0, SECOND)]
+                _tally(table, np.concatenate((*runs, again)), least)
             if sum(map(len, words.values())) > MOST_WORDS:
                 words.clear()
         for chunk, part in _chunks(table):
@@ -203,32 +215,47 @@ def _halved(least: int, kind: type):
 
 
 def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int) -> DataFrame:
-    """(lang, w1, w2, w3, w4, n): the words from each place where a phrase may begin."""
-    sent = docs.sparkSession.sparkContext.broadcast((pairs, longer))
+    """(lang, w1, w2, w3, w4, n): the words from each place where a phrase may begin, summed over all that a core reads."""
+    sc = docs.sparkSession.sparkContext
+    sent = sc.broadcast((pairs, longer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, good_longer = (np.unpackbits(x).view(np.bool_) for x in sent.value)
         words: dict[str, Words] = {}
         held: dict[str, list[np.ndarray]] = {}
 
-        def passed_on() -> Iterator[pa.RecordBatch]:
+        def size() -> int:
+            return sum(x.shape[1] for parts in held.values() for x in parts)
+
+        def numbered() -> int:
+            return sum(map(len, words.values()))
+
+        def sum_up() -> None:
             for lang, parts in held.items():
-                first, rest = np.concatenate(parts, axis=1)
-                if not len(first):
-                    continue
+                first, rest, n = np.concatenate(parts, axis=1)
                 order = np.lexsort((rest, first))
                 first, rest = first[order], rest[order]
                 starts = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))))
-                n = np.diff(np.concatenate((starts, [len(first)])))
+                held[lang] = [np.stack((first[starts], rest[starts], np.add.reduceat(n[order], starts)))]
+
+        def forget() -> None:
+            for lang in [x for x in words if x not in held]:
+                del words[lang]
+            for lang, own in words.items():
+                (sums,) = held[lang]
+                new = own.keep(np.unique(np.concatenate(([0], sums[:2].ravel() >> 32, sums[:2].ravel() & 0xFFFFFFFF))))
+                sums[:2] = new[sums[:2] >> 32] << 32 | new[sums[:2] & 0xFFFFFFFF]
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, (sums,) in held.items():
                 names = words[lang].column()
-                for k in range(0, len(starts), 1 << 16):
-                    some = starts[k : k + (1 << 16)]
-                    ids = [x for y in (first[some], rest[some]) for x in (y >> 32, y & 0xFFFFFFFF)]
+                for k in range(0, sums.shape[1], 1 << 16):
+                    first, rest, n = sums[:, k : k + (1 << 16)]
+                    ids = [x for y in (first, rest) for x in (y >> 32, y & 0xFFFFFFFF)]
                     columns = [names.take(pa.array(x, mask=x == 0)) for x in ids]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), *columns, pa.array(n[k : k + (1 << 16)])], heads)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *columns, pa.array(n)], heads)
             held.clear()
-            if sum(map(len, words.values())) > MOST_WORDS:
-                words.clear()
+            words.clear()
 
         for batch in c.pieces_of(batches, "text"):
             for lang, text in _texts(batch):
@@ -238,20 +265,27 @@ def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int)
                 at = np.flatnonzero(go)
                 go[at] = good_longer[own.slots(ids, at, 2, bits, SECOND) + (1 << bits)]
                 three = np.flatnonzero(go[:-1] & go[1:])
-                three = three[good_longer[own.slots(ids, three, 3, bits)]]
+                for start in (0, SECOND):
+                    three = three[good_longer[own.slots(ids, three, 3, bits, start)]]
                 four = three[go[three + 2]]
-                four = four[good_longer[own.slots(ids, four, 4, bits)]]
+                for start in (0, SECOND):
+                    four = four[good_longer[own.slots(ids, four, 4, bits, start)]]
                 begin = np.flatnonzero(go)
                 third, fourth = np.zeros(len(go), np.int64), np.zeros(len(go), np.int64)
                 third[three], fourth[four] = ids[three + 2], ids[four + 3]
                 ids, third, fourth = ids.astype(np.int64), third[begin], fourth[begin]
-                held.setdefault(lang, []).append(np.stack((ids[begin] << 32 | ids[begin + 1], third << 32 | fourth)))
-            if sum(x.shape[1] for parts in held.values() for x in parts) > MOST_POINTERS:
-                yield from passed_on()
+                if len(begin):
+                    held.setdefault(lang, []).append(np.stack((ids[begin] << 32 | ids[begin + 1], third << 32 | fourth, np.ones(len(begin), np.int64))))
+            if size() > MOST_POINTERS or numbered() > MOST_WORDS:
+                sum_up()
+                forget()
+                if 2 * size() > MOST_POINTERS or 2 * numbered() > MOST_WORDS:
+                    yield from passed_on()
+        sum_up()
         yield from passed_on()
 
     heads = ["lang", "w1", "w2", "w3", "w4", "n"]
-    return docs.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n long")
+    return docs.coalesce(sc.defaultParallelism).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n long")
 
 
 def _grow(least: int):

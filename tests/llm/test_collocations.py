@@ -4,7 +4,9 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shiftframe.llm import collocations
 
@@ -65,6 +67,41 @@ def test_small_buffers_give_the_same(docs, rows, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(docs, least=4).collect())) == sorted(slow(rows, 4))
 
 
+def test_words_and_pointers_are_summed_up_and_kept(docs, rows, monkeypatch):
+    """Buffers that fill up often, but whose sums go on into the next stretch of text."""
+    monkeypatch.setattr(collocations, "MOST_WORDS", 1500)
+    monkeypatch.setattr(collocations, "MOST_POINTERS", 2500)
+    assert sorted(map(tuple, collocations.collocations(docs, least=4).collect())) == sorted(slow(rows, 4))
+
+
+def test_pointers_do_not_grow_with_the_partitions(spark, docs, monkeypatch):
+    """One row a core for each pointer, of however many parts and stretches of text."""
+    monkeypatch.setattr(collocations, "MOST_POINTERS", 4000)
+    all_ = np.full(1 << 13, 255, np.uint8)
+    own = docs.select("lang", "text").where("lang = 'en' AND text LIKE 'every row%'").withColumn("copies", F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("copies")
+    found = collocations._pointers(own.repartition(40), all_, np.concatenate((all_, all_)), 16).collect()
+    places = collections.Counter()
+    for row in found:
+        places[row[1:5]] += row["n"]
+    assert len(places) == 10 and set(places.values()) == {3000}
+    assert len(found) <= 10 * spark.sparkContext.defaultParallelism
+
+
+def test_runs_are_looked_up_by_two_hashes(docs):
+    """With a tenth of the counters full by chance, a hundredth of the runs that aren't frequent is taken for frequent, not a tenth."""
+    own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").cache()
+    pairs = collocations._frequent(collocations._count(own, 4, 16), 4, 1 << 16)
+    longer = collocations._frequent(collocations._count_longer(own, pairs, 4, 16), 4, 2 << 16)
+
+    def false_runs(noise):
+        full = longer | np.packbits(np.concatenate((noise, np.zeros(1 << 16, bool))))
+        found = collocations._pointers(own, pairs, full, 16).where("w3 IS NOT NULL").groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"))
+        return found.where("f < 4").count()
+
+    most = false_runs(np.ones(1 << 16, bool))
+    assert most > 200 and false_runs(np.random.default_rng(1).random(1 << 16) < 0.1) < 0.05 * most
+
+
 def test_growth_goes_on_over_batches(spark, docs, rows):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
