@@ -5,13 +5,13 @@ words and f(phrase) all contiguous occurrences within pieces. Candidates are phr
 candidate after its first k words, with l = f(first part) and r = f(rest), the one with the lowest floor(2000000 f / (l + r)) counts (ties:
 the smallest k). Candidates inside a longer candidate with at least 80 % of their occurrences go; the best `most` of each language stay.
 
-1. Words are counted, summed in each task first; the same pass counts pairs of neighbours in a table of fixed size by hash (2^`bits` counters
-   a task, which stop at `least`). A pair with f >= `least` is in a counter of `least` or more, so the others can go: nothing frequent does.
+1. Words are counted, summed in each task first; the same pass counts pairs of neighbours in a table by hash (2^`bits` counters
+   a task, which stop at `least`; one for `EACH` bytes of text, as full counters let everything pass). A pair with f >= `least` is in a counter of `least` or more, so the others can go: nothing frequent does.
    A second pass counts what is left in two more: the pairs again, by another hash, and the runs of three and four words, by two hashes, as
    the false ones of a single one grow with the square of the text.
 2. Each place where a phrase may begin becomes a pointer: the words from there on, as many as may be frequent together, four at most. Equal
-   pointers are one row with a count, of all that a core reads before they are shuffled, and of all texts then. There is one task a core,
-   however many files there are: each meets most frequent phrases, and both the files and those phrases grow with the text.
+   pointers are one row with a count, of all that a core reads before they are shuffled, and of all texts then. These passes have one task a core,
+   however many files there are: each meets most frequent phrases and has a table, and the files, the phrases and the table grow with the text.
 3. Pointers go to the task of their prefix, sorted by what follows. There the projection of a prefix is a range of rows and that of each
    extension a range within it: ranges are read in order, depth first, and emit the phrases that are frequent. Only the open prefix of each depth is held.
    A prefix of two words with over 1 / `splits` of all rows is dealt out by its third word, and one of three words by its fourth; their own
@@ -41,6 +41,8 @@ MOST_WORDS, MOST_POINTERS = 1 << 20, 1 << 21
 #: Counters of one row of a task's table of pairs.
 CHUNK = 1 << 16
 SALTS = 32
+#: Bytes of text for each counter, and bounds of `bits`: the tables of a task are twice 2^28 bytes at most, which are 8 GB of text.
+EACH, FEWEST_BITS, MOST_BITS = 32, 24, 28
 #: Makes the second hash another one.
 SECOND = 0x5EED
 
@@ -79,7 +81,7 @@ class Words(dict):
         """Whether a pair that may be frequent begins at each place; three places more at the end."""
         at = self.pairs(ids)
         go = np.zeros(len(ids) + 3, bool)
-        go[at[good[self.slots(ids, at, 2, bits)]]] = True
+        go[at[_full(good, self.slots(ids, at, 2, bits))]] = True
         return go
 
     def keep(self, ids: np.ndarray) -> np.ndarray:
@@ -95,6 +97,16 @@ class Words(dict):
         return pa.array(self, pa.binary()).cast(pa.string())
 
 
+def _full(good: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Those slots whose bits are set; there are too many counters for a byte each."""
+    return (good[slots >> 3] << (slots & 7).astype(np.uint8)) & np.uint8(128) > 0
+
+
+def _bits(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(FEWEST_BITS, (size // EACH).bit_length()), MOST_BITS)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     """The texts of each language of a batch, one behind the other."""
     langs = batch.column(0).to_pylist()
@@ -106,6 +118,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         yield lang, b"\n".join(texts)
 
 
+def _a_core(docs: DataFrame) -> DataFrame:
+    """One task a core."""
+    return docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def _count(docs: DataFrame, least: int, bits: int) -> DataFrame:
     """(lang, word, n) of words and (chunk, counters) of pairs, one row for each task and stretch."""
     kind = np.uint8 if least < 256 else np.uint32
@@ -139,7 +156,7 @@ def _count(docs: DataFrame, least: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([chunk], pa.int32()), pa.array([part])], heads)
 
     heads = ["lang", "word", "n", "chunk", "counters"]
-    return docs.mapInArrow(run, "lang string, word string, n long, chunk int, counters binary")
+    return _a_core(docs).mapInArrow(run, "lang string, word string, n long, chunk int, counters binary")
 
 
 def _count_longer(docs: DataFrame, found: np.ndarray, least: int, bits: int) -> DataFrame:
@@ -147,7 +164,7 @@ def _count_longer(docs: DataFrame, found: np.ndarray, least: int, bits: int) ->
     kind, sent = np.uint8 if least < 256 else np.uint32, docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, good = np.zeros(2 << bits, kind), np.unpackbits(sent.value).view(np.bool_)
+        table, good = np.zeros(2 << bits, kind), sent.value
         words: dict[str, Words] = {}
         for batch in c.pieces_of(batches, "text"):
             for lang, text in _texts(batch):
@@ -164,7 +181,7 @@ def _count_longer(docs: DataFrame, found: np.ndarray, least: int, bits: int) ->
         for chunk, part in _chunks(table):
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part])], ["chunk", "counters"])
 
-    return docs.mapInArrow(run, "chunk int, counters binary")
+    return _a_core(docs).mapInArrow(run, "chunk int, counters binary")
 
 
 def _tally(table: np.ndarray, slots: np.ndarray, least: int) -> None:
@@ -179,7 +196,7 @@ def _chunks(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def _frequent(tables: DataFrame, least: int, size: int) -> np.ndarray:
-    """The counters of `least` or more as packed bits: `size` of them, whatever the input."""
+    """The counters of `least` or more as packed bits: `size` of them."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +233,10 @@ def _halved(least: int, kind: type):
 
 def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int) -> DataFrame:
     """(lang, w1, w2, w3, w4, n): the words from each place where a phrase may begin, summed over all that a core reads."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((pairs, longer))
+    sent = docs.sparkSession.sparkContext.broadcast((pairs, longer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, good_longer = (np.unpackbits(x).view(np.bool_) for x in sent.value)
+        good, good_longer = sent.value
         words: dict[str, Words] = {}
         held: dict[str, list[np.ndarray]] = {}
 
@@ -263,13 +279,13 @@ def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int)
                 ids = own.numbers(text)
                 go = own.frequent_pairs(ids, good, bits)
                 at = np.flatnonzero(go)
-                go[at] = good_longer[own.slots(ids, at, 2, bits, SECOND) + (1 << bits)]
+                go[at] = _full(good_longer, own.slots(ids, at, 2, bits, SECOND) + (1 << bits))
                 three = np.flatnonzero(go[:-1] & go[1:])
                 for start in (0, SECOND):
-                    three = three[good_longer[own.slots(ids, three, 3, bits, start)]]
+                    three = three[_full(good_longer, own.slots(ids, three, 3, bits, start))]
                 four = three[go[three + 2]]
                 for start in (0, SECOND):
-                    four = four[good_longer[own.slots(ids, four, 4, bits, start)]]
+                    four = four[_full(good_longer, own.slots(ids, four, 4, bits, start))]
                 begin = np.flatnonzero(go)
                 third, fourth = np.zeros(len(go), np.int64), np.zeros(len(go), np.int64)
                 third[three], fourth[four] = ids[three + 2], ids[four + 3]
@@ -285,7 +301,7 @@ def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int)
         yield from passed_on()
 
     heads = ["lang", "w1", "w2", "w3", "w4", "n"]
-    return docs.coalesce(sc.defaultParallelism).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n long")
+    return _a_core(docs).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n long")
 
 
 def _grow(least: int):
@@ -338,11 +354,12 @@ def _grow(least: int):
     return run
 
 
-def phrases(docs: DataFrame, *, least: int = 30, bits: int = 24, splits: int = 1024, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrases(docs: DataFrame, *, least: int = 30, bits: int | None = None, splits: int = 1024, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all frequent phrases of one to four words, and (lang, n) with the number of words. Both are written tables."""
     spark = docs.sparkSession
     c.tune(spark)
     own = c.spread(docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].alias("text")))
+    bits = _bits(own) if bits is None else bits
     counted, counted_path = c.saved(_count(own, least, bits), "phrase-counts")
     words, words_path = c.saved(counted.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
     totals, _ = c.saved(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
@@ -367,7 +384,7 @@ def phrases(docs: DataFrame, *, least: int = 30, bits: int = 24, splits: int = 1
     return all_, totals
 
 
-def collocations(docs: DataFrame, *, least: int = 30, most: int = 2000, percent: int = 80, bits: int = 24, splits: int = 1024, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 30, most: int = 2000, percent: int = 80, bits: int | None = None, splits: int = 1024, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of each language."""
     found, totals = phrases(docs, least=least, bits=bits, splits=splits, text_col=text_col, lang_col=lang_col)
     own = found.where("k > 1").select("lang", "phrase", F.split("phrase", " ").alias("w"), "k", F.col("f").alias("a"))

@@ -87,6 +87,22 @@ def test_pointers_do_not_grow_with_the_partitions(spark, docs, monkeypatch):
     assert len(found) <= 10 * spark.sparkContext.defaultParallelism
 
 
+def test_counters_grow_with_the_text(docs, monkeypatch):
+    """Within bounds, so that they don't all fill up and let everything pass."""
+    monkeypatch.setattr(collocations, "FEWEST_BITS", 4)
+    own = docs.select("text")
+    small = collocations._bits(own)
+    assert 4 < small == collocations._bits(own.unionAll(own).unionAll(own).unionAll(own)) - 2
+    monkeypatch.setattr(collocations, "MOST_BITS", small - 1)
+    assert collocations._bits(own) == small - 1 and collocations._bits(own.limit(0)) == 4
+
+
+def test_full_counters_are_told_by_their_bits():
+    full = np.random.default_rng(2).random(4096) < 0.5
+    slots = np.random.default_rng(3).integers(0, 4096, 9999)
+    assert (collocations._full(np.packbits(full), slots) == full[slots]).all()
+
+
 def test_runs_are_looked_up_by_two_hashes(docs):
     """With a tenth of the counters full by chance, a hundredth of the runs that aren't frequent is taken for frequent, not a tenth."""
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").cache()
