@@ -5,10 +5,11 @@ words and f(phrase) all contiguous occurrences within pieces. Candidates are phr
 candidate after its first k words, with l = f(first part) and r = f(rest), the one with the lowest floor(2000000 f / (l + r)) counts (ties:
 the smallest k). Candidates inside a longer candidate with at least 80 % of their occurrences go; the best `most` of each language stay.
 
-1. Words are counted, summed in each task first; the same pass counts pairs of neighbours in a table by hash (2^`bits` counters
-   a task, which stop at `least`; one for `EACH` bytes of text, as full counters let everything pass). A pair with f >= `least` is in a counter of `least` or more, so the others can go: nothing frequent does.
-   A second pass counts what is left in two more: the pairs again, by another hash, and the runs of three and four words, by two hashes, as
-   the false ones of a single one grow with the square of the text.
+1. The words of each language are counted, and in a table by hash the pairs of neighbours and, by two hashes, the single words (2^`bits` counters
+   a task, which stop at `least`; one for `EACH` bytes of text, as full counters let everything pass). A word or pair with f >= `least` is in counters of `least` or more, so the others can go: nothing frequent does.
+   A second pass counts what is left: words one by one, summed in each task first, and in two more tables the pairs again, by another hash, and
+   the runs of three and four words, by two hashes, as the false ones of a single one grow with the square of the text.
+   No task holds more than some 2^18 rare words, nor passes any on: they are most of the different words, and would be most of its memory.
 2. Each place where a phrase may begin becomes a pointer: the words from there on, as many as may be frequent together, four at most. Equal
    pointers are one row with a count, of all that a core reads before they are shuffled, and of all texts then. These passes have one task a core,
    however many files there are: each meets most frequent phrases and has a table, and the files, the phrases and the table grow with the text.
@@ -36,8 +37,11 @@ from . import _common as c
 
 #: A-Z become a-z, and all bytes that end a piece a full stop.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
-#: Words that a task numbers, and pointers that it holds, before it sums up those that are equal. Where that leaves over half, it passes them on.
-MOST_WORDS, MOST_POINTERS = 1 << 20, 1 << 21
+#: Words that a task numbers before it forgets the rare ones, and pointers that it holds before it sums up those that are equal. It passes on
+#: what it has where over twice as many words, or half as many pointers, are left.
+MOST_WORDS, MOST_POINTERS = 1 << 18, 1 << 21
+#: Bytes of text whose words a task takes apart at once.
+PIECE = 1 << 20
 #: Counters of one row of a task's table of pairs.
 CHUNK = 1 << 16
 SALTS = 32
@@ -84,6 +88,13 @@ class Words(dict):
         go[at[_full(good, self.slots(ids, at, 2, bits))]] = True
         return go
 
+    def frequent_words(self, good: np.ndarray, bits: int) -> np.ndarray:
+        """Numbers of the words that may be frequent, 0 among them."""
+        ids = np.arange(len(self))
+        found = _full(good, self.slots(ids, ids, 1, bits)) & _full(good, self.slots(ids, ids, 1, bits, SECOND))
+        found[0] = True
+        return np.flatnonzero(found)
+
     def keep(self, ids: np.ndarray) -> np.ndarray:
         """Forget all words but these, 0 among them; returns the new numbers of the old ones."""
         names, new = list(self), np.zeros(len(self), np.int64)
@@ -124,111 +135,144 @@ def _a_core(docs: DataFrame) -> DataFrame:
 
 
 def _count(docs: DataFrame, least: int, bits: int) -> DataFrame:
-    """(lang, word, n) of words and (chunk, counters) of pairs, one row for each task and stretch."""
+    """(lang, n) with the number of words and (chunk, counters) of pairs and words, one row for each task and language or stretch."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, kind)
         words: dict[str, Words] = {}
-        counts: dict[str, np.ndarray] = {}
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            for lang, own in words.items():
-                names, n = own.column()[1:], counts[lang][1 : len(own)]
-                for k in range(0, len(n), 1 << 16):
-                    m = len(n[k : k + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), names[k : k + m], pa.array(n[k : k + m]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], heads)
-            words.clear()
-            counts.clear()
-
-        for batch in c.pieces_of(batches, "text"):
+        totals: dict[str, int] = {}
+        for batch in c.pieces_of(batches, "text", PIECE):
             for lang, text in _texts(batch):
                 own = words.setdefault(lang, Words(lang))
                 ids = own.numbers(text)
-                n = np.bincount(ids, minlength=len(own))
-                n[: len(counts.get(lang, ()))] += counts.get(lang, np.zeros(0, np.int64))
-                counts[lang] = n
+                n = np.bincount(ids, minlength=1)
+                n[0] = 0
+                totals[lang] = totals.get(lang, 0) + int(n.sum())
                 _tally(table, own.slots(ids, own.pairs(ids), 2, bits), least)
+                some = np.flatnonzero(n)
+                single = [own.slots(some, np.arange(len(some)), 1, bits, start) for start in (0, SECOND)]
+                _tally(table, np.concatenate(single), least, np.tile(n[some], 2))
             if sum(map(len, words.values())) > MOST_WORDS:
-                yield from counted()
-        yield from counted()
+                words.clear()
+        some = [x for x in totals.items() if x[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.string()), pa.array([x[1] for x in some], pa.int64()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())], heads)
         for chunk, part in _chunks(table):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([chunk], pa.int32()), pa.array([part])], heads)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([chunk], pa.int32()), pa.array([part])], heads)
 
-    heads = ["lang", "word", "n", "chunk", "counters"]
-    return _a_core(docs).mapInArrow(run, "lang string, word string, n long, chunk int, counters binary")
+    heads = ["lang", "n", "chunk", "counters"]
+    return _a_core(docs).mapInArrow(run, "lang string, n long, chunk int, counters binary")
 
 
 def _count_longer(docs: DataFrame, found: np.ndarray, least: int, bits: int) -> DataFrame:
-    """(chunk, counters) of pairs that may be frequent, by a second hash, behind those of runs of three and four words of such pairs, by both."""
+    """(lang, word, n) of words that may be frequent, and (chunk, counters) of pairs that may be, by a second hash, behind those of runs of three and four words of such pairs, by both."""
     kind, sent = np.uint8 if least < 256 else np.uint32, docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, good = np.zeros(2 << bits, kind), sent.value
         words: dict[str, Words] = {}
-        for batch in c.pieces_of(batches, "text"):
+        counts: dict[str, np.ndarray] = {}
+        kept = 0
+
+        def numbered() -> int:
+            return sum(map(len, words.values()))
+
+        def forget() -> None:
+            for lang, own in words.items():
+                some = own.frequent_words(good, bits)
+                own.keep(some)
+                counts[lang] = counts[lang][some]
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, own in words.items():
+                names, n = own.column()[1:], counts[lang][1:]
+                for k in range(0, len(n), 1 << 16):
+                    m = len(n[k : k + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), names[k : k + m], pa.array(n[k : k + m]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], heads)
+            words.clear()
+            counts.clear()
+
+        for batch in c.pieces_of(batches, "text", PIECE):
             for lang, text in _texts(batch):
                 own = words.setdefault(lang, Words(lang))
                 ids = own.numbers(text)
+                n = np.bincount(ids, minlength=len(own))
+                n[: len(counts.get(lang, ()))] += counts.get(lang, np.zeros(0, np.int64))
+                counts[lang] = n
                 go = own.frequent_pairs(ids, good, bits)
                 three = np.flatnonzero(go[:-1] & go[1:])
                 four = three[go[three + 2]]
                 again = own.slots(ids, np.flatnonzero(go), 2, bits, SECOND) + (1 << bits)
                 runs = [own.slots(ids, at, k, bits, start) for at, k in ((three, 3), (four, 4)) for start in (0, SECOND)]
                 _tally(table, np.concatenate((*runs, again)), least)
-            if sum(map(len, words.values())) > MOST_WORDS:
-                words.clear()
+            if numbered() > kept + MOST_WORDS:
+                forget()
+                if numbered() > 2 * MOST_WORDS:
+                    yield from passed_on()
+                kept = numbered()
+        forget()
+        yield from passed_on()
         for chunk, part in _chunks(table):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part])], ["chunk", "counters"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([chunk], pa.int32()), pa.array([part])], heads)
 
-    return _a_core(docs).mapInArrow(run, "chunk int, counters binary")
+    heads = ["lang", "word", "n", "chunk", "counters"]
+    return _a_core(docs).mapInArrow(run, "lang string, word string, n long, chunk int, counters binary")
 
 
-def _tally(table: np.ndarray, slots: np.ndarray, least: int) -> None:
-    slots, n = np.unique(slots, return_counts=True)
+def _tally(table: np.ndarray, slots: np.ndarray, least: int, times: np.ndarray | None = None) -> None:
+    if times is None:
+        slots, n = np.unique(slots, return_counts=True)
+    else:
+        slots, at = np.unique(slots, return_inverse=True)
+        n = np.bincount(at, times, len(slots)).astype(np.int64)
     table[slots] = np.minimum(table[slots] + n, least)
 
 
 def _chunks(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
     for k in range(0, len(table), CHUNK):
         if table[k : k + CHUNK].any():
-            yield k // CHUNK, table[k : k + CHUNK].tobytes()
+            yield k // CHUNK, pa.compress(table[k : k + CHUNK].tobytes(), "zstd", asbytes=True)
 
 
-def _frequent(tables: DataFrame, least: int, size: int) -> np.ndarray:
-    """The counters of `least` or more as packed bits: `size` of them."""
-    kind = np.uint8 if least < 256 else np.uint32
+def _merged(tables: DataFrame, least: int, size: int) -> DataFrame:
+    """`tables` with the sums of all tasks' tables of `size` counters: (chunk, found) are packed bits of the counters of `least` or more. Rows that are no counters stay as they are.
+
+    Tables go from one task to the next as they are, packed; written and read they would be many times that in the readers' buffers.
+    """
+    kind, own = np.dtype(np.uint8 if least < 256 else np.uint32), min(CHUNK, size)
+    heads = [x for x in tables.columns if x not in ("chunk", "counters")]
+    rows = tables.select(*heads, "chunk", "counters")
+    schema = rows.withColumnRenamed("counters", "found").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        types = [pa.null()] * len(heads)
         for batch in batches:
-            for chunk, counters in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = total.setdefault(chunk, np.zeros(min(CHUNK, size), np.uint32))
-                np.minimum(own + np.frombuffer(counters.as_buffer(), kind), least, out=own)
-        for chunk, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(own >= least).tobytes()])], ["chunk", "found"])
-
-    rows = tables.where("chunk IS NOT NULL").select("chunk", "counters")
-    merged = rows.mapInArrow(_halved(least, kind), rows.schema).repartition("chunk").mapInArrow(run, "chunk int, found binary")
+            types = batch.schema.types[: len(heads)]
+            counts = batch.column(len(heads)).is_null()
+            if pc.any(counts).as_py():
+                yield pa.RecordBatch.from_arrays(batch.filter(counts).columns, [*heads, "chunk", "found"])
+            for chunk, counters in zip(*batch.filter(pc.invert(counts)).columns[-2:], strict=True):
+                new = np.frombuffer(pa.decompress(counters.as_buffer(), own * kind.itemsize, "zstd"), kind)
+                k = chunk.as_py()
+                total[k] = np.minimum(total[k].astype(np.uint32) + new, least).astype(kind) if k in total else new
+        for chunk, sums in total.items():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, x) for x in types), pa.array([chunk], pa.int32()), pa.array([np.packbits(sums >= least).tobytes()])], [*heads, "chunk", "found"])
+
+    return rows.repartition("chunk", *heads).mapInArrow(run, schema)
+
+
+def _found(merged: DataFrame, size: int) -> np.ndarray:
+    """All counters of merged tables, as packed bits: `size` of them."""
     out = [bytes(min(CHUNK, size) // 8)] * max(1, size // CHUNK)
-    for chunk, found in merged.collect():
+    for chunk, found in merged.where("chunk IS NOT NULL").select("chunk", "found").collect():
         out[chunk] = bytes(found)
     return np.frombuffer(b"".join(out), np.uint8)
 
 
-def _halved(least: int, kind: type):
-    """Tables that one task reads become one table before they are shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counters in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                new = np.frombuffer(counters.as_buffer(), kind)
-                total[chunk] = np.minimum(total[chunk].astype(np.uint32) + new, least).astype(kind) if chunk in total else new.copy()
-        for chunk, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.tobytes()])], ["chunk", "counters"])
-
-    return run
+def _frequent(tables: DataFrame, least: int, size: int) -> np.ndarray:
+    """The counters of `least` or more as packed bits: `size` of them."""
+    return _found(_merged(tables, least, size), size)
 
 
 def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int) -> DataFrame:
@@ -239,6 +283,7 @@ def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int)
         good, good_longer = sent.value
         words: dict[str, Words] = {}
         held: dict[str, list[np.ndarray]] = {}
+        kept = 0
 
         def size() -> int:
             return sum(x.shape[1] for parts in held.values() for x in parts)
@@ -246,21 +291,31 @@ def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int)
         def numbered() -> int:
             return sum(map(len, words.values()))
 
+        def joined(lang: str) -> np.ndarray:
+            sums = np.concatenate(held[lang], axis=1)
+            held[lang] = [sums]
+            return sums
+
         def sum_up() -> None:
-            for lang, parts in held.items():
-                first, rest, n = np.concatenate(parts, axis=1)
-                order = np.lexsort((rest, first))
-                first, rest = first[order], rest[order]
-                starts = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))))
-                held[lang] = [np.stack((first[starts], rest[starts], np.add.reduceat(n[order], starts)))]
+            for lang in held:
+                sums = joined(lang)
+                order = np.lexsort((sums[1], sums[0]))
+                for row in sums:  # in place, as there may be many
+                    row[:] = row[order]
+                starts = np.flatnonzero(np.concatenate(([True], (sums[:2, 1:] != sums[:2, :-1]).any(axis=0))))
+                held[lang] = [np.stack((sums[0, starts], sums[1, starts], np.add.reduceat(sums[2], starts)))]
 
         def forget() -> None:
             for lang in [x for x in words if x not in held]:
                 del words[lang]
             for lang, own in words.items():
-                (sums,) = held[lang]
-                new = own.keep(np.unique(np.concatenate(([0], sums[:2].ravel() >> 32, sums[:2].ravel() & 0xFFFFFFFF))))
-                sums[:2] = new[sums[:2] >> 32] << 32 | new[sums[:2] & 0xFFFFFFFF]
+                sums, used = joined(lang), np.zeros(len(own), bool)
+                used[0] = True
+                for row in sums[:2]:
+                    used[row >> 32] = used[row & 0xFFFFFFFF] = True
+                new = own.keep(np.flatnonzero(used))
+                for row in sums[:2]:
+                    row[:] = new[row >> 32] << 32 | new[row & 0xFFFFFFFF]
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             for lang, (sums,) in held.items():
@@ -273,7 +328,7 @@ def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int)
             held.clear()
             words.clear()
 
-        for batch in c.pieces_of(batches, "text"):
+        for batch in c.pieces_of(batches, "text", PIECE):
             for lang, text in _texts(batch):
                 own = words.setdefault(lang, Words(lang))
                 ids = own.numbers(text)
@@ -292,11 +347,15 @@ def _pointers(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int)
                 ids, third, fourth = ids.astype(np.int64), third[begin], fourth[begin]
                 if len(begin):
                     held.setdefault(lang, []).append(np.stack((ids[begin] << 32 | ids[begin + 1], third << 32 | fourth, np.ones(len(begin), np.int64))))
-            if size() > MOST_POINTERS or numbered() > MOST_WORDS:
-                sum_up()
+            full = size() > MOST_POINTERS
+            if full or numbered() > kept + MOST_WORDS:
+                if full:
+                    sum_up()
                 forget()
-                if 2 * size() > MOST_POINTERS or 2 * numbered() > MOST_WORDS:
+                if full and 2 * size() > MOST_POINTERS or numbered() > 2 * MOST_WORDS:
+                    sum_up()
                     yield from passed_on()
+                kept = numbered()
         sum_up()
         yield from passed_on()
 
@@ -360,12 +419,12 @@ def phrases(docs: DataFrame, *, least: int = 30, bits: int | None = None, splits
     c.tune(spark)
     own = c.spread(docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].alias("text")))
     bits = _bits(own) if bits is None else bits
-    counted, counted_path = c.saved(_count(own, least, bits), "phrase-counts")
-    words, words_path = c.saved(counted.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
-    totals, _ = c.saved(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
-    pairs = _frequent(counted, least, 1 << bits)
-    longer, longer_path = c.saved(_count_longer(own, pairs, least, bits), "phrase-longer")
-    pointers, pointers_path = c.saved(_pointers(own, pairs, _frequent(longer, least, 2 << bits), bits).groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("n")), "phrase-pointers")
+    counted, counted_path = c.saved(_merged(_count(own, least, bits), least, 1 << bits), "phrase-counts")
+    totals, _ = c.saved(counted.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    pairs = _found(counted, 1 << bits)
+    longer, longer_path = c.saved(_merged(_count_longer(own, pairs, least, bits), least, 2 << bits), "phrase-longer")
+    words = longer.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)  # read once
+    pointers, pointers_path = c.saved(_pointers(own, pairs, _found(longer, 2 << bits), bits).groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("n")), "phrase-pointers")
     most = max(1, pointers.count() // splits)
     size = F.sum("n").alias("f"), F.count("*").alias("rows")
     large2, path2 = c.saved(pointers.groupBy("lang", "w1", "w2").agg(*size).where(F.col("rows") > most), "phrase-large2")
@@ -376,11 +435,11 @@ def phrases(docs: DataFrame, *, least: int = 30, bits: int | None = None, splits
     at = at.select("lang", "w1", "w2", "w3", "w4", "n", F.coalesce("d3", "d2", F.lit(2)).alias("depth")).where("depth = 2 OR depth = 3 AND w3 IS NOT NULL OR w4 IS NOT NULL")
     dealt = at.repartition("lang", "w1", "w2", F.when(F.col("depth") >= 3, F.col("w3")), F.when(F.col("depth") == 4, F.col("w4")))
     grown = dealt.sortWithinPartitions("lang", "w1", "w2", "w3", "w4").mapInArrow(_grow(least), "lang string, phrase string, k int, f long")
-    one = words.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
+    one = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
     two = large2.where(F.col("f") >= least).select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("k"), "f")
     three = large3.where(F.col("f") >= least).select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.lit(3).alias("k"), "f")
     all_, _ = c.saved(one.unionByName(grown).unionByName(two).unionByName(three), "phrases")
-    c.remove(spark, counted_path, longer_path, words_path, pointers_path, path2, path3)
+    c.remove(spark, counted_path, longer_path, pointers_path, path2, path3)
     return all_, totals
 
 

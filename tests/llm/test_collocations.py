@@ -3,8 +3,11 @@
 import collections
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +90,34 @@ def test_pointers_do_not_grow_with_the_partitions(spark, docs, monkeypatch):
     assert len(found) <= 10 * spark.sparkContext.defaultParallelism
 
 
+def test_rare_words_are_not_passed_on(spark):
+    """Most different words are rare: no task gives a row for each of them."""
+    own = spark.range(20_000).selectExpr("'en' AS lang", "concat('rare', id, ' and Common ', 'x', id % 50) AS text").repartition(3)
+    counted = collocations._count(own, 30, 20)
+    assert counted.where("chunk IS NULL").count() <= spark.sparkContext.defaultParallelism
+    longer = collocations._count_longer(own, collocations._frequent(counted, 30, 1 << 20), 30, 20)
+    found = dict(longer.where("chunk IS NULL").groupBy("word").agg(F.sum("n")).collect())
+    assert found["and"] == found["common"] == 20_000 and all(found[f"x{k}"] == 400 for k in range(50)) and len(found) < 200
+    words, totals = collocations.phrases(own)
+    assert words.where("k = 1").count() == 52 and [tuple(x) for x in totals.collect()] == [("en", 80_000)]
+
+
+@pytest.mark.parametrize("step", [1, 2, 3])
+def test_a_task_forgets_rare_words(monkeypatch, step):
+    """A million of them took 127 MB and more in each of the passes."""
+    docs = SimpleNamespace(mapInArrow=lambda run, schema: run, sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))))
+    monkeypatch.setattr(collocations, "_a_core", lambda docs: docs)
+    none, common = np.zeros(1 << 13, np.uint8), " ".join(["of the"] * 500)
+    run = [lambda: collocations._count(docs, 30, 16), lambda: collocations._count_longer(docs, none, 30, 16), lambda: collocations._pointers(docs, none, np.tile(none, 2), 16)][step - 1]()
+    batches = (pa.RecordBatch.from_pydict({"lang": ["en"] * 20, "text": [f"{common} " + " ".join(f"w{k}" for k in range(at + 500 * j, at + 500 * j + 500)) for j in range(20)]}) for at in range(0, 1_000_000, 10_000))
+    tracemalloc.start()
+    try:
+        list(run(batches))
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_counters_grow_with_the_text(docs, monkeypatch):
     """Within bounds, so that they don't all fill up and let everything pass."""
     monkeypatch.setattr(collocations, "FEWEST_BITS", 4)
