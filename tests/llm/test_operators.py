@@ -605,6 +605,47 @@ def test_decontamination_equals_all_windows_of_all_pairs(spark, seed):
     assert got == want and any(c for _, c in want.values())
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_words_of_many_texts_are_read_as_those_of_one(seed):
+    rng = random.Random(seed)
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    near = [x for x in map(chr, (0x1C - 1, 0x7F, 0x84, 0x86, 0xA1, 0x180E, 0x200B, 0x2027, 0x202A, 0x2030, 0x2060, 0x3001, 0xFEFF))]
+    signs = [*".,;:!?", "...", "!?.,;:", "…", "’s", "\"", ")", "”", "%", "$", "-", "°", "+", *near]
+    letters = [chr(i) for i in range(0xAA, 0x180)] + list("abcdefgXYZ") * 8 + list("Σςσİıﬁμ日本жЖ")
+    words = ["The", "ß", "ßen", "ÀB", "àb", "kilomètre", "KM", "km", "a", "Vier", "fünf", "Fünf", "zéro", "5", "3.5km", "20%", "Cent", "ΣΑΣ", "é", "É", "×", "÷", "_", "\0", "x\0", "*", "--"]
+    words += ["x" * n for n in (31, 32, 33, 70)] + ["É" * n for n in (15, 16, 17)] + ["Ab" * 16 + "."]
+
+    def word():
+        core = rng.choice(words) if rng.random() < 0.6 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+        return (rng.choice(signs) if rng.random() < 0.1 else "") + core + (rng.choice(signs) if rng.random() < 0.4 else "")
+
+    texts = ["", " ", "- -", "- then", "end", "One. Two", "x", "\u3000", "\x85", *("".join(word() + rng.choice(spaces if k % 2 else [" "]) for _ in range(rng.randint(0, 40))) for k in range(300))]
+    rng.shuffle(texts)
+    all_, one = decontamination.Words(), decontamination.Words()
+    text, values, both, begins, ends = all_.templates([t.encode() for t in texts])
+    known = decontamination.Filter(16, np.full(1 << 10, np.uint64(2**64 - 1)))  # all windows are in it
+    found = decontamination.found_in([t.encode() for t in texts], all_, known, (1, 3, 6, 8), 8, 5, 5)
+    for k, t in enumerate(texts):
+        at, own, own_begins = one.template(t)
+        here = text == k
+        assert one.hashes[at].tolist() == values[here].tolist(), t
+        assert [x[here].tolist() for pair in both for x in pair] == [x.tolist() for pair in own for x in pair], t
+        assert begins[here].tolist() == own_begins.tolist() and ends[1:][here].tolist() == [*own_begins[1:].tolist(), True][: len(at)], t
+        need = lambda n: decontamination.needed(n, 8, 5)
+        want = {int(h) for n in (1, 3, 6, 8) if n <= len(at) for x in own for h in decontamination.looked_up(x, one.hashes[at], own_begins, n, need(n), 5)}
+        assert set(found.get(k, np.zeros(0, np.uint64)).tolist()) == want, t
+
+
+def test_plain_words_are_not_looked_up_one_by_one():
+    """Texts of ever new words cost no more than others: only words with digits or other signs and letters go through the cache."""
+    rng = random.Random(1)
+    fresh = lambda: "".join(rng.choice("abcdefghijkléüñß") for _ in range(9)) + rng.choice(["", ".", ","])
+    texts = [" ".join([*(fresh().capitalize() if k % 5 == 0 else fresh() for k in range(200)), "12", "«so»", "日本"]).encode() for _ in range(20)]
+    words = decontamination.Words()
+    text, *_ = words.templates(texts)
+    assert len(text) == 20 * 203 and set(words.index) == {"12", "«so»", "日本"}
+
+
 @pytest.mark.parametrize("item", ["Why?", "What now?", "What is 12 + 30?", "Solve 3x + 5 = 20.", "Name the largest ocean."])
 def test_short_items_are_found_as_sentences_only(item):
     for text in (item, f"Some words. {item} And more words.", f"“Well.” {item.lower()}"):
