@@ -605,8 +605,9 @@ def test_decontamination_equals_all_windows_of_all_pairs(spark, seed):
     assert got == want and any(c for _, c in want.values())
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_words_of_many_texts_are_read_as_those_of_one(seed):
+@pytest.mark.parametrize(("seed", "piece"), [(0, 512 << 10), (1, 512 << 10), (2, 100), (3, 1)])
+def test_words_of_many_texts_are_read_as_those_of_one(monkeypatch, seed, piece):
+    monkeypatch.setattr(decontamination, "PIECE_BYTES", piece)
     rng = random.Random(seed)
     spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
     near = [x for x in map(chr, (0x1C - 1, 0x7F, 0x84, 0x86, 0xA1, 0x180E, 0x200B, 0x2027, 0x202A, 0x2030, 0x2060, 0x3001, 0xFEFF))]
